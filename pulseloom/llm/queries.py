@@ -7,21 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import lines, quality, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        F.col("__n_lines").alias("n_lines"),
+        F.col("__n_removed").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+#: The rules of the query: (verdict, host and path).
+RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.judge(table(spark, sf_dir, "pages"), RULES)
+    return found.select("page_id", *[F.col(f"__{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_simhash": op8_simhash}
+    return {
+        "op1_lines": op1_lines,
+        "op5_urls": op5_urls,
+        "op8_simhash": op8_simhash,
+        "op10_quality": op10_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_lines": lines.ORACLE}
