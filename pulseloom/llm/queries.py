@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, quality, simhash, urls
+from . import lines, packing, quality, simhash, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,16 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", *[F.col(f"__{c}").alias(c) for c in ("host", "path", "rule", "verdict")])
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = warc.archives(table(spark, sf_dir, "pages"))
+    found = warc.read_all(stored, warc.index(stored))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,10 +64,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lines": op1_lines,
         "op5_urls": op5_urls,
+        "op6_warc": op6_warc,
+        "op7_packing": op7_packing,
         "op8_simhash": op8_simhash,
         "op10_quality": op10_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lines": lines.ORACLE}
+    return {"op1_lines": lines.ORACLE, "op6_warc": warc.ORACLE}
