@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, pieces, quality, simhash, urls, warc
+from . import lines, packing, pieces, quality, simhash, suffixtree, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return suffixtree.scored(table(spark, sf_dir, "documents"), held_out)
+
+
 #: The rules of the query: (verdict, host and path).
 RULES = (
     ("allow", "com/"),
@@ -67,6 +72,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lines": op1_lines,
+        "op3_suffixtree": op3_suffixtree,
         "op5_urls": op5_urls,
         "op6_warc": op6_warc,
         "op7_packing": op7_packing,
