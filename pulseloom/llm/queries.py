@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, pieces, quality, simhash, suffixtree, urls, warc
+from . import lines, packing, pieces, quality, simhash, suffixes, suffixtree, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op3_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.scored(table(spark, sf_dir, "documents"), held_out)
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the query: (verdict, host and path).
 RULES = (
     ("allow", "com/"),
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lines": op1_lines,
         "op3_suffixtree": op3_suffixtree,
+        "op4_suffixes": op4_suffixes,
         "op5_urls": op5_urls,
         "op6_warc": op6_warc,
         "op7_packing": op7_packing,
