@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, packing, pieces, quality, simhash, suffixes, suffixtree, urls, warc
+from . import audio, lines, packing, pieces, quality, simhash, suffixes, suffixtree, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recordings are the vectors played as tunes."""
+    tunes = audio.melody(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return audio.search(tunes, F.col("id") % 50 == 0, "vec_id", "audio")
+
+
 def op3_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     return suffixtree.scored(table(spark, sf_dir, "documents"), held_out)
@@ -76,6 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lines": op1_lines,
+        "op2_audio": op2_audio,
         "op3_suffixtree": op3_suffixtree,
         "op4_suffixes": op4_suffixes,
         "op5_urls": op5_urls,
