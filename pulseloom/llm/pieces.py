@@ -14,7 +14,6 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -130,35 +129,44 @@ def build(model: Model):
 
 
 #: Words that a Python worker remembers before it starts anew.
-WORDS = 2_000_000
+WORDS = 500_000
 #: path -> encoder. Python workers outlive their tasks, and what one task met the next one knows.
 _BUILT: dict[str, Encoder] = {}
 
 
 class Encoder:
     """The rebuilt tokenizer, the bytes of its model, and ids by word: where texts are encoded word by word, each
-    distinct word is encoded once."""
+    distinct word is encoded, and decoded again, once."""
 
     def __init__(self, data: bytes) -> None:
         model = parse(data)
-        self.data, self.tokenizer, self.words = data, build(model), {}
+        self.data, self.tokenizer = data, build(model)
+        self.words: dict[str, bytes] = {}
+        self.lost: set[str] = set()
         self.parted = parted(model) and model.dummy_prefix
 
-    def __call__(self, texts: list[str]) -> list[list[int]]:
+    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of each text, and whether they decode to it."""
         if not self.parted:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            return [np.array(x, np.int32) for x in ids], [x == y for x, y in zip(back, texts)]
         # The tokenizer puts a marker before what it gets, which is the first blank of each word here.
         cut = [re.findall(" [ ]*[^ ]*", " " + t.replace(MARK, " ")) if t else [] for t in texts]
         if len(self.words) > WORDS:
             self.words.clear()
-        new = list({w for ws in cut for w in ws if w not in self.words})
-        if new:
-            made = self.tokenizer.encode_batch_fast([w[1:] or MARK for w in new], add_special_tokens=False)
-            self.words.update((w, e.ids) for w, e in zip(new, made))
-            if " " in new:
-                # A lone blank can't be got by the prefix alone; its marker is a piece.
-                self.words[" "] = [self.tokenizer.token_to_id(MARK)]
-        return [list(chain.from_iterable(map(self.words.__getitem__, ws))) for ws in cut]
+            self.lost.clear()
+        new = list({w for ws in cut for w in ws if w not in self.words and w != " "})
+        # A lone blank can't be got by the prefix alone; its marker is a piece.
+        self.words[" "] = np.array([self.tokenizer.token_to_id(MARK)], np.int32).tobytes()
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w[1:] for w in part], add_special_tokens=False)]
+            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            self.words.update((w, np.array(x, np.int32).tobytes()) for w, x in zip(part, ids))
+            self.lost.update(w for w, t in zip(part, back) if t != w[1:])
+        whole = [MARK not in t and self.lost.isdisjoint(ws) for t, ws in zip(texts, cut)]
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), np.int32) for ws in cut], whole
 
 
 def _load(path: str) -> Encoder:
@@ -195,16 +203,15 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for b in batches:
             for lo in range(0, len(b), BATCH):
                 texts = [t or "" for t in b[text_col].iloc[lo : lo + BATCH]]
-                ids = encode(texts)
-                back = encode.tokenizer.decode_batch(ids, skip_special_tokens=False)
-                same = [x == y for x, y in zip(ids, check.encode(texts, num_threads=threads))] if check else None
+                ids, whole = encode(texts)
+                same = [np.array_equal(x, y) for x, y in zip(ids, check.encode(texts, num_threads=threads))] if check else None
                 yield pd.DataFrame(
                     {
                         id_col: b[id_col].iloc[lo : lo + BATCH].to_numpy(),
                         "ids": ids,
                         "parity": pd.array(same if same else [None] * len(texts), "boolean"),
                         "n_bytes": [len(t.encode()) for t in texts],
-                        "round_trip": [x == y for x, y in zip(back, texts)],
+                        "round_trip": whole,
                     }
                 )
 
