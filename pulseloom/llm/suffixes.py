@@ -35,6 +35,8 @@ from .tables import shuffle_partitions, written
 MIN, GRAM, DEPTH = 50, 16, 64
 #: Bytes of text in a chunk. A longer document is a chunk of its own.
 CHUNK = 4 << 20
+#: Bytes whose hashes are in memory together, some 60 bytes for each.
+BLOCK = 1 << 19
 #: An anchor in more chunks than this has its strings compared by class.
 WIDE = 16
 PLACE = np.uint64((1 << 24) - 1)
@@ -72,26 +74,27 @@ class Chunk:
         self.ids = rows["id"].fillna(NO_ID).to_numpy(np.int64)
         self.copy = np.fromiter(((i, t) in copies for i, t in zip(self.ids.tolist(), rows["th"].tolist())), bool, len(rows))
         use = ~(self.copy | null) & (self.size >= MIN)
-        self.window, self.anchor, self.hash = (np.zeros(0, t) for t in (np.int64, np.int64, np.uint64))
         # Blocks of whole documents bound the memory; positions in a block fit the low bits of a key.
         parts, block, held = [], [], 0
         for j in np.flatnonzero(use).tolist():
-            for lo in range(0, int(self.size[j]), CHUNK):
+            for lo in range(0, int(self.size[j]), BLOCK):
                 # A very long document is looked at in overlapping stretches, which see every window once.
-                hi = min(int(self.size[j]), lo + CHUNK + MIN - 1)
+                hi = min(int(self.size[j]), lo + BLOCK + MIN - 1)
                 if hi - lo < MIN:
                     continue
-                if held and held + hi - lo > CHUNK:
+                if held and held + hi - lo > BLOCK + MIN:
                     parts.append(self._anchors(block))
                     block, held = [], 0
                 block.append((int(self.start[j]) + lo, hi - lo))
                 held += hi - lo
         if block:
             parts.append(self._anchors(block))
-        if parts:
-            self.window, self.anchor, self.hash = (np.concatenate(x) for x in zip(*parts))
+        none = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64)]
+        first, n, place, h = (np.concatenate(x) for x in zip(none, *parts))
+        self._groups = first, n, place, h, np.searchsorted(self.start, first, side="right") - 1
 
     def _anchors(self, block: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+        """Runs of windows with one anchor: ``(first window, windows, anchor's place in the first, hash)``."""
         a = np.concatenate([self.bytes[s : s + n] for s, n in block])
         h = window_hashes(a, GRAM, 7)
         low = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
@@ -102,17 +105,15 @@ class Chunk:
         sizes = np.array([n for _, n in block])
         begin = np.cumsum(sizes) - sizes
         ok = np.concatenate([np.arange(b, b + n - MIN + 1) for b, n in zip(begin.tolist(), sizes.tolist())])
-        shift = np.repeat(np.array([s for s, _ in block]) - begin, sizes - MIN + 1)
         anchor = (low[ok] & PLACE).astype(np.int64)
-        return ok + shift, anchor + shift, h[anchor] >> np.uint64(16)
+        new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1] + 1)])
+        first = ok[new]
+        shift = (np.array([s for s, _ in block]) - begin)[np.searchsorted(begin, first, side="right") - 1]
+        return first + shift, np.diff(np.r_[new, len(ok)]), anchor[new] - first, h[anchor[new]] >> np.uint64(16)
 
     def groups(self) -> tuple[np.ndarray, ...]:
         """Runs of windows with one anchor: ``(first window, windows, anchor's place in the first, hash, document)``."""
-        if not len(self.window):
-            return tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        new = np.flatnonzero(np.r_[True, (self.anchor[1:] != self.anchor[:-1]) | (self.window[1:] != self.window[:-1] + 1)])
-        first = self.window[new]
-        return first, np.diff(np.r_[new, len(self.window)]), self.anchor[new] - first, self.hash[new], np.searchsorted(self.start, first, side="right") - 1
+        return self._groups
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes, and whether several documents of the chunk have each."""
@@ -257,11 +258,11 @@ def _wide_keys(chunk: Chunk, groups: tuple[np.ndarray, ...], wide: np.ndarray) -
     at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
     pad = np.r_[chunk.bytes, np.zeros(MIN, np.uint8)]
     keys = np.empty((len(at), 2), np.uint64)
-    for lo in range(0, len(at), 1 << 16):
-        part = pad[at[lo : lo + (1 << 16), None] + np.arange(MIN)]
+    for lo in range(0, len(at), 1 << 13):
+        part = pad[at[lo : lo + (1 << 13), None] + np.arange(MIN)]
         for j, seed in enumerate((11, 13)):
             rng = np.random.default_rng(seed).integers(1, 1 << 63, MIN, dtype=np.uint64) | np.uint64(1)
-            keys[lo : lo + (1 << 16), j] = mix((mix(part.astype(np.uint64) + np.uint64(seed)) * rng).sum(1, dtype=np.uint64))
+            keys[lo : lo + (1 << 13), j] = mix((mix(part.astype(np.uint64) + np.uint64(seed)) * rng).sum(1, dtype=np.uint64))
     return at, np.repeat(doc, n), keys
 
 
