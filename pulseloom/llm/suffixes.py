@@ -5,14 +5,15 @@ for is decided by its anchor: the smallest hash of the ``GRAM``-byte strings in
 same place. Documents are dealt into chunks by a hash of their id; the work goes in three exchanges of packed rows:
 
 1. Chunks send the hashes of their distinct anchors; buckets answer which ones other documents have as well, and
-   which are in more than ``WIDE`` chunks. Exact copies of whole documents were sorted out before, by their digests.
-2. For each repeated anchor a chunk sends the bytes of the strings it stands for, equal ones once with the places of
+   which have more than ``WIDE`` occurrences. Exact copies of whole documents were sorted out before, by their digests.
+   With each anchor goes a digest of the byte run it stands for (its windows' strings, overlapping). Anchors whose
+   runs are all one run match as a whole: for them only ids are exchanged, and the smallest comes back.
+2. For each other repeated anchor a chunk sends the bytes of its runs, equal ones once with the places of
    all. The buckets concatenate the different byte runs, build their Burrows-Wheeler transform (sorted to ``DEPTH``
    bytes) and expand intervals breadth-first by backward extension: strings of growing length settle the common
    prefixes of neighbours by increasing value, and the expansion stops at ``MIN``. Neighbours that are not settled
-   then share ``MIN`` bytes or more, so the classes of equal strings lie between settled bounds. A run that shares
-   its anchor with no different run matches its equals only and needs no transform.
-   Anchors of very many chunks (a passage that a third of all documents hold) go another way, so that no bucket gathers them:
+   then share ``MIN`` bytes or more, so the classes of equal strings lie between settled bounds.
+   Anchors of very many runs (a passage that a third of all documents hold) go another way, so that no bucket gathers them:
    the chunk expands its own runs, and sends for each class the 128-bit hash of its string and its smallest id;
    buckets by that hash answer with the smallest id of all.
 3. The answers meet the chunks' documents, and the covered bytes are cut out.
@@ -37,8 +38,12 @@ MIN, GRAM, DEPTH = 50, 16, 64
 CHUNK = 4 << 20
 #: Bytes whose hashes are in memory together, some 60 bytes for each.
 BLOCK = 1 << 19
-#: An anchor in more chunks than this has its strings compared by class.
-WIDE = 16
+#: An anchor with different runs and more occurrences than this has its strings compared by class.
+WIDE = 1000
+#: Random values of the bytes, an odd multiplier and its inverse, for digests of runs from prefix sums.
+VALUE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
+BASE = 0x9E3779B97F4A7C15
+POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 PLACE = np.uint64((1 << 24) - 1)
 NO_ID = np.iinfo(np.int64).max
 
@@ -61,6 +66,17 @@ def window_hashes(a: np.ndarray, size: int, seed: int) -> np.ndarray:
         power, at = join(power, power[at:], at), 2 * at
 
 
+def run_digests(a: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit digests of the byte runs ``a[first : first + size]``, which depend on their bytes alone."""
+    if len(POWERS[0]) <= len(a):
+        for i, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            with np.errstate(over="ignore"):
+                POWERS[i] = np.cumprod(np.r_[np.uint64(1), np.full(len(a) + BLOCK // 4, base, np.uint64)])
+    total = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(VALUE[a] * POWERS[0][: len(a)], out=total[1:])
+    return mix((total[first + size] - total[first]) * POWERS[1][first] + size.astype(np.uint64))
+
+
 class Chunk:
     """The documents of a chunk as one byte string, its windows of ``MIN`` bytes and their anchors."""
 
@@ -89,12 +105,12 @@ class Chunk:
                 held += hi - lo
         if block:
             parts.append(self._anchors(block))
-        none = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64)]
-        first, n, place, h = (np.concatenate(x) for x in zip(none, *parts))
+        none = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]
+        first, n, place, h, self.digest = (np.concatenate(x) for x in zip(none, *parts))
         self._groups = first, n, place, h, np.searchsorted(self.start, first, side="right") - 1
 
     def _anchors(self, block: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
-        """Runs of windows with one anchor: ``(first window, windows, anchor's place in the first, hash)``."""
+        """Runs of windows with one anchor: ``(first window, windows, anchor's place in the first, hash, digest)``."""
         a = np.concatenate([self.bytes[s : s + n] for s, n in block])
         h = window_hashes(a, GRAM, 7)
         low = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
@@ -109,22 +125,27 @@ class Chunk:
         new = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (ok[1:] != ok[:-1] + 1)])
         first = ok[new]
         shift = (np.array([s for s, _ in block]) - begin)[np.searchsorted(begin, first, side="right") - 1]
-        return first + shift, np.diff(np.r_[new, len(ok)]), anchor[new] - first, h[anchor[new]] >> np.uint64(16)
+        n, place = np.diff(np.r_[new, len(ok)]), anchor[new] - first
+        digest = mix(run_digests(a, first, n + MIN - 1) + place.astype(np.uint64))
+        return first + shift, n, place, h[anchor[new]] >> np.uint64(16), digest
 
     def groups(self) -> tuple[np.ndarray, ...]:
         """Runs of windows with one anchor: ``(first window, windows, anchor's place in the first, hash, document)``."""
         return self._groups
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchor hashes, and whether several documents of the chunk have each."""
+    def distinct(self) -> tuple[np.ndarray, ...]:
+        """Distinct anchor hashes, whether several documents of the chunk have each, a 32-bit digest of its run (zero
+        where it has several), and its occurrences."""
         _, _, _, h, doc = self.groups()
-        ids = self.ids[doc]
-        order = np.lexsort((ids, h))
-        h, ids = h[order], ids[order]
-        new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
+        order = np.lexsort((self.digest, h))
+        h, ids, digest = h[order], self.ids[doc[order]], self.digest[order]
+        at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
         end = np.r_[at[1:], len(h)] - 1
-        return h[at], ids[at] != ids[end] if len(at) else np.zeros(0, bool)
+        if not len(at):
+            return h, np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
+        one = digest[at] == digest[end]
+        return h[at], several, np.where(one, (digest[at] >> np.uint64(32)) | np.uint64(1), np.uint64(0)), end - at + 1
 
 
 def classes(text: np.ndarray, least: int = MIN) -> np.ndarray:
@@ -207,20 +228,20 @@ def _message(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(c, b, 0, k, *x, *[b""] * (5 - len(x))) for c, b, k, *x in rows], columns=COLUMNS)
 
 
-def _repeated(chunk: Chunk, answers: pd.DataFrame | None, buckets: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """The groups whose anchor repeats, and whether it is in very many chunks."""
-    first, n, place, h, doc = chunk.groups()
-    if answers is None:
-        return tuple(x[:0] for x in (first, n, place, h, doc)), np.zeros(0, bool)
-    known, _ = chunk.distinct()
-    bits = [np.zeros(len(known), np.uint8), np.zeros(len(known), np.uint8)]
+def _repeated(chunk: Chunk, answers: pd.DataFrame | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which groups have a repeated anchor, and how it is handled: 0 by bytes, 1 by id, 2 by class."""
+    _, _, _, h, _ = chunk.groups()
+    if answers is None or not len(h):
+        none = np.zeros(0, np.int64)
+        return none, none
+    known = chunk.distinct()[0]
+    code = np.zeros(len(known), np.uint8)
     _, at = slices(known << np.uint64(16), buckets)
-    for b, *packed in zip(answers["bucket"].tolist(), answers["a"], answers["b"]):
-        for mask, p in zip(bits, packed):
-            mask[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(p, np.uint8), count=int(at[b + 1] - at[b]))
-    i = np.searchsorted(known, h)
-    keep = bits[0][i] > 0
-    return tuple(x[keep] for x in (first, n, place, h, doc)), bits[1][i][keep] > 0
+    for b, a in zip(answers["bucket"].tolist(), answers["a"]):
+        code[at[b] : at[b + 1]] = unpack(a).astype(np.uint8)
+    found = code[np.searchsorted(known, h)]
+    keep = np.flatnonzero(found)
+    return keep, found[keep].astype(np.int64) - 1
 
 
 def _ask(buckets: int) -> Callable:
@@ -228,42 +249,58 @@ def _ask(buckets: int) -> Callable:
         if rows.empty:
             return _message([])
         number, chunk, _ = _chunk(rows, more)
-        h, several = chunk.distinct()
+        h, several, digest, count = chunk.distinct()
         numbers, at = slices(h << np.uint64(16), buckets)
-        return _message(
-            [(number, b, "anchors", pack_sorted(h[at[b] : at[b + 1]]), np.packbits(several[at[b] : at[b + 1]]).tobytes()) for b in numbers[at[1:] > at[:-1]].tolist()]
-        )
+        out = []
+        for b in numbers[at[1:] > at[:-1]].tolist():
+            cut = slice(at[b], at[b + 1])
+            out.append((number, b, "anchors", pack_sorted(h[cut]), pack(digest[cut]), pack(count[cut] * 2 + several[cut])))
+        return _message(out)
 
     return run
 
 
 def _answer(most: int, bucket: pd.DataFrame) -> pd.DataFrame:
     keys = [unpack_sorted(a) for a in bucket["a"]]
-    several = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)) for b, k in zip(bucket["b"], keys)])
-    known, back, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    again = count > 1
-    again[back[several > 0]] = True
-    wide, rows, at = count > most, [], 0
+    digest = np.concatenate([unpack(b) for b in bucket["b"]])
+    count = np.concatenate([unpack(c).astype(np.int64) for c in bucket["c"]])
+    known, back, chunks = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    again = chunks > 1
+    again[back[count & 1 > 0]] = True
+    low, high = np.full(len(known), ~np.uint64(0)), np.zeros(len(known), np.uint64)
+    np.minimum.at(low, back, digest)
+    np.maximum.at(high, back, digest)
+    total = np.bincount(back, count >> 1, len(known))
+    code = np.where(~again, 0, np.where((low == high) & (low > 0), 2, np.where(total > most, 3, 1)))
+    rows, at = [], 0
     for chunk, b, k in zip(bucket["chunk"].tolist(), bucket["bucket"].tolist(), keys):
-        i = back[at : at + len(k)]
+        mine = code[back[at : at + len(k)]]
         at += len(k)
-        if again[i].any():
-            rows.append((chunk, b, "repeats", np.packbits(again[i]).tobytes(), np.packbits(wide[i] & again[i]).tobytes()))
+        if mine.any():
+            rows.append((chunk, b, "repeats", pack(mine)))
     return _message(rows)
 
 
-def _wide_keys(chunk: Chunk, groups: tuple[np.ndarray, ...], wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of very frequent anchors: place, document, and their two hashes as one sortable pair of columns."""
-    first, n, _, _, doc = (x[wide] for x in groups)
-    at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-    pad = np.r_[chunk.bytes, np.zeros(MIN, np.uint8)]
-    keys = np.empty((len(at), 2), np.uint64)
-    for lo in range(0, len(at), 1 << 13):
-        part = pad[at[lo : lo + (1 << 13), None] + np.arange(MIN)]
-        for j, seed in enumerate((11, 13)):
-            rng = np.random.default_rng(seed).integers(1, 1 << 63, MIN, dtype=np.uint64) | np.uint64(1)
-            keys[lo : lo + (1 << 13), j] = mix((mix(part.astype(np.uint64) + np.uint64(seed)) * rng).sum(1, dtype=np.uint64))
-    return at, np.repeat(doc, n), keys
+def _same(chunk: Chunk, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For groups whose anchors stand for one run: distinct hashes, their digests, smallest ids, and each group's."""
+    _, _, _, h, doc = (x[groups] for x in chunk.groups())
+    known, lead, back = np.unique(h, return_index=True, return_inverse=True)
+    low = np.full(len(known), NO_ID)
+    np.minimum.at(low, back, chunk.ids[doc])
+    return known, chunk.digest[groups][lead], low, back
+
+
+def _wide(chunk: Chunk, groups: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The different runs of groups whose anchors are very frequent, the smallest id of each, each group's run, and
+    the two hashes of every window of every run."""
+    first, n, _, _, doc = (x[groups] for x in chunk.groups())
+    whole, held = chunk.bytes.tobytes(), {}
+    of = np.array([held.setdefault(whole[f : f + m + MIN - 1], len(held)) for f, m in zip(first.tolist(), n.tolist())], np.int64)
+    low = np.full(len(held), NO_ID)
+    np.minimum.at(low, of, chunk.ids[doc])
+    runs = list(held)
+    keys = [np.stack([window_hashes(a, MIN, seed) for seed in (11, 13)], 1) for a in (np.frombuffer(r, np.uint8) for r in runs)]
+    return runs, low, of, np.concatenate(keys)
 
 
 def _first_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,28 +318,27 @@ def _send(buckets: int) -> Callable:
         if rows.empty:
             return _message([])
         number, chunk, kinds = _chunk(rows, more)
-        groups, wide = _repeated(chunk, kinds.get("repeats"), buckets)
+        groups, way = _repeated(chunk, kinds.get("repeats"), buckets)
         out = []
-        if wide.any():
+        if (way == 1).any():
+            h, digest, low, _ = _same(chunk, groups[way == 1])
+            numbers, at = slices(h << np.uint64(16), buckets)
+            for b in numbers[at[1:] > at[:-1]].tolist():
+                cut = slice(at[b], at[b + 1])
+                out.append((number, b, "same", pack_sorted(h[cut]), pack(digest[cut]), pack(low[cut].view(np.uint64))))
+        if (way == 2).any():
             # The chunk's own classes, each once: the hash of its string and its smallest id.
-            first, n, _, _, doc = (x[wide] for x in groups)
-            held: dict[bytes, int] = {}
-            whole = chunk.bytes.tobytes()
-            names = np.array([held.setdefault(whole[f : f + m + MIN - 1], len(held)) for f, m in zip(first.tolist(), n.tolist())])
-            low = np.full(len(held), NO_ID)
-            np.minimum.at(low, names, chunk.ids[doc])
-            _, at, least = smallest(list(held), low)
-            _, lead = np.unique(names, return_index=True)
-            _, _, keys = _wide_keys(chunk, tuple(x[wide][lead] for x in groups), np.ones(len(lead), bool))
+            runs, low, _, keys = _wide(chunk, groups[way == 2])
+            _, _, least = smallest(runs, low)
             keys, row, _ = _first_keys(keys)
             numbers, cut = slices(keys[:, 0], buckets)
             for b in numbers[cut[1:] > cut[:-1]].tolist():
                 part = slice(cut[b], cut[b + 1])
-                out.append((number, b, "wide", pack_sorted(keys[part, 0]), pack(keys[part, 1]), pack(least[row[part]])))
-        first, n, place, h, doc = (x[~wide] for x in groups)
+                out.append((number, b, "wide", pack_sorted(keys[part, 0]), pack(keys[part, 1]), pack(least[row[part]].view(np.uint64))))
+        first, n, place, h, doc = (x[groups[way == 0]] for x in chunk.groups())
         if len(first):
             whole = chunk.bytes.tobytes()
-            numbers, of = np.arange(buckets), slices(h << np.uint64(16), buckets, sort=True)
+            of = slices(h << np.uint64(16), buckets, sort=True)
             for b in range(buckets):
                 part = of[1][of[0][b] : of[0][b + 1]]
                 if not len(part):
@@ -339,6 +375,16 @@ def _match(bucket: pd.DataFrame) -> pd.DataFrame:
         for chunk, k in zip(part["chunk"].tolist(), each):
             out.append((chunk, number, "least", pack(low[back[at : at + len(k)]].view(np.uint64))))
             at += len(k)
+    if "same" in kinds:
+        part = kinds["same"]
+        each = [np.stack([unpack_sorted(a), unpack(b)], 1) for a, b in zip(part["a"], part["b"])]
+        known, _, back = _first_keys(np.concatenate(each))
+        low = np.full(len(known), NO_ID)
+        np.minimum.at(low, back, np.concatenate([unpack(c) for c in part["c"]]).view(np.int64))
+        at = 0
+        for chunk, k in zip(part["chunk"].tolist(), each):
+            out.append((chunk, number, "one", pack(low[back[at : at + len(k)]].view(np.uint64))))
+            at += len(k)
     if "runs" in kinds:
         out += _runs(kinds["runs"], number)
     return _message(out)
@@ -391,12 +437,23 @@ def _covered(chunk: Chunk, kinds: dict[str, pd.DataFrame], buckets: int) -> np.n
             start, n = unpack_sorted(a).astype(np.int64), unpack(b).astype(np.int64)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + n + MIN - 1, -1)
-    if "least" in kinds:
-        groups, wide = _repeated(chunk, kinds.get("repeats"), buckets)
-        at, doc, keys = _wide_keys(chunk, groups, wide)
-        known, _, back = _first_keys(keys)
-        low = np.concatenate([unpack(a).view(np.int64) for a in kinds["least"].sort_values("bucket")["a"]])
-        gone = at[low[back] < chunk.ids[doc]]
+    groups, way = _repeated(chunk, kinds.get("repeats"), buckets)
+    answers = lambda kind: np.concatenate([unpack(a).view(np.int64) for a in kinds[kind].sort_values("bucket")["a"]])
+    if (way == 1).any():
+        mine = groups[way == 1]
+        first, n, _, _, doc = (x[mine] for x in chunk.groups())
+        gone = answers("one")[_same(chunk, mine)[3]] < chunk.ids[doc]
+        np.add.at(edge, first[gone], 1)
+        np.add.at(edge, (first + n + MIN - 1)[gone], -1)
+    if (way == 2).any():
+        mine = groups[way == 2]
+        first, n, _, _, doc = (x[mine] for x in chunk.groups())
+        runs, _, of, keys = _wide(chunk, mine)
+        least = answers("least")[_first_keys(keys)[2]]
+        size = np.array([len(r) - MIN + 1 for r in runs])
+        begin = (np.cumsum(size) - size)[of]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        gone = (np.repeat(first, n) + step)[least[np.repeat(begin, n) + step] < np.repeat(chunk.ids[doc], n)]
         np.add.at(edge, gone, 1)
         np.add.at(edge, gone + MIN, -1)
     out = np.cumsum(edge[:-1]) > 0
