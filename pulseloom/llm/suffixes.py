@@ -127,7 +127,8 @@ class Chunk:
         shift = (np.array([s for s, _ in block]) - begin)[np.searchsorted(begin, first, side="right") - 1]
         n, place = np.diff(np.r_[new, len(ok)]), anchor[new] - first
         digest = mix(run_digests(a, first, n + MIN - 1) + place.astype(np.uint64))
-        return first + shift, n, place, h[anchor[new]] >> np.uint64(16), digest
+        # Anchors are minima, so their hashes are small ones; mixed again they spread over the buckets.
+        return first + shift, n, place, mix(h[anchor[new]] * np.uint64(BASE)) >> np.uint64(16), digest
 
     def groups(self) -> tuple[np.ndarray, ...]:
         """Runs of windows with one anchor: ``(first window, windows, anchor's place in the first, hash, document)``."""
