@@ -2,8 +2,8 @@
 
 The model's protobuf is parsed here (a handful of wire-format fields), and its parts are rebuilt: normaliser and
 white-space marker, the scored vocabulary (unigram, or byte-pair merges in the order of the scores), byte fallback
-and the decoder. Batches are encoded by several threads. Every text's ids can be held against the sentencepiece
-library's own.
+and the decoder. Batches are encoded by several threads. All ids can be held against the sentencepiece library's own:
+word by word where the model encodes words apart from each other (then equal words mean equal texts), else by text.
 """
 
 from __future__ import annotations
@@ -129,44 +129,61 @@ def build(model: Model):
 
 
 #: Words that a Python worker remembers before it starts anew.
-WORDS = 500_000
+WORDS = 800_000
 #: path -> encoder. Python workers outlive their tasks, and what one task met the next one knows.
 _BUILT: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """The rebuilt tokenizer, the bytes of its model, and ids by word: where texts are encoded word by word, each
-    distinct word is encoded, and decoded again, once."""
+    """The rebuilt tokenizer, the library's own, and ids by word: where texts are encoded word by word, each distinct
+    word is encoded, decoded again and compared once."""
 
     def __init__(self, data: bytes) -> None:
+        import sentencepiece
+
         model = parse(data)
-        self.data, self.tokenizer = data, build(model)
-        self.words: dict[str, bytes] = {}
-        self.lost: set[str] = set()
+        self.tokenizer, self.own = build(model), sentencepiece.SentencePieceProcessor(model_proto=data)
         self.parted = parted(model) and model.dummy_prefix
+        self.pieces = [None if t == BYTE else p.replace(MARK, " ") for p, _, t in model.pieces]
+        self.blank = self.tokenizer.token_to_id(MARK)
+        self._clear()
+
+    def _clear(self) -> None:
+        # A lone blank can't be got by the prefix alone; its marker is a piece.
+        self.words: dict[str, bytes] = {" ": np.array([self.blank if self.blank is not None else 0], np.int32).tobytes()}
+        self.lost: set[str] = set()
+        self.unlike: set[str] = set()
+
+    def _learn(self, words: list[str], verify: bool) -> None:
+        given = [w[1:] for w in words]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
+        for w, x in zip(words, ids):
+            self.words[w] = np.array(x, np.int32).tobytes()
+            parts = [self.pieces[i] for i in x]
+            back = "".join(parts)[1:] if None not in parts else self.tokenizer.decode(x, skip_special_tokens=False)
+            if back != w[1:]:
+                self.lost.add(w)
+        if verify:
+            self.unlike.update(w for w, x, y in zip(words, ids, self.own.encode(given, num_threads=1)) if x != y)
 
-    def __call__(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether they decode to it."""
+    def __call__(self, texts: list[str], verify: bool, threads: int) -> tuple[list[np.ndarray], list[bool | None], list[bool]]:
+        """Ids of each text, whether the library has the same (None unless asked), and whether they decode to it."""
+        none = [None] * len(texts)
         if not self.parted:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            return [np.array(x, np.int32) for x in ids], [x == y for x, y in zip(back, texts)]
+            same = [x == y for x, y in zip(ids, self.own.encode(texts, num_threads=threads))] if verify else none
+            return [np.array(x, np.int32) for x in ids], same, [x == y for x, y in zip(back, texts)]
         # The tokenizer puts a marker before what it gets, which is the first blank of each word here.
         cut = [re.findall(" [ ]*[^ ]*", " " + t.replace(MARK, " ")) if t else [] for t in texts]
         if len(self.words) > WORDS:
-            self.words.clear()
-            self.lost.clear()
-        new = list({w for ws in cut for w in ws if w not in self.words and w != " "})
-        # A lone blank can't be got by the prefix alone; its marker is a piece.
-        self.words[" "] = np.array([self.tokenizer.token_to_id(MARK)], np.int32).tobytes()
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w[1:] for w in part], add_special_tokens=False)]
-            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            self.words.update((w, np.array(x, np.int32).tobytes()) for w, x in zip(part, ids))
-            self.lost.update(w for w, t in zip(part, back) if t != w[1:])
+            self._clear()
+        new = list({w for ws in cut for w in ws if w not in self.words})
+        for i in range(0, len(new), 4000):
+            self._learn(new[i : i + 4000], verify)
         whole = [MARK not in t and self.lost.isdisjoint(ws) for t, ws in zip(texts, cut)]
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), np.int32) for ws in cut], whole
+        same = [self.unlike.isdisjoint(ws) for ws in cut] if verify else none
+        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), np.int32) for ws in cut], same, whole
 
 
 def _load(path: str) -> Encoder:
@@ -195,21 +212,15 @@ def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         _threads(threads)
         encode = _load(model)
-        check = None
-        if verify:
-            import sentencepiece
-
-            check = sentencepiece.SentencePieceProcessor(model_proto=encode.data)
         for b in batches:
             for lo in range(0, len(b), BATCH):
                 texts = [t or "" for t in b[text_col].iloc[lo : lo + BATCH]]
-                ids, whole = encode(texts)
-                same = [np.array_equal(x, y) for x, y in zip(ids, check.encode(texts, num_threads=threads))] if check else None
+                ids, same, whole = encode(texts, verify, threads)
                 yield pd.DataFrame(
                     {
                         id_col: b[id_col].iloc[lo : lo + BATCH].to_numpy(),
                         "ids": ids,
-                        "parity": pd.array(same if same else [None] * len(texts), "boolean"),
+                        "parity": pd.array(same, "boolean"),
                         "n_bytes": [len(t.encode()) for t in texts],
                         "round_trip": whole,
                     }

@@ -45,8 +45,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(u, v)`` by alternating large-star and small-star rounds.
 
-    Returns ``(node, component)`` with the smallest node of each component, for all nodes of an edge between
-    different nodes. Every round is two aggregations and two equi-joins whose sizes are those of the edges; a hub's
+    Returns ``(node, component)`` for every node that is not the smallest of its component, with that smallest one.
+    Nodes that are not there are their own component. Every round is two aggregations and two equi-joins whose sizes are those of the edges; a hub's
     edges are pre-aggregated for the minimum, and its join partition can be split. Nulls are left out.
     """
     now = written(
