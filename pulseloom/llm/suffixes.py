@@ -22,6 +22,7 @@ same place. Documents are dealt into chunks by a hash of their id; the work goes
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -34,6 +35,7 @@ from .packed import pack, pack_sorted, slices, unpack, unpack_sorted
 from .tables import shuffle_partitions, written
 
 MIN, GRAM, DEPTH = 50, 16, 64
+SIDE = (MIN - GRAM) // 2
 #: Bytes of text in a chunk. A longer document is a chunk of its own.
 CHUNK = 4 << 20
 #: Bytes whose hashes are in memory together, some 60 bytes for each.
@@ -173,13 +175,20 @@ def classes(text: np.ndarray, least: int = MIN) -> np.ndarray:
     settled = np.zeros(n + 1, bool)
     settled[[0, n]] = True
     low, high = np.array([0]), np.array([n])
+    mark = np.full(n, -1, np.int64)
     for _ in range(least):
         size = high - low
         of = np.repeat(np.arange(len(low)), size)
         place = step[np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)]
         # Backward extension: places of one interval and character follow each other.
-        by = np.argsort(place)
-        place, of = place[by], of[by]
+        if 16 * len(place) > n:
+            mark[place] = of
+            place = np.flatnonzero(mark >= 0)
+            of = mark[place]
+            mark[place] = -1
+        else:
+            by = np.argsort(place)
+            place, of = place[by], of[by]
         cut = np.flatnonzero(np.r_[True, (place[1:] != place[:-1] + 1) | (of[1:] != of[:-1]) | (char[place[1:]] != char[place[:-1]])])
         low, high = place[cut], place[np.r_[cut[1:], len(place)] - 1] + 1
         new = ~settled[high]
@@ -207,6 +216,15 @@ def smallest(runs: list[bytes], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return of, at, least[of]
 
 
+def _partnered(keys: list[tuple[int, int, bytes]]) -> np.ndarray:
+    """Which runs ``(anchor, place, bytes)`` can share a string with another: around the anchor they agree on ``SIDE``
+    bytes more to the left or to the right, as any string of ``MIN`` bytes through it has as many on one side."""
+    left = [k[2][k[1] - SIDE : k[1] + GRAM] if k[1] >= SIDE else None for k in keys]
+    right = [k[2][k[1] : k[1] + GRAM + SIDE] for k in keys]
+    lefts, rights = Counter(left), Counter(right)
+    return np.array([(x is not None and lefts[x] > 1) or rights[y] > 1 for x, y in zip(left, right)], bool)
+
+
 def _bounds(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Runs of consecutive sorted numbers: first, length."""
     cut = np.flatnonzero(np.r_[True, places[1:] != places[:-1] + 1]) if len(places) else np.zeros(0, np.int64)
@@ -300,8 +318,11 @@ def _wide(chunk: Chunk, groups: np.ndarray) -> tuple[list[bytes], np.ndarray, np
     low = np.full(len(held), NO_ID)
     np.minimum.at(low, of, chunk.ids[doc])
     runs = list(held)
-    keys = [np.stack([window_hashes(a, MIN, seed) for seed in (11, 13)], 1) for a in (np.frombuffer(r, np.uint8) for r in runs)]
-    return runs, low, of, np.concatenate(keys)
+    size = np.array([len(r) for r in runs], np.int64)
+    n = size - MIN + 1
+    at = np.arange(n.sum()) + np.repeat(np.cumsum(size) - size - (np.cumsum(n) - n), n)
+    joined = np.frombuffer(b"".join(runs), np.uint8)
+    return runs, low, of, np.stack([window_hashes(joined, MIN, seed)[at] for seed in (11, 13)], 1)
 
 
 def _first_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -409,11 +430,11 @@ def _runs(part: pd.DataFrame, number: int) -> list[tuple]:
     least = np.repeat(low, n)
     anchor = np.array([k[0] for k in names])
     _, back, alike = np.unique(anchor, return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(alike[back] > 1)
-    if len(mixed):
-        keys = list(names)
-        _, _, found = smallest([keys[i][2] for i in mixed.tolist()], low[mixed])
-        least[np.repeat(alike[back] > 1, n)] = found
+    keys = list(names)
+    mixed = _partnered(keys) & (alike[back] > 1)
+    if mixed.any():
+        _, _, found = smallest([k[2] for k, m in zip(keys, mixed.tolist()) if m], low[mixed])
+        least[np.repeat(mixed, n)] = found
     # Each place of each run: its windows that a smaller document has.
     begin = np.cumsum(n) - n
     size = n[of]
