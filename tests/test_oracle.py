@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -14,7 +15,7 @@ CORE = sorted(k for k in SQL if not k.startswith("op") and k != "pipeline")
 
 def canonical(df):
     df = df[sorted(df.columns)].astype(object)
-    rows = [tuple(None if v is None or v != v else v for v in r) for r in df.itertuples(index=False, name=None)]
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in df.itertuples(index=False, name=None)]
     return list(df.columns), sorted(rows, key=repr)
 
 
