@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .tables import shuffle_partitions, written
 
-#: Distinct words whose ids a task remembers before it starts anew.
-WORDS = 2_000_000
+#: Distinct words whose ids a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
+WORDS = 400_000
 #: Decisions (runs of ranks) that are sent to every task; they are bounded by classes times rounds, not by documents.
 MAX_RUNS = 20_000_000
 
@@ -65,9 +66,9 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text."""
         raws = [(t or "").encode() for t in texts]
         words = [(r if b"<|" in r else r.lower()).split() for r in raws]
-        if len(self.seen) > WORDS:
-            self.seen.clear()
         seen = self.seen
+        for w in list(islice(seen, WORDS // 2, None)) if len(seen) > WORDS else ():
+            del seen[w]
         new = {w for ws in words for w in ws if w not in seen}
         odd = [w for w in new if b"<|" in w]
         for w in odd:
