@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import array_median, logreg_score, lower_percentile
+from ..functions.columns import logreg_score
 
 FEATURES = ("waveform_length", "rms", "lf_ratio", "slope_median")
 #: Preset -> features (O-PRJ-5).
