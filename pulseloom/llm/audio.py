@@ -22,6 +22,8 @@ from .tables import written
 FRAME, HOP, SPAN = 1024, 256, 16
 #: (shape, lowest pitch class, pitch classes, frames) of the filters, by a rule: four shapes at four sizes.
 FILTERS = tuple((k % 4, 3 * (k // 4) % 12, (12, 6, 8, 4)[k // 4] if k // 4 == 0 else 12 - 3 * (k // 4), (4, 8, 12, 16)[(k + k // 4) % 4]) for k in range(16))
+#: Recordings that are handed to Python together.
+RECORDINGS = 16
 #: A quantiser's outer bounds on the natural log of the ratio.
 BOUND = 0.15
 
@@ -139,7 +141,13 @@ def align(queries: DataFrame, held: DataFrame, votes: int = 3, overlap: int = 16
 def search(rows: DataFrame, asks: Column, id_col: str, audio_col: str) -> DataFrame:
     """``(query_id, match_class, members, offset, overlap, bit_errors)``: the rows for which ``asks`` holds, each
     against the classes of all rows, its own included. Copies are counted as members, not expanded."""
-    prints = written(fingerprints(rows, id_col, audio_col), "audio-prints")
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, RECORDINGS)
+    try:
+        prints = written(fingerprints(rows, id_col, audio_col), "audio-prints")
+    finally:
+        conf.set(name, before)
     members, held = classes(prints, id_col)
     asking = written(members.where(asks), "audio-queries")
     wanted = held.join(asking.select("rep").distinct(), "rep", "left_semi").select("rep", "prints")
@@ -151,7 +159,7 @@ def search(rows: DataFrame, asks: Column, id_col: str, audio_col: str) -> DataFr
     )
 
 
-def melody(vectors: DataFrame, id_col: str, vector_col: str, rate: int = 4000, note: int = 512) -> DataFrame:
+def melody(vectors: DataFrame, id_col: str, vector_col: str, rate: int = 4000, note: int = 256) -> DataFrame:
     """``(id, audio)``: each vector played as a tune, a note of ``note`` samples for each component; null for null."""
     time = np.arange(note) / rate
     tone = {p: np.sin(2 * np.pi * 440 * 2 ** (p / 12) * time) * np.hanning(note) for p in range(-18, 19)}
