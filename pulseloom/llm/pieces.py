@@ -14,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -128,7 +129,7 @@ def build(model: Model):
     return out
 
 
-#: Words that a Python worker remembers before it starts anew.
+#: Words that a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
 WORDS = 800_000
 #: path -> encoder. Python workers outlive their tasks, and what one task met the next one knows.
 _BUILT: dict[str, Encoder] = {}
@@ -146,9 +147,6 @@ class Encoder:
         self.parted = parted(model) and model.dummy_prefix
         self.pieces = [None if t == BYTE else p.replace(MARK, " ") for p, _, t in model.pieces]
         self.blank = self.tokenizer.token_to_id(MARK)
-        self._clear()
-
-    def _clear(self) -> None:
         # A lone blank can't be got by the prefix alone; its marker is a piece.
         self.words: dict[str, bytes] = {" ": np.array([self.blank if self.blank is not None else 0], np.int32).tobytes()}
         self.lost: set[str] = set()
@@ -177,12 +175,15 @@ class Encoder:
         # The tokenizer puts a marker before what it gets, which is the first blank of each word here.
         cut = [re.findall(" [ ]*[^ ]*", " " + t.replace(MARK, " ")) if t else [] for t in texts]
         if len(self.words) > WORDS:
-            self._clear()
+            for w in list(islice(self.words, WORDS // 2, None)):
+                del self.words[w]
+            self.lost &= self.words.keys()
+            self.unlike &= self.words.keys()
         new = list({w for ws in cut for w in ws if w not in self.words})
         for i in range(0, len(new), 4000):
             self._learn(new[i : i + 4000], verify)
-        whole = [MARK not in t and self.lost.isdisjoint(ws) for t, ws in zip(texts, cut)]
-        same = [self.unlike.isdisjoint(ws) for ws in cut] if verify else none
+        whole = [MARK not in t and (not self.lost or self.lost.isdisjoint(ws)) for t, ws in zip(texts, cut)]
+        same = [not self.unlike or self.unlike.isdisjoint(ws) for ws in cut] if verify else none
         return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), np.int32) for ws in cut], same, whole
 
 
