@@ -34,3 +34,15 @@ def phase_at(times: DataFrame, protocol: DataFrame) -> DataFrame:
     return times.join(p, inside, "left").select(
         *times.columns, F.col("idx").alias("phase_idx"), F.col("name").alias("phase"), (F.col("elapsed_s") - F.col("start_s")).alias("phase_elapsed_s"), (F.col("end_s") - F.col("elapsed_s")).alias("phase_left_s")
     )
+
+
+def markers(samples: DataFrame, protocol: DataFrame) -> DataFrame:
+    """``(session, t_ms, name, label, previous)``: a row where a session's phase changes, its first one included; the
+    clock starts at the first sample (O-REC-1/4). What a prompted recorder writes as phases, and where labels open and
+    close."""
+    w = Window.partitionBy("session").orderBy("arrival_seq")
+    timed_rows = samples.select("session", "arrival_seq", "t_ms", ((F.col("t_ms") - F.first("t_ms").over(w)) / 1000.0).alias("elapsed_s"))
+    placed = phase_at(timed_rows, protocol).join(F.broadcast(protocol.select(F.col("idx").alias("phase_idx"), "label")), "phase_idx", "left")
+    before = F.lag("phase_idx").over(w)
+    changed = placed.withColumns({"before": before, "previous": F.lag("phase").over(w)}).where("phase_idx IS NOT NULL AND (before IS NULL OR before != phase_idx)")
+    return changed.select("session", "t_ms", F.col("phase").alias("name"), "label", "previous")

@@ -552,6 +552,16 @@ def phase_at(spark, sf):
     return rounded(protocol.phase_at(times, script), "elapsed_s", "phase_elapsed_s", "phase_left_s")
 
 
+@query(f"""WITH {B.SQL}, p(idx, name, d, label) AS (VALUES (0, 'SETTLE', 0.021, NULL), (1, 'REST', 0.041, NULL), (2, 'CLICK 1/2', 0.021, 'CLICK'), (3, 'REST', 0.021, NULL), (4, 'CLICK 2/2', 0.021, 'CLICK'), (5, 'ARTIFACT_NO_LABEL', 0.041, NULL), (6, 'REST', 0.041, NULL)),
+q AS (SELECT *, sum(d) OVER (ORDER BY idx)::DOUBLE AS e FROM p), x AS (SELECT session, arrival_seq, t_ms, idx, name, label FROM s JOIN q ON t_ms / 1000::DOUBLE >= e - d AND t_ms / 1000::DOUBLE < e),
+y AS (SELECT *, lag(idx) OVER w AS b, lag(name) OVER w AS previous FROM x WINDOW w AS (PARTITION BY session ORDER BY arrival_seq))
+SELECT session, t_ms, name, label, previous FROM y WHERE b IS NULL OR b <> idx""")
+def prompt_markers(spark, sf):
+    """O-REC-1/4, O-PRO-1."""
+    script = spark.createDataFrame(protocol.build(settle=0.021, rest=0.041, trials=2, press=0.021, gap=0.021, final_rest=0.041, artifact=0.041), protocol.SCHEMA)
+    return protocol.markers(B.samples(spark, sf), script)
+
+
 # Streams
 
 
