@@ -1,17 +1,19 @@
 """Language-model scores of texts by a probabilistic suffix tree over bytes, beside an add-one unigram base.
 
 A text is read as its words in lower case (A-Z only), one blank between them, and an end symbol. Training counts all
-contexts of up to ``DEPTH`` bytes with the byte that follows. Contexts with at least ``share`` of all training symbols
-are candidates, so there are at most ``1 / share`` of them for each length, whatever the corpus: that bounds the model
-that is sent to all tasks. A candidate becomes a state when its next-symbol distribution diverges from that of its
-parent (the context one byte shorter) by more than a likelihood-ratio test allows. Distributions are smoothed towards
+contexts of up to ``DEPTH`` bytes with the byte that follows. Contexts met at least ``least`` times, a count that does
+not change with the corpus, are candidates. A candidate becomes a state when its next-symbol distribution diverges from
+that of its parent (the context one byte shorter) by more than a likelihood-ratio test allows. Distributions are smoothed towards
 the parent's with as much weight as the context has distinct successors. A symbol is scored by the longest suffix of
 what precedes it that is a state.
 
 Counts are gathered by two-way messages: documents are dealt into chunks by a hash of their id; each chunk sends the
 hashes of its distinct words with their training counts, and its distinct byte strings, in packed rows to buckets by
-hash; buckets add them up and answer every chunk, in the order it asked, with the corpus counts of its words. A word
-is met once for each chunk, however frequent it is. Words are told apart by 64-bit hashes: among 10**9 distinct words
+hash; buckets add them up and answer every chunk, in the order it asked, with the corpus counts of its words and the
+scores of its byte strings. Strings are dealt by the last ``TOP + 1`` bytes of their context, so that a bucket has all
+counts of the longer contexts in it and decides their states itself. Only contexts of up to ``TOP`` bytes are sent to all
+buckets: strings of three bytes, of which there are at most 2**24 whatever the corpus (in valid UTF-8 a few million).
+A word or string is met once for each chunk, however frequent it is. Words are told apart by 64-bit hashes: among 10**9 distinct words
 about 0.03 pairs are expected to share one.
 """
 
@@ -31,7 +33,10 @@ from .tables import shuffle_partitions, written
 DEPTH = 5
 #: Bytes of text in a chunk, and symbols looked at together within it.
 CHUNK, BLOCK = 8 << 20, 1 << 21
-SHARE = 2e-6
+#: Occurrences of a context below which the likelihood-ratio test says nothing.
+LEAST = 10
+#: Depth of the contexts that are sent to all buckets, and most buckets that add up their strings.
+TOP, TOP_BUCKETS = 2, 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,6 +70,15 @@ def _mixed(codes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _mask(depth: int) -> np.uint64:
+    return np.uint64((1 << (8 * depth + 8)) - 1)
+
+
+def _dealt(codes: np.ndarray) -> np.ndarray:
+    """What byte strings are dealt by: the last ``TOP + 1`` bytes of their contexts."""
+    return _mixed((codes & _mask(TOP + 1)) >> np.uint64(8))
+
+
 def _distinct(texts: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
     """Distinct words in the order of their hashes, and these."""
     words = list({w for ws in texts for w in ws})
@@ -97,15 +111,16 @@ def ask(buckets: int):
             cut = slice(at[b], at[b + 1])
             rows.append((b, number, "word", pack_sorted(hashes[cut]), pack(counts[cut])))
         found = [np.unique(code, return_counts=True) for _, code, _ in grams([ws for ws, t in zip(texts, train) if t])]
-        if found:
-            codes, n = _sum(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]).astype(np.int64))
-            mixed = _mixed(codes)
-            order = np.lexsort((codes, bucket_of(mixed, buckets)))
+        found += [(k, np.zeros(len(k), np.int64)) for k in (np.unique(code) for _, code, _ in grams([ws for ws, t in zip(texts, train) if not t]))]
+        codes, n = _sum(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]).astype(np.int64))
+        top, top_n = _sum(codes[n > 0] & _mask(TOP), n[n > 0])
+        for kind, codes, n, mixed, most in (("gram", codes, n, _dealt(codes), buckets), ("top", top, top_n, _mixed(top), min(buckets, TOP_BUCKETS))):
+            order = np.lexsort((codes, bucket_of(mixed, most)))
             codes, n = codes[order], n[order]
-            numbers, at = slices(mixed[order], buckets)
+            numbers, at = slices(mixed[order], most)
             for b in numbers[at[1:] > at[:-1]].tolist():
                 cut = slice(at[b], at[b + 1])
-                rows.append((b, number, "gram", pack_sorted(codes[cut]), pack(n[cut])))
+                rows.append((b, number, kind, pack_sorted(codes[cut]), pack(n[cut])))
         return pd.DataFrame(rows, columns=["bucket", "chunk", "kind", "keys", "counts"])
 
     return run
@@ -113,14 +128,14 @@ def ask(buckets: int):
 
 def answer(bucket: pd.DataFrame) -> pd.DataFrame:
     """Rows ``(chunk, bucket, kind, keys, counts)``: an answer to every chunk that asked about words, the totals of
-    the words (distinct with a count, all), and the bucket's byte strings."""
+    the words (distinct with a count, all), and the bucket's short byte strings."""
     number, rows = int(bucket["bucket"].iloc[0]), []
     for kind, part in bucket.groupby("kind"):
         keys = [unpack_sorted(k) for k in part["keys"]]
         counts = np.concatenate([unpack(c) for c in part["counts"]]).astype(np.int64)
         known, total = _sum(np.concatenate(keys), counts)
-        if kind == "gram":
-            rows.append((-1, number, "gram", pack_sorted(known), pack(total)))
+        if kind == "top":
+            rows.append((-1, number, "top", pack_sorted(known), pack(total)))
             continue
         for chunk, k in zip(part["chunk"], keys):
             rows.append((int(chunk), number, "reply", b"", pack(total[np.searchsorted(known, k)])))
@@ -128,20 +143,36 @@ def answer(bucket: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["chunk", "bucket", "kind", "keys", "counts"])
 
 
+def candidates(codes: np.ndarray, n: np.ndarray, depths: range, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each depth the sorted codes and counts of the contexts met ``least`` times or more; the root always is one."""
+    levels = []
+    for d in depths:
+        k, c = _sum(codes & _mask(d), n)
+        if d and len(k):
+            _, back = np.unique(k >> np.uint64(8), return_inverse=True)
+            keep = np.bincount(back, weights=c)[back] >= least
+            k, c = k[keep], c[keep]
+        levels.append((k, c))
+    return levels
+
+
 class Tree:
-    """The model: for each depth sorted contexts with their state flag and the weight left to the parent, and sorted
+    """The model, or what a bucket has of it: for each depth sorted contexts with their state flag and the weight left to the parent, and sorted
     (context, symbol) pairs with log10 probabilities."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """``levels[d]``: sorted codes of ``d`` context bytes and a symbol, and their counts; all candidates."""
-        codes, n = levels[0]
-        root = np.ones(256)
-        root[codes.astype(np.int64)] += n
-        self.contexts = [np.zeros(1, np.uint64)]
-        self.state, self.left = [np.ones(1, bool)], [np.zeros(1)]
-        self.pairs, self.logs = [np.arange(256, dtype=np.uint64)], [np.log10(root / root.sum())]
-        for d in range(1, len(levels)):
-            codes, n = levels[d]
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], top: Tree | None = None) -> None:
+        """``levels[d]``: sorted codes of ``d`` context bytes and a symbol, and their counts; all candidates. With
+        ``top`` they go on below it."""
+        if top is None:
+            (codes, n), *levels = levels
+            root = np.ones(256)
+            root[codes.astype(np.int64)] += n
+            self.contexts = [np.zeros(1, np.uint64)]
+            self.state, self.left = [np.ones(1, bool)], [np.zeros(1)]
+            self.pairs, self.logs = [np.arange(256, dtype=np.uint64)], [np.log10(root / root.sum())]
+        else:
+            self.contexts, self.state, self.left, self.pairs, self.logs = (list(x) for x in (top.contexts, top.state, top.left, top.pairs, top.logs))
+        for d, (codes, n) in enumerate(levels, len(self.contexts)):
             of = codes >> np.uint64(8)
             first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
             size = np.diff(np.r_[first, len(of)])
@@ -187,45 +218,22 @@ class Tree:
         return out
 
 
-def grow(table: DataFrame, share: float = SHARE) -> Tree:
-    """The tree from the buckets' byte strings. Only candidates' counts come to the driver: at most ``1 / share``
-    contexts of each length with at most 256 symbols each."""
-
-    def by_depth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for keys, counts in zip(b["keys"], b["counts"]):
-                code, n = unpack_sorted(keys), unpack(counts).astype(np.int64)
-                for d in range(DEPTH + 1):
-                    k, c = _sum(code & np.uint64((1 << (8 * d + 8)) - 1), n)
-                    yield pd.DataFrame({"d": np.int32(d), "code": k.view(np.int64), "n": c})
-
-    counted = written(
-        table.where("kind = 'gram'").select("keys", "counts").mapInPandas(by_depth, "d int, code bigint, n bigint")
-        .groupBy("d", "code").agg(F.sum("n").alias("n")), "tree-counts",
-    )
-    context = F.shiftrightunsigned("code", 8)
-    total = counted.where("d = 0").agg(F.sum("n")).first()[0] or 0
-    frequent = counted.groupBy("d", context.alias("c")).agg(F.sum("n").alias("m")).where(F.col("m") >= share * total).select("d", "c")
-    kept = counted.withColumn("c", context).join(frequent, ["d", "c"], "left_semi").select("d", "code", "n")
-
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for d, part in b.sort_values("code").groupby("d"):
-                codes = part["code"].to_numpy(np.int64).view(np.uint64)
-                yield pd.DataFrame({"d": [int(d)], "codes": [pack_sorted(codes)], "n": [pack(part["n"].to_numpy())]})
-
-    found: list[list[tuple]] = [[] for _ in range(DEPTH + 1)]
-    for r in written(kept.mapInPandas(packed, "d int, codes binary, n binary"), "tree-candidates").toLocalIterator():
-        found[r["d"]].append((unpack_sorted(r["codes"]), unpack(r["n"]).astype(np.int64)))
-    levels = []
-    for parts in found:
-        codes, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(codes)
-        levels.append((codes[order], n[order]))
-    return Tree(levels)
+def weigh(top, least: int):
+    """What a bucket answers every chunk that asked about byte strings: their scores, in the order asked."""
+
+    def run(bucket: pd.DataFrame) -> pd.DataFrame:
+        number = int(bucket["bucket"].iloc[0])
+        keys = [unpack_sorted(k) for k in bucket["keys"]]
+        known, total = _sum(np.concatenate(keys), np.concatenate([unpack(c) for c in bucket["counts"]]).astype(np.int64))
+        seen = total > 0
+        logs = Tree(candidates(known[seen], total[seen], range(TOP + 1, DEPTH + 1), least), top.value).score(known)
+        rows = [(int(chunk), number, "log", pack(logs[np.searchsorted(known, k)].view(np.uint64))) for chunk, k in zip(bucket["chunk"], keys)]
+        return pd.DataFrame(rows, columns=["chunk", "bucket", "kind", "counts"])
+
+    return run
 
 
-def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
     Rows where ``held_out`` is not true train. Null, empty and blank texts are a lone end token. Repeated rows count
@@ -241,20 +249,24 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     )
     # A long document fills a chunk by itself; equal ids and texts are dealt out by a hash of both.
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(chunks)).cast("int"))
-    asked = dealt.groupBy("chunk").applyInPandas(ask(chunks), "bucket int, chunk int, kind string, keys binary, counts binary")
+    asked = written(dealt.groupBy("chunk").applyInPandas(ask(chunks), "bucket int, chunk int, kind string, keys binary, counts binary"), "tree-asked")
     table = written(
-        asked.groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, kind string, keys binary, counts binary"), "tree-messages"
+        asked.where("kind != 'gram'").groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, kind string, keys binary, counts binary"), "tree-messages"
     )
     ends = dealt.where("NOT held_out").count()
     totals = [unpack(r["counts"]) for r in table.where("kind = 'total'").select("counts").toLocalIterator()]
     distinct, tokens = (int(sum(t[i] for t in totals)) for i in (0, 1))
     distinct, tokens = distinct + (ends > 0), tokens + ends
-    tree = spark.sparkContext.broadcast(grow(table, share))
+    short = [(unpack_sorted(r["keys"]), unpack(r["counts"]).astype(np.int64)) for r in table.where("kind = 'top'").select("keys", "counts").toLocalIterator()]
+    codes, n = (np.concatenate(x) for x in zip(*short)) if short else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    top = spark.sparkContext.broadcast(Tree(candidates(codes, n, range(TOP + 1), least)))
+    weighed = asked.where("kind = 'gram'").groupBy("bucket").applyInPandas(weigh(top, least), "chunk int, bucket int, kind string, counts binary")
 
     def finish(chunk: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         texts = [words_of(t) for t in chunk["text"]]
         words, _ = _distinct(texts)
-        counts = np.concatenate([unpack(c).astype(np.int64) for c in replies.sort_values("bucket")["counts"]] + [np.array([ends])])
+        replies = replies.sort_values("bucket")
+        counts = np.concatenate([unpack(c).astype(np.int64) for c in replies["counts"][replies["kind"] == "reply"]] + [np.array([ends])])
         place = {w: i for i, w in enumerate(words)}
         logs, known = np.log10((counts + 1) / (tokens + 1 * (distinct + 1))), (counts > 0).astype(np.int64)
         n, n_known, base = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), np.zeros(len(texts))
@@ -262,15 +274,18 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
             n[j], n_known[j], base[j] = len(ws) + 1, known[at].sum() + known[-1], logs[at].sum() + logs[-1]
         score = np.zeros(len(texts))
-        for first, code, lengths in grams(texts):
-            distinct_codes, back = np.unique(code, return_inverse=True)
-            each = tree.value.score(distinct_codes)[back]
+        blocks = [(first, *np.unique(code, return_inverse=True), lengths) for first, code, lengths in grams(texts)]
+        codes = np.unique(np.concatenate([b[1] for b in blocks]))
+        log = np.empty(len(codes))
+        log[np.lexsort((codes, bucket_of(_dealt(codes), chunks)))] = np.concatenate([unpack(c).view(np.float64) for c in replies["counts"][replies["kind"] == "log"]])
+        for first, distinct_codes, back, lengths in blocks:
+            each = log[np.searchsorted(codes, distinct_codes)][back]
             score[first : first + len(lengths)] = np.add.reduceat(each, np.cumsum(lengths) - lengths)
         return pd.DataFrame(
             {"id": chunk["id"], "held_out": chunk["held_out"], "n_tokens": n, "n_known": n_known, "train_tokens": np.int64(tokens), "base_score": base, "score": score}
         )
 
-    replies = table.where("kind = 'reply'").select("chunk", "bucket", "counts")
+    replies = table.where("kind = 'reply'").select("chunk", "bucket", "kind", "counts").union(written(weighed, "tree-scores"))
     return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(
         finish, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     ).withColumnRenamed("id", id_col)

@@ -196,6 +196,50 @@ def test_suffix_tree(spark):
     assert suffixtree.scored(empty(spark, df), held).count() == 0
 
 
+def plain_tree(texts, least):
+    """Score of a text by counts of all contexts in a dictionary."""
+    symbols = lambda t: bytes(5) + b" ".join(suffixtree.words_of(t)) + b"\0"
+    counts = collections.defaultdict(collections.Counter)
+    for a in map(symbols, texts):
+        for i in range(5, len(a)):
+            for d in range(6):
+                counts[a[i - d : i]][a[i]] += 1
+
+    def p(c, s):
+        n, k = counts[c].total() if c in counts else 0, len(counts.get(c, ()))
+        if not c:
+            return (1 + counts[c][s]) / (256 + n)
+        return (counts[c][s] + k * p(c[1:], s)) / (n + k) if n >= least else p(c[1:], s)
+
+    def state(c):
+        n, k = counts[c].total() if c in counts else 0, len(counts.get(c, ()))
+        return not c or n >= least and 2 * sum(m * math.log(m / n / p(c[1:], s)) for s, m in counts[c].items()) > k + 3 * math.sqrt(2 * k)
+
+    def score(text):
+        a = symbols(text)
+        return sum(math.log10(p(next(a[i - d : i] for d in range(5, -1, -1) if state(a[i - d : i])), a[i])) for i in range(5, len(a)))
+
+    return score
+
+
+def test_suffix_tree_against_counts_of_all_contexts(spark):
+    df = corpus(spark, 6).where("doc_id < 30")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    got = local(suffixtree.scored(df, held))
+    text = {d["doc_id"]: d["text"] for d in local(df)}
+    score = plain_tree([text[g["doc_id"]] for g in got if not g["held_out"]], suffixtree.LEAST)
+    assert any(g["held_out"] for g in got)
+    for g in got:
+        assert g["score"] == pytest.approx(score(text[g["doc_id"]]))
+
+
+def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark):
+    """Twelve occurrences are a share of less than two millionths of these symbols."""
+    rows = [(i, "ab " * 50000, "en", "s", 0) for i in range(60)] + [(100 + i, "zqxjvk", "en", "s", 0) for i in range(12)] + [(200, "zqxjvk", "en", "s", 0)]
+    got = {d["doc_id"]: d for d in local(suffixtree.scored(spark.createDataFrame(rows, DOCS), F.col("doc_id") == 200))}
+    assert got[200]["score"] > -10
+
+
 def test_suffix_tree_beats_single_symbols_on_held_out_words(spark):
     """Words made of syllables: contexts must tell more than the frequencies of symbols do."""
     rng = random.Random(12)
