@@ -2,8 +2,9 @@
 
 Pages whose url fits a rule take the verdict of the longest rule that fits. For the others, hosts are judged by the
 links between hosts: trust spreads along links from trusted seeds (personalised PageRank), distrust spreads against
-them from blocked seeds (a host is suspect when it links to suspect hosts). A host is blocked when its distrust
-exceeds its trust by a threshold. Seeds are hosts of which more than half of the pages fall to rules of one verdict.
+them from blocked seeds (a host is suspect when it links to suspect hosts). Both are taken as shares of what the host
+would receive if every host were a seed, so that many links to one seed, which each get a small part of it, make none
+of the linking hosts less suspect. A host is blocked when its share of distrust exceeds that of trust by a threshold. Seeds are hosts of which more than half of the pages fall to rules of one verdict.
 """
 
 from __future__ import annotations
@@ -56,19 +57,20 @@ def host_edges(pages: DataFrame, host: Column, html_col: str) -> DataFrame:
     )
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10, own: bool = True) -> DataFrame:
     """``(host, trust, distrust)`` from ``seeds(host, trusted, blocked)`` of zeros and ones.
 
     Every seed starts with mass ``1 - damping`` and gets it again each round. Trust is dealt along a host's links in
     proportion to their counts, distrust against the links that reach a host. After ``rounds`` rounds what is left to
-    spread is at most ``damping ** rounds`` of the mass. Scores of linkless hosts are those of their seeds.
+    spread is at most ``damping ** rounds`` of the mass. Scores of linkless hosts are those of their seeds. Without
+    ``own`` the scores are only what hosts receive from others in the last round.
     """
     base = seeds.select(
         "host", ((1 - damping) * F.col("trusted")).alias("trust"), ((1 - damping) * F.col("blocked")).alias("distrust")
     )
     edges = written(edges, "host-edges")
     if edges.isEmpty():
-        return base
+        return base if own else base.limit(0)
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
     edges = written(
@@ -76,7 +78,7 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         "host-edges",
     )
     now = base
-    for _ in range(rounds):
+    for left in range(rounds, 0, -1):
         live = now.where("trust > 0 OR distrust > 0")
         ahead = edges.join(live, edges.src == live.host).select(
             F.col("dst").alias("host"), (damping * F.col("trust") * F.col("fwd")).alias("trust"), F.lit(0.0).alias("distrust")
@@ -84,11 +86,27 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         behind = edges.join(live, edges.dst == live.host).select(
             F.col("src").alias("host"), F.lit(0.0).alias("trust"), (damping * F.col("distrust") * F.col("back")).alias("distrust")
         )
-        summed = base.union(ahead).union(behind).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        summed = (base.union(ahead) if own or left > 1 else ahead).union(behind).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
         now = written(summed, "host-scores")
     return now
 
 
+def shares(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+    """``(host, trust, distrust)`` from 0 to 1: what a host receives from seeds over what it receives when every host
+    is a seed. A seed has 1 of its own kind."""
+    own = seeds.select("host", F.col("trusted").cast("double").alias("trust"), F.col("blocked").cast("double").alias("distrust"))
+    edges = written(edges, "host-edges")
+    if edges.isEmpty():
+        return own
+    every = seeds.select("host").union(edges.select("src")).union(edges.select("dst")).distinct()
+    every = written(every.select("host", F.lit(1).alias("trusted"), F.lit(1).alias("blocked")), "hosts")
+    got = propagate(seeds, edges, damping, rounds, own=False)
+    most = propagate(every, edges, damping, rounds, own=False).select("host", F.col("trust").alias("most_trust"), F.col("distrust").alias("most_distrust"))
+    met = got.join(most, "host").join(own.withColumnsRenamed({"trust": "own_trust", "distrust": "own_distrust"}), "host", "full")
+    share = lambda c: F.when(F.col(f"own_{c}") == 1, 1.0).when(F.col(c) > 0, F.col(c) / F.col(f"most_{c}")).otherwise(0.0).alias(c)
+    return met.select("host", share("trust"), share("distrust"))
+
+
 def judge(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]],
@@ -102,7 +120,7 @@ def judge(
 
     Null urls and urls without ``://`` have an empty host and path, fit no rule, take part in no graph and are
     allowed. Null or empty html has no links. Repeated pages count repeatedly. Hosts without seeds in reach are
-    allowed. ``threshold`` is on distrust less trust; a seed without links has ``1 - damping``.
+    allowed. ``threshold`` is on the share of distrust less that of trust; a seed has 1.
     """
     host, path = host_and_path(F.col(url_col))
     placed = pages.withColumns({"__host": host, "__path": path})
@@ -114,7 +132,7 @@ def judge(
         .groupBy(F.col("__host").alias("host"))
         .agg(more_than_half("allow").alias("trusted"), more_than_half("block").alias("blocked"))
     )
-    scores = propagate(written(seeds, "host-seeds"), host_edges(placed, F.col("__host"), html_col), damping, rounds)
+    scores = shares(written(seeds, "host-seeds"), host_edges(placed, F.col("__host"), html_col), damping, rounds)
     bad = written(scores.where(F.col("distrust") - F.col("trust") >= threshold).select(F.col("host").alias("__host"), F.lit("block").alias("__by_host")), "hosts-blocked")
     return placed.join(bad, "__host", "left").select(
         *[F.col(c) for c in pages.columns], "__host", "__path", "__rule",

@@ -307,6 +307,15 @@ def test_url_propagation(spark):
     assert {d["page_id"]: d["__verdict"] for d in local(urls.judge(pages, RULES))} == {1: "block", 2: "block", 3: "block", 4: "allow"}
 
 
+@pytest.mark.parametrize("farm", [3, 300])
+def test_url_link_farms_of_any_size(spark, farm):
+    """All hosts that link to nothing but a blocked seed are blocked; one with many other links is not."""
+    rows = [(0, "http://s.net/fr/", ""), (1, "http://many.org/", "".join(f'<a href="http://g{i}.org/">' for i in range(50)) + '<a href="http://s.net/">')]
+    rows += [(2, "http://www.example.com/en/", '<a href="http://s.net/">')] + [(10 + i, f"http://f{i}.org/", '<a href="http://s.net/">') for i in range(farm)]
+    got = {d["page_id"]: d["__verdict"] for d in local(urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES))}
+    assert got == {0: "block", 1: "allow", 2: "allow"} | {10 + i: "block" for i in range(farm)}
+
+
 def test_warc(spark):
     pages = [(i, f"http://h{i % 4}.example.com/p/{i}?q={i % 3}", f"<p>{i % 9}</p>" * (i % 5)) for i in range(80)]
     pages += [(90, None, None), (91, "no scheme \n", ""), (None, "http://z.org/", "é"), (5, pages[5][1], pages[5][2])]
