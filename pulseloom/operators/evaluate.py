@@ -141,7 +141,7 @@ def aggregate_scores(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
 def decision_grid(spark) -> DataFrame:
     """The default 36 gates in their order (O-EVL-5)."""
     rows = [
-        (i, e, x, d, d, m, 80)
+        (i, e, x, d, 2, m, 80)
         for i, (e, x, m, d) in enumerate(itertools.product((0.6, 0.7, 0.8), (0.4, 0.5), (50, 120, 200), (2, 3)))
         if x < e
     ]

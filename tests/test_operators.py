@@ -208,3 +208,8 @@ def test_splits():
     assert training.features_of("core") == training.FEATURES[:3]
     with pytest.raises(ValueError):
         training.features_of("nope")
+
+
+def test_grid_is_that_of_the_reference(spark):
+    rows = [(e, x, d, 2, m, 80) for e in (0.6, 0.7, 0.8) for x in (0.4, 0.5) for m in (50, 120, 200) for d in (2, 3)]
+    assert [tuple(r)[1:] for r in evaluate.decision_grid(spark).orderBy("config").collect()] == rows
