@@ -80,12 +80,15 @@ class Detector:
         return [(self.gate.ord, *commit(self.gate, gate, False, self.gate.last_t))]
 
 
+#: Most rows of a session in a micro-batch of a replay.
+ROWS = 1 << 20
 COLUMNS = ["ord", "phase", "start_ms", "end_ms", "duration_ms"]
 
 
 def detect(samples: DataFrame, model, gate: Gate = Gate(), window_ms: int = 120, hop_ms: int = 30, filtered: bool = True) -> DataFrame:
     """Events of a stream of ``(session bigint, arrival_seq, t_ms, raw)``; no watermark, state without end, and no
-    flush, as live runs have it. Rows of a micro-batch are taken in the order of ``arrival_seq``."""
+    flush, as live runs have it. Rows of a micro-batch are taken in the order of ``arrival_seq``; those of a session are
+    held together, so a micro-batch must not hold more of them than a task can."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         detector = pickle.loads(state.get[0]) if state.exists else Detector()
@@ -100,16 +103,25 @@ def detect(samples: DataFrame, model, gate: Gate = Gate(), window_ms: int = 120,
 
 def replay_stream(spark: SparkSession, samples: DataFrame, model, gate: Gate, window_ms: int, hop_ms: int, filtered: bool = True, files: int = 4) -> DataFrame:
     """Recorded samples played through ``detect`` in several micro-batches, in their order, and what it wrote
-    (O-SRC-12, O-STR-3). A session's samples are spread over the files by time, so that its state is carried on."""
+    (O-SRC-12, O-STR-3). Samples, numbered within their sessions, are cut by number into ``files`` parts, or as many as it
+    takes for ``ROWS`` numbers a part; each part is a micro-batch, so that a session's state is carried on."""
     from pyspark.sql import functions as F
 
     at = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
-    last = samples.agg(F.max("arrival_seq")).first()[0] or 0
-    for i in range(files):
-        part = samples.where((F.col("arrival_seq") * files > i * (last + 1)) & (F.col("arrival_seq") * files <= (i + 1) * (last + 1)))
-        part.coalesce(8).write.parquet(f"{at}/in/part={i}")
-    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 8).option("latestFirst", "false").parquet(f"{at}/in/part=*")
+    low, high = samples.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
+    size = max(1, min(ROWS, -(-((high or 0) - (low or 0) + 1) // files)))
+    placed = samples.where("arrival_seq IS NOT NULL").withColumn("part", F.floor((F.col("arrival_seq") - (low or 0)) / size).cast("int"))
+    # Written once by part, so that each part is read alone; a part is spread over several files.
+    placed.repartition("part", F.pmod(F.xxhash64("session", "arrival_seq"), F.lit(8))).write.partitionBy("part").parquet(f"{at}/parts")
+    parts = sorted(r["part"] for r in placed.select("part").distinct().toLocalIterator())
+    samples.limit(0).write.parquet(f"{at}/in")
+    stream = spark.readStream.schema(samples.schema).parquet(f"{at}/in")
     events = detect(stream, model, gate, window_ms, hop_ms, filtered)
-    sink = events.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append")
-    sink.trigger(availableNow=True).start().awaitTermination()
+    if not parts:
+        return spark.createDataFrame([], events.schema)
+    stored = spark.read.schema(placed.schema).parquet(f"{at}/parts")
+    for i in parts:
+        stored.where(F.col("part") == i).select(*samples.columns).write.mode("append").parquet(f"{at}/in")
+        sink = events.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append")
+        sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{at}/out")

@@ -3,6 +3,7 @@
 import json
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,17 @@ def test_splits():
 def test_grid_is_that_of_the_reference(spark):
     rows = [(e, x, d, 2, m, 80) for e in (0.6, 0.7, 0.8) for x in (0.4, 0.5) for m in (50, 120, 200) for d in (2, 3)]
     assert [tuple(r)[1:] for r in evaluate.decision_grid(spark).orderBy("config").collect()] == rows
+
+
+def test_replay_bounds_the_rows_of_a_session_in_a_micro_batch(spark, monkeypatch):
+    def sizes(samples, *_):
+        def run(key, batches, state):
+            yield pd.DataFrame({"n": [sum(map(len, batches))]})
+
+        return samples.groupBy("session").applyInPandasWithState(run, "n bigint", "x binary", "append", "NoTimeout")
+
+    monkeypatch.setattr(detector, "detect", sizes)
+    monkeypatch.setattr(detector, "ROWS", 10, raising=False)
+    samples = spark.range(60).select(F.lit(1).cast("bigint").alias("session"), F.col("id").alias("arrival_seq"))
+    found = [r["n"] for r in detector.replay_stream(spark, samples, None, None, 20, 10).collect()]
+    assert found == [10] * 6
