@@ -56,8 +56,10 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = warc.archives(table(spark, sf_dir, "pages"))
-    found = warc.read_all(stored, warc.index(stored))
+    """Every page's record, looked up by its url."""
+    pages = table(spark, sf_dir, "pages")
+    stored = warc.archives(pages)
+    found = warc.look_up(pages, stored, warc.index(stored))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

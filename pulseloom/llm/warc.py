@@ -34,13 +34,14 @@ RECORD = "urn:page:"
 
 def sort_key(url: str | None) -> str:
     """Reversed host labels, ``)``, then the rest of the url; control characters and blanks are percent-encoded."""
-    _, found, rest = (url or "").partition("://")
-    rest = rest if found else (url or "")
+    # Encoded first, so that a url and the target header made of it have one key.
+    url = quote(url or "", safe="".join(map(chr, range(33, 127))))
+    _, found, rest = url.partition("://")
+    rest = rest if found else url
     host = rest
     for c in "/?#":
         host = host.partition(c)[0]
-    key = ",".join(reversed(host.lower().split("."))) + ")" + rest[len(host) :]
-    return quote(key, safe="".join(map(chr, range(33, 127))))
+    return ",".join(reversed(host.lower().split("."))) + ")" + rest[len(host) :]
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha1: bytes, refers_to: int | None, date: str) -> bytes:
@@ -80,14 +81,15 @@ def _id(header: str | None) -> int | None:
 
 
 def revisits(pages: DataFrame, min_bytes: int = 0, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``(__page, __refers_to)``: pages whose payload, of ``min_bytes`` or more, a page with a larger id has too."""
+    """``(__page, d, n, __refers_to)``: pages, by id, digest and length of the payload, whose payload, of ``min_bytes``
+    or more, a page with a larger id has too."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     digests = pages.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("__page"), F.sha1(payload).alias("d"), F.octet_length(payload).alias("n")
     ).where(F.col("n") >= min_bytes)
     # Payloads that occur once, nearly all of them, end in the aggregation.
     keepers = digests.groupBy("d", "n").agg(F.max("__page").alias("__refers_to"), F.min("__page").alias("low")).where("low < __refers_to")
-    return digests.join(keepers, ["d", "n"]).where("__page < __refers_to").select("__page", "__refers_to").distinct()
+    return digests.join(keepers, ["d", "n"]).where("__page < __refers_to").select("__page", "d", "n", "__refers_to").distinct()
 
 
 def archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -98,8 +100,9 @@ def archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01T00:00
     """
     again = written(revisits(pages, min_bytes, id_col, html_col), "warc-revisits")
     given = pages.select(F.col(id_col).alias("__page"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    # Equal pages are one key on both sides; a page has one payload, so at most one answer for each id and payload.
-    given = given.join(again, "__page", "left") if not again.isEmpty() else given.withColumn("__refers_to", F.lit(None).cast("bigint"))
+    # An id may have several payloads; there is at most one answer for each id and payload.
+    payload = F.coalesce("html", F.lit("")).cast("binary")
+    given = given.withColumns({"d": F.sha1(payload), "n": F.octet_length(payload)}).join(again, ["__page", "d", "n"], "left").drop("d", "n") if not again.isEmpty() else given.withColumn("__refers_to", F.lit(None).cast("bigint"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         archive = f"part-{TaskContext.get().partitionId():06d}"
@@ -227,10 +230,21 @@ def look_up(wanted: DataFrame, stored: DataFrame, indexed: DataFrame, url_col: s
                 found = pd.DataFrame(out, columns=["key", "archive", "chunk", "offset", "length"])
                 yield found.astype({"chunk": "int32", "offset": "int64", "length": "int64"})
 
+    def block_of(asked: pd.DataFrame, directory: pd.DataFrame) -> pd.DataFrame:
+        """The keys of each block of a part, by bisection of the blocks' first and last keys."""
+        directory = directory.sort_values("block")
+        firsts, lasts, met = directory["first"].tolist(), directory["last"].tolist(), {}
+        for k in asked["key"].tolist():
+            for i in range(bisect_left(lasts, k), bisect_right(firsts, k)):
+                met.setdefault(i, []).append(k)
+        part = int(directory["part"].iloc[0]) if len(directory) else 0
+        return pd.DataFrame([(part, int(directory["block"].iloc[i]), ks) for i, ks in met.items()], columns=["part", "block", "keys"])
+
     keys = wanted.select(F.col(url_col).alias("u")).distinct().mapInPandas(part_of, "key string, part int").distinct()
-    # A block is met by the distinct keys that lie in it; only their places, never its lines, are repeated.
-    at = keys.join(indexed.select("part", "block", "first", "last"), "part").where("first <= key AND key <= last")
-    blocks = at.groupBy("part", "block").agg(F.collect_list("key").alias("keys"))
+    # A block is met by the distinct keys that lie in it; neither its lines nor its place are repeated for them.
+    blocks = keys.groupBy("part").cogroup(indexed.select("part", "block", "first", "last").groupBy("part")).applyInPandas(
+        block_of, "part int, block int, keys array<string>"
+    )
     found = indexed.join(blocks, ["part", "block"]).select("keys", "lines")
     return _read(found.mapInPandas(lines_of, "key string, archive string, chunk int, offset bigint, length bigint").drop("key"), stored)
 

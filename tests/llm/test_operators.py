@@ -340,6 +340,23 @@ def test_warc(spark):
     assert warc.read_all(none, warc.index(none)).count() == 0
 
 
+def test_warc_tells_payloads_of_one_id_apart(spark):
+    """Id 1 has a payload of its own, one that 2 has, and one that 3 has."""
+    pages = [(1, "http://a.org/", "own"), (1, "http://b.org/", "two"), (1, "http://c.org/", "three"), (2, "http://d.org/", "two"), (3, "http://e.org/", "three")]
+    stored = warc.archives(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    got = {(d["page_id"], d["url"], d["refers_to"], d["payload"] and bytes(d["payload"])) for d in local(warc.read_all(stored, warc.index(stored)))}
+    assert got == {(1, "http://a.org/", None, b"own"), (1, "http://b.org/", 2, None), (1, "http://c.org/", 3, None), (2, "http://d.org/", None, b"two"), (3, "http://e.org/", None, b"three")}
+
+
+def test_warc_look_up_finds_every_record(spark, monkeypatch):
+    """Urls that are encoded in their records, and more lines than a block holds."""
+    pages = [(i, f"http://É{i % 50}.org/ü {i}", "x") for i in range(200)] + [(300, None, ""), (301, "No scheme \n", "y"), (302, "http://É1.org/ü 1", "z")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    monkeypatch.setattr(warc, "LINES", 7)
+    stored = warc.archives(df)
+    assert sorted(d["page_id"] for d in local(warc.look_up(df, stored, warc.index(stored)))) == sorted(p[0] for p in pages)
+
+
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
