@@ -14,97 +14,152 @@ all rows is no hot key) and looking up the place of each rank run on the cluster
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import shuffle_partitions, written
 
-#: Distinct words whose ids a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
-WORDS = 400_000
+#: Bytes of words and ids that a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
+KNOWN_BYTES = 80 << 20
+#: Bytes of text looked at together.
+BLOCK = 8 << 20
+#: A lone full stop or comma at the end of a word, and what it becomes.
+STOP = (r"([a-zA-Z])([.,])([ \t-\r])", r"\1 \2\3")
 #: Decisions (runs of ranks) that are sent to every task; they are bounded by classes times rounds, not by documents.
 MAX_RUNS = 20_000_000
 
-
 #: What the tokenizer takes for a special token wherever it stands; it separates the words of one call.
 SPECIAL = "<|endoftext|>"
-#: path -> (tokenizer, ids by word). Python workers outlive their tasks, and what one task met the next one knows.
-_KNOWN: dict[str, tuple] = {}
+#: path -> WordIds. Python workers outlive their tasks, and what one task met the next one knows.
+_KNOWN: dict[str, WordIds] = {}
+
+
+def word_wise(config: dict) -> bool:
+    """Whether a tokenizer's configuration lets a text be encoded word by word: it lower-cases, drops white space, and
+    no token spans it; the special token that separates words is matched before anything else is done."""
+    steps = (config.get("normalizer") or {}).get("normalizers") or []
+    parts = (config.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    alone = [p for p in parts if p["type"] == "Split" and p["behavior"] == "Removed" and p["invert"] and "[^\\s" in p["pattern"].get("Regex", "")]
+    kinds = [x["type"] for x in steps]
+    special = any(t["content"] == SPECIAL and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]) for t in config.get("added_tokens", []))
+    plain = all(x["type"] in ("NFC", "Lowercase") or x["type"] == "Replace" and x["pattern"] == {"Regex": "\\s+"} and x["content"] == " " for x in steps)
+    return plain and kinds[-1:] == ["Lowercase"] and bool(alone) and special and not config.get("post_processor") and not (config["model"].get("dropout"))
 
 
 class WordIds:
-    """Ids of whole texts from a tokenizer that lower-cases, drops white space and never joins what it parts.
+    """Ids of whole texts. Where the tokenizer is ``word_wise`` each distinct word is encoded once, else each text.
 
-    Each distinct word is encoded once. A full stop or comma that ends a word after an ASCII letter is a token of its own
-    and is looked up apart. Words that may hold special tokens are left as they are and encoded alone.
+    A full stop or comma that ends a word after an ASCII letter is a token of its own and is cut off. Texts that may hold
+    special tokens keep their case. Columns of texts are cut into words, and words told apart, by Arrow.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        if path not in _KNOWN:
-            _KNOWN[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.seen = _KNOWN[path]
+        with open(path, encoding="utf-8") as f:
+            self.by_word = word_wise(json.load(f))
+        self.tokenizer, self.seen, self.held = Tokenizer.from_file(path), {}, 0
         self.end = self.tokenizer.token_to_id(SPECIAL)
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        texts = [SPECIAL.join(w.decode() for w in words[i : i + 500]) for i in range(0, len(words), 500)]
+    def _keep(self, words: list[str], ids: list[bytes]) -> None:
+        self.seen.update(zip(words, ids))
+        # Some 170 bytes are the two objects' own and their place in the table.
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + 170 * len(words)
+
+    def _learn(self, words: list[str]) -> None:
+        odd = [w for w in words if "<|" in w]
+        plain = [w for w in words if "<|" not in w] if odd else words
+        texts = [SPECIAL.join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
         found: list[bytes] = []
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             ids = np.array(e.ids, "<u4")
             at = (4 * np.flatnonzero(ids == self.end)).tolist()
             raw = ids.tobytes()
             found += [raw[a:b] for a, b in zip([0] + [i + 4 for i in at], at + [len(raw)])]
-        return found
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        raws = [(t or "").encode() for t in texts]
-        words = [(r if b"<|" in r else r.lower()).split() for r in raws]
-        seen = self.seen
-        for w in list(islice(seen, WORDS // 2, None)) if len(seen) > WORDS else ():
-            del seen[w]
-        new = {w for ws in words for w in ws if w not in seen}
-        odd = [w for w in new if b"<|" in w]
-        for w in odd:
-            seen[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        new.difference_update(odd)
-        ended = [w for w in new if w[-1] in b".," and w[-2:-1].isalpha()]
-        new.difference_update(ended)
-        new.update(w[:-1] for w in ended if w[:-1] not in seen)
-        new.update(w[-1:] for w in ended if w[-1:] not in seen)
-        plain = list(new)
-        seen.update(zip(plain, self._encode(plain)))
-        seen.update((w, seen[w[:-1]] + seen[w[-1:]]) for w in ended)
-        return [b"".join(map(seen.__getitem__, ws)) for ws in words]
-
-
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """``(id, piece int, start, length, ids_crc32[, ids])``: each text's ids and the end id, cut every ``capacity``."""
+        self._keep(plain, found)
+        self._keep(odd, [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in odd])
+
+    def _forget(self) -> None:
+        kept = dict(islice(self.seen.items(), len(self.seen) // 2))
+        self.seen, self.held = {}, 0
+        self._keep(list(kept), list(kept.values()))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text's begin and end; nulls have none."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            each = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        cut = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, *STOP))
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.held > KNOWN_BYTES:
+            self._forget()
+        parts = list(map(self.seen.get, words))
+        new = [i for i, x in enumerate(parts) if x is None]
+        self._learn([words[i] for i in new])
+        for i in new:
+            parts[i] = self.seen[words[i]]
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        which = coded.indices.to_numpy()
+        n = size[which]
+        upto = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[which] - (upto - n), n)
+        at += np.arange(len(at))
+        return np.frombuffer(b"".join(parts), "<u4")[at], np.r_[0, upto][np.cumsum(np.r_[0, pc.list_value_length(cut).to_numpy()])]
+
+
+def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``BLOCK`` bytes of text, a longer text by itself."""
+    upto = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, side="right")) - 1)
+        yield at, min(to, len(texts))
+        at = min(to, len(texts))
+
+
+def encoder(path: str) -> WordIds:
+    if path not in _KNOWN:
+        _KNOWN[path] = WordIds(path)
+    return _KNOWN[path]
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, piece int, start, length, ids_crc32)``: each text's ids and the end id, cut every ``capacity``."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordIds(tokenizer)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
         for b in batches:
-            for lo in range(0, len(b), 256):
-                part, rows = b.iloc[lo : lo + 256], []
-                for key, ids in zip(part[id_col], encode(part[text_col].tolist())):
-                    ids += end
-                    for i in range(0, len(ids), 4 * capacity):
-                        cut = ids[i : i + 4 * capacity]
-                        rows.append((key, i // (4 * capacity), i // 4, len(cut) // 4, zlib.crc32(cut), cut))
-                out = pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32", "ids"])
-                yield out if with_ids else out.drop(columns="ids")
-
-    return docs.select(id_col, text_col).mapInPandas(
-        run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    )
+            texts = b.column(1).cast(pa.large_string())
+            for lo, hi in blocks(texts):
+                ids, bounds = encode(texts[lo:hi])
+                raw, rows = memoryview(ids.view(np.uint8)), []
+                for i, (a, z) in enumerate(zip((4 * bounds[:-1]).tolist(), (4 * bounds[1:]).tolist()), lo):
+                    n = (z - a) // 4 + 1
+                    for start in range(0, n, capacity):
+                        to = min(start + capacity, n)
+                        crc = zlib.crc32(raw[a + 4 * start : min(a + 4 * to, z)])
+                        rows.append((i, start // capacity, start, to - start, zlib.crc32(end, crc) if to == n else crc))
+                which, *columns = (np.array(x) for x in zip(*rows))
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(which)), *[pa.array(c, k) for c, k in zip(columns, kinds)]], [id_col, "piece", "start", "length", "ids_crc32"]
+                )
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def rounds(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:

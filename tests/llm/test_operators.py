@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -365,14 +367,44 @@ def test_token_ids_by_word():
 
     texts = ["Hello, world. It's A<|endoftext|>b <|ENDOFTEXT|> ok.", "", None, "ÀÉ a\u0301 x\x85y\u3000z ΣΑΣ, 12 3.4.", "a.. b,. C. don't", "\x00 \x1c"]
     plain = Tokenizer.from_file(WORD_BPE)
-    assert [np.frombuffer(x, "<u4").tolist() for x in packing.WordIds(WORD_BPE)(texts)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    expected = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    encode = packing.WordIds(WORD_BPE)
+    assert encode.by_word
+    for by_word in (True, False):
+        encode.by_word = by_word
+        ids, at = encode(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == expected
+
+
+def test_token_ids_when_words_are_forgotten(monkeypatch):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(17)
+    texts = ["".join(rng.choice("aéB .,\n'3-") for _ in range(400)) for _ in range(60)]
+    monkeypatch.setattr(packing, "KNOWN_BYTES", 2000)
+    encode, plain = packing.WordIds(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    for t in texts:
+        assert encode(pa.array([t], pa.large_string()))[0].tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
+def test_word_wise_tokenizers():
+    with open(WORD_BPE, encoding="utf-8") as f:
+        config = json.load(f)
+    assert packing.word_wise(config)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        assert not packing.word_wise(json.load(f))
+    config["pre_tokenizer"]["pretokenizers"][0]["behavior"] = "Isolated"
+    assert not packing.word_wise(config)
 
 
 def test_packing(spark):
+    from tokenizers import Tokenizer
+
     df = corpus(spark, 9)
     cap = 64
     got = local(packing.packed(clash(df), WORD_BPE, cap))
-    ids = {d["doc_id"]: np.frombuffer(packing.WordIds(WORD_BPE)([d["text"]])[0], "<u4").tolist() + [1] for d in local(df)}
+    plain = Tokenizer.from_file(WORD_BPE)
+    ids = {d["doc_id"]: plain.encode(d["text"] or "", add_special_tokens=False).ids + [1] for d in local(df)}
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for g in got:
         by_doc[g["doc_id"]].append(g)
