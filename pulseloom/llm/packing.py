@@ -1,15 +1,15 @@
 """Best-fit packing of token sequences in bulk-synchronous rounds.
 
-Lengths are whole numbers up to the capacity, so documents (and gaps) sorted by size fall into at most ``capacity``
-size classes, and those of one class are interchangeable: a document is named by its class and its rank there. A
-round works on class counts. Sweeping from large to small, every class finds its successor, the smallest gap that
-holds it; where several classes meet at one gap class, rank decides: the larger documents first, lower ranks within a
-class first, one document a gap and round. Losers wait for the next round. Documents that no gap holds open new
-sequences, no more than their tokens need. Then gaps are updated and the next round begins, until no document waits.
-
-The documents stay distributed: counting by class, ranking (split by a hash, so that a class that holds a third of
-all rows is no hot key) and looking up the place of each rank run on the cluster. Between them only the class counts
-(at most ``capacity`` numbers, whatever the input) and the rounds' decisions (runs of ranks) exist in one place.
+Documents go from long to short in a few bands of length, as best fit wants it. A round takes the waiting documents of a
+band and the gaps that are open: both are range-sorted by size over the cluster, and every partition sweeps its range
+from small to large: a gap takes the nearest document below it, so each document gets its successor among the gaps. What
+a partition can't match goes on to later ones: from the counts of documents and gaps left over in each partition (a few
+numbers a partition, all that reaches the driver) follows which ranks meet, and these are joined. A gap that several of
+the longest waiting documents would fill offers as many equal slots. Documents without a slot wait for the next round;
+where no gap is met at all, new sequences are opened, no more than the waiting tokens need. Then gaps are updated.
+
+Equal lengths are told apart by item number in the range sort, so that a length that a third of all rows have is spread
+like any other. Every round ends in written tables.
 """
 
 from __future__ import annotations
@@ -20,13 +20,13 @@ from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import shuffle_partitions, written
+from .tables import stored, written
 
 #: Bytes of words and ids that a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
 KNOWN_BYTES = 80 << 20
@@ -34,8 +34,8 @@ KNOWN_BYTES = 80 << 20
 BLOCK = 8 << 20
 #: A lone full stop or comma at the end of a word, and what it becomes.
 STOP = (r"([a-zA-Z])([.,])([ \t-\r])", r"\1 \2\3")
-#: Decisions (runs of ranks) that are sent to every task; they are bounded by classes times rounds, not by documents.
-MAX_RUNS = 20_000_000
+#: Lower edges of the bands of length, as shares of the capacity; lengths over a half come first, one a sequence.
+BANDS = (2, 8, 64)
 
 #: What the tokenizer takes for a special token wherever it stands; it separates the words of one call.
 SPECIAL = "<|endoftext|>"
@@ -162,92 +162,131 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def rounds(counts: np.ndarray, capacity: int) -> dict[str, np.ndarray]:
-    """Runs of decisions from ``counts[length]``: documents ``rank .. rank + n - 1`` of class ``length`` go to
-    sequences ``bin ..`` at ``offset``."""
-    left = counts.astype(np.int64).copy()
-    taken = np.zeros(capacity + 1, np.int64)
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-    free = np.zeros(capacity + 1, np.int64)
-    sizes = np.arange(capacity + 1)
-    bins, out = 0, []
-    while left.any():
-        waiting = np.flatnonzero(left)[::-1]
-        # Successor sweep over all classes: the smallest size at or above each that has gaps.
-        there = np.where(free > 0, sizes, capacity + 1)
-        successor = np.minimum.accumulate(there[::-1])[::-1]
-        unfit = waiting[successor[waiting] > capacity]
-        if len(unfit):
-            need = max(int(left[unfit[2 * unfit > capacity]].sum()), -(-int((left[unfit] * unfit).sum()) // capacity))
-            gaps[capacity].append((bins, need))
-            free[capacity] += need
-            bins += need
-            successor[free[capacity] > 0 and successor > capacity] = capacity
-        opened: list[tuple[int, int, int]] = []
-        for length in waiting.tolist():
-            size = int(successor[length])
-            n = min(int(left[length]), int(free[size]))
-            if not n:
-                continue
-            left[length] -= n
-            free[size] -= n
-            while n:
-                lo, has = gaps[size].pop()
-                use = min(has, n)
-                if use < has:
-                    gaps[size].append((lo + use, has - use))
-                out.append((length, int(taken[length]), lo, capacity - size))
-                taken[length] += use
-                n -= use
-                opened.append((size - length, lo, use))
-        for size, lo, n in opened:
-            if size:
-                gaps[size].append((lo, n))
-                free[size] += n
-    names = ("length", "rank", "bin", "offset")
-    return dict(zip(names, np.array(out, np.int64).reshape(-1, 4).T))
+def stack_match(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """From flags in the order of size (False: a document, True: a gap): matched documents and their gaps, where each
+    gap takes the nearest document before it that no gap between them takes; and the gaps and documents left over."""
+    depth = np.cumsum(np.where(gap, -1, 1))
+    lowest = np.minimum(0, np.minimum.accumulate(depth)) if len(gap) else depth
+    alone = gap & (lowest < np.r_[0, lowest[:-1]])
+    level = depth - lowest + gap
+    use = np.flatnonzero(~alone)
+    use = use[np.argsort(level[use], kind="stable")]
+    pair = np.flatnonzero(~gap[use[:-1]] & gap[use[1:]] & (level[use[:-1]] == level[use[1:]]))
+    docs, gaps = use[pair], use[pair + 1]
+    waits = ~gap
+    waits[docs] = False
+    return docs, gaps, np.flatnonzero(alone), np.flatnonzero(waits)
+
+
+SWEPT = "part int, is_gap boolean, id bigint, gap int, item bigint, length int, rank bigint"
+
+
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition of the range sort (a few numbers a row, held whole): its gaps with the item and length they take, or
+    without, and its waiting documents. Rank counts gaps left over from the smallest, documents from the longest."""
+    held = [tuple(b.column(i).to_numpy(zero_copy_only=False) for i in range(4)) for b in batches]
+    if not held:
+        return
+    size, is_gap, ids, gap = (np.concatenate(x) for x in zip(*held))
+    docs, gaps, alone, waits = stack_match(is_gap.astype(bool))
+    waits = waits[::-1]
+    n, none = (len(gaps), len(alone), len(waits)), np.zeros(len(alone) + len(waits), np.int64)
+    item = pa.array(np.r_[ids[docs], none], pa.int64(), mask=np.arange(sum(n)) >= n[0])
+    columns = [
+        pa.array(np.full(sum(n), TaskContext.get().partitionId()), pa.int32()), pa.array(np.arange(sum(n)) < n[0] + n[1]), pa.array(np.r_[ids[gaps], ids[alone], ids[waits]], pa.int64()),
+        pa.array(np.r_[gap[gaps], gap[alone], gap[waits]], pa.int32()), item, pa.array(np.r_[size[docs], none[: n[1]], size[waits]], pa.int32()),
+        pa.array(np.r_[np.full(n[0], -1), np.arange(n[1]), np.arange(n[2])], pa.int64()),
+    ]
+    for at in range(0, sum(n), 1 << 18):
+        yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 18) for c in columns], [x.split()[0] for x in SWEPT.split(", ")])
+
+
+def meetings(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """``(first match number, documents' partition, first rank, gaps' partition, first rank, how many)`` from the
+    partitions' ``(part, documents, gaps)`` left over: gaps take documents of the nearest partition before theirs."""
+    waiting, out, number = [], [], 0
+    for part, docs, gaps in sorted(left):
+        rank = 0
+        while gaps and waiting:
+            of, first, n = waiting.pop()
+            m = min(n, gaps)
+            out.append((number, of, first, part, rank, m))
+            number, rank, gaps = number + m, rank + m, gaps - m
+            if n > m:
+                waiting.append((of, first + m, n - m))
+        if docs:
+            waiting.append((part, 0, docs))
+    return out
 
 
 def pack(items: DataFrame, capacity: int) -> DataFrame:
-    """``items`` (a written table with ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``.
+    """``items`` (with ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
     Rows with equal values are packed each on its own; an empty table stays empty. Lengths outside the range are an
     error. Other columns may have any names but those beginning with two underscores.
     """
-    salts = 4 * shuffle_partitions(items.sparkSession)
-    counted = items.groupBy("length").agg(F.count("*").alias("n")).collect()
-    if any(not r["length"] or not 1 <= r["length"] <= capacity for r in counted):
+    spark = items.sparkSession
+    items = written(items.withColumn("__item", F.monotonically_increasing_id()), "items")
+    docs = items.select(F.col("length").cast("int").alias("length"), F.col("__item").alias("item"))
+    if not docs.where(F.col("length").isNull() | ~F.col("length").between(1, capacity)).isEmpty():
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    counts = np.zeros(capacity + 1, np.int64)
-    for r in counted:
-        counts[r["length"]] = r["n"]
-    plan = rounds(counts, capacity)
-    if len(plan["rank"]) > MAX_RUNS:
-        raise ValueError("more decisions than can be sent to every task")
-    width = np.int64(1) << 45
-    order = np.argsort(plan["length"] * width + plan["rank"])
-    sent = items.sparkSession.sparkContext.broadcast(
-        (plan["length"][order] * width + plan["rank"][order], plan["rank"][order], plan["bin"][order], plan["offset"][order])
-    )
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64(*items.columns), F.lit(salts)).cast("int"))
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = salted.groupBy("length", "__salt").agg(F.count("*").alias("__n")).select(
-        F.col("length").alias("__length"), F.col("__salt").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first")
+    gaps, bins, placed = spark.createDataFrame([], "seq bigint, gap int"), 0, []
+    high = capacity + 1
+    for low in [*dict.fromkeys(max(1, capacity // b + (b == 2)) for b in BANDS), 1]:
+        waiting, high = docs.where((F.col("length") >= low) & (F.col("length") < high)), low
+        n, top, total = waiting.agg(F.count("*"), F.max("length"), F.sum("length")).first()
+        while n:
+            n_gaps = gaps.where(F.col("gap") >= low).count()
+            found = _round(waiting, gaps, low, n, n_gaps, top) if n_gaps else None
+            if found is None:
+                need = n if 2 * low > capacity else -(-total // capacity)
+                more = spark.range(bins, bins + need).select(F.col("id").alias("seq"), F.lit(capacity).alias("gap"))
+                gaps, bins = written(gaps.union(more), "gaps"), bins + need
+                continue
+            waiting, gaps = found[:2]
+            placed += found[2]
+            n, top, total = waiting.agg(F.count("*"), F.max("length"), F.sum("length")).first()
+    if not placed:
+        return items.drop("__item").withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")})
+    taken = spark.read.schema(SWEPT).parquet(*placed).where("item IS NOT NULL")
+    before = Window.partitionBy("id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
+    places = taken.select(F.col("item").alias("__item"), F.col("id").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+    return items.join(places, "__item").drop("__item")
+
+
+def _round(waiting: DataFrame, gaps: DataFrame, low: int, n: int, n_gaps: int, top: int) -> tuple[DataFrame, DataFrame, list[str]] | None:
+    """The documents that still wait, the gaps as they are now, and paths of ``SWEPT`` tables of what was placed; None
+    where nothing could be."""
+    spark = waiting.sparkSession
+    # Never many more slots than documents.
+    count = F.greatest(F.least(F.floor(F.col("gap") / top), F.lit(1 + n // n_gaps)), F.lit(1)).cast("int")
+    slots = gaps.where(F.col("gap") >= low).withColumn("k", count).select(
+        F.floor(F.col("gap") / F.col("k")).cast("int").alias("size"), F.lit(True).alias("is_gap"), F.col("seq").alias("id"), "gap", F.explode(F.sequence(F.lit(1), "k"))
     )
-    within = F.row_number().over(Window.partitionBy("length", "__salt").orderBy(*items.columns)) - 1
-    ranked = salted.withColumn("__at", within).join(
-        first, (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__of"))
-    ).select(*items.columns, (F.col("__at") + F.col("__first")).alias("__rank"))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, ranks, bins, offsets = sent.value
-        for b in batches:
-            rank = b.pop("__rank").to_numpy()
-            i = np.searchsorted(keys, b["length"].to_numpy() * width + rank, side="right") - 1
-            yield b.assign(sequence_id=bins[i] + rank - ranks[i], offset=offsets[i])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields)
-    return ranked.mapInPandas(place, f"{kinds}, sequence_id bigint, offset bigint")
+    both = waiting.select(F.col("length").alias("size"), F.lit(False).alias("is_gap"), F.col("item").alias("id"), F.lit(0).alias("gap")).union(slots.drop("col"))
+    order = ["size", "is_gap", "id"]
+    path = stored(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(sweep, SWEPT), "sweep")
+    swept = spark.read.schema(SWEPT).parquet(path)
+    left = swept.groupBy("part").agg(
+        F.count_if(~F.col("is_gap")), F.count_if(F.col("is_gap") & F.col("item").isNull()), F.count_if(F.col("item").isNotNull())
+    ).collect()
+    met = meetings([tuple(r)[:3] for r in left])
+    if not met and not any(r[3] for r in left):
+        return None
+    still, places = swept.where("NOT is_gap"), [path]
+    rows = swept.where("is_gap").select("id", "gap", "length")
+    if met:
+        # At most two rows for each partition.
+        known = F.broadcast(spark.createDataFrame(met, "m bigint, part_d int, rank_d bigint, part_g int, rank_g bigint, n bigint"))
+        reach = lambda x: (F.col("part") == F.col(f"part_{x}")) & (F.col("rank") >= F.col(f"rank_{x}")) & (F.col("rank") < F.col(f"rank_{x}") + F.col("n"))
+        number = lambda x: (F.col("m") + F.col("rank") - F.col(f"rank_{x}")).alias("number")
+        a = still.join(known, reach("d")).select(number("d"), F.col("id").alias("item"), "length")
+        b = swept.where("is_gap AND item IS NULL").join(known, reach("g")).select(number("g"), "part", "is_gap", "id", "gap", "rank")
+        places.append(stored(a.join(b, "number").select([x.split()[0] for x in SWEPT.split(", ")]), "sweep-on"))
+        still = still.join(known, reach("d"), "left_anti")
+        rows = rows.union(spark.read.schema(SWEPT).parquet(places[1]).select("id", "gap", "length"))
+    now = rows.groupBy(F.col("id").alias("seq")).agg((F.max("gap") - F.sum("length")).cast("int").alias("gap")).where("gap > 0")
+    return still.select("length", F.col("id").alias("item")), written(now.union(gaps.where(F.col("gap") < low)), "gaps"), places
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -256,4 +295,4 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     Null text is an empty one: a single end id. Only documents longer than ``capacity`` are cut. Rows with equal or
     null ids are packed each on its own. Other columns are ignored.
     """
-    return pack(written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces"), capacity)
+    return pack(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), capacity)

@@ -14,17 +14,18 @@ SPACES = " \t\n\r\x0b\x0c"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests), a local one."""
+    """The folder that the cluster (or a test) names in ``spark.checkpoint.dir``. A local session without one gets a
+    temporary folder; on a cluster that would scatter tables over its machines, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "pulseloom-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again: lineage ends there, so a lost executor
-    costs at most the tasks that were running, and nothing above recomputes it."""
+def stored(df: DataFrame, name: str) -> str:
+    """The path of ``df`` written as a Parquet table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     # What the write shuffled is not needed once the table is there.
@@ -35,7 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(clean) if before is None else spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a Parquet table in the shared folder and read again: lineage ends there, so a lost executor
+    costs at most the tasks that were running, and nothing above recomputes it."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -427,14 +427,53 @@ def test_packing(spark):
     assert packing.packed(empty(spark, df), WORD_BPE).count() == 0
 
 
-def test_rounds_of_equal_and_large_lengths():
-    for counts in ({7: 1000}, {10: 5, 6: 4, 4: 9, 1: 1}, {5: 3, 6: 2}, {}):
-        c = np.zeros(11, np.int64)
-        for k, n in counts.items():
-            c[k] = n
-        plan = packing.rounds(c, 10)
-        bins = int(plan["bin"].max()) + 1 if len(plan["bin"]) else 0
-        assert bins <= {7: 1000, 10: 12, 5: 4}.get(next(iter(counts), None), 0)
+@pytest.mark.parametrize("counts, most", [({7: 1000}, 1000), ({10: 5, 6: 4, 4: 9, 1: 1}, 12), ({5: 3, 6: 2}, 4), ({10: 3}, 3)])
+def test_packing_of_equal_and_large_lengths(spark, counts, most):
+    rows = [(k, "x") for k, n in counts.items() for _ in range(n)]
+    got = local(packing.pack(spark.createDataFrame(rows, "length int, item string"), 10))
+    assert sorted((g["length"], g["item"]) for g in got) == sorted(rows)
+    by = collections.defaultdict(list)
+    for g in got:
+        by[g["sequence_id"]].append((g["offset"], g["length"]))
+    assert len(by) <= most
+    for parts in by.values():
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:i]) for i, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= 10
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(11, "x")], "length int, item string"), 10)
+
+
+def test_packing_of_many_lengths_over_partitions(spark):
+    """Partitions of a few rows, so that most matches cross them; nearly as few sequences as tokens need."""
+    rng = random.Random(18)
+    lengths = [min(100, 1 + int(rng.expovariate(0.06))) for _ in range(3000)]
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = local(packing.pack(spark.createDataFrame([(n,) for n in lengths], "length int"), 100))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sorted(g["length"] for g in got) == sorted(lengths)
+    total = collections.Counter()
+    for g in got:
+        total[g["sequence_id"]] += g["length"]
+    assert max(total.values()) <= 100 and len(total) <= 1.01 * sum(lengths) / 100 + 1
+
+
+def test_sweeps_match_as_a_stack():
+    rng = random.Random(19)
+    for _ in range(50):
+        flags = [rng.random() < 0.5 for _ in range(rng.randrange(30))]
+        stack, pairs, alone = [], set(), []
+        for i, gap in enumerate(flags):
+            if not gap:
+                stack.append(i)
+            elif stack:
+                pairs.add((stack.pop(), i))
+            else:
+                alone.append(i)
+        docs, gaps, left, waits = packing.stack_match(np.array(flags, bool))
+        assert set(zip(docs.tolist(), gaps.tolist())) == pairs and left.tolist() == alone and waits.tolist() == stack
 
 
 def test_pieces(spark):
