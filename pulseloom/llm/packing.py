@@ -234,10 +234,10 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     high = capacity + 1
     for low in [*dict.fromkeys(max(1, capacity // b + (b == 2)) for b in BANDS), 1]:
         waiting, high = docs.where((F.col("length") >= low) & (F.col("length") < high)), low
-        n, top, total = waiting.agg(F.count("*"), F.max("length"), F.sum("length")).first()
+        n, least, top, total = _sizes(waiting)
         while n:
-            n_gaps = gaps.where(F.col("gap") >= low).count()
-            found = _round(waiting, gaps, low, n, n_gaps, top) if n_gaps else None
+            n_gaps = gaps.where(F.col("gap") >= least).count()
+            found = _round(waiting, gaps, least, top, 1 + 4 * n // n_gaps) if n_gaps else None
             if found is None:
                 need = n if 2 * low > capacity else -(-total // capacity)
                 more = spark.range(bins, bins + need).select(F.col("id").alias("seq"), F.lit(capacity).alias("gap"))
@@ -245,7 +245,7 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
                 continue
             waiting, gaps = found[:2]
             placed += found[2]
-            n, top, total = waiting.agg(F.count("*"), F.max("length"), F.sum("length")).first()
+            n, least, top, total = _sizes(waiting)
     if not placed:
         return items.drop("__item").withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")})
     taken = spark.read.schema(SWEPT).parquet(*placed).where("item IS NOT NULL")
@@ -254,12 +254,16 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     return items.join(places, "__item").drop("__item")
 
 
-def _round(waiting: DataFrame, gaps: DataFrame, low: int, n: int, n_gaps: int, top: int) -> tuple[DataFrame, DataFrame, list[str]] | None:
+def _sizes(waiting: DataFrame) -> tuple:
+    return tuple(waiting.agg(F.count("*"), F.min("length"), F.max("length"), F.sum("length")).first())
+
+
+def _round(waiting: DataFrame, gaps: DataFrame, low: int, top: int, most: int) -> tuple[DataFrame, DataFrame, list[str]] | None:
     """The documents that still wait, the gaps as they are now, and paths of ``SWEPT`` tables of what was placed; None
-    where nothing could be."""
+    where nothing could be. Lengths are from ``low`` to ``top``; a gap offers ``most`` slots, so that there are never
+    many more slots than documents."""
     spark = waiting.sparkSession
-    # Never many more slots than documents.
-    count = F.greatest(F.least(F.floor(F.col("gap") / top), F.lit(1 + n // n_gaps)), F.lit(1)).cast("int")
+    count = F.greatest(F.least(F.floor(F.col("gap") / top), F.lit(most)), F.lit(1)).cast("int")
     slots = gaps.where(F.col("gap") >= low).withColumn("k", count).select(
         F.floor(F.col("gap") / F.col("k")).cast("int").alias("size"), F.lit(True).alias("is_gap"), F.col("seq").alias("id"), "gap", F.explode(F.sequence(F.lit(1), "k"))
     )
