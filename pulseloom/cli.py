@@ -1,22 +1,41 @@
-"""Command line over recorded sessions: train, eval, replay (O-API-2, 4, 8). Live commands take a device file."""
+"""Command line over recorded sessions and device lines (O-API-*): train, study, eval, record, prompt-record, monitor,
+switch and replay. Errors that a user can mend end with exit code 2."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
+import tempfile
+import time
+from collections.abc import Sequence
+from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import decide, dsp, evaluate, frames, islands, training
+from .functions import models
+from .operators import decide, dsp, evaluate, frames, islands, protocol, record, score, training
 from .sources import profiles, serial, sessions
 from .streaming import detector
 
+MODELS = ("threshold", "logreg", *models.SEQUENCE)
+PROFILE = "models/binary_profile.json"
+
+
+class Refused(Exception):
+    """What the user asked for can't be done."""
+
+
+def items(text: str, kind=str) -> list:
+    return [kind(x.strip()) for x in text.split(",") if x.strip()]
+
 
 def parse_configs(text: str) -> list[tuple[str, str]]:
     """``model:features`` pairs; a missing colon is an error (O-PRJ-18)."""
     out = []
-    for item in (x.strip() for x in text.split(",") if x.strip()):
+    for item in items(text):
         model, colon, features = item.partition(":")
         if not colon:
             raise ValueError(f"expected model:features, got {item!r}")
@@ -24,84 +43,343 @@ def parse_configs(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def feature_frames(samples: DataFrame) -> DataFrame:
-    rows = dsp.snapshots(samples).drop("raw").withColumnRenamed("filtered", "raw")
-    made = frames.frames(rows, "raw", slope="slope_burst", lf="lf_energy")
-    return made.select("session", F.row_number().over(Window.partitionBy("session").orderBy("segment", "frame")).cast("bigint").alias("ord_frame"), F.col("end_ms").alias("t_ms"), *training.FEATURES)
+def feature_frames(samples: DataFrame, window_ms: int = frames.WINDOW_MS, hop_ms: int = frames.HOP_MS) -> DataFrame:
+    """Frames of the filtered samples, numbered within their sessions."""
+    rows = dsp.snapshots(samples, hop_ms=hop_ms).drop("raw", "segment").withColumnRenamed("filtered", "raw")
+    made = frames.frames(rows, "raw", window_ms, hop_ms, slope="slope_burst", lf="lf_energy")
+    number = F.row_number().over(Window.partitionBy("session").orderBy("segment", "frame")).cast("bigint")
+    return made.withColumns({"ord_frame": number, "t_ms": F.col("end_ms")})
+
+
+def recorded_examples(spark: SparkSession, root: str, features: Sequence[str], margin_ms: int) -> DataFrame:
+    """Labelled frames of the folders that have feature rows and at least one interval (O-ML-1)."""
+    names = sessions.session_names(spark, root, first="features.csv", check=False)
+    if not names:
+        raise Refused(f"no interval-labelled sessions under {root}")
+    rows = sessions.read_features(spark, root, tuple(features)).where(F.col("session").isin(names))
+    clicks = islands.label_intervals(sessions.label_intervals_of(sessions.read_labels(spark, root)))
+    rows = rows.join(clicks.select("session").distinct(), "session", "left_semi")
+    return training.label_frames(rows, clicks, margin_ms)
+
+
+def split(examples: DataFrame, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Training and validation examples by session; with one session by a shuffle of its examples (O-ML-2)."""
+    names = [r["session"] for r in examples.select("session").distinct().collect()]
+    if len(names) >= 2:
+        _, held = training.split_sessions(names, share, seed)
+        return examples.where(~F.col("session").isin(held)), examples.where(F.col("session").isin(held))
+    return training.split_examples(examples, share, seed)
+
+
+def fit(model: str, train: DataFrame, features: Sequence[str], epochs: int, rate: float, seed: int) -> profiles.Profile:
+    n = train.count()
+    if not n:
+        raise Refused("no training examples")
+    about = {"trained_at_utc": datetime.now(timezone.utc).isoformat(), "train_examples": n}
+    if model == "threshold":
+        best = training.threshold_search(train, features[0]).first()
+        return profiles.Profile("threshold", [features[0]], model={"feature": features[0], "threshold": best.threshold, "softness": best.softness}, metadata=about)
+    if model == "logreg":
+        m = training.fit_logreg(train, features, epochs, rate, seed=seed)
+        norm = {"center": m["center"], "scale": m["scale"], "floor": {f: 1e-6 for f in features}}
+        return profiles.Profile("logreg", list(features), norm, {"weights": m["weights"], "bias": m["bias"]}, metadata=about | {"epochs": epochs, "learning_rate": rate})
+    models.require_torch()
+    raise RuntimeError(f"training of {model} is not built here")
+
+
+def metrics(profile: profiles.Profile, held: DataFrame) -> dict[str, float]:
+    """Counts and rates on held-out examples; a threshold model decides at its threshold (O-ML-5)."""
+    found = {}
+    if not held.isEmpty():
+        feature = profile.model.get("feature")
+        scored = held.withColumn("p", (F.col(feature) >= profile.model["threshold"]).cast("double")) if feature else score.score_frames(held, profile)
+        found = {k: float(v) for k, v in training.confusion(scored).first().asDict().items()}
+    return found | ({"threshold": float(profile.model["threshold"])} if profile.model_type == "threshold" else {})
+
+
+def train(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
+    features = training.features_of(args.features)
+    rows = recorded_examples(spark, args.sessions, features, args.ignore_margin_ms).persist()
+    if rows.isEmpty():
+        raise Refused("no interval-labelled examples")
+    part, held = split(rows, args.val_fraction, args.seed)
+    out, found = Path(args.out), []
+    for name in MODELS if args.model == "all" else [args.model]:
+        try:
+            profile = fit(name, part, features, args.epochs, args.learning_rate, args.seed)
+        except RuntimeError as e:
+            if args.allow_skip_optional and name in models.SEQUENCE:
+                print(f"skipped {name}: {e}", file=sys.stderr)
+                continue
+            raise
+        path = out / f"{name}.json" if args.model == "all" else out
+        measured = metrics(profile, held)
+        profiles.save(profile, str(path), measured, None if args.model == "all" else args.metrics_out)
+        found.append({"model": name, "profile": str(path), "train_examples": profile.metadata["train_examples"], "val_examples": held.count(), **measured})
+        print(json.dumps(found[-1], sort_keys=True), flush=True)
+    if args.model == "all":
+        (out / "summary.json").write_text(json.dumps(found, indent=2))
+        if found:
+            # The first of equals wins (O-SNK-7).
+            profiles.save(profiles.load(max(found, key=lambda r: r.get("f1", 0.0))["profile"]), str(out / "best.json"))
+    return found
+
+
+def study(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
+    """Every model, feature set, share of the training examples and setting (O-JOIN-8, O-API-3)."""
+    found = []
+    for spec in items(args.features):
+        features = training.features_of(spec)
+        rows = recorded_examples(spark, args.sessions, features, args.ignore_margin_ms).persist()
+        base, held = split(rows, 0.25, args.seed)
+        for fraction in items(args.fractions, float):
+            part = training.prefix(base, fraction, ["t_ms"])
+            for name in items(args.models):
+                for epochs in [1] if name == "threshold" else items(args.epochs, int):
+                    for hidden in [0] if name in ("threshold", "logreg") else items(args.hidden, int):
+                        row = {"model": name, "features": spec, "fraction": fraction, "epochs": epochs, "hidden": hidden, "train_examples": part.count(), "val_examples": held.count()}
+                        try:
+                            row |= metrics(fit(name, part, features, epochs, 0.05, args.seed), held)
+                        except RuntimeError as e:
+                            if name not in models.SEQUENCE:
+                                raise
+                            row["skipped"] = str(e)
+                        found.append(row)
+                        print(row, flush=True)
+    Path(args.out).parent.mkdir(parents=True, exist_ok=True)
+    Path(args.out).write_text(sessions.report(found))
+    return found
+
+
+def loso(spark: SparkSession, args: argparse.Namespace, model: str, spec: str, grid: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scores of every session under the model of the others, and the latencies of its hits (O-EVL-1..6)."""
+    features, exclude = training.features_of(spec), tuple(items(args.exclude))
+    if model not in ("threshold", "logreg"):
+        raise ValueError(f"no folds for {model!r}")
+    names = sessions.session_names(spark, args.sessions, args.include_glob, exclude)
+    rows = recorded_examples(spark, args.sessions, features, args.ignore_margin_ms).where(F.col("session").isin(names)).persist()
+    if rows.select("session").distinct().count() < 2:
+        raise ValueError("leaving one session out needs at least 2 labelled sessions")
+    folds = spark.createDataFrame([(n,) for n in names], "session string")
+    samples = sessions.read_raw(spark, args.sessions, args.include_glob, exclude)
+    made, ends = feature_frames(samples).persist(), decide.session_ends(samples)
+    if model == "threshold":
+        events = evaluate.replay(made, evaluate.loso_models(rows, folds, features[0]), features[0], ends, grid)
+    else:
+        fitted = evaluate.loso_logreg(rows, folds, features, args.epochs, seed=args.seed)
+        events = evaluate.replay_scored(evaluate.score_folds(made, fitted, features), ends, grid)
+    records = sessions.read_labels(spark, args.sessions, args.include_glob)
+    wanted = folds if grid is None else folds.crossJoin(F.broadcast(grid.select("config")))
+    return evaluate.session_scores(
+        wanted, events, islands.label_intervals(sessions.label_intervals_of(records)), islands.phase_windows(sessions.markers_of(records)), args.pre_tol_ms, args.post_tol_ms
+    )
+
+
+COLUMNS = (
+    ("config", 16, "{}", "config"), ("detect", 8, "{:.0%}", "detection_rate"), ("miss", 6, "{}", "missed"), ("fp_rest/min", 12, "{:.2f}", "false_rest_per_min"), ("fp_artifact/min", 16, "{:.2f}", "false_artifact_per_min"),
+    ("down_lat_ms", 12, "{:.0f}", "down_latency_median"), ("up_lat_ms", 10, "{:.0f}", "up_latency_median"), ("dur_err_ms", 11, "{:.0f}", "duration_error_median"),
+)
+
+
+def table(rows: list[dict], columns: Sequence[tuple] = COLUMNS) -> str:
+    """Rows under headings, each column at its width (O-SNK-8)."""
+    head = "".join(name.ljust(width) for name, width, _, _ in columns)
+    return "\n".join([head, "-" * len(head)] + ["".join(form.format(r[key]).ljust(width) for _, width, form, key in columns) for r in rows])
+
 
+SWEEP_COLUMNS = (
+    ("enter", 7, "{:.2f}", "enter"), ("exit", 6, "{:.2f}", "exit"), ("dwell", 7, "{}", "enter_dwell"), ("min_ev", 8, "{}", "min_event_ms"), ("detect", 8, "{:.0%}", "detection_rate"), ("rest/min", 10, "{:.2f}", "false_rest_per_min"),
+    ("art/min", 9, "{:.2f}", "false_artifact_per_min"), ("down_ms", 9, "{:.0f}", "down_latency_median"), ("cancel", 7, "{}", "cancelled"),
+)
 
-def load(spark: SparkSession, root: str, glob: str, exclude: tuple[str, ...], margin_ms: int) -> tuple[DataFrame, ...]:
-    samples = sessions.read_raw(spark, root, glob, exclude)
-    records = sessions.read_labels(spark, root, glob)
-    clicks = islands.label_intervals(sessions.label_intervals_of(records))
-    made = feature_frames(samples).persist()
-    return made, training.label_frames(made, clicks, margin_ms), clicks, islands.phase_windows(sessions.markers_of(records))
 
+def evaluation(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
+    if args.sweep:
+        grid = evaluate.decision_grid(spark)
+        scores, hits = loso(spark, args, *parse_configs(args.sweep)[0], grid)
+        ranked = evaluate.rank_sweep(evaluate.aggregate_scores(scores, hits, ("config",))).join(F.broadcast(grid), "config").orderBy("rank")
+        rows = [r.asDict() for r in ranked.collect()]
+        print(table(rows[: args.sweep_top], SWEEP_COLUMNS))
+        names = {"enter": "enter_threshold", "exit": "exit_threshold", "enter_dwell": "enter_dwell_frames", "release_dwell": "release_dwell_frames"}
+        print(json.dumps({names.get(c, c): rows[0][c] for c in decide.GATE_COLUMNS}, indent=2))
+        return rows
+    rows, each = [], []
+    for model, spec in parse_configs(args.configs):
+        try:
+            scores, hits = loso(spark, args, model, spec)
+        except (ValueError, Refused) as e:
+            print(f"{model}:{spec} skipped: {e}", file=sys.stderr)
+            continue
+        rows.append({"config": f"{model}:{spec}", "model": model, "features": spec, **evaluate.aggregate_scores(scores, hits).first().asDict()})
+        if args.per_session:
+            wanted = ("session", "clicks", "detected", "missed", "false_rest", "false_artifact", "false_other")
+            each += [{"model": model, "features": spec, **r.asDict()} for r in scores.select(*wanted).orderBy("session").collect()]
+    if not rows:
+        raise Refused("no results; at least 2 labelled sessions are needed")
+    print(table(rows))
+    for r in each:
+        print(json.dumps(r, sort_keys=True))
+    if args.report:
+        Path(args.report).parent.mkdir(parents=True, exist_ok=True)
+        Path(args.report).write_text(sessions.report(rows))
+    return rows
 
-def main(argv: list[str] | None = None) -> None:
+
+def recorded(spark: SparkSession, args: argparse.Namespace) -> str:
+    """A session's folder from a file of device lines and, beside it, what was pressed (O-API-5/6): by keys that toggle or
+    hold intervals, or by the prompts of a protocol."""
+    where = args.out or f"{args.sessions_root}/{sessions.default_name()}"
+    name = where.rstrip("/").split("/")[-1]
+    lines = serial.file_lines(spark, args.port, name)
+    if args.duration_sec is not None:
+        first = lines.agg(F.min("host_time_s")).first()[0] or 0.0
+        lines = lines.where(F.col("host_time_s") < first + args.duration_sec)
+    lines = lines.persist()
+    parsed = frames.parsed_lines(lines).join(lines.select("arrival_seq", "host_time_s", "line"), "arrival_seq")
+    ends = decide.session_ends(parsed)
+    prompted = args.command == "prompt-record"
+    if prompted:
+        script = protocol.build(args.settle, args.rest, args.trials, args.press, args.gap, args.final_rest, args.artifact)
+        marks = record.prompt_labels(parsed, spark.createDataFrame(script, protocol.SCHEMA), ends)
+    else:
+        keys = spark.read.schema("seq bigint, after_seq bigint, action string").json(args.keys) if args.keys else spark.createDataFrame([], "seq bigint, after_seq bigint, action string")
+        controls = keys.withColumn("session", F.lit(name))
+        marks = (record.hold_labels if args.hold else record.toggle_labels)(parsed, controls, ends, args.label)
+    made = frames.frames(dsp.snapshots(parsed).drop("raw", "segment").withColumnRenamed("filtered", "raw"), "raw", slope="slope_burst", lf="lf_energy")
+    counts = record.session_counts(lines, parsed, made, marks)
+    start = counts.select("session", F.lit(0).cast("bigint").alias("line"), F.lit("session_start").alias("type"))
+    end = counts.select("session", F.lit(1 << 62).alias("line"), F.lit("session_end").alias("type"), F.col("final_t_ms").alias("t_ms"), "samples", "frames", "labels", "parse_errors")
+    labels = marks.unionByName(start, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
+    host = F.lit(lines.agg(F.max("host_time_s")).first()[0] or 0.0)
+    about = sessions.meta(args.port, args.baud, "prompted" if prompted else "hold" if args.hold else "toggle", args.label, f"pulseloom-{args.command}", notes=args.notes)
+    sessions.write_session(where, parsed.withColumn("host_time_s", F.format_string("%.6f", "host_time_s")), record.feature_rows(made, host), labels, about)
+    return where
+
+
+def monitor(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """The monitor's rows of a file of device lines (O-API-7, O-SNK-9): the last ``window_sec`` on the console, all of them
+    as CSV where a log is wanted."""
+    parsed = frames.parsed_lines(serial.file_lines(spark, args.port, "live"))
+    snap = dsp.snapshots(parsed)
+    made = frames.frames(snap.drop("raw", "segment").withColumnRenamed("filtered", "raw"), "raw", slope="slope_burst", lf="lf_energy")
+    rows = record.monitor_rows(snap, made, frames.WINDOW_MS, frames.HOP_MS)
+    if args.log_file:
+        rows.orderBy("arrival_seq", "frame").write.option("header", True).csv(args.log_file)
+    last = rows.agg(F.max("t_ms")).first()[0] or 0
+    rows.where(F.col("t_ms") >= last - 1000 * args.window_sec).orderBy("arrival_seq", "frame").show(40, truncate=False)
+    return rows
+
+
+def switch(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Lines of a device to JSON events on standard output, until stopped (O-API-1, O-STR-1). What the stream has met is
+    printed to standard error with ``--status`` (O-STR-8)."""
+    port = serial.find_port(args.port)
+    profile = load_profile(args.profile)
+    lock = serial.PortLock(args.lock_dir or tempfile.gettempdir(), port)
+    lock.acquire()
+    try:
+        spark.dataSource.register(serial.LineSource)
+        lines = spark.readStream.format("device_lines").option("path", port).load()
+        events = decide.switch_events(live_events(lines, profile))
+
+        def show(batch: DataFrame, number: int) -> None:
+            for r in decide.event_json(batch.withColumn("host_time_s", F.lit(time.time())), "host_time_s").orderBy("session", "ord").toLocalIterator():
+                print(r["json"], flush=True)
+
+        query = events.writeStream.foreachBatch(show).option("checkpointLocation", args.checkpoint or tempfile.mkdtemp(prefix="pulseloom-")).start()
+        try:
+            while query.isActive:
+                query.awaitTermination(1)
+                if args.status and query.lastProgress:
+                    print(json.dumps(query.lastProgress["observedMetrics"], default=str), file=sys.stderr, flush=True)
+        except KeyboardInterrupt:
+            query.stop()
+    finally:
+        lock.release()
+
+
+def live_events(lines: DataFrame, profile: profiles.Profile) -> DataFrame:
+    """Edge events of a stream of lines under any profile; counts of lines and of those that don't parse are observed."""
+    bad = F.count_if(frames.parse_line(F.col("line")).isNull())
+    seen = lines.observe("lines", F.count("*").alias("lines"), bad.alias("parse_errors"))
+    config = profile.feature_config
+    return detector.detect(frames.parsed_lines(seen), score.FrameModel(profile), profile.gate(), int(config.get("window_ms", 120)), int(config.get("hop_ms", 30)))
+
+
+def load_profile(path: str) -> profiles.Profile:
+    try:
+        return profiles.load(path)
+    except FileNotFoundError:
+        raise Refused(f"no trained profile at {path}; train one first") from None
+
+
+def replayed(samples: DataFrame, profile: profiles.Profile) -> DataFrame:
+    """Switch events, and the running count of clicks, of recorded samples (O-API-8, O-DEC-10); open presses end with the
+    recording."""
+    config = profile.feature_config
+    scored = score.score_frames(feature_frames(samples, int(config.get("window_ms", 120)), int(config.get("hop_ms", 30))), profile)
+    return decide.click_counts(decide.switch_events(decide.edge_events(scored.select("session", "ord_frame", "t_ms", "p"), profile.gate(), decide.session_ends(samples))))
+
+
+def replay(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
+    root, _, name = args.replay.rstrip("/").rpartition("/")
+    found = [r.asDict() for r in replayed(sessions.read_raw(spark, root or ".", name), load_profile(args.profile)).orderBy("session", "ord").collect()]
+    began = None
+    for r in found:
+        if args.replay_speed > 0:
+            began = time.monotonic() - r["t_ms"] / 1000 / args.replay_speed if began is None else began
+            time.sleep(max(0.0, began + r["t_ms"] / 1000 / args.replay_speed - time.monotonic()))
+        print(json.dumps({k: v for k, v in r.items() if v is not None}), flush=True)
+    return found
+
+
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="pulseloom")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("train", "eval"):
+
+    def command(name: str, *options: tuple) -> None:
         c = sub.add_parser(name)
-        c.add_argument("--sessions", required=True)
-        c.add_argument("--include-glob", default="*")
-        c.add_argument("--exclude", default="")
-        c.add_argument("--ignore-margin", type=int, default=80)
-        c.add_argument("--out")
-    c = sub.choices["train"]
-    c.add_argument("--model", choices=("threshold", "logreg"), default="logreg")
-    c.add_argument("--features", default="wl")
-    c.add_argument("--epochs", type=int, default=100)
-    c.add_argument("--seed", type=int, default=7)
-    c = sub.choices["eval"]
-    c.add_argument("--sweep", action="store_true")
-    c.add_argument("--sweep-top", type=int, default=8)
-    c.add_argument("--pre-tol", type=int, default=400)
-    c.add_argument("--post-tol", type=int, default=600)
-    c = sub.add_parser("switch")
-    c.add_argument("--port", required=True)
-    c.add_argument("--profile", default="models/binary_profile.json")
-    c.add_argument("--checkpoint", required=True)
-    args = p.parse_args(argv)
+        for flag, default, *more in options:
+            if default is False:
+                c.add_argument(flag, action="store_true")
+            else:
+                kind = {"type": type(default)} if default is not None and not isinstance(default, str) else {}
+                c.add_argument(flag, default=default, **kind, **(more[0] if more else {}))
+
+    shared = (("--seed", 7), ("--ignore-margin-ms", 80))
+    port = (("--port", None), ("--baud", serial.BAUD))
+    command(
+        "train", ("--sessions", "sessions"), ("--model", "logreg", {"choices": (*MODELS, "all")}), ("--features", "wl"), ("--out", PROFILE), ("--metrics-out", None), ("--epochs", 100),
+        ("--learning-rate", 0.05), ("--hidden", 16), ("--seq-len", 16), ("--val-fraction", 0.25), ("--allow-skip-optional", False), *shared,
+    )
+    command(
+        "study", ("--sessions", "sessions"), ("--models", ",".join(MODELS)), ("--features", "wl,core,all"), ("--fractions", "0.25,0.5,1.0"), ("--epochs", "20,100"), ("--hidden", "8,16"),
+        ("--seq-len", 16), ("--out", "studies/binary_scaling.csv"), *shared,
+    )
+    command(
+        "eval", ("--sessions", "sessions"), ("--configs", "threshold:wl,logreg:wl,logreg:all"), ("--epochs", 200), ("--pre-tol-ms", 400), ("--post-tol-ms", 600), ("--include-glob", "*"), ("--exclude", ""),
+        ("--sweep", None), ("--sweep-top", 8), ("--report", None), ("--per-session", False), *shared,
+    )
+    keep = (*port, ("--out", None), ("--sessions-root", "sessions"), ("--label", "CLICK"), ("--duration-sec", None, {"type": float}), ("--notes", ""), ("--status", False))
+    command("record", *keep, ("--keys", None), ("--hold", False), ("--label-key", "c"), ("--quit-key", "q"))
+    command("prompt-record", *keep, ("--settle", 5.0), ("--rest", 20.0), ("--trials", 20), ("--press", 1.0), ("--gap", 3.0), ("--final-rest", 10.0), ("--artifact", 0.0))
+    command("monitor", *port, ("--window-sec", 10.0), ("--log-file", None))
+    command("switch", *port, ("--profile", PROFILE), ("--checkpoint", None), ("--lock-dir", None), ("--status", False))
+    command("replay", ("--replay", None, {"required": True}), ("--profile", PROFILE), ("--replay-speed", 1.0))
+    return p
+
+
+COMMANDS = {"train": train, "study": study, "eval": evaluation, "record": recorded, "prompt-record": recorded, "monitor": monitor, "switch": switch, "replay": replay}
+
+
+def main(argv: list[str] | None = None):
+    args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"pulseloom {args.command}").getOrCreate()
-    if args.command == "switch":
-        return switch(spark, args.port, args.profile, args.checkpoint)
-    exclude = tuple(x for x in args.exclude.split(",") if x)
-    made, examples, clicks, phases = load(spark, args.sessions, args.include_glob, exclude, args.ignore_margin)
-    if args.command == "train":
-        names = list(training.features_of(args.features))
-        if args.model == "threshold":
-            best = training.threshold_search(examples, names[0]).first()
-            profile = profiles.Profile("threshold", names[:1], model={"feature": names[0], "threshold": best.threshold, "softness": best.softness})
-        else:
-            m = training.fit_logreg(examples, names, args.epochs, seed=args.seed)
-            norm = {"center": m["center"], "scale": m["scale"], "floor": {f: 1e-6 for f in names}}
-            profile = profiles.Profile("logreg", names, norm, {"weights": m["weights"], "bias": m["bias"]})
-        profiles.save(profile, args.out or "models/binary_profile.json")
-        return None
-    names = examples.select("session").distinct()
-    models = evaluate.loso_models(examples, names, "waveform_length")
-    grid = evaluate.decision_grid(spark) if args.sweep else None
-    events = evaluate.replay(made, models, "waveform_length", grid)
-    wanted = names.crossJoin(F.broadcast(grid.select("config"))) if args.sweep else names
-    total = evaluate.aggregate_scores(evaluate.session_scores(wanted, events, clicks, phases, args.pre_tol, args.post_tol), ("config",) if args.sweep else ())
-    rows = evaluate.rank_sweep(total).orderBy("rank").limit(args.sweep_top) if args.sweep else total
-    for r in rows.collect():
-        print(json.dumps(r.asDict()))
-    return None
-
-
-def switch(spark: SparkSession, port: str, profile_path: str, checkpoint: str) -> None:
-    """Lines of a device file to JSON events on the console, until stopped."""
-    profile = profiles.load(profile_path)
-    if profile.model_type != "threshold":
-        raise ValueError("live detection takes threshold profiles")
-    spark.dataSource.register(serial.LineSource)
-    lines = spark.readStream.format("device_lines").option("path", port).load()
-    model = detector.Threshold(profile.model["threshold"], profile.model["softness"], profile.model.get("feature", "waveform_length"))
-    events = decide.switch_events(detector.detect(frames.parsed_lines(lines), model, profile.gate()))
-    out = events.select(F.to_json(F.struct("*")).alias("value")).writeStream.format("console").option("truncate", False).option("checkpointLocation", checkpoint)
-    out.start().awaitTermination()
+    try:
+        return COMMANDS[args.command](spark, args)
+    except (Refused, serial.PortInUse) as e:
+        print(f"pulseloom {args.command}: {e}", file=sys.stderr)
+        raise SystemExit(2) from e
 
 
 if __name__ == "__main__":

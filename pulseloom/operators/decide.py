@@ -32,7 +32,6 @@ class GateState:
     frames: int = 0
     start_ms: int | None = None
     until_ms: int = 0
-    last_t: int = 0
     ord: int = 0
 
 
@@ -50,7 +49,6 @@ def commit(s: GateState, g: Gate, active: bool, t: int) -> tuple[str, int, int,
 
 def decide(s: GateState, g: Gate, t: int, p: float) -> tuple[str, int, int, int] | None:
     """The event, if any, of one frame."""
-    s.last_t = t
     target = p > g.exit if s.active else p >= g.enter
     if target and t < s.until_ms:
         target = False
@@ -68,13 +66,14 @@ def decide(s: GateState, g: Gate, t: int, p: float) -> tuple[str, int, int, int]
 EVENTS = "ord bigint, phase string, start_ms bigint, end_ms bigint, duration_ms bigint"
 
 
-def edge_events(scored: DataFrame, gate: Gate | None = None, flush: bool = True) -> DataFrame:
+def edge_events(scored: DataFrame, gate: Gate | None = None, ends: DataFrame | None = None) -> DataFrame:
     """Events of ``scored(session, ord_frame, t_ms, p)``, and of each ``config`` where there are gate columns.
 
-    ``gate`` holds for all rows unless the rows bring ``config`` and ``GATE_COLUMNS``. With ``flush`` a press that is
-    open after the last frame ends there (O-DEC-6).
+    ``gate`` holds for all rows unless the rows bring ``config`` and ``GATE_COLUMNS``. Given ``ends(session,
+    final_t_ms)``, a press that is open after the last frame is closed at that time, the session's last sample
+    (O-DEC-6); without, it stays open, as in live runs.
     """
-    many = "config" in scored.columns
+    many, flush = "config" in scored.columns, ends is not None
     keys = ["session", "config"] if many else ["session"]
 
     def start() -> dict:
@@ -84,6 +83,7 @@ def edge_events(scored: DataFrame, gate: Gate | None = None, flush: bool = True)
         if "gate" not in held:
             held["gate"] = Gate(*(rows[c][0] for c in GATE_COLUMNS)) if many else gate or Gate()
         s, found = held["state"], []
+        held["end"] = rows["final_t_ms"][-1] if flush else None
         for t, p in zip(rows["t_ms"], rows["p"]):
             event = decide(s, held["gate"], t, p)
             if event:
@@ -93,15 +93,37 @@ def edge_events(scored: DataFrame, gate: Gate | None = None, flush: bool = True)
 
     def finish(held: dict, key: tuple) -> list[tuple]:
         s = held["state"]
-        if not (flush and s.active):
+        if held["end"] is None or not s.active:
             return []
         s.ord += 1
-        return [(*key, s.ord, *commit(s, held["gate"], False, s.last_t))]
+        return [(*key, s.ord, *commit(s, held["gate"], False, held["end"]))]
 
     kinds = dict(scored.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + EVENTS
     wanted = [*keys, "ord_frame", "t_ms", "p", *(GATE_COLUMNS if many else ())]
-    return ordered_fold(scored.select(*wanted), keys, ["ord_frame"], start, step, schema, finish)
+    rows = scored.select(*wanted)
+    if flush:
+        rows = rows.join(ends.select("session", "final_t_ms"), "session", "left")
+    return ordered_fold(rows, keys, ["ord_frame"], start, step, schema, finish)
+
+
+def session_ends(samples: DataFrame) -> DataFrame:
+    """``(session, final_t_ms)``: the time of each session's last sample by arrival."""
+    return samples.groupBy("session").agg(F.max_by("t_ms", "arrival_seq").alias("final_t_ms"))
+
+
+def frame_states(scored: DataFrame, gate: Gate = Gate()) -> DataFrame:
+    """``(session, ord_frame, t_ms, p, active)``: the gate's state after each frame (O-DEC-7/10)."""
+
+    def step(s: GateState, key: tuple, rows: dict[str, list]) -> list[tuple]:
+        out = []
+        for o, t, p in zip(rows["ord_frame"], rows["t_ms"], rows["p"]):
+            decide(s, gate, t, p)
+            out.append((*key, o, t, p, int(s.active)))
+        return out
+
+    schema = f"session {dict(scored.dtypes)['session']}, ord_frame bigint, t_ms bigint, p double, active int"
+    return ordered_fold(scored.select("session", "ord_frame", "t_ms", "p"), ["session"], ["ord_frame"], GateState, step, schema)
 
 
 def switch_events(edges: DataFrame) -> DataFrame:
@@ -122,6 +144,14 @@ def hysteresis(scored: DataFrame, gate: Gate = Gate()) -> DataFrame:
     return scored.withColumn("active", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0)))
 
 
+def event_json(events: DataFrame, *optional: str) -> DataFrame:
+    """``json`` of switch events (O-PRJ-13): type, phase, time, duration, source, and those of ``optional`` columns
+    (``confidence``, ``host_time_s``) that are not null."""
+    fields = [F.lit("switch").alias("type"), "phase", "t_ms", "duration_ms", "source_state", *optional]
+    kept = [c for c in ("session", "config", "ord") if c in events.columns]
+    return events.select(*kept, F.to_json(F.struct(*fields)).alias("json"))
+
+
 def click_counts(events: DataFrame) -> DataFrame:
     """Running number of ups, and the duration of the last one (O-AGG-15)."""
     w = Window.partitionBy("session").orderBy("ord")

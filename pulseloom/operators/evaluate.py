@@ -3,56 +3,63 @@
 from __future__ import annotations
 
 import itertools
+import random
+from collections import deque
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_artifact, is_rest, per_minute, threshold_score
+from ..functions.columns import is_artifact, is_rest, per_minute, stable_sigmoid, threshold_score
 from .decide import GATE_COLUMNS, edge_events, switch_events
 from .islands import presses
 from .ordered import ordered_fold
 from ..sources.shared import written
-from .training import threshold_search
+from .training import class_weights, robust_statistics, threshold_search
+
+#: Folds of logistic models, whose weights are sent to all tasks.
+MOST_FOLDS = 10_000
 
 
 def greedy_match(clicks: DataFrame, pressed: DataFrame, pre_ms: int = 400, post_ms: int = 600) -> DataFrame:
     """``(session, click_ord, press_ord)``: clicks in order take the first unused completed press whose down lies in
     ``[start - pre, end + post]`` (O-JOIN-3).
 
-    Presses and clicks of a session (and config) stream in one order by time; a click is settled when every press in
-    its reach has come, and only presses and clicks in reach of each other are held.
+    Presses and clicks of a session (and config) stream in one order by time. Clicks are settled in their own order,
+    each once no later press can reach it, and only presses in reach of clicks that are not settled are held.
     """
     keys = ["session"] + [c for c in ("config",) if c in pressed.columns]
     if "config" in keys and "config" not in clicks.columns:
         clicks = clicks.join(pressed.select(*keys).distinct(), "session")
     none = F.lit(None).cast("bigint")
-    a = clicks.select(*keys, F.lit(0).alias("kind"), F.col("ord"), (F.col("start_ms") - pre_ms).alias("t"), (F.col("end_ms") + post_ms).alias("until"))
-    b = pressed.where("up_ms IS NOT NULL").select(*keys, F.lit(1).alias("kind"), F.col("ord"), F.col("down_ms").alias("t"), none.alias("until"))
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy("ord")).cast("bigint")
+    a = clicks.select(*keys, F.lit(0).alias("kind"), F.col("ord"), (F.col("start_ms") - pre_ms).alias("t"), (F.col("end_ms") + post_ms).alias("until"), turn.alias("turn"))
+    b = pressed.where("up_ms IS NOT NULL").select(*keys, F.lit(1).alias("kind"), F.col("ord"), F.col("down_ms").alias("t"), none.alias("until"), none.alias("turn"))
 
     def settle(state: dict, now: int | None) -> list[tuple]:
-        """Clicks are settled in their own order, each once no more presses can reach it or those before it."""
-        found = []
-        while state["clicks"] and (now is None or max(c[2] for c in state["clicks"]) < now):
-            state["clicks"].sort()
-            for o, low, high in state["clicks"]:
-                hit = next((p for p in sorted(state["presses"]) if low <= p[1] <= high), None)
-                if hit:
-                    state["presses"].remove(hit)
-                    found.append((o, hit[0]))
-            state["clicks"], state["presses"] = [], []
-        if not state["clicks"]:
-            state["presses"] = []
+        found, clicks, presses = [], state["clicks"], state["presses"]
+        while (click := clicks.get(state["turn"])) and (now is None or click[2] < now):
+            o, low, high = clicks.pop(state["turn"])
+            state["turn"] += 1
+            inside = [(p, t) for t, p in presses if low <= t <= high]
+            if inside:
+                p, t = min(inside)
+                presses.remove((t, p))
+                found.append((o, p))
+            # No click that is held or still to come reaches back further than these.
+            first = min((c[1] for c in clicks.values()), default=now)
+            while presses and first is not None and presses[0][0] < first:
+                presses.popleft()
         return found
 
     def step(state: dict, key: tuple, rows: dict[str, list]) -> list[tuple]:
         found = []
-        for kind, o, t, until in zip(rows["kind"], rows["ord"], rows["t"], rows["until"]):
-            if state["clicks"] and max(c[2] for c in state["clicks"]) < t:
-                found += settle(state, t)
+        for kind, o, t, until, turn in zip(rows["kind"], rows["ord"], rows["t"], rows["until"], rows["turn"]):
+            found += settle(state, t)
             if kind == 0:
-                state["clicks"].append((o, t, int(until)))
+                state["clicks"][turn] = (o, t, until)
             elif state["clicks"]:
-                state["presses"].append((o, t))
+                state["presses"].append((t, o))
         return [(*key, *x) for x in found]
 
     def finish(state: dict, key: tuple) -> list[tuple]:
@@ -60,7 +67,7 @@ def greedy_match(clicks: DataFrame, pressed: DataFrame, pre_ms: int = 400, post_
 
     kinds = dict(pressed.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", click_ord bigint, press_ord bigint"
-    return ordered_fold(a.unionByName(b), keys, ["t", "kind", "ord"], lambda: {"clicks": [], "presses": []}, step, schema, finish)
+    return ordered_fold(a.unionByName(b), keys, ["t", "kind", "ord"], lambda: {"clicks": {}, "presses": deque(), "turn": 1}, step, schema, finish)
 
 
 def unused_presses(pressed: DataFrame, matched: DataFrame) -> DataFrame:
@@ -74,9 +81,13 @@ def classify_downs(downs: DataFrame, phases: DataFrame) -> DataFrame:
     """``downs`` with ``bucket``: that of the first phase, by order, that holds ``down_ms``, both ends counted; other
     where none does (O-JOIN-2)."""
     p = phases.select(F.col("session").alias("__s"), F.col("ord").alias("__ord"), "start_ms", "end_ms", is_artifact(F.col("name")).alias("art"), is_rest(F.col("name"), F.col("label")).alias("rest"))
-    met = downs.join(p, (F.col("session") == F.col("__s")) & F.col("down_ms").between(F.col("start_ms"), F.col("end_ms")), "left")
+    # Places are judged once each, however many downs share one, and repeated downs stay.
+    places = downs.select(F.col("session").alias("__d"), F.col("down_ms").alias("__t")).distinct()
+    met = places.join(p, (F.col("__d") == F.col("__s")) & F.col("__t").between(F.col("start_ms"), F.col("end_ms")))
     bucket = F.when(F.col("art"), "artifact").when(F.col("rest"), "rest").otherwise("other")
-    return met.groupBy(*downs.columns).agg(F.min_by(bucket, "__ord").alias("bucket")).withColumn("bucket", F.coalesce("bucket", F.lit("other")))
+    judged = met.groupBy("__d", "__t").agg(F.min_by(bucket, "__ord").alias("bucket"))
+    found = downs.join(judged, (F.col("session") == F.col("__d")) & (F.col("down_ms") == F.col("__t")), "left")
+    return found.select(*downs.columns, F.coalesce("bucket", F.lit("other")).alias("bucket"))
 
 
 def phase_seconds(phases: DataFrame) -> DataFrame:
@@ -87,22 +98,25 @@ def phase_seconds(phases: DataFrame) -> DataFrame:
     return phases.groupBy("session").agg(total(is_rest(F.col("name"), F.col("label"))).alias("rest_seconds"), total(art).alias("artifact_seconds"))
 
 
-def session_scores(sessions: DataFrame, events: DataFrame, clicks: DataFrame, phases: DataFrame, pre_ms: int = 400, post_ms: int = 600) -> DataFrame:
-    """One row for each of ``sessions`` (and config): counts, seconds and lists of latencies (O-AGG-9)."""
+LATENCIES = ("down_latency", "up_latency", "duration_error")
+
+
+def session_scores(sessions: DataFrame, events: DataFrame, clicks: DataFrame, phases: DataFrame, pre_ms: int = 400, post_ms: int = 600) -> tuple[DataFrame, DataFrame]:
+    """One row of counts and seconds for each of ``sessions`` (and config), and one row of ``LATENCIES`` for each click
+    that was detected (O-AGG-9)."""
     keys = ["session"] + [c for c in ("config",) if c in sessions.columns]
     clicks, pressed = written(clicks, "clicks"), written(presses(events), "presses")
     matched = written(greedy_match(clicks, pressed, pre_ms, post_ms), "matches")
+    late = {
+        "down_latency": F.col("down_ms") - F.col("start_ms"), "up_latency": F.col("up_ms") - F.col("end_ms"),
+        "duration_error": F.greatest(F.col("up_ms") - F.col("down_ms"), F.lit(0)) - (F.col("end_ms") - F.col("start_ms")),
+    }
     hits = (
         matched.join(clicks.select("session", F.col("ord").alias("click_ord"), "start_ms", "end_ms"), ["session", "click_ord"])
         .join(pressed.select(*keys, F.col("ord").alias("press_ord"), "down_ms", "up_ms"), [*keys, "press_ord"])
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("detected"),
-            F.array_sort(F.collect_list((F.col("down_ms") - F.col("start_ms")).cast("double"))).alias("down_latencies"),
-            F.array_sort(F.collect_list((F.col("up_ms") - F.col("end_ms")).cast("double"))).alias("up_latencies"),
-            F.array_sort(F.collect_list((F.greatest(F.col("up_ms") - F.col("down_ms"), F.lit(0)) - (F.col("end_ms") - F.col("start_ms"))).cast("double"))).alias("duration_errors"),
-        )
+        .select(*keys, *[c.cast("double").alias(name) for name, c in late.items()])
     )
+    detected = matched.groupBy(*keys).agg(F.count("*").alias("detected"))
     false = classify_downs(unused_presses(pressed, matched), phases).groupBy(*keys).agg(
         *[F.count_if(F.col("bucket") == b).alias(f"false_{b}") for b in ("rest", "artifact", "other")]
     )
@@ -110,32 +124,26 @@ def session_scores(sessions: DataFrame, events: DataFrame, clicks: DataFrame, ph
     n = clicks.groupBy("session").agg(F.count("*").alias("clicks"))
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("clicks", "detected", "cancelled", "false_rest", "false_artifact", "false_other")}
     zero |= {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("rest_seconds", "artifact_seconds")}
-    zero |= {c: F.coalesce(F.col(c), F.array().cast("array<double>")) for c in ("down_latencies", "up_latencies", "duration_errors")}
     made = sessions.select(*keys).join(n, "session", "left").join(phase_seconds(phases), "session", "left")
-    for part in (hits, false, cancelled):
+    for part in (detected, false, cancelled):
         made = made.join(part, keys, "left")
-    return made.withColumns(zero).withColumn("missed", F.col("clicks") - F.col("detected"))
+    return made.withColumns(zero).withColumn("missed", F.col("clicks") - F.col("detected")), hits
 
 
-def aggregate_scores(scores: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """The sixteen totals of all sessions, pooled medians among them (O-AGG-10)."""
+def aggregate_scores(scores: DataFrame, hits: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The sixteen totals of all sessions, medians over all detected clicks among them (O-AGG-10)."""
     sums = ("clicks", "detected", "missed", "cancelled", "false_rest", "false_artifact", "rest_seconds", "artifact_seconds")
     totals = scores.groupBy(*keys).agg(F.count("*").alias("sessions"), *[F.sum(c).alias(c) for c in sums])
-    tag = F.lit(1).alias("__one") if not keys else None
-    on = list(keys) or ["__one"]
-    out = totals.select("*", *([tag] if tag is not None else []))
-    for column, name, mean in (("down_latencies", "down_latency", True), ("up_latencies", "up_latency", False), ("duration_errors", "duration_error", False)):
-        pooled = scores.select(*keys, *([tag] if tag is not None else []), F.explode(column).alias("x")).groupBy(*on).agg(
-            F.median("x").alias(f"{name}_median"), *([F.avg("x").alias(f"{name}_mean")] if mean else [])
-        )
-        out = out.join(pooled, on, "left")
+    pooled = hits.groupBy(*keys).agg(*[F.median(c).alias(f"{c}_median") for c in LATENCIES], F.avg("down_latency").alias("down_latency_mean"))
+    # Without keys both are single rows.
+    out = totals.join(pooled, list(keys), "left") if keys else totals.crossJoin(F.broadcast(pooled))
     medians = [c for c in out.columns if c.endswith(("_median", "_mean"))]
     rates = {
         "detection_rate": F.when(F.col("clicks") > 0, F.col("detected") / F.col("clicks")).otherwise(0.0),
         "false_rest_per_min": per_minute(F.col("false_rest"), F.col("rest_seconds")),
         "false_artifact_per_min": per_minute(F.col("false_artifact"), F.col("artifact_seconds")),
     }
-    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in medians} | rates).drop("__one")
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in medians} | rates)
 
 
 def decision_grid(spark) -> DataFrame:
@@ -169,11 +177,60 @@ def loso_models(examples: DataFrame, sessions: DataFrame, feature: str) -> DataF
     return threshold_search(others, feature, ["fold"], "c").withColumnRenamed("fold", "session")
 
 
-def replay(frames: DataFrame, models: DataFrame, feature: str, grid: DataFrame | None = None) -> DataFrame:
-    """Switch events of each session under its fold's model, and of each gate of ``grid`` (O-EVL-1/6): features once,
-    probabilities once, then one fold for each session and gate."""
-    p = threshold_score(F.col(feature), F.col("threshold"), F.col("softness"))
-    scored = frames.join(models, "session").select("session", F.col("ord_frame"), "t_ms", p.alias("p"))
+def loso_logreg(examples: DataFrame, sessions: DataFrame, features: Sequence[str], epochs: int = 200, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> dict:
+    """``session -> {weights, bias, center, scale}``: the logistic model that is trained on all other sessions
+    (O-EVL-3). Each epoch is one aggregation for all folds: every example meets the weights of every other session's
+    fold, as training each fold does, so folds are those of a wearer's recordings and are sent to all tasks."""
+    spark = examples.sparkSession
+    names = [r["session"] for r in sessions.select("session").distinct().collect()]
+    if len(names) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} folds")
+    folds = F.broadcast(sessions.select(F.col("session").alias("fold")).distinct())
+    pairs = examples.join(folds, F.col("fold") != F.col("session")).persist()
+    try:
+        long = pairs.selectExpr("fold", f"stack({len(features)}, " + ", ".join(f"'{f}', CAST({f} AS DOUBLE)" for f in features) + ") AS (feature, value)")
+        norm: dict = {}
+        for r in robust_statistics(long, ["fold", "feature"]).collect():
+            norm.setdefault(r["fold"], {})[r["feature"]] = (r["center"], r["scale"])
+        weight = {r["fold"]: r for r in class_weights(pairs, ["fold"]).collect()}
+        rng = random.Random(seed)
+        start = [rng.uniform(-0.01, 0.01) for _ in features]
+        now = {n: (list(start), 0.0) for n in weight}
+        kind = dict(sessions.dtypes)["session"]
+        for _ in range(max(epochs, 1)):
+            rows = [(n, w, b, [norm[n][f][0] for f in features], [max(norm[n][f][1], 1e-6) for f in features], weight[n]["pos_weight"], weight[n]["neg_weight"]) for n, (w, b) in now.items()]
+            sent = F.broadcast(spark.createDataFrame(rows, f"fold {kind}, w array<double>, b double, c array<double>, s array<double>, pw double, nw double"))
+            x = [(F.col(f).cast("double") - F.get("c", i)) / F.get("s", i) for i, f in enumerate(features)]
+            p = stable_sigmoid(sum((F.get("w", i) * v for i, v in enumerate(x)), F.col("b")))
+            diff = (p - F.col("label")) * F.when(F.col("label") == 1, F.col("pw")).otherwise(F.col("nw"))
+            sums = pairs.join(sent, "fold").groupBy("fold").agg(*[F.sum(diff * v).alias(f"g{i}") for i, v in enumerate(x)], F.sum(diff).alias("g"))
+            for r in sums.collect():
+                w, b = now[r["fold"]]
+                n = weight[r["fold"]]["n"]
+                now[r["fold"]] = [v - rate * (r[f"g{i}"] / n + l2 * v) for i, v in enumerate(w)], b - rate * r["g"] / n
+    finally:
+        pairs.unpersist()
+    return {n: {"weights": w, "bias": b, "center": [norm[n][f][0] for f in features], "scale": [max(norm[n][f][1], 1e-6) for f in features]} for n, (w, b) in now.items()}
+
+
+def score_folds(frames: DataFrame, fitted: dict, features: Sequence[str]) -> DataFrame:
+    """``(session, ord_frame, t_ms, p)`` of each session under its fold's logistic model."""
+    kind = dict(frames.dtypes)["session"]
+    rows = [(n, m["weights"], m["bias"], m["center"], m["scale"]) for n, m in fitted.items()]
+    sent = F.broadcast(frames.sparkSession.createDataFrame(rows, f"session {kind}, w array<double>, b double, c array<double>, s array<double>"))
+    total = sum((F.get("w", i) * (F.col(f).cast("double") - F.get("c", i)) / F.get("s", i) for i, f in enumerate(features)), F.col("b"))
+    return frames.join(sent, "session").select("session", "ord_frame", "t_ms", stable_sigmoid(total).alias("p"))
+
+
+def replay_scored(scored: DataFrame, ends: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    """Switch events of scored frames, and of each gate of ``grid``; open presses close at ``ends``."""
     if grid is not None:
         scored = scored.crossJoin(F.broadcast(grid.select("config", *GATE_COLUMNS)))
-    return switch_events(edge_events(scored))
+    return switch_events(edge_events(scored, ends=ends))
+
+
+def replay(frames: DataFrame, models: DataFrame, feature: str, ends: DataFrame, grid: DataFrame | None = None) -> DataFrame:
+    """Switch events of each session under its fold's model, and of each gate of ``grid`` (O-EVL-1/6): features once,
+    probabilities once, then one fold for each session and gate. Open presses close at ``ends(session, final_t_ms)``."""
+    p = threshold_score(F.col(feature), F.col("threshold"), F.col("softness"))
+    return replay_scored(frames.join(models, "session").select("session", F.col("ord_frame"), "t_ms", p.alias("p")), ends, grid)

@@ -70,10 +70,10 @@ def members(samples: DataFrame, window_ms: int = WINDOW_MS, hop_ms: int = HOP_MS
 
 
 def frames(samples: DataFrame, value: str, window_ms: int = WINDOW_MS, hop_ms: int = HOP_MS, slope: str | None = None, lf: str | None = None) -> DataFrame:
-    """Features of every frame of two samples or more (O-FRM-6..10).
+    """Features of every frame of two samples or more (O-FRM-6..10), under the names of recorded frames.
 
-    ``rms``, ``waveform_length`` and ``last`` are of ``value``; ``slope_median`` of ``slope`` and ``lf_ratio`` of
-    ``lf`` (both ``value`` unless given).
+    ``rms_state``, ``waveform_length`` and ``filtered_raw_hp`` (the last value) are of ``value``; ``slope_burst``, a
+    median, is of ``slope`` and ``lf_energy_ratio`` of ``lf`` (both ``value`` unless given).
     """
     window_ms = max(window_ms, 20)
     inside = Window.partitionBy("session", "segment", "frame").orderBy("arrival_seq")
@@ -83,12 +83,12 @@ def frames(samples: DataFrame, value: str, window_ms: int = WINDOW_MS, hop_ms: i
         rows.groupBy("session", "segment", "frame", "end_ms")
         .agg(
             F.count("*").alias("n"),
-            rms(value).alias("rms"),
-            (rms(lf or value) / F.greatest(rms(value), F.lit(1e-6))).alias("lf_ratio"),
+            rms(value).alias("rms_state"),
+            (rms(lf or value) / F.greatest(rms(value), F.lit(1e-6))).alias("lf_energy_ratio"),
             F.coalesce(F.sum("step"), F.lit(0)).cast("double").alias("waveform_length"),
-            F.median(slope or value).alias("slope_median"),
+            F.median(slope or value).alias("slope_burst"),
             F.max_by("env", "arrival_seq").alias("env_in"),
-            F.max_by(value, "arrival_seq").alias("last"),
+            F.max_by(value, "arrival_seq").alias("filtered_raw_hp"),
         )
         .where("n >= 2")
         .withColumn("start_ms", F.col("end_ms") - window_ms)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Phases of a protocol, which is sent to all tasks.
+MOST_PHASES = 100_000
 SCHEMA = "idx bigint, name string, duration_s double, label string"
 
 
@@ -29,6 +31,8 @@ def timed(protocol: DataFrame) -> DataFrame:
 def phase_at(times: DataFrame, protocol: DataFrame) -> DataFrame:
     """``times`` with the phase that holds ``elapsed_s`` (start counted, end not), the time in it and the time left;
     nulls past the end (O-PRO-2). The protocol is a recording's script, a few dozen rows, and is sent to all tasks."""
+    if protocol.count() > MOST_PHASES:
+        raise ValueError("a protocol of so many phases is no recording's script")
     p = F.broadcast(timed(protocol))
     inside = (F.col("elapsed_s") >= F.col("start_s")) & (F.col("elapsed_s") < F.col("end_s"))
     return times.join(p, inside, "left").select(
@@ -36,13 +40,15 @@ def phase_at(times: DataFrame, protocol: DataFrame) -> DataFrame:
     )
 
 
-def markers(samples: DataFrame, protocol: DataFrame) -> DataFrame:
-    """``(session, t_ms, name, label, previous)``: a row where a session's phase changes, its first one included; the
-    clock starts at the first sample (O-REC-1/4). What a prompted recorder writes as phases, and where labels open and
-    close."""
+def markers(samples: DataFrame, protocol: DataFrame, done: bool = False) -> DataFrame:
+    """``(session, arrival_seq, t_ms, phase_idx, name, label, previous, previous_label)``: a row where a session's phase
+    changes, its first one included; the clock starts at the first sample (O-REC-1/4). With ``done`` also where the
+    protocol is over, with nulls for the phase."""
     w = Window.partitionBy("session").orderBy("arrival_seq")
     timed_rows = samples.select("session", "arrival_seq", "t_ms", ((F.col("t_ms") - F.first("t_ms").over(w)) / 1000.0).alias("elapsed_s"))
     placed = phase_at(timed_rows, protocol).join(F.broadcast(protocol.select(F.col("idx").alias("phase_idx"), "label")), "phase_idx", "left")
-    before = F.lag("phase_idx").over(w)
-    changed = placed.withColumns({"before": before, "previous": F.lag("phase").over(w)}).where("phase_idx IS NOT NULL AND (before IS NULL OR before != phase_idx)")
-    return changed.select("session", "t_ms", F.col("phase").alias("name"), "label", "previous")
+    if not done:
+        placed = placed.where("phase_idx IS NOT NULL")
+    known = placed.withColumns({"before": F.lag("phase_idx").over(w), "previous": F.lag("phase").over(w), "previous_label": F.lag("label").over(w), "first": F.row_number().over(w) == 1})
+    changed = known.where("first OR NOT (before <=> phase_idx)")
+    return changed.select("session", "arrival_seq", "t_ms", "phase_idx", F.col("phase").alias("name"), "label", "previous", "previous_label")

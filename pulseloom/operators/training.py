@@ -10,30 +10,41 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import logreg_score
 
-FEATURES = ("waveform_length", "rms", "lf_ratio", "slope_median")
-#: Preset -> features (O-PRJ-5).
-PRESETS = {"wl": FEATURES[:1], "core": FEATURES[:3], "all": FEATURES}
+#: The features of a frame in the order of models, and the presets of them (O-PRJ-5).
+FEATURES = ("waveform_length", "rms_state", "slope_burst", "lf_energy_ratio")
+PRESETS = {"wl": ("waveform_length",), "core": ("waveform_length", "rms_state"), "all": FEATURES}
 
 
 def features_of(preset: str) -> tuple[str, ...]:
-    """A preset, or a comma list of known features."""
+    """A preset, or a comma list of known features, in any case."""
+    preset = preset.strip().lower()
     if preset in PRESETS:
         return PRESETS[preset]
     names = tuple(x.strip() for x in preset.split(",") if x.strip())
-    if not names or any(n not in FEATURES for n in names):
-        raise ValueError(f"unknown features: {preset!r}")
+    if not names:
+        raise ValueError("no features")
+    if unknown := [n for n in names if n not in FEATURES]:
+        raise ValueError(f"unknown features: {', '.join(unknown)}")
     return names
 
 
 def label_frames(frames: DataFrame, intervals: DataFrame, margin_ms: int = 80) -> DataFrame:
     """``frames(session, t_ms, ..)`` with ``label``: 1 inside any interval, dropped within the margin of one, else 0
-    (O-JOIN-1). An equi-join by session with the range as its condition; only intervals in reach make rows."""
-    near = intervals.select(F.col("session").alias("__s"), "start_ms", "end_ms")
-    reach = (F.col("session") == F.col("__s")) & F.col("t_ms").between(F.col("start_ms") - margin_ms, F.col("end_ms") + margin_ms)
-    inside = F.col("t_ms").between(F.col("start_ms"), F.col("end_ms"))
-    met = frames.join(near, reach, "left").withColumn("hit", F.when(F.col("__s").isNotNull(), inside.cast("int")))
-    grouped = met.groupBy(*frames.columns).agg(F.max("hit").alias("hit"))
-    return grouped.where("hit IS NULL OR hit = 1").withColumn("label", F.coalesce("hit", F.lit(0))).drop("hit")
+    (O-JOIN-1). Repeated frames stay, a frame without a time is in no interval.
+
+    Frames and the starts of intervals stream in one order of time: a frame is inside where the latest end of those that
+    began so far is not before it. One shuffle by session, and no row is made for a pair of frame and interval."""
+    none = F.lit(None).cast("bigint")
+    rows = frames.select("session", F.col("t_ms").alias("__at"), F.lit(1).alias("__kind"), F.struct(*frames.columns).alias("__row"), none.alias("__in"), none.alias("__near"))
+    ends = lambda at, name: intervals.select(
+        "session", at.alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"),
+        *[F.col("end_ms").alias(c) if c == name else F.lit(None).cast("bigint").alias(c) for c in ("__in", "__near")],
+    )
+    every = rows.unionByName(ends(F.col("start_ms"), "__in")).unionByName(ends(F.col("start_ms") - margin_ms, "__near"))
+    sofar = Window.partitionBy("session").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = every.withColumns({"__in": F.max("__in").over(sofar), "__near": F.max("__near").over(sofar) + margin_ms}).where("__kind = 1")
+    label = F.when(F.col("__in") >= F.col("__at"), 1).when(F.col("__near") >= F.col("__at"), None).otherwise(0)
+    return met.withColumn("label", label).where("label IS NOT NULL").select("__row.*", "label")
 
 
 def robust_statistics(values: DataFrame, keys: Sequence[str] = ("feature",), floor: float = 1e-6) -> DataFrame:
@@ -121,7 +132,7 @@ def class_weights(examples: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def fit_logreg(examples: DataFrame, features: Sequence[str], epochs: int = 100, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> dict:
+def fit_logreg(examples: DataFrame, features: Sequence[str], epochs: int = 200, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> dict:
     """Full-batch gradient descent with class weights (O-ML-6): one aggregation over all examples for each epoch; only
     sums come to the driver."""
     stats = {r["feature"]: (r["center"], r["scale"]) for r in fit_normalisation(examples, features).collect()}
@@ -150,8 +161,41 @@ def split_sessions(names: Sequence[str], share: float = 0.25, seed: int = 7) ->
     return sorted(order[n:]), sorted(order[:n])
 
 
+def split_examples(examples: DataFrame, share: float = 0.25, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Training and validation examples of a lone session: a shuffle by a hash of the seed and the example's place, of
+    which the first ``max(1, round(n * share))`` validate; none of a single example."""
+    placed = examples.withColumn("__n", F.row_number().over(Window.partitionBy("session").orderBy("t_ms")))
+    n = placed.count()
+    most = max(1, round(n * share)) if n > 1 else 0
+    ranked = placed.withColumn("__r", F.row_number().over(Window.partitionBy("session").orderBy(F.xxhash64(F.lit(seed), "__n"), "__n")))
+    return ranked.where(F.col("__r") > most).select(*examples.columns), ranked.where(F.col("__r") <= most).select(*examples.columns)
+
+
 def prefix(examples: DataFrame, share: float, order: Sequence[str]) -> DataFrame:
-    """The first ``max(1, int(n * share))`` examples of each session (O-ML-13)."""
-    w = Window.partitionBy("session")
-    most = F.greatest(F.floor(F.count("*").over(w) * F.lit(share)), F.lit(1))
-    return examples.withColumns({"__n": F.row_number().over(w.orderBy(*order)), "__most": most}).where("__n <= __most").drop("__n", "__most")
+    """The first ``max(1, int(n * share))`` of all examples, by ``session`` and then ``order`` (O-ML-13); all of them
+    from a share of one on. Ranks are counts of the sessions before and a place within the session, so no task orders
+    all examples."""
+    if share >= 1.0:
+        return examples
+    counted = examples.groupBy("session").agg(F.count("*").alias("__c"))
+    before = counted.withColumn("__before", F.coalesce(F.sum("__c").over(Window.orderBy("session").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    most = counted.agg(F.greatest(F.floor(F.sum("__c") * F.lit(max(share, 0.0))), F.lit(1)).alias("__most"))
+    placed = examples.withColumn("__n", F.row_number().over(Window.partitionBy("session").orderBy(*order))).join(before, "session").crossJoin(F.broadcast(most))
+    return placed.where("__before + __n <= __most").select(*examples.columns)
+
+
+def study_threshold(train: DataFrame, held: DataFrame, feature: str, fractions: Sequence[float], order: Sequence[str]) -> DataFrame:
+    """A row for each of ``fractions``: the threshold model of that prefix of ``train`` and how it does on ``held``
+    (O-JOIN-8)."""
+    rows = []
+    for x in fractions:
+        part = prefix(train, x, order)
+        model = threshold_search(part, feature)
+        scored = held.crossJoin(F.broadcast(model)).select((F.col(feature) >= F.col("threshold")).cast("int").alias("p"), "label")
+        counts = confusion(scored)
+        n = part.agg(F.count("*").alias("train_examples"))
+        rows.append(counts.crossJoin(F.broadcast(model.drop("f1"))).crossJoin(F.broadcast(n)).select(F.lit(float(x)).alias("fraction"), *counts.columns, "threshold", "softness", "train_examples"))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out

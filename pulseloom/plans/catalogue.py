@@ -5,13 +5,18 @@ Every query reads its whole table. Results of recurrences are rounded to six dig
 
 from __future__ import annotations
 
+import random
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import decide, dsp, evaluate, frames, islands, protocol, training
+from ..operators import decide, dsp, evaluate, frames, islands, protocol, record, training
+from ..sources import sessions
+from ..sources.shared import shared_dir
 from ..streaming import detector
 from . import binding as B
 
@@ -90,7 +95,12 @@ def rolling_rms(spark, sf):
 
 
 def _frames(spark, sf) -> DataFrame:
-    return frames.frames(B.rewound(spark, sf).withColumn("raw", F.col("raw").cast("double")), "raw", B.WINDOW_MS, B.HOP_MS)
+    return _framed(B.rewound(spark, sf))
+
+
+def _framed(samples: DataFrame) -> DataFrame:
+    rows = samples.withColumns({"raw": F.col("raw").cast("double"), "lf": F.col("env") * 0.5})
+    return frames.frames(rows, "raw", B.WINDOW_MS, B.HOP_MS, slope="value", lf="lf")
 
 
 @query(f"{_F} SELECT session, CAST(segment AS BIGINT) AS segment, frame, end_ms - {B.WINDOW_MS} AS start_ms, end_ms, n FROM fr")
@@ -99,10 +109,10 @@ def frames_basic(spark, sf):
     return _frames(spark, sf).select("session", "segment", "frame", "start_ms", "end_ms", "n")
 
 
-@query(f"{_F} SELECT session, CAST(segment AS BIGINT) AS segment, frame, round(rms, 6) AS rms, round(rms / greatest(rms, 1e-6), 6) AS lf_ratio FROM fr")
+@query(f"{_F} SELECT session, CAST(segment AS BIGINT) AS segment, frame, round(rms_state, 6) AS rms_state, round(lf_energy_ratio, 6) AS lf_energy_ratio FROM fr")
 def frames_rms(spark, sf):
     """O-FRM-6/7."""
-    return rounded(_frames(spark, sf), "rms", "lf_ratio").select("session", "segment", "frame", "rms", "lf_ratio")
+    return rounded(_frames(spark, sf), "rms_state", "lf_energy_ratio").select("session", "segment", "frame", "rms_state", "lf_energy_ratio")
 
 
 @query(f"{_F} SELECT session, CAST(segment AS BIGINT) AS segment, frame, waveform_length FROM fr")
@@ -111,16 +121,32 @@ def frames_waveform_length(spark, sf):
     return _frames(spark, sf).select("session", "segment", "frame", "waveform_length")
 
 
-@query(f"{_F} SELECT session, CAST(segment AS BIGINT) AS segment, frame, slope_median FROM fr")
+@query(f"{_F} SELECT session, CAST(segment AS BIGINT) AS segment, frame, slope_burst FROM fr")
 def frames_slope_median(spark, sf):
     """O-FRM-9, O-AGG-4."""
-    return _frames(spark, sf).select("session", "segment", "frame", "slope_median")
+    return _frames(spark, sf).select("session", "segment", "frame", "slope_burst")
 
 
-@query(f"{_F} SELECT session, CAST(segment AS BIGINT) AS segment, frame, env_in, CAST(last AS DOUBLE) AS last FROM fr")
+@query(f"{_F} SELECT session, CAST(segment AS BIGINT) AS segment, frame, env_in, CAST(filtered_raw_hp AS DOUBLE) AS filtered_raw_hp FROM fr")
 def frames_last(spark, sf):
     """O-FRM-10."""
-    return _frames(spark, sf).select("session", "segment", "frame", "env_in", "last")
+    return _frames(spark, sf).select("session", "segment", "frame", "env_in", "filtered_raw_hp")
+
+
+@query(f"WITH {B.SQL}, {B.frames_sql('late')} SELECT session, CAST(segment AS BIGINT) AS segment, frame, n, waveform_length, filtered_raw_hp::DOUBLE AS filtered_raw_hp FROM fr")
+def frames_late(spark, sf):
+    """O-FRM-3, with rows that come late."""
+    return _framed(B.late(spark, sf)).select("session", "segment", "frame", "n", "waveform_length", "filtered_raw_hp")
+
+
+@query(f"WITH {B.SQL}, {B.frames_sql('s')} SELECT session, row_number() OVER (PARTITION BY session ORDER BY end_ms) AS arrival_seq, end_ms AS t_ms, waveform_length, round(rms_state, 6) AS rms_state, round(slope_burst, 6) AS slope_burst, round(lf_energy_ratio, 6) AS lf_energy_ratio FROM fr")
+def recorded_features(spark, sf):
+    """O-SRC-7, O-SNK-1, O-REC-6: frames of all sessions written as recorded feature rows and read by their header."""
+    rows = record.feature_rows(_framed(B.samples(spark, sf)), F.lit(0.0))
+    root = f"{shared_dir(spark)}/recorded-{uuid.uuid4().hex}"
+    sessions.write_rows(rows.select("session", *sorted(c for c in rows.columns if c != "session")), root, "features.csv", ("t_ms",))
+    read = sessions.read_features(spark, root, training.FEATURES).withColumn("session", F.col("session").cast("bigint"))
+    return rounded(read, "rms_state", "slope_burst", "lf_energy_ratio")
 
 
 @query(f"""{_F}, x AS (SELECT session, CAST(segment AS BIGINT) AS segment, frame, waveform_length, row_number() OVER w AS i, count(*) OVER w3 AS c,
@@ -251,14 +277,13 @@ def press_pairs(spark, sf):
 
 
 _E = f"""{_R}, {B.frames_sql("s")},
-ft AS (SELECT session, frame, end_ms AS t_ms, waveform_length, rms, slope_median FROM fr),
+ft AS (SELECT session, frame, end_ms AS t_ms, waveform_length, rms_state, slope_burst, lf_energy_ratio FROM fr),
 ex AS (SELECT ft.*, CASE WHEN hit = 1 THEN 1 ELSE 0 END AS label FROM ft LEFT JOIN (SELECT ft.session, ft.frame, max(CASE WHEN t_ms BETWEEN start_ms AND end_ms THEN 1 ELSE 0 END) AS hit
       FROM ft JOIN li ON ft.session = li.session AND t_ms BETWEEN start_ms - 4 AND end_ms + 4 GROUP BY ALL) h USING (session, frame) WHERE hit IS NULL OR hit = 1)"""
 
 
 def _feature_frames(spark, sf) -> DataFrame:
-    rows = B.samples(spark, sf).withColumn("raw", F.col("raw").cast("double"))
-    return frames.frames(rows, "raw", B.WINDOW_MS, B.HOP_MS).select("session", F.col("frame").alias("ord_frame"), F.col("end_ms").alias("t_ms"), "waveform_length", "rms", "slope_median")
+    return _framed(B.samples(spark, sf)).select("session", F.col("frame").alias("ord_frame"), F.col("end_ms").alias("t_ms"), *training.FEATURES)
 
 
 def _examples(spark, sf) -> DataFrame:
@@ -335,11 +360,11 @@ def split_examples(spark, sf):
 _SIG = "CASE WHEN {0} >= 0 THEN 1 / (1 + exp(-({0}))) ELSE exp({0}) / (1 + exp({0})) END"
 
 
-@query(f"{_F} SELECT session, CAST(segment AS BIGINT) AS segment, frame, round({_SIG.format('((waveform_length - 5000) / 800)')}, 6) AS p, round({_SIG.format('(0.8 * ((rms - 1200) / 400) - 0.5 * ((slope_median - 900) / 1) + 0.1)')}, 6) AS q FROM fr")
+@query(f"{_F} SELECT session, CAST(segment AS BIGINT) AS segment, frame, round({_SIG.format('((waveform_length - 5000) / 800)')}, 6) AS p, round({_SIG.format('(0.8 * ((rms_state - 1200) / 400) - 0.5 * ((slope_burst - 90) / 1) + 0.1)')}, 6) AS q FROM fr")
 def model_scores(spark, sf):
     """O-PRJ-7, 9, 10, 11."""
     c, none = F.col, F.lit(None).cast("double")
-    scaled = [C.normalise(c("rms"), F.lit(1200.0), F.lit(400.0), F.lit(1e-6)), C.normalise(c("slope_median"), F.lit(900.0), none, none)]
+    scaled = [C.normalise(c("rms_state"), F.lit(1200.0), F.lit(400.0), F.lit(1e-6)), C.normalise(c("slope_burst"), F.lit(90.0), none, none)]
     rows = _frames(spark, sf).withColumns({"p": C.threshold_score(c("waveform_length"), 5000.0, 800.0), "q": C.logreg_score(scaled, [0.8, -0.5, 9.0], 0.1)})
     return rounded(rows, "p", "q").select("session", "segment", "frame", "p", "q")
 
@@ -367,12 +392,12 @@ def robust_scale(spark, sf):
     return rounded(training.robust_statistics(values, ["session"]), "scale").select("session", "center", "mad", "scale")
 
 
-@query(f"""{_E}, u AS (SELECT 'waveform_length' AS feature, waveform_length AS x FROM ex UNION ALL SELECT 'slope_median', slope_median FROM ex), l AS (SELECT feature, list_sort(list(x)) AS v FROM u GROUP BY feature),
+@query(f"""{_E}, u AS (SELECT 'waveform_length' AS feature, waveform_length AS x FROM ex UNION ALL SELECT 'slope_burst', slope_burst FROM ex), l AS (SELECT feature, list_sort(list(x)) AS v FROM u GROUP BY feature),
 d AS (SELECT *, list_median(v) AS c FROM l)
 SELECT feature, c AS center, round(greatest(1.4826::DOUBLE * list_median(list_transform(v, lambda x: abs(x - c))), (v[CAST(floor((len(v) - 1) * 0.9::DOUBLE) AS INT) + 1] - v[CAST(floor((len(v) - 1) * 0.1::DOUBLE) AS INT) + 1]) / 2.563::DOUBLE, 1e-6), 6) AS scale FROM d""")
 def fit_normalization(spark, sf):
     """O-AGG-8, O-PRJ-8."""
-    return rounded(training.fit_normalisation(_examples(spark, sf), ["waveform_length", "slope_median"]), "scale")
+    return rounded(training.fit_normalisation(_examples(spark, sf), ["waveform_length", "slope_burst"]), "scale")
 
 
 _CONF = """tp / greatest(tp + fp, 1)::DOUBLE AS precision, tp / greatest(tp + fn, 1)::DOUBLE AS recall, (tp + tn) / greatest(tp + fp + tn + fn, 1)::DOUBLE AS accuracy"""
@@ -407,39 +432,74 @@ def class_weights(spark, sf):
     return rounded(training.class_weights(_examples(spark, sf), ["session"]), "pos_weight", "neg_weight")
 
 
-@query(f"{_E} SELECT session, t_ms, label FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY t_ms) AS n, greatest(floor(count(*) OVER (PARTITION BY session) * 0.5::DOUBLE), 1) AS most FROM ex) WHERE n <= most")
+@query(f"{_E} SELECT session, t_ms, label FROM (SELECT *, row_number() OVER (ORDER BY session, t_ms) AS n, greatest(floor(count(*) OVER () * 0.5::DOUBLE), 1) AS most FROM ex) WHERE n <= most")
 def study_prefix_subset(spark, sf):
-    """O-ML-13, O-LIM-2."""
+    """O-ML-13, O-LIM-2: one prefix of all examples, sessions in order."""
     return training.prefix(_examples(spark, sf), 0.5, ["t_ms"]).select("session", "t_ms", "label")
 
 
-@query()
+_START = [x for r in [random.Random(7)] for x in (r.uniform(-0.01, 0.01), r.uniform(-0.01, 0.01))]
+
+
+@query(f"""{_E.replace('WITH', 'WITH RECURSIVE', 1)}, u AS (SELECT 'a' AS feature, waveform_length AS x FROM ex UNION ALL SELECT 'b', slope_burst FROM ex), l AS (SELECT feature, list_sort(list(x)) AS v FROM u GROUP BY feature), d AS (SELECT *, list_median(v) AS c FROM l),
+st AS (SELECT feature, c, greatest(1.4826::DOUBLE * list_median(list_transform(v, lambda x: abs(x - c))), (v[CAST(floor((len(v) - 1) * 0.9::DOUBLE) AS INT) + 1] - v[CAST(floor((len(v) - 1) * 0.1::DOUBLE) AS INT) + 1]) / 2.563::DOUBLE, 1e-6) AS sc FROM d),
+nx AS (SELECT ex.session, ex.t_ms, ex.label, (waveform_length - sa.c) / sa.sc AS xa, (slope_burst - sb.c) / sb.sc AS xb FROM ex, (FROM st WHERE feature = 'a') sa, (FROM st WHERE feature = 'b') sb),
+wt AS (SELECT count(*)::DOUBLE AS n, count(*) / (2 * greatest(sum(label), 1)) AS pw, count(*) / (2 * greatest(count(*) - sum(label), 1)) AS nw FROM nx),
+lg AS (SELECT 0 AS e, {_START[0]!r}::DOUBLE AS wa, {_START[1]!r}::DOUBLE AS wb, 0::DOUBLE AS b
+ UNION ALL SELECT e + 1, wa - 0.05::DOUBLE * (ga / n + 1e-4 * wa), wb - 0.05::DOUBLE * (gb / n + 1e-4 * wb), b - 0.05::DOUBLE * g / n
+ FROM (SELECT e, wa, wb, b, n, sum(diff * xa) AS ga, sum(diff * xb) AS gb, sum(diff) AS g FROM (SELECT lg.*, n, xa, xb, ({_SIG.format('(wa * xa + wb * xb + b)')} - label) * CASE WHEN label = 1 THEN pw ELSE nw END AS diff FROM lg, nx, wt WHERE e < 200) GROUP BY e, wa, wb, b, n))
+SELECT session, t_ms, label, round({_SIG.format('(wa * xa + wb * xb + b)')}, 6) AS p FROM nx, (FROM lg WHERE e = 200)""")
 def logreg_fit(spark, sf):
-    """O-ML-6; tests hold the weights against a plain loop."""
+    """O-ML-6: 200 epochs over all examples."""
     rows = _examples(spark, sf)
-    model = training.fit_logreg(rows, ["waveform_length", "slope_median"], epochs=5)
+    model = training.fit_logreg(rows, ["waveform_length", "slope_burst"])
     scaled = [(F.col(f) - model["center"][f]) / max(model["scale"][f], 1e-6) for f in model["features"]]
     return rounded(rows.select("session", "t_ms", "label", C.logreg_score(scaled, model["weights"], model["bias"]).alias("p")), "p")
 
 
+_STUDY = """SELECT {0}::DOUBLE AS fraction, count(*) FILTER (said AND label = 1) AS tp, count(*) FILTER (said AND label = 0) AS fp, count(*) FILTER (NOT said AND label = 0) AS tn, count(*) FILTER (NOT said AND label = 1) AS fn,
+ any_value(threshold) AS threshold, any_value(n) AS train_examples FROM (SELECT label, waveform_length >= threshold AS said, threshold, n FROM ex, (SELECT threshold FROM th{1}), (SELECT count(*) AS n FROM tr{1}) WHERE session % 4 = 0)"""
+_FRACTIONS = (0.25, 0.5, 1.0)
+
+
+@query(f"{_E}, tb0 AS (SELECT *, row_number() OVER (ORDER BY session, t_ms) AS n, count(*) OVER () AS c FROM ex WHERE session % 4 <> 0), "
+       + ", ".join(f"tr{i} AS (SELECT * FROM tb0 WHERE n <= greatest(floor(c * {x}::DOUBLE), 1)), " + re.sub(r"\b(vals|cand|thr|tf|tb|md|th)\b", rf"\g<1>{i}", _TS.replace("KEY", "1").replace("SRC", f"tr{i}")) for i, x in enumerate(_FRACTIONS, 1))
+       + " SELECT * FROM (" + " UNION ALL ".join(_STUDY.format(x, i) for i, x in enumerate(_FRACTIONS, 1)) + ")")
+def study_threshold(spark, sf):
+    """O-JOIN-8, O-ML-2/5/13: threshold models of growing prefixes of the training sessions, on the others."""
+    rows = _examples(spark, sf)
+    parts = training.study_threshold(rows.where("session % 4 != 0"), rows.where("session % 4 = 0"), "waveform_length", _FRACTIONS, ["t_ms"])
+    return parts.select("fraction", "tp", "fp", "tn", "fn", "threshold", "train_examples")
+
+
 # Decisions
 
 
-_PSC = f"{_E}, sc AS (SELECT session, t_ms, row_number() OVER (PARTITION BY session ORDER BY t_ms) AS i, waveform_length AS wl FROM ft), ps AS (SELECT session, i, t_ms, {_SIG.format('((wl - 5000) / 800)')} AS p FROM sc)"
-_GATE = """gt AS (SELECT session, 0::BIGINT AS i, 0::BIGINT AS t_ms, false AS active, NULL::BOOLEAN AS pending, 0::BIGINT AS cnt, 0::BIGINT AS start_ms, 0::BIGINT AS until_ms, NULL::VARCHAR AS phase, 0::BIGINT AS dur, 0::BIGINT AS ev_start FROM (SELECT DISTINCT session FROM ps)
+_PSC = f"{_E}, sc AS (SELECT session, t_ms, row_number() OVER (PARTITION BY session ORDER BY t_ms) AS i, waveform_length AS wl FROM ft), ps AS (SELECT session, i, t_ms, {_SIG.format('((wl - 5000) / 800)')} AS p, 0.6::DOUBLE AS en, 0.4::DOUBLE AS ex, 1 AS ed, 2 AS rd, 20 AS me, 80 AS rf FROM sc), fin AS (SELECT session, arg_max(t_ms, arrival_seq) AS final FROM s GROUP BY session)"
+#: Events of ``ps`` by the gates in it; ``ge0`` as live runs see them, ``ge`` with open presses closed at the last sample.
+_GATE = """gt AS (SELECT session, 0::BIGINT AS i, 0::BIGINT AS t_ms, false AS active, NULL::BOOLEAN AS pending, 0::BIGINT AS cnt, 0::BIGINT AS start_ms, 0::BIGINT AS until_ms, NULL::VARCHAR AS phase, 0::BIGINT AS dur, 0::BIGINT AS ev_start, 0::INTEGER AS me FROM (SELECT DISTINCT session FROM ps)
  UNION ALL SELECT session, i, t_ms, CASE WHEN go THEN target ELSE active END, CASE WHEN go OR target = active THEN NULL ELSE target END, CASE WHEN go OR target = active THEN 0 ELSE c2 END,
-   CASE WHEN go AND target THEN t_ms ELSE start_ms END, CASE WHEN go AND NOT target THEN t_ms + 80 ELSE until_ms END,
-   CASE WHEN go THEN CASE WHEN target THEN 'down' WHEN greatest(t_ms - start_ms, 0) >= 20 THEN 'up' ELSE 'cancel' END END, CASE WHEN go AND NOT target THEN greatest(t_ms - start_ms, 0) ELSE 0 END, CASE WHEN target THEN t_ms ELSE start_ms END
- FROM (SELECT *, target <> active AND c2 >= CASE WHEN target THEN 1 ELSE 2 END AS go FROM (SELECT *, CASE WHEN pending = target THEN cnt + 1 ELSE 1 END AS c2 FROM (
-   SELECT g.session, g.i, g.t_ms, gt.active, gt.pending, gt.cnt, gt.start_ms, gt.until_ms, (CASE WHEN gt.active THEN g.p > 0.4 ELSE g.p >= 0.6 END) AND g.t_ms >= gt.until_ms AS target FROM gt JOIN ps g ON g.session = gt.session AND g.i = gt.i + 1)))),
-ge AS (SELECT session, i, phase, ev_start AS start_ms, t_ms AS end_ms, dur AS duration_ms FROM gt WHERE phase IS NOT NULL
- UNION ALL SELECT session, i + 1, CASE WHEN greatest(t_ms - start_ms, 0) >= 20 THEN 'up' ELSE 'cancel' END, start_ms, t_ms, greatest(t_ms - start_ms, 0) FROM gt WHERE active AND i = (SELECT max(i) FROM ps x WHERE x.session = gt.session)),
+   CASE WHEN go AND target THEN t_ms ELSE start_ms END, CASE WHEN go AND NOT target THEN t_ms + rf ELSE until_ms END,
+   CASE WHEN go THEN CASE WHEN target THEN 'down' WHEN greatest(t_ms - start_ms, 0) >= me THEN 'up' ELSE 'cancel' END END, CASE WHEN go AND NOT target THEN greatest(t_ms - start_ms, 0) ELSE 0 END, CASE WHEN target THEN t_ms ELSE start_ms END, me
+ FROM (SELECT *, target <> active AND c2 >= CASE WHEN target THEN ed ELSE rd END AS go FROM (SELECT *, CASE WHEN pending = target THEN cnt + 1 ELSE 1 END AS c2 FROM (
+   SELECT g.session, g.i, g.t_ms, g.ed, g.rd, g.me, g.rf, gt.active, gt.pending, gt.cnt, gt.start_ms, gt.until_ms, (CASE WHEN gt.active THEN g.p > g.ex ELSE g.p >= g.en END) AND g.t_ms >= gt.until_ms AS target FROM gt JOIN ps g ON g.session = gt.session AND g.i = gt.i + 1)))),
+ge0 AS (SELECT session, i, phase, ev_start AS start_ms, t_ms AS end_ms, dur AS duration_ms FROM gt WHERE phase IS NOT NULL),
+lf AS (SELECT session, max(i) AS last FROM ps GROUP BY session),
+ge AS (SELECT * FROM ge0 UNION ALL SELECT session, i + 1, CASE WHEN greatest(final - start_ms, 0) >= me THEN 'up' ELSE 'cancel' END, start_ms, final, greatest(final - start_ms, 0) FROM gt JOIN fin USING (session) JOIN lf USING (session) WHERE active AND i = last),
 ev AS (SELECT session, row_number() OVER (PARTITION BY session ORDER BY i) AS ord, phase, start_ms, end_ms, duration_ms FROM ge),
 sw AS (SELECT session, ord, phase, CASE WHEN phase = 'down' THEN start_ms ELSE end_ms END AS t_ms, CASE WHEN phase = 'down' THEN 0 ELSE duration_ms END AS duration_ms, 'active' AS source_state FROM ev)"""
 _RPS = _PSC.replace("WITH", "WITH RECURSIVE", 1)
 GATE = decide.Gate(enter_dwell=1, release_dwell=2, min_event_ms=20)
 
 
+def _ends(spark, sf) -> DataFrame:
+    return decide.session_ends(B.samples(spark, sf))
+
+
+def _edges(spark, sf) -> DataFrame:
+    return decide.edge_events(_scored(spark, sf), GATE, _ends(spark, sf))
+
+
 def _scored(spark, sf) -> DataFrame:
     return _feature_frames(spark, sf).select("session", "ord_frame", "t_ms", C.threshold_score(F.col("waveform_length"), 5000.0, 800.0).alias("p"))
 
@@ -453,33 +513,39 @@ def hysteresis(spark, sf):
 @query(f"{_RPS}, {_GATE} SELECT session, ord, phase, start_ms, end_ms, duration_ms FROM ev")
 def decision_events(spark, sf):
     """O-DEC-2..6, O-DEC-9."""
-    return decide.edge_events(_scored(spark, sf), GATE)
+    return _edges(spark, sf)
 
 
 @query(f"{_RPS}, {_GATE} SELECT session, ord, phase, t_ms, duration_ms, source_state FROM sw")
 def switch_events(spark, sf):
     """O-PRJ-12."""
-    return decide.switch_events(decide.edge_events(_scored(spark, sf), GATE))
+    return decide.switch_events(_edges(spark, sf))
 
 
-@query(f"""{_RPS}, {_GATE} SELECT session, ord, '{{"phase":"' || phase || '","t_ms":' || t_ms || ',"duration_ms":' || duration_ms || ',"source_state":"active"}}' AS json FROM sw""")
+@query(f"""{_RPS}, {_GATE} SELECT session, ord, '{{"type":"switch","phase":"' || phase || '","t_ms":' || t_ms || ',"duration_ms":' || duration_ms || ',"source_state":"active"}}' AS json FROM sw""")
 def event_json(spark, sf):
     """O-PRJ-13, O-SNK-2/3."""
-    rows = decide.switch_events(decide.edge_events(_scored(spark, sf), GATE))
-    return rows.select("session", "ord", F.to_json(F.struct("phase", "t_ms", "duration_ms", "source_state")).alias("json"))
+    return decide.event_json(decide.switch_events(_edges(spark, sf)))
+
+
+@query(f"{_RPS}, {_GATE} SELECT session, i AS ord_frame, t_ms, active::INTEGER AS active FROM gt WHERE i > 0")
+def frame_states(spark, sf):
+    """O-DEC-7/10."""
+    scored = _scored(spark, sf).withColumn("ord_frame", F.row_number().over(Window.partitionBy("session").orderBy("t_ms")).cast("bigint"))
+    return decide.frame_states(scored, GATE).select("session", "ord_frame", "t_ms", "active")
 
 
 @query(f"{_RPS}, {_GATE} SELECT session, ord, count(*) FILTER (phase = 'up') OVER w AS clicks, last_value(CASE WHEN phase = 'up' THEN duration_ms END IGNORE NULLS) OVER w AS last_duration_ms FROM sw WINDOW w AS (PARTITION BY session ORDER BY ord)")
 def click_counts(spark, sf):
     """O-AGG-15, O-DEC-10."""
-    return decide.click_counts(decide.switch_events(decide.edge_events(_scored(spark, sf), GATE))).select("session", "ord", "clicks", "last_duration_ms")
+    return decide.click_counts(decide.switch_events(_edges(spark, sf))).select("session", "ord", "clicks", "last_duration_ms")
 
 
 @query(f"{_RPS}, {_GATE}, fl AS (SELECT session, end_ms AS t_ms, bool_or(phase = 'down') AS down, bool_or(phase = 'up') AS up FROM ev GROUP BY ALL) SELECT session, t_ms, coalesce(down, false) AS down, coalesce(up, false) AS up FROM ps LEFT JOIN fl USING (session, t_ms)")
 def overlay_flags(spark, sf):
     """O-DEC-11, O-PRJ-20."""
     scored = _scored(spark, sf)
-    flags = decide.edge_events(scored, GATE).groupBy("session", F.col("end_ms").alias("t_ms")).agg(F.bool_or(F.col("phase") == "down").alias("down"), F.bool_or(F.col("phase") == "up").alias("up"))
+    flags = decide.edge_events(scored, GATE, _ends(spark, sf)).groupBy("session", F.col("end_ms").alias("t_ms")).agg(F.bool_or(F.col("phase") == "down").alias("down"), F.bool_or(F.col("phase") == "up").alias("up"))
     none = F.lit(False)
     return scored.select("session", "t_ms").join(flags, ["session", "t_ms"], "left").withColumns({"down": F.coalesce("down", none), "up": F.coalesce("up", none)})
 
@@ -499,8 +565,8 @@ ss AS (SELECT x.session, coalesce(nc.c, 0) AS clicks, coalesce(detected, 0) AS d
   FROM (SELECT DISTINCT session FROM s) x LEFT JOIN nc USING (session) LEFT JOIN hi USING (session) LEFT JOIN ca USING (session) LEFT JOIN fd USING (session) LEFT JOIN se USING (session))"""
 
 
-def _session_scores(spark, sf) -> DataFrame:
-    events = decide.switch_events(decide.edge_events(_scored(spark, sf), GATE))
+def _session_scores(spark, sf) -> tuple[DataFrame, DataFrame]:
+    events = decide.switch_events(_edges(spark, sf))
     return evaluate.session_scores(
         B.samples(spark, sf).select("session").distinct(), events, islands.label_intervals(B.label_records(spark, sf)), islands.phase_windows(B.phase_markers(spark, sf)), 20, 20
     )
@@ -509,9 +575,10 @@ def _session_scores(spark, sf) -> DataFrame:
 @query(f"{_RPS}, {_GATE}, {_SCORES} SELECT session, clicks, detected, missed, cancelled, false_rest, false_artifact, false_other, round(rest_seconds, 6) AS rest_seconds, round(artifact_seconds, 6) AS artifact_seconds, coalesce(list_sum(dl), 0)::DOUBLE AS down_sum, coalesce(list_sum(ul), 0)::DOUBLE AS up_sum, coalesce(list_sum(de), 0)::DOUBLE AS error_sum FROM ss")
 def session_scores(spark, sf):
     """O-AGG-9, O-EVL-9, O-PRJ-16."""
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
-    rows = _session_scores(spark, sf).withColumns({"down_sum": total("down_latencies"), "up_sum": total("up_latencies"), "error_sum": total("duration_errors")})
-    return rounded(rows, "rest_seconds", "artifact_seconds").drop("down_latencies", "up_latencies", "duration_errors")
+    scores, hits = _session_scores(spark, sf)
+    sums = hits.groupBy("session").agg(F.sum("down_latency").alias("down_sum"), F.sum("up_latency").alias("up_sum"), F.sum("duration_error").alias("error_sum"))
+    rows = scores.join(sums, "session", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("down_sum", "up_sum", "error_sum")})
+    return rounded(rows, "rest_seconds", "artifact_seconds")
 
 
 @query(f"""{_RPS}, {_GATE}, {_SCORES}, t AS (SELECT count(*) AS sessions, sum(clicks)::BIGINT AS clicks, sum(detected)::BIGINT AS detected, sum(missed)::BIGINT AS missed, sum(cancelled)::BIGINT AS cancelled, sum(false_rest)::BIGINT AS false_rest, sum(false_artifact)::BIGINT AS false_artifact, sum(rest_seconds) AS rs, sum(artifact_seconds) AS ar, flatten(list(dl)) AS dl, flatten(list(ul)) AS ul, flatten(list(de)) AS de FROM ss)
@@ -519,7 +586,7 @@ SELECT sessions, clicks, detected, missed, cancelled, false_rest, false_artifact
  round(CASE WHEN clicks > 0 THEN detected / clicks ELSE 0 END, 6)::DOUBLE AS detection_rate, round(CASE WHEN rs > 0 THEN false_rest / (rs / 60) ELSE 0 END, 6)::DOUBLE AS false_rest_per_min, round(CASE WHEN ar > 0 THEN false_artifact / (ar / 60) ELSE 0 END, 6)::DOUBLE AS false_artifact_per_min FROM t""")
 def aggregate_scores(spark, sf):
     """O-AGG-10, O-PRJ-17."""
-    rows = evaluate.aggregate_scores(_session_scores(spark, sf))
+    rows = evaluate.aggregate_scores(*_session_scores(spark, sf))
     return rounded(rows, "rest_seconds", "artifact_seconds", "down_latency_mean", "detection_rate", "false_rest_per_min", "false_artifact_per_min")
 
 
@@ -529,17 +596,34 @@ def loso_threshold(spark, sf):
     return rounded(evaluate.loso_models(_examples(spark, sf), B.samples(spark, sf).select("session").distinct(), "waveform_length"), "f1")
 
 
-@query()
+_GRID = "gd AS (SELECT (((e.i * 2 + x.i) * 3 + m.i) * 2 + d.i)::INTEGER AS config, e.v AS en, x.v AS ex, m.v AS me, d.v AS ed FROM (VALUES (0, 0.6::DOUBLE), (1, 0.7), (2, 0.8)) e(i, v), (VALUES (0, 0.4::DOUBLE), (1, 0.5)) x(i, v), (VALUES (0, 50), (1, 120), (2, 200)) m(i, v), (VALUES (0, 2), (1, 3)) d(i, v))"
+#: Sessions under each gate stand for themselves, numbered ``config * 1000000 + session``.
+_SWEEP = f"""{_E.replace('WITH', 'WITH RECURSIVE', 1)}, fo AS (SELECT DISTINCT s.session AS fold FROM s), lo AS (SELECT fold, ex.* FROM fo JOIN ex ON ex.session <> fold), {_TS.replace('KEY', 'fold').replace('SRC', 'lo')}, {_GRID},
+sc AS (SELECT session, t_ms, row_number() OVER (PARTITION BY session ORDER BY t_ms) AS i, waveform_length AS wl FROM ft),
+ps AS (SELECT config * 1000000 + session AS session, i, t_ms, {_SIG.format('((wl - threshold) / softness)')} AS p, en, gd.ex, ed, 2 AS rd, me, 80 AS rf FROM sc JOIN th ON k = session, gd),
+fin AS (SELECT config * 1000000 + session AS session, arg_max(t_ms, arrival_seq) AS final FROM s, gd GROUP BY ALL), {_GATE},
+lx AS (SELECT config * 1000000 + session AS session, ord, start_ms, end_ms FROM li, gd), px AS (SELECT config * 1000000 + session AS session, ord, name, label, start_ms, end_ms FROM pw, gd), sx AS (SELECT DISTINCT config * 1000000 + session AS session FROM s, gd),
+{_SCORES.replace('FROM li', 'FROM lx').replace('LEFT JOIN pw ON', 'LEFT JOIN px pw ON').replace('FROM pw GROUP', 'FROM px GROUP').replace('SELECT DISTINCT session FROM s)', 'SELECT session FROM sx)')},
+t AS (SELECT session // 1000000 AS config, count(*) AS sessions, sum(clicks)::BIGINT AS clicks, sum(detected)::BIGINT AS detected, sum(missed)::BIGINT AS missed, sum(cancelled)::BIGINT AS cancelled, sum(false_rest)::BIGINT AS false_rest, sum(false_artifact)::BIGINT AS false_artifact, sum(rest_seconds) AS rs, sum(artifact_seconds) AS ar, flatten(list(dl)) AS dl, flatten(list(ul)) AS ul, flatten(list(de)) AS de FROM ss GROUP BY ALL),
+z AS (SELECT config::INTEGER AS config, sessions, clicks, detected, missed, cancelled, false_rest, false_artifact, rs AS rest_seconds, ar AS artifact_seconds, coalesce(list_median(dl), 0)::DOUBLE AS down_latency_median, coalesce(list_avg(dl), 0)::DOUBLE AS down_latency_mean, coalesce(list_median(ul), 0)::DOUBLE AS up_latency_median, coalesce(list_median(de), 0)::DOUBLE AS duration_error_median,
+ CASE WHEN clicks > 0 THEN detected / clicks ELSE 0 END::DOUBLE AS detection_rate, CASE WHEN rs > 0 THEN false_rest / (rs / 60) ELSE 0 END::DOUBLE AS false_rest_per_min, CASE WHEN ar > 0 THEN false_artifact / (ar / 60) ELSE 0 END::DOUBLE AS false_artifact_per_min FROM t),
+zr AS (SELECT *, detection_rate >= 0.5 AND down_latency_median <= 20 AS meets_floor FROM z)"""
+_DOUBLES = ("rest_seconds", "artifact_seconds", "down_latency_mean", "detection_rate", "false_rest_per_min", "false_artifact_per_min")
+
+
+@query(f"""{_SWEEP} SELECT zr.* REPLACE ({', '.join(f'round({c}, 6) AS {c}' for c in _DOUBLES)}), row_number() OVER (ORDER BY CASE WHEN meets_floor THEN 0 ELSE 1 END, round(false_rest_per_min, 6), round(false_artifact_per_min, 6), -round(detection_rate, 6), down_latency_median, config) AS rank,
+ en AS enter, ex AS "exit", ed AS enter_dwell, 2 AS release_dwell, me AS min_event_ms, 80 AS refractory_ms FROM zr JOIN gd USING (config)""")
 def decision_sweep(spark, sf):
-    """O-EVL-4..7, O-JOIN-7/8, O-SRT-1, O-LIM-1: all 36 gates over all sessions, ranked; each gate on its own is what
-    ``aggregate_scores`` checks."""
-    grid = evaluate.decision_grid(spark)
-    model = training.threshold_search(_examples(spark, sf), "waveform_length")
-    found = _feature_frames(spark, sf).crossJoin(F.broadcast(model)).select("session", "ord_frame", "t_ms", C.threshold_score(F.col("waveform_length"), F.col("threshold"), F.col("softness")).alias("p"))
-    events = decide.switch_events(decide.edge_events(found.crossJoin(F.broadcast(grid))))
-    sessions = B.samples(spark, sf).select("session").distinct().crossJoin(F.broadcast(grid.select("config")))
-    scores = evaluate.session_scores(sessions, events, islands.label_intervals(B.label_records(spark, sf)), islands.phase_windows(B.phase_markers(spark, sf)), 20, 20)
-    return evaluate.rank_sweep(evaluate.aggregate_scores(scores, ("config",)), 0.5, 20.0).join(grid, "config")
+    """O-EVL-1, 4..7, O-JOIN-7, O-SRT-1, O-LIM-1: every session under the model of the others and each of the 36 gates,
+    ranked."""
+    grid, samples = evaluate.decision_grid(spark), B.samples(spark, sf)
+    names = samples.select("session").distinct()
+    models = evaluate.loso_models(_examples(spark, sf), names, "waveform_length")
+    events = evaluate.replay(_feature_frames(spark, sf), models, "waveform_length", _ends(spark, sf), grid)
+    wanted = names.crossJoin(F.broadcast(grid.select("config")))
+    scores, hits = evaluate.session_scores(wanted, events, islands.label_intervals(B.label_records(spark, sf)), islands.phase_windows(B.phase_markers(spark, sf)), 20, 20)
+    total = rounded(evaluate.aggregate_scores(scores, hits, ("config",)), *_DOUBLES)
+    return evaluate.rank_sweep(total, 0.5, 20.0).join(F.broadcast(grid), "config")
 
 
 @query("""WITH p(idx, name, d, label) AS (VALUES (0, 'SETTLE', 1.0, NULL), (1, 'REST', 2.0, NULL), (2, 'CLICK 1/3', 0.5, 'CLICK'), (3, 'REST', 1.0, NULL), (4, 'CLICK 2/3', 0.5, 'CLICK'), (5, 'REST', 1.0, NULL), (6, 'CLICK 3/3', 0.5, 'CLICK'), (7, 'ARTIFACT_NO_LABEL', 4.0, NULL), (8, 'REST', 2.0, NULL)),
@@ -559,13 +643,90 @@ SELECT session, t_ms, name, label, previous FROM y WHERE b IS NULL OR b <> idx""
 def prompt_markers(spark, sf):
     """O-REC-1/4, O-PRO-1."""
     script = spark.createDataFrame(protocol.build(settle=0.021, rest=0.041, trials=2, press=0.021, gap=0.021, final_rest=0.041, artifact=0.041), protocol.SCHEMA)
-    return protocol.markers(B.samples(spark, sf), script)
+    return protocol.markers(B.samples(spark, sf), script).select("session", "t_ms", "name", "label", "previous")
+
+
+# Recordings
+
+
+_OPEN = """fin AS (SELECT session, arg_max(t_ms, arrival_seq) AS final FROM s GROUP BY session), op AS (SELECT * FROM mk QUALIFY lead(type) OVER (PARTITION BY session ORDER BY seq) IS NULL AND type = 'label_start'),
+al AS (SELECT session, seq, type, t_ms, NULL AS closed_by FROM mk UNION ALL SELECT session, seq + 1, 'label_end', final, 'session_end' FROM op JOIN fin USING (session))
+SELECT session, row_number() OVER (PARTITION BY session ORDER BY seq) AS line, type, 'CLICK' AS label, t_ms, closed_by FROM al"""
+
+
+@query(f"""WITH {B.SQL}, mk AS (SELECT session, arrival_seq AS seq, t_ms, CASE row_number() OVER (PARTITION BY session ORDER BY arrival_seq) % 2 WHEN 1 THEN 'label_start' ELSE 'label_end' END AS type FROM s WHERE event_type IN ('click', 'view')), {_OPEN}""")
+def toggle_labels(spark, sf):
+    """O-REC-2/5, O-ISL-4."""
+    samples = B.samples(spark, sf)
+    return record.toggle_labels(samples, B.controls(spark, sf), _ends(spark, sf)).drop("phase", "duration_s")
+
+
+@query(f"""WITH {B.SQL}, c AS (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY session ORDER BY arrival_seq), 'view') AS b FROM s WHERE event_type IN ('click', 'view')),
+mk AS (SELECT session, arrival_seq AS seq, t_ms, CASE event_type WHEN 'click' THEN 'label_start' ELSE 'label_end' END AS type FROM c WHERE b <> event_type), {_OPEN}""")
+def hold_labels(spark, sf):
+    """O-REC-3/7."""
+    samples = B.samples(spark, sf)
+    return record.hold_labels(samples, B.controls(spark, sf), _ends(spark, sf)).drop("phase", "duration_s")
+
+
+@query(f"""WITH {B.SQL}, p(idx, name, d, label) AS (VALUES (0, 'SETTLE', 0.021, NULL), (1, 'REST', 0.041, NULL), (2, 'CLICK 1/2', 0.021, 'CLICK'), (3, 'REST', 0.021, NULL), (4, 'CLICK 2/2', 0.021, 'CLICK')),
+q AS (SELECT *, sum(d) OVER (ORDER BY idx)::DOUBLE AS e FROM p), x AS (SELECT session, arrival_seq, t_ms, idx, name, label, d FROM s LEFT JOIN q ON t_ms / 1000::DOUBLE >= e - d AND t_ms / 1000::DOUBLE < e),
+y AS (SELECT *, lag(label) OVER w AS pl FROM x WINDOW w AS (PARTITION BY session ORDER BY arrival_seq) QUALIFY row_number() OVER w = 1 OR lag(idx) OVER w IS DISTINCT FROM idx),
+rr AS (SELECT session, arrival_seq, 0 AS i, 'label_end' AS type, pl AS label, t_ms, NULL AS phase, NULL::DOUBLE AS duration_s, 'phase_transition' AS closed_by FROM y WHERE pl IS NOT NULL
+ UNION ALL SELECT session, arrival_seq, 1, CASE WHEN name IS NULL THEN 'prompt_done' ELSE 'prompt_phase' END, label, t_ms, name, d, NULL FROM y
+ UNION ALL SELECT session, arrival_seq, 2, 'label_start', label, t_ms, NULL, NULL, NULL FROM y WHERE label IS NOT NULL
+ UNION ALL SELECT session, max(arrival_seq) + 1, 9, 'label_end', arg_max(label, arrival_seq), max(f), NULL, NULL, 'session_end' FROM y JOIN (SELECT session, max(t_ms) AS f FROM s GROUP BY session) USING (session) GROUP BY session HAVING max(arrival_seq) = max(arrival_seq) FILTER (label IS NOT NULL))
+SELECT session, row_number() OVER (PARTITION BY session ORDER BY arrival_seq, i) AS line, type, label, t_ms, phase, duration_s, closed_by FROM rr""")
+def prompt_labels(spark, sf):
+    """O-REC-1/4, O-JOIN-9."""
+    script = spark.createDataFrame(protocol.build(settle=0.021, rest=0.041, trials=2, press=0.021, gap=0.021, final_rest=0, artifact=0), protocol.SCHEMA)
+    return record.prompt_labels(B.samples(spark, sf), script, _ends(spark, sf), done=True)
+
+
+@query(f"""WITH {B.SQL}, {B.frames_sql('(SELECT * FROM s WHERE arrival_seq % 13 <> 0)')}, g AS (SELECT session, count(*) AS frames FROM fr GROUP BY session), li AS (SELECT session, count(*) // 2 AS a, count(*) % 2 AS b FROM s WHERE event_type IN ('click', 'view') GROUP BY session)
+SELECT session, count(*) FILTER (arrival_seq % 13 <> 0) AS samples, coalesce(any_value(frames), 0) AS frames, coalesce(any_value(a + b), 0) AS labels, count(*) FILTER (arrival_seq % 13 = 0) AS parse_errors, arg_max(t_ms, arrival_seq) FILTER (arrival_seq % 13 <> 0) AS final_t_ms
+FROM s LEFT JOIN g USING (session) LEFT JOIN li USING (session) GROUP BY session""")
+def session_counts(spark, sf):
+    """O-AGG-12."""
+    lines = B.lines(spark, sf)
+    parsed = frames.parsed_lines(lines)
+    made = frames.frames(parsed.withColumn("raw", F.col("raw").cast("double")), "raw", B.WINDOW_MS, B.HOP_MS)
+    labels = record.toggle_labels(B.samples(spark, sf), B.controls(spark, sf), _ends(spark, sf))
+    return record.session_counts(lines, parsed, made, labels)
+
+
+@query("SELECT user_id AS session, count(*) AS n_lines, round(count(*) / greatest(max(epoch(ts)) - min(epoch(ts)), 1e-6), 9) AS lines_per_s FROM events GROUP BY user_id")
+def line_rates(spark, sf):
+    """O-AGG-14."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    rows = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("session"), seconds.alias("host_time_s"))
+    return rounded(record.line_rates(rows), "lines_per_s", digits=9)
+
+
+@query(f"""{_DSP}, z AS (SELECT sr.session, sr.arrival_seq, sr.t_ms, filtered, lf, lf_energy, slope_burst AS burst, rms_state AS level, artifact_ratio, s.raw, s.env FROM sr JOIN s ON s.session = sr.session AND s.arrival_seq = sr.arrival_seq), {B.frames_sql('z', 'filtered', 'lf_energy', 'burst')},
+cz AS (SELECT fr.*, (fr.end_ms + 3) // 4 + 1 AS shut FROM fr)
+SELECT z.session, z.arrival_seq, frame, coalesce(end_ms, z.t_ms) AS t_ms, coalesce(end_ms - {B.WINDOW_MS}, z.t_ms) AS window_start_ms, z.raw, z.env AS env_in, round(coalesce(cz.filtered_raw_hp, filtered), 4) AS filtered_raw_hp, round(coalesce(cz.rms_state, level), 4) AS rms_state,
+ round(coalesce(cz.lf_energy_ratio, artifact_ratio), 4) AS lf_energy_ratio, round(coalesce(cz.slope_burst, burst), 4) AS slope_burst, round(coalesce(cz.waveform_length, 0), 4) AS waveform_length
+FROM z LEFT JOIN cz ON cz.session = z.session AND cz.shut = z.arrival_seq""")
+def monitor_rows(spark, sf):
+    """O-PRJ-20, O-SNK-9."""
+    snap = _snapshots(spark, sf)
+    rows = snap.drop("raw").withColumnRenamed("filtered", "raw")
+    made = frames.frames(rows.drop("segment"), "raw", B.WINDOW_MS, B.HOP_MS, slope="slope_burst", lf="lf_energy")
+    found = record.monitor_rows(snap, made, B.WINDOW_MS, B.HOP_MS).drop("window_end_ms")
+    return rounded(found, "filtered_raw_hp", "rms_state", "lf_energy_ratio", "slope_burst", "waveform_length", digits=4)
+
+
+@query()
+def rest_learning(spark, sf):
+    """O-DSP-16/17; tests hold it against a plain loop."""
+    return dsp.rest_learning(B.samples(spark, sf), F.col("event_type") == "view")
 
 
 # Streams
 
 
-@query(f"{_RPS}, {_GATE} SELECT session, ord, phase, start_ms, end_ms, duration_ms FROM ev WHERE phase <> 'x'".replace("UNION ALL SELECT session, i + 1", "UNION ALL SELECT session, i + 1000000").replace("FROM ev WHERE phase <> 'x'", "FROM ev JOIN (SELECT session AS z, max(i) AS last FROM ge WHERE i < 1000000 GROUP BY session) ON z = session WHERE ord <= (SELECT count(*) FROM ge WHERE ge.session = ev.session AND ge.i < 1000000)"))
+@query(f"{_RPS}, {_GATE} SELECT session, row_number() OVER (PARTITION BY session ORDER BY i) AS ord, phase, start_ms, end_ms, duration_ms FROM ge0")
 def stream_events(spark, sf):
     """O-STR-1/2, O-DEC-9: the same samples as a stream; live runs do not close an open press."""
-    return detector.replay_stream(spark, B.samples(spark, sf).select("session", "arrival_seq", "t_ms", "raw", "env"), detector.Threshold(5000.0, 800.0), GATE, B.WINDOW_MS, B.HOP_MS, filtered=False)
+    return detector.replay_stream(spark, B.samples(spark, sf).select("session", "arrival_seq", "t_ms", "raw", "env"), detector.threshold(5000.0, 800.0), GATE, B.WINDOW_MS, B.HOP_MS, filtered=False)

@@ -21,7 +21,7 @@ class Profile:
     normalization: dict = field(default_factory=lambda: {"center": {}, "scale": {}, "floor": {}})
     model: dict = field(default_factory=dict)
     decision: dict = field(default_factory=dict)
-    feature_config: dict = field(default_factory=dict)
+    feature_config: dict = field(default_factory=lambda: {"window_ms": 120, "hop_ms": 30})
     metadata: dict = field(default_factory=dict)
     feature_hash: str = ""
     detector_mode: str = "binary"
@@ -36,6 +36,7 @@ class Profile:
 
 
 def load(path: str) -> Profile:
+    """A profile from its file; keys that profiles do not have are nothing to it. A wrong hash is an error."""
     data = json.loads(Path(path).read_text())
     known = {f.name for f in fields(Profile)}
     profile = Profile(**{k: v for k, v in data.items() if k in known})
@@ -46,8 +47,13 @@ def load(path: str) -> Profile:
     return profile
 
 
-def save(profile: Profile, path: str, metrics: dict | None = None) -> None:
+def save(profile: Profile, path: str, metrics: dict | None = None, metrics_path: str | None = None) -> None:
+    """The profile, and with ``metrics`` a second file that names it and holds them (O-SNK-4/5)."""
     profile.feature_hash = feature_hash(profile.feature_order)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    body = asdict(profile) if metrics is None else {"profile": asdict(profile), "metrics": metrics}
-    Path(path).write_text(json.dumps(body, indent=2))
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    target.write_text(json.dumps(asdict(profile), indent=2))
+    if metrics is not None:
+        beside = Path(metrics_path) if metrics_path else target.with_suffix(".metrics.json")
+        beside.parent.mkdir(parents=True, exist_ok=True)
+        beside.write_text(json.dumps({"profile": str(path), "metrics": metrics}, indent=2))

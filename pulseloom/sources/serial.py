@@ -9,16 +9,23 @@ import time
 from collections.abc import Callable, Iterator
 from glob import glob
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 #: Device names that are tried, in this order.
-PORT_PATTERNS = ("/dev/cu.usbserial*", "/dev/cu.SLAB_USBtoUART*", "/dev/cu.wchusbserial*", "/dev/cu.usbmodem*", "/dev/ttyUSB*", "/dev/ttyACM*")
-
-
-def find_port(patterns: tuple[str, ...] = PORT_PATTERNS) -> str:
-    found = next((p for pattern in patterns for p in sorted(glob(pattern))), None)
-    if found is None:
-        raise RuntimeError("no device found")
+PORT_PATTERNS = ("/dev/tty.usb*", "/dev/tty.SLAB*", "/dev/tty.wchusbserial*", "/dev/ttyUSB*", "/dev/ttyACM*", "COM*")
+BAUD = 230400
+SAMPLE_HZ = 250
+#: Most bytes that one micro-batch reads.
+MOST_BYTES = 8 << 20
+
+
+def find_port(port: str | None = None, patterns: tuple[str, ...] = PORT_PATTERNS) -> str:
+    """The port that is named, else the first device found."""
+    found = port or next((p for pattern in patterns for p in sorted(glob(pattern))), None)
+    if not found:
+        raise RuntimeError("no serial port found; name one")
     return found
 
 
@@ -55,7 +62,8 @@ class Reconnecting:
 
 
 class LineReader(SimpleDataSourceStreamReader):
-    """Lines of a device file, numbered as they arrive; an offset is a byte position and a line number."""
+    """Lines of a device file, numbered as they arrive; an offset is a byte position and a line number. A device that
+    is not there gives no lines, and the next micro-batch tries again (O-SRC-4). Empty lines are nothing."""
 
     def __init__(self, path: str, session: str) -> None:
         self.path, self.session = path, session
@@ -64,12 +72,17 @@ class LineReader(SimpleDataSourceStreamReader):
         return {"at": 0, "seq": 0}
 
     def _rows(self, start: dict, end: int | None = None) -> tuple[list[tuple], dict]:
-        with open(self.path, "rb") as f:
-            f.seek(start["at"])
-            data = f.read(None if end is None else end - start["at"])
+        try:
+            with open(self.path, "rb") as f:
+                f.seek(start["at"])
+                data = f.read(MOST_BYTES if end is None else end - start["at"])
+        except OSError:
+            if end is not None:
+                raise
+            return [], start
         whole = data[: data.rfind(b"\n") + 1]
         lines = whole.decode("utf-8", "replace").split("\n")[:-1]
-        rows = [(self.session, start["seq"] + i + 1, x) for i, x in enumerate(lines)]
+        rows = [(self.session, start["seq"] + i + 1, x.strip()) for i, x in enumerate(lines) if x.strip()]
         return rows, {"at": start["at"] + len(whole), "seq": start["seq"] + len(lines)}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
@@ -97,11 +110,26 @@ class LineSource(DataSource):
         return LineReader(self.options["path"], self.options.get("session", "live"))
 
 
+def file_lines(spark: SparkSession, path: str, session: str) -> DataFrame:
+    """``(session, arrival_seq, host_time_s, line)`` of a file of device lines. A line may begin with the host's time in
+    seconds and a tab; else its time is its number over the device's rate."""
+    rows = spark.read.text(path).select("value", F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n")).alias("at")).where("trim(value) != ''")
+    numbered = rows.select("value", F.row_number().over(Window.partitionBy(F.lit(session)).orderBy("at")).cast("bigint").alias("arrival_seq"))
+    parts = F.split("value", "\t", 2)
+    host = F.when(F.size(parts) == 2, F.get(parts, 0).try_cast("double"))
+    line = F.when(host.isNotNull(), F.get(parts, 1)).otherwise(F.col("value"))
+    return numbered.select(F.lit(session).alias("session"), "arrival_seq", F.coalesce(host, (F.col("arrival_seq") - 1) / SAMPLE_HZ).alias("host_time_s"), F.trim(line).alias("line"))
+
+
+class PortInUse(RuntimeError):
+    """Another process owns the port."""
+
+
 class PortLock:
     """A lock file with the owner's process id; that of a dead process is taken over."""
 
     def __init__(self, folder: str, port: str) -> None:
-        self.path = os.path.join(folder, re.sub(r"[^A-Za-z0-9._-]+", "_", port).strip("_") + ".lock")
+        self.path = os.path.join(folder, re.sub(r"[^A-Za-z0-9_.-]", "_", port) + ".lock")
         self.port, self.owned = port, False
 
     def acquire(self) -> None:
@@ -114,9 +142,9 @@ class PortLock:
                 return
             except FileExistsError:
                 if self._alive():
-                    raise RuntimeError(f"{self.port} is in use") from None
+                    raise PortInUse(f"{self.port} is in use") from None
                 os.unlink(self.path)
-        raise RuntimeError(f"{self.port} is in use")
+        raise PortInUse(f"{self.port} is in use")
 
     def _alive(self) -> bool:
         try:
@@ -129,6 +157,14 @@ class PortLock:
             return True
 
     def release(self) -> None:
-        if self.owned:
+        """Takes the lock away where it still is this process's own."""
+        if not self.owned:
+            return
+        self.owned = False
+        try:
+            with open(self.path) as f:
+                mine = int(json.load(f)["pid"]) == os.getpid()
+        except (OSError, ValueError, KeyError):
+            return
+        if mine:
             os.unlink(self.path)
-            self.owned = False

@@ -1,28 +1,26 @@
-"""Recorded sessions: folders with ``raw.csv``, ``features.csv``, ``labels.jsonl`` and ``meta.json`` (O-SRC-*, O-SNK-*)."""
+"""Recorded sessions: folders with ``raw.csv``, ``features.csv``, ``labels.jsonl`` and ``meta.json`` (O-SRC-*, O-SNK-*).
+
+Each of them may be one file or a folder of parts, as Spark writes it, with a header in every part.
+"""
 
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
+from fnmatch import fnmatchcase
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.frames import clean_samples
 
-RAW = "host_time_s string, t_ms string, raw string, env string, line string"
+#: Columns of the files, in their order.
+RAW_COLUMNS = ("host_time_s", "t_ms", "raw", "env", "line")
 FEATURE_COLUMNS = ("host_time_s", "t_ms", "window_start_ms", "window_end_ms", "env_in", "filtered_raw_hp", "rms_state", "lf_energy_ratio", "slope_burst", "waveform_length")
 DEBUG_COLUMNS = ("active", "probability", "down", "up")
 RECORD = "type string, label string, host_time_s double, t_ms double, phase string, duration_s double, closed_by string, samples bigint, frames bigint, features bigint, labels bigint, parse_errors bigint"
-
-
-def _session() -> Column:
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-
-
-def _ordered(df: DataFrame) -> DataFrame:
-    """``arrival_seq`` from the place in the file. Files are read whole (one split each), so their lines keep order."""
-    w = Window.partitionBy("session").orderBy("__at")
-    return df.withColumn("arrival_seq", F.row_number().over(w).cast("bigint")).drop("__at")
+#: Cells of a CSV line that are looked at.
+CELLS = 64
 
 
 def usable(session: Column, exclude: tuple[str, ...] = ()) -> Column:
@@ -33,30 +31,62 @@ def usable(session: Column, exclude: tuple[str, ...] = ()) -> Column:
     return out
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of each file with their numbers. A file of a session is one row; sessions are read in parallel."""
-    return spark.read.text(path, wholetext=True).select(_session().alias("session"), F.posexplode(F.split("value", "\r?\n")).alias("__at", "line")).where("trim(line) != ''")
+def _lines(spark: SparkSession, root: str, glob: str, name: str) -> DataFrame:
+    """``(session, __file, __at, line)``: lines in order of ``__at`` within a file. Large files are read in splits; a
+    line's place is that of its split and then its number as it is read."""
+    rows = spark.read.text(f"{root}/{{session=,}}{glob}/{{file=,}}{name}").select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n")).alias("__at")
+    )
+    session = F.regexp_extract("__file", r"([^/]+)/(?:file=)?" + name.replace(".", r"\.") + r"(?:/[^/]*)?$", 1)
+    session = F.regexp_replace(session, "^session=", "")
+    return rows.select(F.url_decode(session).alias("session"), "__file", "__at", F.regexp_replace("value", "\r$", "").alias("line"))
+
+
+def _cells(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """CSV lines by the names in each file's own header; a column that is not there is null. With ``arrival_seq``."""
+    schema = ", ".join(f"c{i} string" for i in range(CELLS))
+    cut = rows.where("trim(line) != ''").select("session", "__file", "__at", F.from_csv("line", schema).alias("c"))
+    cut = cut.select("session", "__file", "__at", F.array(*[F.col(f"c.c{i}") for i in range(CELLS)]).alias("cells"))
+    w = Window.partitionBy("session", "__file").orderBy("__at")
+    headed = cut.withColumns({"head": F.first("cells").over(w), "n": F.row_number().over(w)}).where("n > 1")
+    picked = headed.select("session", "__file", "__at", *[F.get("cells", F.array_position(F.transform("head", lambda x: F.coalesce(x, F.lit(""))), c).cast("int") - 1).alias(c) for c in columns])
+    order = Window.partitionBy("session").orderBy("__file", "__at")
+    return picked.withColumn("arrival_seq", F.row_number().over(order).cast("bigint")).drop("__file", "__at")
+
+
+def session_names(spark: SparkSession, root: str, glob: str = "*", exclude: tuple[str, ...] = (), first: str = "raw.csv", check: bool = True) -> list[str]:
+    """Names, sorted, of the folders that have both ``first`` and ``labels.jsonl`` (O-SRC-9/10): listed by the file
+    system that ``root`` is on, names only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()]
+    wanted = lambda n: fnmatchcase(n, glob) and not n.startswith("_") and not (check and ("bad" in n.lower() or any(x and x in n for x in exclude)))
+    has = lambda n, f: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/{f}"))
+    return sorted(n for n in names if wanted(n) and has(n, first) and has(n, "labels.jsonl"))
 
 
 def read_raw(spark: SparkSession, root: str, glob: str = "*", exclude: tuple[str, ...] = ()) -> DataFrame:
-    """Samples of all usable sessions; rows that are no numbers are dropped (O-SRC-6)."""
-    rows = _lines(spark, f"{root}/{glob}/raw.csv").where(usable(F.col("session"), exclude) & (F.col("__at") > 0))
-    parsed = rows.select("session", "__at", F.from_csv("line", RAW, {"mode": "PERMISSIVE"}).alias("r")).select("session", "__at", "r.t_ms", "r.raw", "r.env")
-    return clean_samples(_ordered(parsed))
+    """Samples of all usable sessions, by the header's names; rows that are no numbers are dropped (O-SRC-6)."""
+    rows = _lines(spark, root, glob, "raw.csv").where(usable(F.col("session"), exclude))
+    return clean_samples(_cells(rows, ("t_ms", "raw", "env")))
 
 
 def read_features(spark: SparkSession, root: str, features: tuple[str, ...], glob: str = "*") -> DataFrame:
-    """``(session, arrival_seq, t_ms, features..)``; a cell that is no number fails the job (O-SRC-7)."""
-    schema = ", ".join(f"{c} string" for c in (*FEATURE_COLUMNS, *DEBUG_COLUMNS))
-    rows = _lines(spark, f"{root}/{glob}/features.csv").where(~F.col("session").startswith("_") & (F.col("__at") > 0))
-    parsed = rows.select("session", "__at", F.from_csv("line", schema).alias("r"))
-    return _ordered(parsed.select("session", "__at", F.col("r.t_ms").cast("double").cast("bigint").alias("t_ms"), *[F.col(f"r.{f}").cast("double").alias(f) for f in features]))
+    """``(session, arrival_seq, t_ms, features..)``, by the header's names; a cell that is no number fails the job
+    (O-SRC-7)."""
+    rows = _cells(_lines(spark, root, glob, "features.csv").where(~F.col("session").startswith("_")), ("t_ms", *features))
+    number = lambda c: F.coalesce(F.trim(c).cast("double"), F.raise_error(F.concat(F.lit(f"no number in {c}: "), F.coalesce(F.col(c), F.lit("null")))).cast("double"))
+    return rows.select("session", "arrival_seq", number("t_ms").cast("bigint").alias("t_ms"), *[number(f).alias(f) for f in features])
 
 
 def read_labels(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     """``(session, line, type, ..)`` of all label records, times as whole numbers (O-SRC-8); a broken line fails."""
-    rows = _lines(spark, f"{root}/{glob}/labels.jsonl").select("session", F.col("__at").cast("bigint").alias("line"), F.from_json("line", RECORD, {"mode": "FAILFAST"}).alias("r"))
-    return rows.select("session", "line", "r.*").withColumn("t_ms", F.col("t_ms").cast("bigint"))
+    rows = _lines(spark, root, glob, "labels.jsonl").where("trim(line) != ''")
+    w = Window.partitionBy("session").orderBy("__file", "__at")
+    parsed = rows.select("session", F.row_number().over(w).cast("bigint").alias("n"), F.from_json("line", RECORD, {"mode": "FAILFAST"}).alias("r"))
+    return parsed.select("session", F.col("n").alias("line"), "r.*").withColumn("t_ms", F.col("t_ms").cast("bigint"))
 
 
 def label_intervals_of(records: DataFrame) -> DataFrame:
@@ -65,11 +95,45 @@ def label_intervals_of(records: DataFrame) -> DataFrame:
 
 def markers_of(records: DataFrame) -> DataFrame:
     """Phase markers for ``islands.phase_windows``."""
-    return records.where("type = 'phase'").select("session", "line", F.col("phase").alias("name"), "label", "t_ms", "duration_s")
+    return records.where("type = 'prompt_phase'").select("session", "line", F.coalesce("phase", F.lit("")).alias("name"), "label", "t_ms", "duration_s")
+
+
+def default_name(now: datetime | None = None) -> str:
+    """A session's name where none is given (O-SNK-11)."""
+    return (now or datetime.now()).strftime("%Y%m%d-%H%M%S")
+
+
+def meta(port: str, baud: int, label_mode: str, label: str, source: str, label_keys: list[str] | None = None, label_key: str | None = None, quit_key: str | None = None, notes: str = "") -> str:
+    """``meta.json`` (O-SNK-10): what a session must say, and what is given."""
+    body = {
+        "schema_version": 1, "created_at_utc": datetime.now(timezone.utc).isoformat(), "port": port, "baud": baud, "serial_contract": "t raw env", "label_schema": "interval_v1",
+        "label_mode": label_mode, "label": label, "source": source, "files": {"raw": "raw.csv", "features": "features.csv", "labels": "labels.jsonl"},
+    }
+    optional = {"label_keys": label_keys, "label_key": label_key, "quit_key": quit_key, "notes": notes or None}
+    return json.dumps(body | {k: v for k, v in optional.items() if v is not None}, indent=2)
+
+
+def write_session(path: str, raw: DataFrame, features: DataFrame, labels: DataFrame, described: str, order: tuple[str, ...] = ("t_ms",)) -> None:
+    """One session's folder (O-SNK-1): ``raw.csv``, ``features.csv`` (headers and columns as fixed), ``labels.jsonl`` and
+    ``meta.json``, each as Spark writes it. An existing folder is an error. ``labels`` come with ``line``, their order."""
+    spark = raw.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        raise FileExistsError(path)
+    spark.createDataFrame([(described,)], "value string").coalesce(1).write.text(f"{path}/meta.json")
+    raw.orderBy("arrival_seq").select(*RAW_COLUMNS).write.option("header", True).csv(f"{path}/raw.csv")
+    features.orderBy(*order).select(*FEATURE_COLUMNS, *[c for c in DEBUG_COLUMNS if c in features.columns]).write.option("header", True).csv(f"{path}/features.csv")
+    write_json_lines(labels.orderBy("line").drop("session", "line"), f"{path}/labels.jsonl")
+
+
+def write_rows(rows: DataFrame, root: str, name: str, order: tuple[str, ...]) -> None:
+    """Rows of many sessions as CSV, in folders ``session=.../file=name`` that the readers know too; one shuffle."""
+    placed = rows.withColumn("file", F.lit(name)).repartition("session").sortWithinPartitions("session", *order)
+    placed.write.mode("error").option("header", True).partitionBy("session", "file").csv(root)
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
-    """One folder for each session, as columns (O-SNK-1); an existing path is an error."""
+    """Many sessions as columns, one folder for each; an existing path is an error."""
     samples.write.mode("error").partitionBy("session").parquet(path)
 
 
@@ -78,17 +142,14 @@ def write_json_lines(events: DataFrame, path: str) -> None:
     events.select(F.to_json(F.struct(*events.columns)).alias("value")).write.mode("error").text(path)
 
 
-def write_report(parts: list[DataFrame], path: str) -> None:
-    """Rows of all parts under the sorted union of their columns (O-SNK-6)."""
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p, allowMissingColumns=True)
-    whole.select(*sorted(whole.columns)).write.mode("error").option("header", True).csv(path)
-
+def report(rows: list[dict]) -> str:
+    """CSV text of rows under the sorted union of their keys; no rows, no text (O-SNK-6)."""
+    import csv
+    import io
 
-def meta(protocol: list[tuple] | None = None, **optional) -> str:
-    """``meta.json``: the version, and what is given and not empty (O-SNK-10)."""
-    kept = {k: v for k, v in optional.items() if v not in (None, "", [], {})}
-    if protocol:
-        kept["prompt_protocol"] = [dict(zip(("idx", "name", "duration_s", "label"), p)) for p in protocol]
-    return json.dumps({"schema_version": 1, **kept}, indent=2)
+    out = io.StringIO()
+    if rows:
+        writer = csv.DictWriter(out, sorted({k for r in rows for k in r}))
+        writer.writeheader()
+        writer.writerows(rows)
+    return out.getvalue()

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests), a local folder."""
+    """``spark.checkpoint.dir`` of the session. A local session without one gets a temporary folder; on a cluster that
+    would scatter tables over its machines, so it is an error there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (found or "file://" + os.path.join(tempfile.gettempdir(), "pulseloom-shared")).rstrip("/")
 
 

@@ -9,7 +9,6 @@ import pickle
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp
 from statistics import median
 
 import pandas as pd
@@ -18,20 +17,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.decide import EVENTS, Gate, GateState, commit, decide
 from ..operators.dsp import FilterConfig, FilterState, step
+from ..operators.score import FrameModel
+from ..sources.profiles import Profile
 from ..sources.shared import shared_dir
 
 
-@dataclass(frozen=True)
-class Threshold:
+def threshold(value: float, softness: float, feature: str = "waveform_length") -> FrameModel:
     """A threshold model of one frame feature."""
-
-    threshold: float
-    softness: float
-    feature: str = "waveform_length"
-
-    def __call__(self, frame: dict) -> float:
-        x = (frame[self.feature] - self.threshold) / max(self.softness, 1e-6)
-        return 1.0 / (1.0 + exp(-x)) if x >= 0 else exp(x) / (1.0 + exp(x))
+    return FrameModel(Profile("threshold", [feature], model={"feature": feature, "threshold": value, "softness": softness}))
 
 
 @dataclass
@@ -41,8 +34,10 @@ class Detector:
     gate: GateState = field(default_factory=GateState)
     filters: FilterState = field(default_factory=FilterState)
     points: list = field(default_factory=list)
+    memory: list = field(default_factory=list)
     next_end: int | None = None
     last_t: int | None = None
+    probability: float = 0.0
 
     def update(self, t: int, raw: int, model, gate: Gate, window_ms: int, hop_ms: int, filtered: bool) -> list[tuple]:
         window_ms, hop_ms = max(window_ms, 20), max(hop_ms, 10)
@@ -52,18 +47,22 @@ class Detector:
             self.next_end = t + window_ms
         self.last_t = t
         made = step(self.filters, FilterConfig(), t, float(raw)) if filtered else (float(raw),) + (0.0,) * 9
-        self.points.append((t, made[0], made[6]))
+        # (time, value, slope burst, low-frequency energy)
+        self.points.append((t, made[0], made[6], made[4]))
         out = []
         while t >= self.next_end:
             inside = [p for p in self.points if self.next_end - window_ms <= p[0] <= self.next_end]
             if len(inside) >= 2:
                 values = [p[1] for p in inside]
+                level = lambda i: (sum(p[i] * p[i] for p in inside) / len(inside)) ** 0.5
                 frame = {
                     "waveform_length": float(sum(abs(b - a) for a, b in zip(values, values[1:]))),
-                    "rms": (sum(v * v for v in values) / len(values)) ** 0.5,
-                    "slope_median": float(median(p[2] for p in inside)),
+                    "rms_state": level(1),
+                    "slope_burst": float(median(p[2] for p in inside)),
+                    "lf_energy_ratio": level(3) / max(level(1), 1e-6),
                 }
-                event = decide(self.gate, gate, self.next_end, model(frame))
+                self.probability = model(frame, self.memory)
+                event = decide(self.gate, gate, self.next_end, self.probability)
                 if event:
                     self.gate.ord += 1
                     out.append((self.gate.ord, *event))
@@ -73,11 +72,11 @@ class Detector:
         return out
 
     def flush(self, gate: Gate) -> list[tuple]:
-        """Closes an open press at the last frame."""
+        """Closes an open press at the last sample."""
         if not self.gate.active:
             return []
         self.gate.ord += 1
-        return [(self.gate.ord, *commit(self.gate, gate, False, self.gate.last_t))]
+        return [(self.gate.ord, *commit(self.gate, gate, False, self.last_t))]
 
 
 #: Most rows of a session in a micro-batch of a replay.
@@ -86,13 +85,14 @@ COLUMNS = ["ord", "phase", "start_ms", "end_ms", "duration_ms"]
 
 
 def detect(samples: DataFrame, model, gate: Gate = Gate(), window_ms: int = 120, hop_ms: int = 30, filtered: bool = True) -> DataFrame:
-    """Events of a stream of ``(session bigint, arrival_seq, t_ms, raw)``; no watermark, state without end, and no
-    flush, as live runs have it. Rows of a micro-batch are taken in the order of ``arrival_seq``; those of a session are
-    held together, so a micro-batch must not hold more of them than a task can."""
+    """Events of a stream of ``(session, arrival_seq, t_ms, raw)``; no watermark, state without end, and no flush, as
+    live runs have it. ``model(frame, memory)`` may be any callable of that form. Rows of a micro-batch are taken in the
+    order of ``arrival_seq``; those of a session are held together, so a micro-batch must not hold more of them than a
+    task can."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         detector = pickle.loads(state.get[0]) if state.exists else Detector()
-        rows = pd.concat(list(batches)).sort_values("arrival_seq")
+        rows = pd.concat(list(batches)).dropna(subset=["t_ms", "raw"]).sort_values("arrival_seq")
         found = [e for t, raw in zip(rows["t_ms"].tolist(), rows["raw"].tolist()) for e in detector.update(t, raw, model, gate, window_ms, hop_ms, filtered)]
         state.update((pickle.dumps(detector),))
         yield pd.DataFrame([(key[0], *e) for e in found], columns=["session", *COLUMNS])

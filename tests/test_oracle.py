@@ -7,10 +7,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from pulseloom.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
-CORE = sorted(k for k in SQL if not k.startswith("op") and k != "pipeline")
+CORE = sorted(SQL.keys() & catalogue.queries().keys())
 
 
 def canonical(df):
