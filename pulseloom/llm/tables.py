@@ -45,22 +45,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``stored`` wrote and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(u, v)`` by alternating large-star and small-star rounds.
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges(u, v)`` by alternating large-star and small-star rounds, until they settle.
 
     Returns ``(node, component)`` for every node that is not the smallest of its component, with that smallest one.
-    Nodes that are not there are their own component. Every round is two aggregations and two equi-joins whose sizes are those of the edges; a hub's
-    edges are pre-aggregated for the minimum, and its join partition can be split. Nulls are left out.
+    Nodes that are not there are their own component. Every round is two aggregations and two equi-joins whose sizes
+    are those of the edges; a hub's edges are pre-aggregated for the minimum, and its join partition can be split.
+    Nulls are left out.
     """
-    now = written(
-        edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
-    mark = None
-    for _ in range(max_rounds):
+    spark = edges.sparkSession
+    path = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    mark, kind = None, dict(edges.dtypes)["u"]
+    while True:
+        now = spark.read.schema(f"u {kind}, v {kind}").parquet(path)
+        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if new == mark:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        mark = new
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -70,9 +81,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = written(small, "edges")
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = new
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        before, path = path, stored(small, "edges")
+        discard(spark, before)
