@@ -521,10 +521,71 @@ def test_quality_bounds():
     for n, p in ((10, 0.1), (300, 0.01)):
         for k in (0, 1, 5, n):
             assert quality.tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
-    clean, bad = np.zeros(201, int), np.zeros(201, int)
-    clean[0], bad[150] = 2000, 500
-    assert quality.choose(clean, clean, bad, 0.01, 0.001, 10) == 150
-    assert quality.choose(clean // 100, clean, bad, 0.01, 0.001, 10) is None
+    steps = len(quality.STEPS)
+    clean, bad = np.zeros((8, 201), int), np.zeros((8, 201), int)
+    clean[:, 0], bad[:, 0], bad[2, 0], bad[2, 150] = 2000, 500, 0, 500
+    assert quality.path(clean, bad, 10) == [[None, None, 1, None, None, None, None, None]] * steps
+    few = lambda *x: np.array([*x, *[0] * (steps - len(x) + 1)])
+    none = lambda n: np.array([0] * steps + [n])
+    # Eight rules that reject one clean document in a hundred each are not certified together.
+    assert quality.certified(none(2000), none(2000), few(500), 0.01, 0.01, 10) == 0
+    assert quality.certified(few(0, 160) + none(1840), none(2000), few(100, 400), 0.01, 0.01, 10) == 0
+    assert quality.certified(few(160) + none(1840), none(2000), few(500), 0.01, 0.01, 10) is None
+    assert quality.certified(none(20), none(2000), few(500), 0.01, 0.01, 10) is None
+
+
+def plain_kept(docs, marks, epsilon=0.01, delta=0.05, weight=10.0):
+    """``kept`` of every document by loops over all labelled texts."""
+    measured = {d["doc_id"]: quality.measure(d["text"]) for d in docs}
+    base = {i: m[0] < 20 or 100 * m[4] > 30 * m[0] for i, m in measured.items()}
+    labels = collections.defaultdict(list)
+    for i, q in marks:
+        if i in measured and q is not None and not base[i]:
+            d = next(d for d in docs if d["doc_id"] == i)
+            labels[(d["lang"] or "", d["key"])].append((q == 1, measured[i][5:]))
+    strata = {s for s, _ in labels}
+    chosen = {}
+    for s in strata:
+        halves = {True: [], False: []}
+        for (of, key), rows in labels.items():
+            if of == s:
+                halves[key % 2 == 0].append((all(c for c, _ in rows), rows[0][1]))
+        hold = [x for c, x in halves[True] if c]
+        good, poor = [x for c, x in halves[False] if c], [x for c, x in halves[False] if not c]
+        best = 0.0
+        for step in quality.STEPS:
+            cuts = []
+            for r in range(8):
+                cut = next((c for c in range(1, 201) if sum(x[r] >= c for x in good) <= step * max(len(good), 1)), None)
+                helps = cut and sum(x[r] >= cut for x in poor) / max(len(poor), 1) > weight * sum(x[r] >= cut for x in good) / max(len(good), 1)
+                cuts.append(cut if helps else 201)
+            hit = lambda rows, cuts=cuts: sum(any(a >= b for a, b in zip(x, cuts)) for x in rows)
+            k, n = hit(hold), len(hold)
+            if not n or sum(math.comb(n, i) * epsilon**i * (1 - epsilon) ** (n - i) for i in range(k + 1)) > delta / len(strata):
+                break
+            gain = hit(poor) / max(len(poor), 1) - weight * hit(good) / max(len(good), 1)
+            if gain > best + 1e-12:
+                best, chosen[s] = gain, cuts
+    return {d["doc_id"]: not base[d["doc_id"]] and not any(a >= b for a, b in zip(measured[d["doc_id"]][5:], chosen.get(d["lang"] or "", [201] * 8))) for d in docs}
+
+
+def test_quality_against_brute_force(spark):
+    rng = random.Random(24)
+    rows, labels = [], []
+    for i in range(2600):
+        bad = rng.random() < 0.3
+        words = [w + rng.choice(["###", "!", "1", ""]) * (rng.random() < (0.5 if bad else 0.0002)) for w in prose(rng, rng.randrange(15, 40)).split()]
+        text = " ".join(words) if i % 9 else rows[i // 2][1] if i else ""
+        rows.append((i, text, "en" if i % 4 else None, "s", 0))
+        labels += [(i, None if i % 50 == 0 else int(not bad))] * (1 + (i % 70 == 0))
+    df = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = {d["doc_id"]: d["kept"] for d in local(quality.judge(df, marks))}
+    # The split's hash of the text's hash is Spark's.
+    key = {d["doc_id"]: d["k"] for d in local(df.select("doc_id", F.xxhash64(F.xxhash64("text")).alias("k")))}
+    docs = [{**d, "key": key[d["doc_id"]]} for d in local(df)]
+    assert got == plain_kept(docs, labels)
+    assert 0 < sum(not v for v in got.values()) - sum(d["base_failed"] for d in local(quality.judge(df, marks)))
 
 
 def test_quality(spark):
@@ -547,6 +608,20 @@ def test_quality(spark):
     assert quality.judge(empty(spark, df), marks).count() == 0
 
 
+def test_audio_alignment_of_altered_and_short_recordings():
+    rng = np.random.default_rng(23)
+    query = rng.integers(0, 1 << 32, 40, dtype=np.uint32)
+    others = rng.integers(0, 1 << 32, (50, 60), dtype=np.uint32)
+    for i in range(10):
+        # Every integer is altered, so that no two neighbours are equal.
+        others[i, 7 + i : 47 + i] = query ^ np.array([np.bitwise_or.reduce(np.uint32(1) << rng.choice(32, 8, replace=False).astype(np.uint32)) for _ in query], np.uint32)
+    hit, at, size, wrong = audio.best_offsets(query, others, 16, 0.3)
+    found = dict(zip(hit.tolist(), zip(at.tolist(), size.tolist(), wrong.tolist())))
+    assert all(found[i] == (7 + i, 40, 8 * 40) for i in range(10))
+    short = audio.best_offsets(query[:5], query[None, :5], 16, 0.3)
+    assert [x.tolist() for x in short] == [[0], [0], [5], [0]] and not len(audio.best_offsets(query[:5], query[None, :6], 16, 0.3)[0])
+
+
 def test_audio(spark):
     rng = np.random.default_rng(11)
     tunes = [rng.normal(0, 0.12, 64).tolist() for _ in range(12)]
@@ -557,6 +632,24 @@ def test_audio(spark):
     part = got[(100, 4)]
     assert part["offset"] == 16 and part["bit_errors"] <= 0.1 * 32 * part["overlap"]
     assert got[(0, 0)]["offset"] == 0 and (0, 1) not in got
+    # Every pair of a query and a class by brute force over all offsets.
+    prints = {d["vec_id"]: np.array(d["prints"], np.int64).astype(np.uint32) for d in local(audio.fingerprints(sounds, "vec_id", "audio")) if d["vec_id"] is not None}
+    reps = {}
+    for i in sorted(prints):
+        if len(prints[i]):
+            reps.setdefault(prints[i].tobytes(), i)
+    expected = set()
+    for q in (i for i in prints if i % 50 == 0 and len(prints[i])):
+        for r in reps.values():
+            a, b, tried = prints[q], prints[r], []
+            for o in range(-len(a) + 1, len(b)):
+                pairs = [(a[j], b[j + o]) for j in range(len(a)) if 0 <= j + o < len(b)]
+                if len(pairs) >= 16 or o == 0 and len(a) == len(b):
+                    wrong = sum(bin(int(x) ^ int(y)).count("1") for x, y in pairs)
+                    tried.append((wrong / len(pairs), o, len(pairs), wrong))
+            if tried and min(tried)[0] <= 0.3 * 32:
+                expected.add((q, r, *min(tried)[1:]))
+    assert {(d["query_id"], d["match_class"], d["offset"], d["overlap"], d["bit_errors"]) for d in got.values()} == expected and len(expected) >= 5
     assert len(audio.pcm(None)[0]) == len(audio.pcm(b"junk")[0]) == 0
     assert len(audio.pcm(b"RIFF....WAVEfmt ")[0]) == 0
     assert audio.search(empty(spark, sounds), F.col("id") % 50 == 0, "vec_id", "audio").count() == 0
