@@ -2,8 +2,9 @@
 
 The model's protobuf is parsed here (a handful of wire-format fields), and its parts are rebuilt: normaliser and
 white-space marker, the scored vocabulary (unigram, or byte-pair merges in the order of the scores), byte fallback
-and the decoder. Batches are encoded by several threads. All ids can be held against the sentencepiece library's own:
-word by word where the model encodes words apart from each other (then equal words mean equal texts), else by text.
+and the decoder. Batches are encoded by several threads; where the model encodes words apart from each other, each
+distinct word of a batch is encoded once. All ids can be held against the sentencepiece library's own, which gets whole
+texts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,15 +132,16 @@ def build(model: Model):
     return out
 
 
-#: Words that a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
-WORDS = 800_000
+#: Bytes of words and ids that a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
+KNOWN_BYTES = 48 << 20
 #: path -> encoder. Python workers outlive their tasks, and what one task met the next one knows.
 _BUILT: dict[str, Encoder] = {}
 
 
 class Encoder:
     """The rebuilt tokenizer, the library's own, and ids by word: where texts are encoded word by word, each distinct
-    word is encoded, decoded again and compared once."""
+    word is encoded and decoded again once. A word is a run of blanks and what follows it, less its first blank, which
+    is the marker that the tokenizer puts before what it gets."""
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
@@ -146,45 +150,88 @@ class Encoder:
         self.tokenizer, self.own = build(model), sentencepiece.SentencePieceProcessor(model_proto=data)
         self.parted = parted(model) and model.dummy_prefix
         self.pieces = [None if t == BYTE else p.replace(MARK, " ") for p, _, t in model.pieces]
-        self.blank = self.tokenizer.token_to_id(MARK)
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
+        blank = self.tokenizer.token_to_id(MARK)
         # A lone blank can't be got by the prefix alone; its marker is a piece.
-        self.words: dict[str, bytes] = {" ": np.array([self.blank if self.blank is not None else 0], np.int32).tobytes()}
-        self.lost: set[str] = set()
-        self.unlike: set[str] = set()
-
-    def _learn(self, words: list[str], verify: bool) -> None:
-        given = [w[1:] for w in words]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
-        for w, x in zip(words, ids):
-            self.words[w] = np.array(x, np.int32).tobytes()
-            parts = [self.pieces[i] for i in x]
-            back = "".join(parts)[1:] if None not in parts else self.tokenizer.decode(x, skip_special_tokens=False)
-            if back != w[1:]:
+        self.lone = {"": np.array([blank if blank is not None else 0], np.int32).tobytes()}
+        self.words, self.lost, self.held = dict(self.lone), set(), 0
+
+    def _encoded(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        """Words and their ids. Those without blanks go together: each begins with the only marker it has."""
+        alone = [w for w in words if not w or " " in w]
+        plain = [w for w in words if w and " " not in w] if alone else words
+        groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = e.ids
+            at = np.flatnonzero(self.begins[np.array(ids)]).tolist()
+            if len(at) != len(group):
+                alone += group
+                continue
+            yield from ((w, ids[x:y]) for w, x, y in zip(group, at, [*at[1:], len(ids)]))
+        yield from ((w, e.ids) for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)))
+
+    def _learn(self, words: list[str]) -> None:
+        pieces = self.pieces
+        for w, ids in self._encoded(words):
+            self.words[w] = np.array(ids, np.int32).tobytes()
+            parts = [pieces[i] for i in ids]
+            back = "".join(parts)[1:] if None not in parts else self.tokenizer.decode(ids, skip_special_tokens=False)
+            if back != w:
                 self.lost.add(w)
-        if verify:
-            self.unlike.update(w for w, x, y in zip(words, ids, self.own.encode(given, num_threads=1)) if x != y)
+            self.held += len(w) + 4 * len(ids) + 170
+
+    def _forget(self) -> None:
+        self.words = self.lone | dict(islice(self.words.items(), len(self.words) // 2))
+        self.held = sum(len(w) + len(x) + 170 for w, x in self.words.items())
+        self.lost &= self.words.keys()
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.words.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        self._learn([words[i] for i in new])
+        for i in new:
+            found[i] = self.words[words[i]]
+        return found
+
+    def _plain(self, texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
+        """Texts without neighbouring or outer blanks: cut, and words told apart, by Arrow."""
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        parts = self._ids(words)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        which = coded.indices.to_numpy()
+        n = size[which]
+        upto = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[which] - (upto - n), n)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(parts), np.int32)[at]
+        bounds = np.cumsum(np.r_[0, pc.list_value_length(cut).to_numpy()])
+        bad = np.r_[0, np.cumsum(np.fromiter((w in self.lost for w in words), np.int64, len(words))[which])][bounds]
+        return np.split(ids, np.r_[0, upto][bounds[1:-1]]), (bad[1:] == bad[:-1]).tolist()
 
     def __call__(self, texts: list[str], verify: bool, threads: int) -> tuple[list[np.ndarray], list[bool | None], list[bool]]:
         """Ids of each text, whether the library has the same (None unless asked), and whether they decode to it."""
-        none = [None] * len(texts)
         if not self.parted:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            same = [x == y for x, y in zip(ids, self.own.encode(texts, num_threads=threads))] if verify else none
-            return [np.array(x, np.int32) for x in ids], same, [x == y for x, y in zip(back, texts)]
-        # The tokenizer puts a marker before what it gets, which is the first blank of each word here.
-        cut = [re.findall(" [ ]*[^ ]*", " " + t.replace(MARK, " ")) if t else [] for t in texts]
-        if len(self.words) > WORDS:
-            for w in list(islice(self.words, WORDS // 2, None)):
-                del self.words[w]
-            self.lost &= self.words.keys()
-            self.unlike &= self.words.keys()
-        new = list({w for ws in cut for w in ws if w not in self.words})
-        for i in range(0, len(new), 4000):
-            self._learn(new[i : i + 4000], verify)
-        whole = [MARK not in t and (not self.lost or self.lost.isdisjoint(ws)) for t, ws in zip(texts, cut)]
-        same = [not self.unlike or self.unlike.isdisjoint(ws) for ws in cut] if verify else none
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, ws)), np.int32) for ws in cut], same, whole
+            ids = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            back = self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+            whole = [x == y for x, y in zip(back, texts)]
+        else:
+            if self.held > KNOWN_BYTES:
+                self._forget()
+            ids, whole = [np.zeros(0, np.int32)] * len(texts), [True] * len(texts)
+            odd = [not t or t[0] == " " or t[-1] == " " or "  " in t or MARK in t for t in texts]
+            plain = [i for i, x in enumerate(odd) if not x]
+            if plain:
+                for i, x, y in zip(plain, *self._plain(pa.array([texts[i] for i in plain], pa.large_string()))):
+                    ids[i], whole[i] = x, y
+            for i in (i for i, x in enumerate(odd) if x and texts[i]):
+                words = [w[1:] for w in re.findall(" [ ]*[^ ]*", " " + texts[i].replace(MARK, " "))]
+                ids[i] = np.frombuffer(b"".join(self._ids(words)), np.int32)
+                whole[i] = MARK not in texts[i] and self.lost.isdisjoint(words)
+        if not verify:
+            return ids, [None] * len(texts), whole
+        return ids, [np.array_equal(np.array(x, np.int32), y) for x, y in zip(self.own.encode(texts, num_threads=threads), ids)], whole
 
 
 def _load(path: str) -> Encoder:
