@@ -5,6 +5,7 @@ import hashlib
 import json
 import math
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -501,13 +502,48 @@ def test_pieces(spark):
     assert back[3] == "  x  y\n\n z\t" and back[2] == "" and back[4] == "日本 🎉\x00"
 
 
-def test_unigram_model():
+def wire(number, value):
+    """A protobuf field: a whole number, a float or bytes."""
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    if isinstance(value, int):
+        return varint(8 * number) + varint(value)
+    if isinstance(value, float):
+        return varint(8 * number + 5) + struct.pack("<f", value)
+    return varint(8 * number + 2) + varint(len(value)) + value
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_model_against_the_library(fallback):
+    import sentencepiece
+
+    rng = random.Random(25)
+    vocab = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256) if fallback]
+    words = {"▁", *"abcdé"} | {"▁" * rng.randrange(2) + "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 5))) for _ in range(60)}
+    vocab += [(w, -1.0 - rng.random() * 5, 1) for w in sorted(words)]
+    data = b"".join(wire(1, wire(1, p.encode()) + wire(2, s) + wire(3, t)) for p, s, t in vocab)
+    data += wire(2, wire(3, 1) + wire(35, int(fallback))) + wire(3, wire(1, b"identity") + wire(3, 1) + wire(4, 0) + wire(5, 1))
+    own, encode = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Encoder(data)
+    assert encode.tokenizer.model.__class__.__name__ == "Unigram"
+    texts = ["".join(rng.choice("abcdé  " + "xß日" * (i % 2)) for _ in range(rng.randrange(40))) for i in range(300)]
+    ids, same, _ = encode(texts, True, 1)
+    assert [x.tolist() for x in ids] == own.encode(texts) and all(same)
+
+
+def test_pieces_of_random_texts_when_words_are_forgotten(monkeypatch):
     import sentencepiece
 
-    vocab = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("▁", -2.0, 1), ("▁a", -1.0, 1), ("b", -1.5, 1), ("ab", -2.0, 1), ("a", -2.5, 1)]
-    tokenizer = pieces.build(pieces.Model(vocab, squeeze=False))
-    assert tokenizer.encode("ab b", add_special_tokens=False).tokens == ["▁a", "b", "▁", "b"]
-    assert sentencepiece.__version__
+    rng, path = random.Random(26), public_tokenizers.path("piece_bpe_32k.model")
+    monkeypatch.setattr(pieces, "KNOWN_BYTES", 3000)
+    with open(path, "rb") as f:
+        encode = pieces.Encoder(f.read())
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    for _ in range(30):
+        texts = ["".join(rng.choice(["the", "a", " ", "  ", "\n", "é", "日", "▁", "x1", ".", " word"]) for _ in range(rng.randrange(60))) for _ in range(20)]
+        ids, same, whole = encode(texts, True, 1)
+        assert [x.tolist() for x in ids] == own.encode(texts) and all(same)
+        assert whole == [own.decode(x.tolist()) == t for x, t in zip(ids, texts)] or any("▁" in t for t in texts)
 
 
 def test_quality_counts():
@@ -572,9 +608,10 @@ def plain_kept(docs, marks, epsilon=0.01, delta=0.05, weight=10.0):
 def test_quality_against_brute_force(spark):
     rng = random.Random(24)
     rows, labels = [], []
+    flags = []
     for i in range(2600):
-        bad = rng.random() < 0.3
-        words = [w + rng.choice(["###", "!", "1", ""]) * (rng.random() < (0.5 if bad else 0.0002)) for w in prose(rng, rng.randrange(15, 40)).split()]
+        flags.append(bad := rng.random() < 0.3 if i % 9 or not i else flags[i // 2])
+        words = [w + rng.choice(["###", "!", "1", ""]) * (rng.random() < (0.5 if bad else 0.00002)) for w in prose(rng, rng.randrange(15, 40)).split()]
         text = " ".join(words) if i % 9 else rows[i // 2][1] if i else ""
         rows.append((i, text, "en" if i % 4 else None, "s", 0))
         labels += [(i, None if i % 50 == 0 else int(not bad))] * (1 + (i % 70 == 0))
