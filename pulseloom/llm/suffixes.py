@@ -137,7 +137,7 @@ class Chunk:
         return self._groups
 
     def distinct(self) -> tuple[np.ndarray, ...]:
-        """Distinct anchor hashes, whether several documents of the chunk have each, a 32-bit digest of its run (zero
+        """Distinct anchor hashes, whether several documents of the chunk have each, a 63-bit digest of its run (zero
         where it has several), and its occurrences."""
         _, _, _, h, doc = self.groups()
         order = np.lexsort((self.digest, h))
@@ -148,7 +148,7 @@ class Chunk:
             return h, np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         several = np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)
         one = digest[at] == digest[end]
-        return h[at], several, np.where(one, (digest[at] >> np.uint64(32)) | np.uint64(1), np.uint64(0)), end - at + 1
+        return h[at], several, np.where(one, digest[at] | np.uint64(1), np.uint64(0)), end - at + 1
 
 
 def classes(text: np.ndarray, least: int = MIN) -> np.ndarray:
