@@ -238,7 +238,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
 
     Rows where ``held_out`` is not true train. Null, empty and blank texts are a lone end token. Repeated rows count
     and are scored each on its own; a null id is allowed; an empty table gives an empty one. Without training rows
-    all counts are zero. Other columns are ignored.
+    all counts are zero. A NUL byte in a text counts as an end within it. Other columns are ignored.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -247,11 +247,13 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     dealt = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out")
     )
-    # A long document fills a chunk by itself; equal ids and texts are dealt out by a hash of both.
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(chunks)).cast("int"))
-    asked = written(dealt.groupBy("chunk").applyInPandas(ask(chunks), "bucket int, chunk int, kind string, keys binary, counts binary"), "tree-asked")
+    # A long document fills a chunk by itself. Different texts of one id, and null ids, are dealt apart by the text.
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
+    # As many partitions as chunks and buckets, so that a task has one or two of them whatever the corpus.
+    apart = lambda rows, key: rows.repartition(chunks, key).groupBy(key)
+    asked = written(apart(dealt, "chunk").applyInPandas(ask(chunks), "bucket int, chunk int, kind string, keys binary, counts binary"), "tree-asked")
     table = written(
-        asked.where("kind != 'gram'").groupBy("bucket").applyInPandas(answer, "chunk int, bucket int, kind string, keys binary, counts binary"), "tree-messages"
+        apart(asked.where("kind != 'gram'"), "bucket").applyInPandas(answer, "chunk int, bucket int, kind string, keys binary, counts binary"), "tree-messages"
     )
     ends = dealt.where("NOT held_out").count()
     totals = [unpack(r["counts"]) for r in table.where("kind = 'total'").select("counts").toLocalIterator()]
@@ -260,7 +262,7 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     short = [(unpack_sorted(r["keys"]), unpack(r["counts"]).astype(np.int64)) for r in table.where("kind = 'top'").select("keys", "counts").toLocalIterator()]
     codes, n = (np.concatenate(x) for x in zip(*short)) if short else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     top = spark.sparkContext.broadcast(Tree(candidates(codes, n, range(TOP + 1), least)))
-    weighed = asked.where("kind = 'gram'").groupBy("bucket").applyInPandas(weigh(top, least), "chunk int, bucket int, kind string, counts binary")
+    weighed = apart(asked.where("kind = 'gram'"), "bucket").applyInPandas(weigh(top, least), "chunk int, bucket int, kind string, counts binary")
 
     def finish(chunk: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         texts = [words_of(t) for t in chunk["text"]]
@@ -286,6 +288,6 @@ def scored(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         )
 
     replies = table.where("kind = 'reply'").select("chunk", "bucket", "kind", "counts").union(written(weighed, "tree-scores"))
-    return dealt.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(
+    return apart(dealt, "chunk").cogroup(apart(replies, "chunk")).applyInPandas(
         finish, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     ).withColumnRenamed("id", id_col)
