@@ -690,3 +690,25 @@ def test_audio(spark):
     assert len(audio.pcm(None)[0]) == len(audio.pcm(b"junk")[0]) == 0
     assert len(audio.pcm(b"RIFF....WAVEfmt ")[0]) == 0
     assert audio.search(empty(spark, sounds), F.col("id") % 50 == 0, "vec_id", "audio").count() == 0
+
+
+def test_very_long_texts(spark):
+    """A text of megabytes among short ones, through every operator of texts."""
+    rng = random.Random(27)
+    long = "\n".join(prose(rng, 12) for _ in range(40_000))
+    assert len(long) > 2 * max(suffixes.BLOCK, suffixtree.BLOCK // 2, simhash.BLOCK)
+    rows = [(i, prose(rng, 30), "en", "s", 0) for i in range(5)] + [(5, long, "en", "s", 0), (6, long[1_500_000:1_500_400], "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    gone = {d["doc_id"]: d["n_removed"] for d in local(suffixes.removals(df))}
+    assert gone[6] >= 400 and gone[5] == plain_removals([{"doc_id": 5, "text": long}])[5][1]
+    from tokenizers import Tokenizer
+
+    n = len(Tokenizer.from_file(WORD_BPE).encode(long, add_special_tokens=False).ids) + 1
+    packed = [d for d in local(packing.packed(df, WORD_BPE)) if d["doc_id"] == 5]
+    assert sum(d["length"] for d in packed) == n and len(packed) == -(-n // 4096)
+    assert {d["doc_id"]: d["fp"] & (2**64 - 1) for d in local(simhash.near_duplicates(df))}[5] == plain_fingerprint(long)
+    got = {d["doc_id"]: d for d in local(suffixtree.scored(df, F.col("doc_id") < 2))}
+    assert got[5]["n_tokens"] == len(long.split()) + 1 and math.isfinite(got[5]["score"])
+    assert {d["doc_id"]: d["parity"] for d in local(pieces.encoded(df, public_tokenizers.path("piece_bpe_32k.model")))}[5]
+    assert {d["doc_id"]: d["n_words"] for d in local(quality.judge(df, spark.createDataFrame([], "doc_id long, quality int")))}[5] == len(long.split())
+    assert {d["doc_id"]: d["__n_lines"] for d in local(lines.deduplicated(df))}[5] == 40_000
