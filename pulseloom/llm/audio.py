@@ -24,9 +24,11 @@ FRAME, HOP, SPAN = 1024, 256, 16
 #: (shape, lowest pitch class, pitch classes, frames) of the filters, by a rule: four shapes at four sizes.
 FILTERS = tuple((k % 4, 3 * (k // 4) % 12, (12, 6, 8, 4)[k // 4] if k // 4 == 0 else 12 - 3 * (k // 4), (4, 8, 12, 16)[(k + k // 4) % 4]) for k in range(16))
 #: Recordings that are handed to Python together.
-RECORDINGS = 16
+RECORDINGS = 64
+#: Frames whose spectra are in memory together.
+FRAMES = 4096
 #: Integers of the queries' and of the classes' blocks.
-ASKED, KNOWN = 1 << 15, 1 << 20
+ASKED, KNOWN = 1 << 13, 1 << 18
 #: A quantiser's outer bounds on the natural log of the ratio.
 BOUND = 0.15
 
@@ -57,30 +59,32 @@ def wave(samples: np.ndarray, rate: int) -> bytes:
 
 
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """``frames x 12`` energies, each frame of unit length or zero."""
-    n = (len(samples) - FRAME) // HOP + 1
+    """``recordings x frames x 12`` energies of recordings of one length, each frame of unit length or zero."""
+    n = (samples.shape[1] - FRAME) // HOP + 1
     if n < 1 or not rate:
-        return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP] * np.hanning(FRAME)
-    energy = np.abs(np.fft.rfft(frames, axis=1)) ** 2
+        return np.zeros((len(samples), 0, 12))
     hz = np.fft.rfftfreq(FRAME, 1 / rate)
     use = (hz >= 55) & (hz <= 3520)
     fold = np.zeros((len(hz), 12))
     fold[np.flatnonzero(use), np.round(12 * np.log2(hz[use] / 440)).astype(int) % 12] = 1
-    out = energy @ fold
-    size = np.sqrt((out**2).sum(1, keepdims=True))
+    windows, window = np.lib.stride_tricks.sliding_window_view(samples, FRAME, axis=1)[:, ::HOP], np.hanning(FRAME)
+    # Frames of a long recording are looked at in stretches.
+    step = max(1, FRAMES // len(samples))
+    parts = [np.abs(np.fft.rfft(windows[:, i : i + step] * window, axis=2)) ** 2 @ fold for i in range(0, n, step)]
+    out = np.concatenate(parts, 1)
+    size = np.sqrt((out**2).sum(2, keepdims=True))
     return np.where(size > 1e-6, out / np.maximum(size, 1e-6), 0)
 
 
-def integers(image: np.ndarray) -> np.ndarray:
-    """One unsigned 32-bit integer for each frame that has ``SPAN - 1`` more after it."""
-    n = len(image) - SPAN + 1
+def integers(images: np.ndarray) -> np.ndarray:
+    """``recordings x integers``: an unsigned 32-bit integer for each frame that has ``SPAN - 1`` more after it."""
+    n = images.shape[1] - SPAN + 1
     if n < 1:
-        return np.zeros(0, np.uint32)
-    total = np.zeros((len(image) + 1, 25))
-    total[1:, 1:] = np.cumsum(np.cumsum(np.hstack([image, image]), 0), 1)
-    area = lambda t, w, p, h: total[t + w : t + w + n, p + h] - total[t : t + n, p + h] - total[t + w : t + w + n, p] + total[t : t + n, p]
-    out = np.zeros(n, np.uint32)
+        return np.zeros((len(images), 0), np.uint32)
+    total = np.zeros((len(images), images.shape[1] + 1, 25))
+    total[:, 1:, 1:] = np.cumsum(np.cumsum(np.concatenate([images, images], 2), 1), 2)
+    area = lambda t, w, p, h: total[:, t + w : t + w + n, p + h] - total[:, t : t + n, p + h] - total[:, t + w : t + w + n, p] + total[:, t : t + n, p]
+    out = np.zeros((len(images), n), np.uint32)
     for shape, low, high, w in FILTERS:
         whole = area(0, w, low, high)
         early, lower = area(0, w // 2, low, high), area(0, w, low, high // 2)
@@ -99,7 +103,15 @@ def fingerprints(rows: DataFrame, id_col: str, audio_col: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({id_col: b[id_col], "prints": [integers(chroma(*pcm(a))).astype(np.int64) for a in b[audio_col]]})
+            sounds, alike = [pcm(a) for a in b[audio_col]], {}
+            for i, (samples, rate) in enumerate(sounds):
+                alike.setdefault((len(samples), rate), []).append(i)
+            made: list = [None] * len(sounds)
+            # Recordings of one length and rate go through the filters together.
+            for (_, rate), places in alike.items():
+                for i, ints in zip(places, integers(chroma(np.stack([sounds[i][0] for i in places]), rate)).astype(np.int64)):
+                    made[i] = ints
+            yield pd.DataFrame({id_col: b[id_col], "prints": made})
 
     return rows.select(id_col, audio_col).mapInPandas(run, f"`{id_col}` {kind}, prints array<bigint>")
 
@@ -129,22 +141,35 @@ def packed_blocks(held: DataFrame, size: int) -> tuple[DataFrame, int]:
 
 
 def best_offsets(query: np.ndarray, others: np.ndarray, overlap: int, errors: float) -> tuple[np.ndarray, ...]:
-    """For a recording's integers and those of others of one length: which ones match, their best offset (fewest bit
-    errors a bit, then the smallest), overlap and bit errors. Recordings match over ``overlap`` integers or more, or as
-    wholes of one length."""
-    n, m = len(query), others.shape[1]
-    share = np.full(len(others), np.inf)
-    at, size, wrong = (np.zeros(len(others), np.int64) for _ in range(3))
+    """For a recording's integers and those of others of one length (a column each): which ones match, their best offset
+    (fewest bit errors a bit, then the smallest), overlap and bit errors. Recordings match over ``overlap`` integers or
+    more, or as wholes of one length."""
+    n, (m, k) = len(query), others.shape
+    share = np.full(k, np.inf)
+    at, size, wrong = (np.zeros(k, np.int64) for _ in range(3))
+    # Two neighbouring integers are compared as one of 64 bits; three such counts fit a byte.
+    double = lambda x: x[:-1].astype(np.uint64) | x[1:].astype(np.uint64) << np.uint64(32)
+    others2, query2 = double(others), double(query)
+    mixed, mixed2, bits, few = np.empty(k, np.uint32), np.empty(k, np.uint64), np.empty(k, np.uint8), np.empty(k, np.uint8)
     for offset in range(-(n - 1), m):
         a, b = max(-offset, 0), max(offset, 0)
         length = min(n - a, m - b)
         if length < overlap and not (offset == 0 and n == m):
             continue
-        differ = np.bitwise_count(others[:, b : b + length] ^ query[a : a + length]).sum(1, dtype=np.int64)
-        better = differ / length < share
-        share[better], at[better], size[better], wrong[better] = (differ / length)[better], offset, length, differ[better]
-    hit = np.flatnonzero(wrong <= errors * 32 * size) if len(share) else np.zeros(0, np.int64)
-    hit = hit[np.isfinite(share[hit])]
+        differ = np.zeros(k, np.uint32)
+        for i in range(0, length - 1, 6):
+            few[:] = 0
+            for j in range(i, min(i + 6, length - 1), 2):
+                np.bitwise_xor(others2[b + j], query2[a + j], out=mixed2)
+                np.add(few, np.bitwise_count(mixed2, out=bits), out=few)
+            differ += few
+        if length % 2:
+            np.bitwise_xor(others[b + length - 1], query[a + length - 1], out=mixed)
+            differ += np.bitwise_count(mixed, out=bits)
+        now = differ / length
+        better = now < share
+        share[better], at[better], size[better], wrong[better] = now[better], offset, length, differ[better]
+    hit = np.flatnonzero((wrong <= errors * 32 * size) & np.isfinite(share))
     return hit, at[hit], size[hit], wrong[hit]
 
 
@@ -161,7 +186,7 @@ def align(queries: DataFrame, held: DataFrame, overlap: int = 16, errors: float
                 ints, lengths = np.frombuffer(row.ints, np.uint32), np.asarray(row.lengths)
                 start, reps = np.cumsum(lengths) - lengths, list(row.reps)
                 same = {int(m): np.flatnonzero(lengths == m) for m in np.unique(lengths)}
-                blocks = {m: ints[start[i][:, None] + np.arange(m)] for m, i in same.items()}
+                blocks = {m: np.ascontiguousarray(ints[start[i][None, :] + np.arange(m)[:, None]]) for m, i in same.items()}
                 ask, at = np.frombuffer(row.q_ints, np.uint32), 0
                 for query, size in zip(row.q_reps, row.q_lengths):
                     out = []

@@ -652,11 +652,11 @@ def test_audio_alignment_of_altered_and_short_recordings():
     for i in range(10):
         # Every integer is altered, so that no two neighbours are equal.
         others[i, 7 + i : 47 + i] = query ^ np.array([np.bitwise_or.reduce(np.uint32(1) << rng.choice(32, 8, replace=False).astype(np.uint32)) for _ in query], np.uint32)
-    hit, at, size, wrong = audio.best_offsets(query, others, 16, 0.3)
+    hit, at, size, wrong = audio.best_offsets(query, others.T.copy(), 16, 0.3)
     found = dict(zip(hit.tolist(), zip(at.tolist(), size.tolist(), wrong.tolist())))
     assert all(found[i] == (7 + i, 40, 8 * 40) for i in range(10))
-    short = audio.best_offsets(query[:5], query[None, :5], 16, 0.3)
-    assert [x.tolist() for x in short] == [[0], [0], [5], [0]] and not len(audio.best_offsets(query[:5], query[None, :6], 16, 0.3)[0])
+    short = audio.best_offsets(query[:5], query[:5, None], 16, 0.3)
+    assert [x.tolist() for x in short] == [[0], [0], [5], [0]] and not len(audio.best_offsets(query[:5], query[:6, None], 16, 0.3)[0])
 
 
 def test_audio(spark):
