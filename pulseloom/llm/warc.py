@@ -172,8 +172,9 @@ def index(stored: DataFrame) -> DataFrame:
 
 def _read(found: DataFrame, stored: DataFrame) -> DataFrame:
     """Records at ``(archive, chunk, offset, length)``. Ranges of a chunk are gathered first (a chunk holds so many),
-    so that its bytes are read once."""
-    wanted = found.groupBy("archive", "chunk").agg(F.collect_list(F.struct("offset", "length")).alias("ranges"))
+    so that its bytes are read once. They are a written table: where it is small the ranges go to the chunks and no
+    archive byte is shuffled."""
+    wanted = written(found.groupBy("archive", "chunk").agg(F.collect_list(F.struct("offset", "length")).alias("ranges")), "warc-ranges")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
