@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulseloom import cli
 from pulseloom.functions import columns as C
 from pulseloom.functions import models
-from pulseloom.operators import decide, dsp, evaluate, frames, islands, protocol, record, score, training
+from pulseloom.operators import decide, dsp, evaluate, frames, islands, protocol, score, training
 from pulseloom.sources import profiles, serial, sessions
 from pulseloom.streaming import detector
 
@@ -520,3 +520,19 @@ def test_live_events_of_a_logistic_profile(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r.phase for r in spark.table("live").orderBy("ord").collect()] == ["down", "up", "down", "up"]
+
+
+def test_logistic_folds_are_fits_on_the_other_sessions(spark):
+    rng = random.Random(43)
+    rows = [("abc"[i % 3], i, rng.gauss(10 + 5 * (i % 5 == 0), 2), rng.gauss(3, 1), int(i % 5 == 0)) for i in range(90)]
+    examples = spark.createDataFrame(rows, "session string, t_ms long, waveform_length double, rms_state double, label int")
+    names = ["waveform_length", "rms_state"]
+    folds = evaluate.loso_logreg(examples, examples.select("session").distinct(), names, epochs=4)
+    frame = examples.withColumn("ord_frame", F.col("t_ms"))
+    scored = {r.ord_frame: r.p for r in evaluate.score_folds(frame, folds, names).collect()}
+    for s in "abc":
+        one = training.fit_logreg(examples.where(F.col("session") != s), names, epochs=4)
+        assert folds[s]["weights"] == pytest.approx(one["weights"]) and folds[s]["bias"] == pytest.approx(one["bias"])
+        profile = profiles.Profile("logreg", names, {"center": one["center"], "scale": one["scale"], "floor": {f: 1e-6 for f in names}}, {"weights": one["weights"], "bias": one["bias"]})
+        for r in score.score_frames(frame.where(F.col("session") == s), profile).collect():
+            assert scored[r.ord_frame] == pytest.approx(r.p)
