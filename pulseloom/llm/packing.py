@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .tables import stored, written
 
 #: Bytes of words and ids that a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
-KNOWN_BYTES = 80 << 20
+KNOWN_BYTES = 40 << 20
 #: Bytes of text looked at together.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: A lone full stop or comma at the end of a word, and what it becomes.
 STOP = (r"([a-zA-Z])([.,])([ \t-\r])", r"\1 \2\3")
 #: Lower edges of the bands of length, as shares of the capacity; lengths over a half come first, one a sequence.
