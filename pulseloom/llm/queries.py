@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, lines, packing, pieces, quality, simhash, suffixes, suffixtree, urls, warc
+from . import audio, language, lines, packing, periodic, phrases, pieces, quality, simhash, suffixes, suffixtree, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,24 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text gets the nearest language; the score of a text that is rejected is zero."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out)
+    found = language.predicted(docs, ~F.col("held_out"))
+    return found.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.when(F.col("__rejected"), 0.0).otherwise(F.col("__cosine")).alias("score"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts repeat a stretch of theirs, by the query's rule."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digest(periodic.repeated(periodic.with_planted_runs(docs)))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lines": op1_lines,
@@ -93,8 +111,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_pieces": op9_pieces,
         "op10_quality": op10_quality,
+        "op11_language": op11_language,
+        "op12_runs": op12_runs,
+        "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lines": lines.ORACLE, "op6_warc": warc.ORACLE}
+    return {"op1_lines": lines.ORACLE, "op6_warc": warc.ORACLE, "op13_phrases": phrases.ORACLE}

@@ -286,26 +286,26 @@ def test_url_rules(spark):
     assert urls.judge(empty(spark, df), RULES).count() == 0
 
 
-@pytest.mark.parametrize("tolerance", [1e-3, 1e-12])
-def test_url_propagation(spark, tolerance):
+@pytest.mark.parametrize(("tolerance", "damping"), [(1e-3, 0.85), (1e-11, 0.4)])
+def test_url_propagation(spark, tolerance, damping):
     rng = random.Random(8)
     hosts = [f"h{i}" for i in range(30)]
     edges = {(a, b): rng.randrange(1, 4) for a, b in ((rng.choice(hosts), rng.choice(hosts)) for _ in range(120)) if a != b}
     seeds = [(h, int(i < 3), int(3 <= i < 6)) for i, h in enumerate(hosts)]
     links = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
-    got = {r.host: r for r in urls.propagate(spark.createDataFrame(seeds, "host string, trusted int, blocked int"), links, tolerance=tolerance).collect()}
+    got = {r.host: r for r in urls.propagate(spark.createDataFrame(seeds, "host string, trusted int, blocked int"), links, damping, tolerance).collect()}
     along, back = np.zeros((30, 30)), np.zeros((30, 30))
     for (a, b), n in edges.items():
         along[int(b[1:]), int(a[1:])], back[int(a[1:]), int(b[1:])] = n, n
     along, back = (m / np.maximum(m.sum(0), 1) for m in (along, back))
     given = np.array([[t, b, 1, 1] for _, t, b in seeds], float)
     # The converged scores solve a linear system; what comes from others is left when a seed's own mass is taken off.
-    solved = [np.linalg.solve(np.eye(30) - 0.85 * m, 0.15 * given[:, i]) for i, m in enumerate((along, back, along, back))]
+    solved = [np.linalg.solve(np.eye(30) - damping * m, (1 - damping) * given[:, i]) for i, m in enumerate((along, back, along, back))]
     for i, c in enumerate(urls.SCORES):
         for h in range(30):
             # The promise: no share of what the host would have if all were seeds is off by more than this.
-            most = solved[2 + i % 2][h] * tolerance / (1 - 0.85) + 1e-13
-            assert abs((got[f"h{h}"][c] if f"h{h}" in got else 0.0) - (solved[i][h] - 0.15 * given[h, i])) <= most
+            most = solved[2 + i % 2][h] * tolerance / (1 - damping) + 1e-13
+            assert abs((got[f"h{h}"][c] if f"h{h}" in got else 0.0) - (solved[i][h] - (1 - damping) * given[h, i])) <= most
 
 
 def test_url_propagation_to_verdicts(spark):
