@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import is_artifact, is_rest, per_minute, stable_sigmoid, threshold_score
 from .decide import GATE_COLUMNS, edge_events, switch_events
 from .islands import presses
+from .loso import threshold_folds
 from .ordered import ordered_fold
 from ..sources.shared import written
-from .training import class_weights, robust_statistics, threshold_search
+from .training import class_weights, robust_statistics
 
 #: Folds of logistic models, whose weights are sent to all tasks.
 MOST_FOLDS = 10_000
@@ -165,16 +166,8 @@ def rank_sweep(rows: DataFrame, least_detection: float = 0.9, most_latency: floa
 
 
 def loso_models(examples: DataFrame, sessions: DataFrame, feature: str) -> DataFrame:
-    """``(session, threshold, f1, softness)``: the threshold model that is trained on all other sessions (O-EVL-2/3).
-
-    Leaving one session out of n changes few counts. Candidates of all folds together are the pairs (fold, distinct
-    value), so this costs sessions times distinct values, as any exact leave-one-out search of this kind does; it is
-    meant for the recordings of a wearer, not for every session of a lake.
-    """
-    counted = examples.groupBy("session", feature, "label").agg(F.count("*").alias("c"))
-    folds = sessions.select(F.col("session").alias("fold"))
-    others = folds.join(counted, folds["fold"] != counted["session"])
-    return threshold_search(others, feature, ["fold"], "c").withColumnRenamed("fold", "session")
+    """``(session, threshold, f1, softness)``: the threshold model that is trained on all other sessions (O-EVL-2/3)."""
+    return threshold_folds(examples, sessions, feature)
 
 
 def loso_logreg(examples: DataFrame, sessions: DataFrame, features: Sequence[str], epochs: int = 200, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> dict:
