@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import argparse
 import json
+import signal
 import sys
 import tempfile
+import threading
 import time
+import uuid
 from collections.abc import Sequence
 from datetime import datetime, timezone
 from pathlib import Path
@@ -18,7 +21,8 @@ from pyspark.sql import functions as F
 from .functions import models
 from .operators import decide, dsp, evaluate, frames, islands, protocol, record, score, training
 from .sources import profiles, serial, sessions
-from .streaming import detector
+from .sources.shared import shared_dir
+from .streaming import detector, status
 
 MODELS = ("threshold", "logreg", *models.SEQUENCE)
 PROFILE = "models/binary_profile.json"
@@ -270,40 +274,87 @@ def monitor(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     return rows
 
 
-def switch(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Lines of a device to JSON events on standard output, until stopped (O-API-1, O-STR-1). What the stream has met is
-    printed to standard error with ``--status`` (O-STR-8)."""
+class Stopping:
+    """Inside, SIGINT and SIGTERM ask for an end instead of making one (O-STR-1)."""
+
+    def __init__(self) -> None:
+        self.asked = threading.Event()
+        self.before: dict = {}
+
+    def __enter__(self) -> Stopping:
+        if threading.current_thread() is threading.main_thread():
+            self.before = {s: signal.signal(s, lambda *_: self.asked.set()) for s in (signal.SIGINT, signal.SIGTERM)}
+        return self
+
+    def __exit__(self, *_) -> None:
+        for s, old in self.before.items():
+            signal.signal(s, old)
+
+
+def live_folder(spark: SparkSession, given: str | None) -> str:
+    """Where a live query keeps its state: the folder that is named, else a new one in the shared folder."""
+    return given or f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+
+
+def device(spark: SparkSession, port: str, folder: str, session: str, baud: int) -> tuple[DataFrame, status.LiveStatus]:
+    """The stream of a port's lines, journalled beside its query's state, and what watches it."""
+    spark.dataSource.register(serial.LineSource)
+    beside = folder.removeprefix("file://")
+    seen = status.LiveStatus(f"{beside}/connection.json")
+    given = {"path": port, "session": session, "baud": baud, "journal": f"{beside}/journal", "status": seen.connection}
+    return spark.readStream.format("device_lines").options(**given).load(), seen
+
+
+def switch(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """Lines of a device to JSON events on standard output, until SIGINT or SIGTERM (O-API-1, O-STR-1). How the stream is
+    goes to standard error with ``--status`` (O-STR-8)."""
     port = serial.find_port(args.port)
     profile = load_profile(args.profile)
     lock = serial.PortLock(args.lock_dir or tempfile.gettempdir(), port)
     lock.acquire()
     try:
-        spark.dataSource.register(serial.LineSource)
-        lines = spark.readStream.format("device_lines").option("path", port).load()
+        folder = live_folder(spark, args.checkpoint)
+        lines, seen = device(spark, port, folder, "live", args.baud)
         events = decide.switch_events(live_events(lines, profile))
 
         def show(batch: DataFrame, number: int) -> None:
             for r in decide.event_json(batch.withColumn("host_time_s", F.lit(time.time())), "host_time_s").orderBy("session", "ord").toLocalIterator():
                 print(r["json"], flush=True)
 
-        query = events.writeStream.foreachBatch(show).option("checkpointLocation", args.checkpoint or tempfile.mkdtemp(prefix="pulseloom-")).start()
-        try:
-            while query.isActive:
-                query.awaitTermination(1)
-                if args.status and query.lastProgress:
-                    print(json.dumps(query.lastProgress["observedMetrics"], default=str), file=sys.stderr, flush=True)
-        except KeyboardInterrupt:
-            query.stop()
+        return run_live(spark, events.writeStream.foreachBatch(show).option("checkpointLocation", f"{folder}/state"), seen, args.status)
     finally:
         lock.release()
 
 
+def run_live(spark: SparkSession, writer, seen: status.LiveStatus, told: bool, seconds: float | None = None) -> dict:
+    """Starts a query and stops it when asked to, or after ``seconds``; what it met."""
+    spark.streams.addListener(seen)
+    began = time.monotonic()
+    try:
+        with Stopping() as stopping:
+            query = writer.start()
+            try:
+                while query.isActive and not stopping.asked.is_set() and (seconds is None or time.monotonic() - began < seconds):
+                    stopping.asked.wait(0.5)
+                    if told:
+                        print(json.dumps(seen.now()), file=sys.stderr, flush=True)
+                if query.isActive:
+                    query.processAllAvailable()
+            finally:
+                query.stop()
+            if query.exception():
+                raise query.exception()
+            # The last progress is told before the end is.
+            seen.ended.wait(10)
+    finally:
+        spark.streams.removeListener(seen)
+    return seen.now()
+
+
 def live_events(lines: DataFrame, profile: profiles.Profile) -> DataFrame:
-    """Edge events of a stream of lines under any profile; counts of lines and of those that don't parse are observed."""
-    bad = F.count_if(frames.parse_line(F.col("line")).isNull())
-    seen = lines.observe("lines", F.count("*").alias("lines"), bad.alias("parse_errors"))
+    """Edge events of a stream of lines under any profile; lines and those that don't parse are observed."""
     config = profile.feature_config
-    return detector.detect(frames.parsed_lines(seen), score.FrameModel(profile), profile.gate(), int(config.get("window_ms", 120)), int(config.get("hop_ms", 30)))
+    return detector.detect(frames.parsed_lines(status.observed(lines)), score.FrameModel(profile), profile.gate(), int(config.get("window_ms", 120)), int(config.get("hop_ms", 30)))
 
 
 def load_profile(path: str) -> profiles.Profile:
@@ -374,7 +425,7 @@ COMMANDS = {"train": train, "study": study, "eval": evaluation, "record": record
 
 def main(argv: list[str] | None = None):
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName(f"pulseloom {args.command}").getOrCreate()
+    spark = SparkSession.builder.appName(f"pulseloom {args.command}").config(detector.STORE, detector.ROCKS).getOrCreate()
     try:
         return COMMANDS[args.command](spark, args)
     except (Refused, serial.PortInUse) as e:

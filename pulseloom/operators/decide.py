@@ -152,8 +152,19 @@ def event_json(events: DataFrame, *optional: str) -> DataFrame:
     return events.select(*kept, F.to_json(F.struct(*fields)).alias("json"))
 
 
-def click_counts(events: DataFrame) -> DataFrame:
-    """Running number of ups, and the duration of the last one (O-AGG-15)."""
-    w = Window.partitionBy("session").orderBy("ord")
+def click_counts(events: DataFrame, resets: DataFrame | None = None) -> DataFrame:
+    """Running number of ups, and the duration of the last one (O-AGG-15). ``resets(session, t_ms)`` begin both anew for
+    events after them (O-DEC-10); an event at the time of a reset comes first."""
     up = F.col("phase") == "up"
-    return events.withColumns({"clicks": F.count_if(up).over(w), "last_duration_ms": F.last(F.when(up, F.col("duration_ms")), ignorenulls=True).over(w)})
+    if resets is None:
+        w = Window.partitionBy("session").orderBy("ord")
+        return events.withColumns({"clicks": F.count_if(up).over(w), "last_duration_ms": F.last(F.when(up, F.col("duration_ms")), ignorenulls=True).over(w)})
+    none = lambda c: F.lit(None).cast(events.schema[c].dataType).alias(c)
+    marks = resets.select(*[F.col(c) if c in ("session", "t_ms") else none(c) for c in events.columns], F.lit(1).alias("__reset"))
+    placed = events.withColumn("__reset", F.lit(0)).unionByName(marks)
+    placed = placed.withColumn("__turn", F.sum("__reset").over(Window.partitionBy("session").orderBy("t_ms", "__reset", "ord").rowsBetween(Window.unboundedPreceding, 0))).where("__reset = 0")
+    w = Window.partitionBy("session", "__turn").orderBy("ord")
+    counted = placed.withColumns({"clicks": F.count_if(up).over(w), "last_duration_ms": F.last(F.when(up, F.col("duration_ms")), ignorenulls=True).over(w)})
+    return counted.drop("__reset", "__turn")
+
+

@@ -124,6 +124,7 @@ def step(s: FilterState, c: FilterConfig, t_ms: int, raw: float) -> tuple[float,
     dt = 1
     if s.last_t is None:
         s.baseline, filtered = raw, raw
+        s.rest_center, s.rest_scale = 0.0, c.scale_floor
     else:
         dt = max(t_ms - s.last_t, 1)
         filtered = _chain(s, c, raw, dt / 1000.0) if c.enabled else raw

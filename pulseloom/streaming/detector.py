@@ -1,52 +1,85 @@
-"""The detector as a stateful stream: samples in, events out, one state for each session (O-STR-*, O-DEC-9/10).
+"""The detector as a stateful stream: samples in, events out, one state for each session (O-STR-*, O-DEC-9/10, O-UDF-1).
 
-The kernels are those of the batch operators: ``dsp.step`` for the filters and ``decide.decide`` for the gate.
+The kernels are those of the batch operators: ``dsp.step`` for the filters and ``decide.decide`` for the gate. A session's
+state is columns of numbers in the state store: one row for the gate, the filters and the schedule, and lists for the
+buffers. Any class that says what its columns are can take the detector's place.
 """
 
 from __future__ import annotations
 
-import pickle
 import uuid
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections import deque
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, fields
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.decide import EVENTS, Gate, GateState, commit, decide
-from ..operators.dsp import FilterConfig, FilterState, step
+from ..operators.dsp import FilterConfig, FilterState, bootstrap, step
 from ..operators.score import FrameModel
 from ..sources.profiles import Profile
 from ..sources.shared import shared_dir
 
+#: The state store that keeps several states for a key, and the setting that names it.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def threshold(value: float, softness: float, feature: str = "waveform_length") -> FrameModel:
     """A threshold model of one frame feature."""
     return FrameModel(Profile("threshold", [feature], model={"feature": feature, "threshold": value, "softness": softness}))
 
 
+_GATE = {"active": "boolean", "pending": "boolean", "frames": "bigint", "start_ms": "bigint", "until_ms": "bigint", "ord": "bigint"}
+_FILTERS = {f.name: "bigint" if f.name in ("last_t", "count", "dt") else "double" for f in fields(FilterState) if f.name not in ("taps", "sums", "window", "rest")}
+_OWN = {"next_end": "bigint", "last_t": "bigint", "probability": "double", "clicks": "bigint", "last_duration_ms": "bigint"}
+_ARRAYS = {"taps": "array<double>", "sums": "array<double>"}
+
+
+def _ddl(**groups: dict[str, str]) -> str:
+    return ", ".join(f"{group}_{name} {kind}" for group, columns in groups.items() for name, kind in columns.items())
+
+
 @dataclass
 class Detector:
-    """What a session carries between micro-batches. The gate outlives clock resets, filters and frames do not."""
+    """What a session carries between micro-batches. The gate and the count of clicks outlive clock resets, filters and
+    frames do not."""
 
+    model: Callable
+    config: Gate = Gate()
+    window_ms: int = 120
+    hop_ms: int = 30
+    filtered: bool = True
     gate: GateState = field(default_factory=GateState)
     filters: FilterState = field(default_factory=FilterState)
-    points: list = field(default_factory=list)
+    points: deque = field(default_factory=deque)
     memory: list = field(default_factory=list)
     next_end: int | None = None
     last_t: int | None = None
     probability: float = 0.0
+    clicks: int = 0
+    last_duration_ms: int | None = None
+
+    #: Columns of the state: those of its one row, and those of its lists.
+    SCALARS = _ddl(gate=_GATE, filters={**_FILTERS, **_ARRAYS}, own=_OWN)
+    LISTS = {"points": "t bigint, value double, slope double, lf double", "window": "t bigint, a double, b double", "rest": "t bigint, v double", "memory": "x array<double>"}
+    #: Columns of an event after the session.
+    OUTPUT = f"{EVENTS}, clicks bigint, last_duration_ms bigint"
 
-    def update(self, t: int, raw: int, model, gate: Gate, window_ms: int, hop_ms: int, filtered: bool) -> list[tuple]:
-        window_ms, hop_ms = max(window_ms, 20), max(hop_ms, 10)
+    def update(self, t: int, raw: int) -> list[tuple]:
+        """Events of one sample."""
+        window_ms, hop_ms = max(self.window_ms, 20), max(self.hop_ms, 10)
         if self.last_t is not None and t + hop_ms < self.last_t:
-            self.filters, self.points, self.next_end = FilterState(), [], None
+            self.filters, self.points, self.next_end = FilterState(), deque(), None
         if self.next_end is None:
             self.next_end = t + window_ms
         self.last_t = t
-        made = step(self.filters, FilterConfig(), t, float(raw)) if filtered else (float(raw),) + (0.0,) * 9
+        made = step(self.filters, FilterConfig(), t, float(raw)) if self.filtered else (float(raw),) + (0.0,) * 9
         # (time, value, slope burst, low-frequency energy)
         self.points.append((t, made[0], made[6], made[4]))
         out = []
@@ -61,22 +94,107 @@ class Detector:
                     "slope_burst": float(median(p[2] for p in inside)),
                     "lf_energy_ratio": level(3) / max(level(1), 1e-6),
                 }
-                self.probability = model(frame, self.memory)
-                event = decide(self.gate, gate, self.next_end, self.probability)
+                self.probability = self.model(frame, self.memory)
+                event = decide(self.gate, self.config, self.next_end, self.probability)
                 if event:
-                    self.gate.ord += 1
-                    out.append((self.gate.ord, *event))
+                    out.append(self._counted(event))
             self.next_end += hop_ms
         while self.points and self.points[0][0] < t - 4 * window_ms:
-            self.points.pop(0)
+            self.points.popleft()
         return out
 
-    def flush(self, gate: Gate) -> list[tuple]:
-        """Closes an open press at the last sample."""
-        if not self.gate.active:
-            return []
+    def _counted(self, event: tuple) -> tuple:
         self.gate.ord += 1
-        return [(self.gate.ord, *commit(self.gate, gate, False, self.last_t))]
+        if event[0] == "up":
+            self.clicks, self.last_duration_ms = self.clicks + 1, event[3]
+        return (self.gate.ord, *event, self.clicks, self.last_duration_ms)
+
+    def flush(self) -> list[tuple]:
+        """Closes an open press at the last sample."""
+        return [self._counted(commit(self.gate, self.config, False, self.last_t))] if self.gate.active else []
+
+    def control(self, name: str) -> None:
+        """``reset`` counts clicks anew (O-DEC-10); others mean nothing."""
+        if name == "reset":
+            self.clicks, self.last_duration_ms = 0, None
+
+    def seed(self, baseline: float, center: float, scale: float, t_ms: int, values: list[float]) -> None:
+        """Starts as after a sample at rest at ``t_ms``, with known rest values (O-DSP-16)."""
+        step(self.filters, FilterConfig(), t_ms, float(baseline))
+        bootstrap(self.filters, FilterConfig(), baseline, center, scale, t_ms, values)
+
+    def dump(self) -> tuple[tuple, dict[str, list[tuple]]]:
+        """The state's row and lists."""
+        g, f = self.gate, self.filters
+        row = [getattr(g, c) for c in _GATE] + [getattr(f, c) for c in _FILTERS] + [list(f.taps), list(f.sums)] + [getattr(self, c) for c in _OWN]
+        return tuple(row), {"points": list(self.points), "window": list(f.window), "rest": list(f.rest.rows), "memory": [(list(x),) for x in self.memory]}
+
+    def load(self, row: tuple, lists: dict[str, list[tuple]]) -> None:
+        values = iter(row)
+        for c in _GATE:
+            setattr(self.gate, c, next(values))
+        for c in _FILTERS:
+            setattr(self.filters, c, next(values))
+        self.filters.taps, self.filters.sums = tuple(next(values)), tuple(next(values))
+        for c in _OWN:
+            setattr(self, c, next(values))
+        self.points, self.filters.window = (deque(tuple(x) for x in lists[c]) for c in ("points", "window"))
+        for t, v in lists["rest"]:
+            self.filters.rest.put(t, v)
+        self.memory = [list(x) for (x,) in lists["memory"]]
+
+
+class SessionProcessor(StatefulProcessor):
+    """Runs a detector for each session: ``make()`` gives one that has seen nothing, with ``SCALARS``, ``LISTS``,
+    ``OUTPUT``, ``update``, ``control``, ``seed``, ``dump`` and ``load``. With ``ttl_ms`` a session that was quiet for so
+    long is forgotten."""
+
+    def __init__(self, make: Callable, ttl_ms: int | None = None) -> None:
+        self.make, self.ttl_ms = make, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        one = self.make()
+        self.columns = ["session", *(x.split()[0] for x in one.OUTPUT.split(", "))]
+        self.row = handle.getValueState("scalars", one.SCALARS, self.ttl_ms)
+        self.lists = {name: handle.getListState(name, kind, self.ttl_ms) for name, kind in one.LISTS.items()}
+
+    def _held(self):
+        found = self.make()
+        if self.row.exists():
+            found.load(self.row.get(), {name: list(state.get()) for name, state in self.lists.items()})
+        return found
+
+    def _hold(self, detector) -> None:
+        row, lists = detector.dump()
+        self.row.update(row)
+        for name, state in self.lists.items():
+            if lists[name]:
+                state.put(lists[name])
+            elif state.exists():
+                state.clear()
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        detector = self.make()
+        for r in initialState.itertuples(index=False):
+            detector.seed(r.baseline, r.center, r.scale, int(r.t_ms), list(r.seed))
+        self._hold(detector)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        detector = self._held()
+        # Three numbers a row are all that is kept of a micro-batch until it can be put in order.
+        parts = [(b["arrival_seq"].to_numpy(), b["t_ms"].to_numpy(), b["raw"].to_numpy(), b["control"].to_numpy()) for b in rows]
+        seq, t, raw, control = (np.concatenate(x) for x in zip(*parts))
+        found = []
+        for i in np.argsort(seq, kind="stable").tolist():
+            if control[i] is not None:
+                detector.control(control[i])
+            else:
+                found += detector.update(int(t[i]), int(raw[i]))
+        self._hold(detector)
+        yield pd.DataFrame([(key[0], *e) for e in found], columns=self.columns)
+
+    def close(self) -> None:
+        """Nothing is held open."""
 
 
 #: Most rows of a session in a micro-batch of a replay.
@@ -84,29 +202,45 @@ ROWS = 1 << 20
 COLUMNS = ["ord", "phase", "start_ms", "end_ms", "duration_ms"]
 
 
-def detect(samples: DataFrame, model, gate: Gate = Gate(), window_ms: int = 120, hop_ms: int = 30, filtered: bool = True) -> DataFrame:
-    """Events of a stream of ``(session, arrival_seq, t_ms, raw)``; no watermark, state without end, and no flush, as
-    live runs have it. ``model(frame, memory)`` may be any callable of that form. Rows of a micro-batch are taken in the
-    order of ``arrival_seq``; those of a session are held together, so a micro-batch must not hold more of them than a
-    task can."""
+def detect(
+    samples: DataFrame, model, gate: Gate = Gate(), window_ms: int = 120, hop_ms: int = 30, filtered: bool = True, *, make: Callable | None = None, initial: DataFrame | None = None, ttl_ms: int | None = None,
+    counts: bool = False,
+) -> DataFrame:
+    """Events of a stream of ``(session, arrival_seq, t_ms, raw)``; no watermark, no flush, as live runs have it, and state
+    without end unless ``ttl_ms`` is given. ``model(frame, memory)`` may be any callable of that form, ``make`` any factory
+    of detectors (then what comes before it is not looked at). Rows of a micro-batch are taken in the order of
+    ``arrival_seq``. A column ``control`` may say ``reset`` in rows between the samples; with ``counts`` events come with
+    the clicks since then and the last one's duration. ``initial(session, baseline, center, scale, t_ms, seed
+    array<double>)`` are sessions that start from known rest. The session must use the RocksDB state store."""
+    spark = samples.sparkSession
+    if spark.conf.get(STORE, None) != ROCKS:
+        raise ValueError(f"set {STORE} to {ROCKS}")
+    make = make or (lambda: Detector(model, gate, window_ms, hop_ms, filtered))
+    kind = dict(samples.dtypes)["session"]
+    control = F.col("control") if "control" in samples.columns else F.lit(None)
+    given = samples.withColumn("control", control.cast("string")).where("control IS NOT NULL OR (t_ms IS NOT NULL AND raw IS NOT NULL)")
+    whole = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c)
+    given = given.select("session", whole("arrival_seq"), whole("t_ms"), whole("raw"), "control")
+    start = initial.groupBy("session") if initial is not None else None
+    found = given.groupBy("session").transformWithStateInPandas(
+        SessionProcessor(make, ttl_ms), f"session {kind}, {make().OUTPUT}", "append", "ProcessingTime" if ttl_ms else "None", start
+    )
+    return found if counts or make().OUTPUT != Detector.OUTPUT else found.select("session", *COLUMNS)
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        detector = pickle.loads(state.get[0]) if state.exists else Detector()
-        rows = pd.concat(list(batches)).dropna(subset=["t_ms", "raw"]).sort_values("arrival_seq")
-        found = [e for t, raw in zip(rows["t_ms"].tolist(), rows["raw"].tolist()) for e in detector.update(t, raw, model, gate, window_ms, hop_ms, filtered)]
-        state.update((pickle.dumps(detector),))
-        yield pd.DataFrame([(key[0], *e) for e in found], columns=["session", *COLUMNS])
 
-    kind = dict(samples.dtypes)["session"]
-    return samples.groupBy("session").applyInPandasWithState(run, f"session {kind}, {EVENTS}", "detector binary", "append", GroupStateTimeout.NoTimeout)
+def streaming_session(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` whose streams use the RocksDB state store."""
+    found = spark.newSession()
+    for c in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        found.conf.set(c, spark.conf.get(c))
+    found.conf.set(STORE, ROCKS)
+    return found
 
 
 def replay_stream(spark: SparkSession, samples: DataFrame, model, gate: Gate, window_ms: int, hop_ms: int, filtered: bool = True, files: int = 4) -> DataFrame:
     """Recorded samples played through ``detect`` in several micro-batches, in their order, and what it wrote
     (O-SRC-12, O-STR-3). Samples, numbered within their sessions, are cut by number into ``files`` parts, or as many as it
     takes for ``ROWS`` numbers a part; each part is a micro-batch, so that a session's state is carried on."""
-    from pyspark.sql import functions as F
-
     at = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     low, high = samples.agg(F.min("arrival_seq"), F.max("arrival_seq")).first()
     size = max(1, min(ROWS, -(-((high or 0) - (low or 0) + 1) // files)))
@@ -115,7 +249,7 @@ def replay_stream(spark: SparkSession, samples: DataFrame, model, gate: Gate, wi
     placed.repartition("part", F.pmod(F.xxhash64("session", "arrival_seq"), F.lit(8))).write.partitionBy("part").parquet(f"{at}/parts")
     parts = sorted(r["part"] for r in placed.select("part").distinct().toLocalIterator())
     samples.limit(0).write.parquet(f"{at}/in")
-    stream = spark.readStream.schema(samples.schema).parquet(f"{at}/in")
+    stream = streaming_session(spark).readStream.schema(samples.schema).parquet(f"{at}/in")
     events = detect(stream, model, gate, window_ms, hop_ms, filtered)
     if not parts:
         return spark.createDataFrame([], events.schema)

@@ -137,9 +137,9 @@ def test_batch_kernel_and_stream_agree(spark):
     batch = sorted(map(tuple, decide.edge_events(scored, gate).collect()))
     kernel = []
     for s in ("press", "short", "open"):
-        d = detector.Detector()
+        d = detector.Detector(model, gate, 20, 10)
         for _, _, t, raw, _ in (r for r in rows if r[0] == s):
-            kernel += [(s, *e) for e in d.update(t, raw, model, gate, 20, 10, True)]
+            kernel += [(s, *e[:5]) for e in d.update(t, raw)]
     assert batch == sorted(kernel)
     stream = detector.replay_stream(spark, samples, model, gate, 20, 10)
     assert sorted(map(tuple, stream.collect())) == batch
@@ -246,15 +246,21 @@ def test_grid_is_that_of_the_reference(spark):
 
 
 def test_replay_bounds_the_rows_of_a_session_in_a_micro_batch(spark, monkeypatch):
-    def sizes(samples, *_):
-        def run(key, batches, state):
-            yield pd.DataFrame({"n": [sum(map(len, batches))]})
+    class Sizes(detector.Detector):
+        OUTPUT = "n bigint"
+
+    class Counted(detector.SessionProcessor):
+        def handleInputRows(self, key, rows, timer):
+            yield pd.DataFrame({"session": [key[0]], "n": [sum(map(len, rows))]})
 
-        return samples.groupBy("session").applyInPandasWithState(run, "n bigint", "x binary", "append", "NoTimeout")
+    def sizes(samples, *_):
+        return plain(samples, None, make=lambda: Sizes(None))
 
+    plain = detector.detect
+    monkeypatch.setattr(detector, "SessionProcessor", Counted)
     monkeypatch.setattr(detector, "detect", sizes)
     monkeypatch.setattr(detector, "ROWS", 10, raising=False)
-    samples = spark.range(60).select(F.lit(1).cast("bigint").alias("session"), F.col("id").alias("arrival_seq"))
+    samples = spark.range(60).select(F.lit(1).cast("bigint").alias("session"), F.col("id").alias("arrival_seq"), F.col("id").alias("t_ms"), F.lit(0).alias("raw"))
     found = [r["n"] for r in detector.replay_stream(spark, samples, None, None, 20, 10).collect()]
     assert found == [10] * 6
 
@@ -273,11 +279,11 @@ GATES = {"enter_threshold": 0.6, "exit_threshold": 0.4, "enter_dwell_frames": 1,
 def test_square_waves(spark, parts, least, skip, has, lacks):
     """Press, transient and flush, by the detector of a live run and in batch; the first events may be left out."""
     profile = profiles.Profile(**SQUARE, decision={**GATES, "min_event_ms": least})
-    rows, d, model = square("s", *parts), detector.Detector(), score.FrameModel(profile)
-    events = [e for _, _, t, raw, _ in rows for e in d.update(t, raw, model, profile.gate(), 20, 10, True)]
+    rows, d = square("s", *parts), detector.Detector(score.FrameModel(profile), profile.gate(), 20, 10)
+    events = [e for _, _, t, raw, _ in rows for e in d.update(t, raw)]
     phases = {e[1] for e in events if e[2] >= skip}
     assert has <= phases and not lacks & phases
-    tail = d.flush(profile.gate())
+    tail = d.flush()
     if len(parts) == 2:
         # An open press is closed at the last sample.
         assert len(tail) == 1 and tail[0][3] == rows[-1][2] and tail[0][4] == rows[-1][2] - tail[0][2]
