@@ -5,13 +5,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import signal
 import sys
 import tempfile
 import threading
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .functions import models
 from .operators import decide, dsp, evaluate, frames, islands, protocol, record, score, training
-from .sources import profiles, serial, sessions
+from .sources import keyboard, profiles, serial, sessions
 from .sources.shared import shared_dir
-from .streaming import detector, status
+from .streaming import detector, recorder, status
 
 MODELS = ("threshold", "logreg", *models.SEQUENCE)
 PROFILE = "models/binary_profile.json"
@@ -137,7 +138,7 @@ def study(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
         rows = recorded_examples(spark, args.sessions, features, args.ignore_margin_ms).persist()
         base, held = split(rows, 0.25, args.seed)
         for fraction in items(args.fractions, float):
-            part = training.prefix(base, fraction, ["t_ms"])
+            part = training.prefix(base, fraction, ["arrival_seq"])
             for name in items(args.models):
                 for epochs in [1] if name == "threshold" else items(args.epochs, int):
                     for hidden in [0] if name in ("threshold", "logreg") else items(args.hidden, int):
@@ -230,40 +231,85 @@ def evaluation(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
 
 
 def recorded(spark: SparkSession, args: argparse.Namespace) -> str:
-    """A session's folder from a file of device lines and, beside it, what was pressed (O-API-5/6): by keys that toggle or
-    hold intervals, or by the prompts of a protocol."""
+    """A session's folder from a device (O-API-5/6) or a file of device lines: intervals by keys that toggle or hold them,
+    or by the prompts of a protocol."""
     where = args.out or f"{args.sessions_root}/{sessions.default_name()}"
+    port = serial.find_port(args.port)
+    prompted, script = args.command == "prompt-record", []
+    mode = "prompted" if prompted else "hold" if args.hold else "toggle"
+    keys = {} if prompted else {"label_key": args.label_key, "quit_key": args.quit_key}
+    about = sessions.meta(port, args.baud, mode, args.label, f"pulseloom-{args.command}", notes=args.notes, **keys)
+    if prompted:
+        script = protocol.build(args.settle, args.rest, args.trials, args.press, args.gap, args.final_rest, args.artifact)
+        asked = {f"{c}_sec": getattr(args, c) for c in ("settle", "rest", "press", "gap", "final_rest", "artifact")}
+        about = recorder.protocol_meta(about, script, **asked, trials=args.trials)
+    if not os.path.isfile(port):
+        record_live(spark, args, port, where, about, lambda: recorder.Recorder(mode, args.label, script, args.duration_sec))
+        return where
     name = where.rstrip("/").split("/")[-1]
-    lines = serial.file_lines(spark, args.port, name)
+    lines = serial.file_lines(spark, port, name)
     if args.duration_sec is not None:
         first = lines.agg(F.min("host_time_s")).first()[0] or 0.0
         lines = lines.where(F.col("host_time_s") < first + args.duration_sec)
     lines = lines.persist()
-    parsed = frames.parsed_lines(lines).join(lines.select("arrival_seq", "host_time_s", "line"), "arrival_seq")
-    ends = decide.session_ends(parsed)
-    prompted = args.command == "prompt-record"
-    if prompted:
-        script = protocol.build(args.settle, args.rest, args.trials, args.press, args.gap, args.final_rest, args.artifact)
-        marks = record.prompt_labels(parsed, spark.createDataFrame(script, protocol.SCHEMA), ends)
-    else:
-        keys = spark.read.schema("seq bigint, after_seq bigint, action string").json(args.keys) if args.keys else spark.createDataFrame([], "seq bigint, after_seq bigint, action string")
-        controls = keys.withColumn("session", F.lit(name))
-        marks = (record.hold_labels if args.hold else record.toggle_labels)(parsed, controls, ends, args.label)
-    made = frames.frames(dsp.snapshots(parsed).drop("raw", "segment").withColumnRenamed("filtered", "raw"), "raw", slope="slope_burst", lf="lf_energy")
-    counts = record.session_counts(lines, parsed, made, marks)
-    start = counts.select("session", F.lit(0).cast("bigint").alias("line"), F.lit("session_start").alias("type"))
-    end = counts.select("session", F.lit(1 << 62).alias("line"), F.lit("session_end").alias("type"), F.col("final_t_ms").alias("t_ms"), "samples", "frames", "labels", "parse_errors")
-    labels = marks.unionByName(start, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
-    host = F.lit(lines.agg(F.max("host_time_s")).first()[0] or 0.0)
-    about = sessions.meta(args.port, args.baud, "prompted" if prompted else "hold" if args.hold else "toggle", args.label, f"pulseloom-{args.command}", notes=args.notes)
-    sessions.write_session(where, parsed.withColumn("host_time_s", F.format_string("%.6f", "host_time_s")), record.feature_rows(made, host), labels, about)
+    try:
+        parsed = frames.parsed_lines(lines).join(lines.select("arrival_seq", "host_time_s", "line"), "arrival_seq")
+        ends = decide.session_ends(parsed)
+        if prompted:
+            marks = record.prompt_labels(parsed, spark.createDataFrame(script, protocol.SCHEMA), ends)
+        else:
+            kind = "seq bigint, after_seq bigint, action string"
+            pressed = spark.read.schema(kind).json(args.keys) if args.keys else spark.createDataFrame([], kind)
+            marks = (record.hold_labels if args.hold else record.toggle_labels)(parsed, pressed.withColumn("session", F.lit(name)), ends, args.label)
+        snap = dsp.snapshots(parsed)
+        made = frames.frames(snap.drop("raw", "segment").withColumnRenamed("filtered", "raw"), "raw", slope="slope_burst", lf="lf_energy")
+        counts = record.session_counts(lines, parsed, made, marks)
+        first, last = (F.lit(x) for x in lines.agg(F.min("host_time_s"), F.max("host_time_s")).first())
+        start = counts.select("session", F.lit(0).cast("bigint").alias("line"), F.lit("session_start").alias("type"), first.cast("double").alias("host_time_s"))
+        end = counts.select("session", F.lit(1 << 62).alias("line"), F.lit("session_end").alias("type"), F.col("final_t_ms").alias("t_ms"), last.cast("double").alias("host_time_s"), "samples", "frames", "labels", "parse_errors")
+        labels = marks.unionByName(start, allowMissingColumns=True).unionByName(end, allowMissingColumns=True)
+        rows = record.feature_rows(record.hosted_frames(made, parsed, snap, frames.WINDOW_MS, frames.HOP_MS), F.col("host_time_s"))
+        sessions.write_session(where, parsed.withColumn("host_time_s", F.format_string("%.6f", "host_time_s")), rows, labels, about)
+    finally:
+        lines.unpersist()
     return where
 
 
+def record_live(spark: SparkSession, args: argparse.Namespace, port: str, where: str, about: str, make: Callable[[], recorder.Recorder]) -> dict:
+    """Records a device until its protocol or time is over, the quit key, SIGINT or SIGTERM (O-REC-1..5). Controls come
+    from a pipe: the terminal's keys, and whatever is named by ``--keys``."""
+    name = where.rstrip("/").split("/")[-1]
+    if sessions.exists(spark, where):
+        raise Refused(f"{where} is there already")
+    lock = serial.PortLock(args.lock_dir or tempfile.gettempdir(), port)
+    lock.acquire()
+    try:
+        folder = live_folder(spark, args.checkpoint)
+        lines, seen = device(spark, port, folder, name, args.baud)
+        pipe = args.keys if getattr(args, "keys", None) else f"{folder.removeprefix('file://')}/keys"
+        os.makedirs(os.path.dirname(pipe) or ".", exist_ok=True)
+        if not os.path.exists(pipe):
+            os.mkfifo(pipe)
+        controls = spark.readStream.format("device_lines").options(path=pipe, session=name, journal=f"{folder.removeprefix('file://')}/key-journal").load()
+        over, keep = threading.Event(), recorder.sink(f"{folder}/parts")
+
+        def put(batch: DataFrame, number: int) -> None:
+            keep(batch, number)
+            if not spark.read.schema(batch.schema).parquet(f"{folder}/parts/batch={number}").where("type = 'session_end'").isEmpty():
+                over.set()
+
+        made = recorder.recorded(status.observed(lines), controls, make)
+        with keyboard.Keys(pipe, getattr(args, "label_key", ""), getattr(args, "quit_key", ""), bool(getattr(args, "hold", False))) as pressed:
+            run_live(spark, made.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(processingTime="0.5 seconds"), seen, args.status, over, lambda: pressed.say("quit"))
+        return recorder.assemble(spark, f"{folder}/parts", where, about)
+    finally:
+        lock.release()
+
+
 def monitor(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
     """The monitor's rows of a file of device lines (O-API-7, O-SNK-9): the last ``window_sec`` on the console, all of them
     as CSV where a log is wanted."""
-    parsed = frames.parsed_lines(serial.file_lines(spark, args.port, "live"))
+    parsed = frames.parsed_lines(serial.file_lines(spark, serial.find_port(args.port), "live"))
     snap = dsp.snapshots(parsed)
     made = frames.frames(snap.drop("raw", "segment").withColumnRenamed("filtered", "raw"), "raw", slope="slope_burst", lf="lf_energy")
     rows = record.monitor_rows(snap, made, frames.WINDOW_MS, frames.HOP_MS)
@@ -326,19 +372,23 @@ def switch(spark: SparkSession, args: argparse.Namespace) -> dict:
         lock.release()
 
 
-def run_live(spark: SparkSession, writer, seen: status.LiveStatus, told: bool, seconds: float | None = None) -> dict:
-    """Starts a query and stops it when asked to, or after ``seconds``; what it met."""
+def run_live(spark: SparkSession, writer, seen: status.LiveStatus, told: bool, over: threading.Event | None = None, ask: Callable[[], None] | None = None) -> dict:
+    """Starts a query and stops it once ``over`` is set or a signal asks for it; what it met. ``ask`` is called on a
+    signal, and ``over`` then waited for."""
     spark.streams.addListener(seen)
-    began = time.monotonic()
+    over = over or threading.Event()
     try:
         with Stopping() as stopping:
             query = writer.start()
             try:
-                while query.isActive and not stopping.asked.is_set() and (seconds is None or time.monotonic() - began < seconds):
-                    stopping.asked.wait(0.5)
+                while query.isActive and not stopping.asked.is_set() and not over.is_set():
+                    over.wait(0.5)
                     if told:
                         print(json.dumps(seen.now()), file=sys.stderr, flush=True)
-                if query.isActive:
+                if ask and query.isActive and not over.is_set():
+                    ask()
+                    over.wait(30)
+                if query.isActive and not ask:
                     query.processAllAvailable()
             finally:
                 query.stop()
@@ -411,7 +461,7 @@ def parser() -> argparse.ArgumentParser:
         "eval", ("--sessions", "sessions"), ("--configs", "threshold:wl,logreg:wl,logreg:all"), ("--epochs", 200), ("--pre-tol-ms", 400), ("--post-tol-ms", 600), ("--include-glob", "*"), ("--exclude", ""),
         ("--sweep", None), ("--sweep-top", 8), ("--report", None), ("--per-session", False), *shared,
     )
-    keep = (*port, ("--out", None), ("--sessions-root", "sessions"), ("--label", "CLICK"), ("--duration-sec", None, {"type": float}), ("--notes", ""), ("--status", False))
+    keep = (*port, ("--out", None), ("--sessions-root", "sessions"), ("--label", "CLICK"), ("--duration-sec", None, {"type": float}), ("--notes", ""), ("--status", False), ("--checkpoint", None), ("--lock-dir", None))
     command("record", *keep, ("--keys", None), ("--hold", False), ("--label-key", "c"), ("--quit-key", "q"))
     command("prompt-record", *keep, ("--settle", 5.0), ("--rest", 20.0), ("--trials", 20), ("--press", 1.0), ("--gap", 3.0), ("--final-rest", 10.0), ("--artifact", 0.0))
     command("monitor", *port, ("--window-sec", 10.0), ("--log-file", None))

@@ -108,8 +108,10 @@ def edge_events(scored: DataFrame, gate: Gate | None = None, ends: DataFrame | N
 
 
 def session_ends(samples: DataFrame) -> DataFrame:
-    """``(session, final_t_ms)``: the time of each session's last sample by arrival."""
-    return samples.groupBy("session").agg(F.max_by("t_ms", "arrival_seq").alias("final_t_ms"))
+    """``(session, final_t_ms)``: the time of each session's last sample by arrival, and where samples have it the host's
+    (``final_host_s``)."""
+    last = [F.max_by("t_ms", "arrival_seq").alias("final_t_ms")] + ([F.max_by("host_time_s", "arrival_seq").alias("final_host_s")] if "host_time_s" in samples.columns else [])
+    return samples.groupBy("session").agg(*last)
 
 
 def frame_states(scored: DataFrame, gate: Gate = Gate()) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import random
 from collections import deque
 from collections.abc import Sequence
 
@@ -12,15 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import is_artifact, is_rest, per_minute, stable_sigmoid, threshold_score
 from .decide import GATE_COLUMNS, edge_events, switch_events
+from .folds import logistic_folds
 from .islands import presses
 from .loso import threshold_folds
 from .ordered import ordered_fold
 from ..sources.shared import written
-from .training import class_weights, robust_statistics
-
-#: Folds of logistic models, whose weights are sent to all tasks.
-MOST_FOLDS = 10_000
-
 
 def greedy_match(clicks: DataFrame, pressed: DataFrame, pre_ms: int = 400, post_ms: int = 600) -> DataFrame:
     """``(session, click_ord, press_ord)``: clicks in order take the first unused completed press whose down lies in
@@ -172,44 +167,15 @@ def loso_models(examples: DataFrame, sessions: DataFrame, feature: str) -> DataF
 
 def loso_logreg(examples: DataFrame, sessions: DataFrame, features: Sequence[str], epochs: int = 200, rate: float = 0.05, l2: float = 1e-4, seed: int = 7) -> dict:
     """``session -> {weights, bias, center, scale}``: the logistic model that is trained on all other sessions
-    (O-EVL-3). Each epoch is one aggregation for all folds: every example meets the weights of every other session's
-    fold, as training each fold does, so folds are those of a wearer's recordings and are sent to all tasks."""
-    spark = examples.sparkSession
-    names = [r["session"] for r in sessions.select("session").distinct().collect()]
-    if len(names) > MOST_FOLDS:
-        raise ValueError(f"more than {MOST_FOLDS} folds")
-    folds = F.broadcast(sessions.select(F.col("session").alias("fold")).distinct())
-    pairs = examples.join(folds, F.col("fold") != F.col("session")).persist()
-    try:
-        long = pairs.selectExpr("fold", f"stack({len(features)}, " + ", ".join(f"'{f}', CAST({f} AS DOUBLE)" for f in features) + ") AS (feature, value)")
-        norm: dict = {}
-        for r in robust_statistics(long, ["fold", "feature"]).collect():
-            norm.setdefault(r["fold"], {})[r["feature"]] = (r["center"], r["scale"])
-        weight = {r["fold"]: r for r in class_weights(pairs, ["fold"]).collect()}
-        rng = random.Random(seed)
-        start = [rng.uniform(-0.01, 0.01) for _ in features]
-        now = {n: (list(start), 0.0) for n in weight}
-        kind = dict(sessions.dtypes)["session"]
-        for _ in range(max(epochs, 1)):
-            rows = [(n, w, b, [norm[n][f][0] for f in features], [max(norm[n][f][1], 1e-6) for f in features], weight[n]["pos_weight"], weight[n]["neg_weight"]) for n, (w, b) in now.items()]
-            sent = F.broadcast(spark.createDataFrame(rows, f"fold {kind}, w array<double>, b double, c array<double>, s array<double>, pw double, nw double"))
-            x = [(F.col(f).cast("double") - F.get("c", i)) / F.get("s", i) for i, f in enumerate(features)]
-            p = stable_sigmoid(sum((F.get("w", i) * v for i, v in enumerate(x)), F.col("b")))
-            diff = (p - F.col("label")) * F.when(F.col("label") == 1, F.col("pw")).otherwise(F.col("nw"))
-            sums = pairs.join(sent, "fold").groupBy("fold").agg(*[F.sum(diff * v).alias(f"g{i}") for i, v in enumerate(x)], F.sum(diff).alias("g"))
-            for r in sums.collect():
-                w, b = now[r["fold"]]
-                n = weight[r["fold"]]["n"]
-                now[r["fold"]] = [v - rate * (r[f"g{i}"] / n + l2 * v) for i, v in enumerate(w)], b - rate * r["g"] / n
-    finally:
-        pairs.unpersist()
-    return {n: {"weights": w, "bias": b, "center": [norm[n][f][0] for f in features], "scale": [max(norm[n][f][1], 1e-6) for f in features]} for n, (w, b) in now.items()}
+    (O-EVL-3)."""
+    return logistic_folds(examples, sessions, features, epochs, rate, l2, seed)
 
 
 def score_folds(frames: DataFrame, fitted: dict, features: Sequence[str]) -> DataFrame:
     """``(session, ord_frame, t_ms, p)`` of each session under its fold's logistic model."""
     kind = dict(frames.dtypes)["session"]
     rows = [(n, m["weights"], m["bias"], m["center"], m["scale"]) for n, m in fitted.items()]
+    # The folds' models are at the driver, so they fit a task too.
     sent = F.broadcast(frames.sparkSession.createDataFrame(rows, f"session {kind}, w array<double>, b double, c array<double>, s array<double>"))
     total = sum((F.get("w", i) * (F.col(f).cast("double") - F.get("c", i)) / F.get("s", i) for i, f in enumerate(features)), F.col("b"))
     return frames.join(sent, "session").select("session", "ord_frame", "t_ms", stable_sigmoid(total).alias("p"))

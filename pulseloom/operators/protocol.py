@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Phases of a protocol, which is sent to all tasks.
-MOST_PHASES = 100_000
+#: Phases of a protocol that is sent to all tasks; one of more is joined by stretches of time.
+BROADCAST_PHASES = 10_000
 SCHEMA = "idx bigint, name string, duration_s double, label string"
 
 
@@ -30,25 +30,31 @@ def timed(protocol: DataFrame) -> DataFrame:
 
 def phase_at(times: DataFrame, protocol: DataFrame) -> DataFrame:
     """``times`` with the phase that holds ``elapsed_s`` (start counted, end not), the time in it and the time left;
-    nulls past the end (O-PRO-2). The protocol is a recording's script, a few dozen rows, and is sent to all tasks."""
-    if protocol.count() > MOST_PHASES:
-        raise ValueError("a protocol of so many phases is no recording's script")
-    p = F.broadcast(timed(protocol))
+    nulls past the end (O-PRO-2). A recording's script, a few dozen rows, is sent to all tasks. A longer one is cut into as
+    many stretches of time as it has phases, and phases and times meet by stretch."""
+    n, p = protocol.count(), timed(protocol)
     inside = (F.col("elapsed_s") >= F.col("start_s")) & (F.col("elapsed_s") < F.col("end_s"))
+    if n <= BROADCAST_PHASES:
+        p = F.broadcast(p)
+    else:
+        width = (protocol.agg(F.sum("duration_s")).first()[0] or 1.0) / n
+        stretch = lambda c: F.floor(F.col(c) / width)
+        p = p.withColumn("__stretch", F.explode(F.sequence(stretch("start_s"), stretch("end_s"))))
+        inside = inside & (stretch("elapsed_s") == F.col("__stretch"))
     return times.join(p, inside, "left").select(
         *times.columns, F.col("idx").alias("phase_idx"), F.col("name").alias("phase"), (F.col("elapsed_s") - F.col("start_s")).alias("phase_elapsed_s"), (F.col("end_s") - F.col("elapsed_s")).alias("phase_left_s")
     )
 
 
 def markers(samples: DataFrame, protocol: DataFrame, done: bool = False) -> DataFrame:
-    """``(session, arrival_seq, t_ms, phase_idx, name, label, previous, previous_label)``: a row where a session's phase
+    """``(session, arrival_seq, t_ms, host_time_s, phase_idx, name, label, previous, previous_label)``: a row where a session's phase
     changes, its first one included; the clock starts at the first sample (O-REC-1/4). With ``done`` also where the
     protocol is over, with nulls for the phase."""
     w = Window.partitionBy("session").orderBy("arrival_seq")
-    timed_rows = samples.select("session", "arrival_seq", "t_ms", ((F.col("t_ms") - F.first("t_ms").over(w)) / 1000.0).alias("elapsed_s"))
-    placed = phase_at(timed_rows, protocol).join(F.broadcast(protocol.select(F.col("idx").alias("phase_idx"), "label")), "phase_idx", "left")
+    timed_rows = samples.select("session", "arrival_seq", "t_ms", F.col("host_time_s") if "host_time_s" in samples.columns else F.lit(None).cast("double").alias("host_time_s"), ((F.col("t_ms") - F.first("t_ms").over(w)) / 1000.0).alias("elapsed_s"))
+    placed = phase_at(timed_rows, protocol).join(protocol.select(F.col("idx").alias("phase_idx"), "label"), "phase_idx", "left")
     if not done:
         placed = placed.where("phase_idx IS NOT NULL")
     known = placed.withColumns({"before": F.lag("phase_idx").over(w), "previous": F.lag("phase").over(w), "previous_label": F.lag("label").over(w), "first": F.row_number().over(w) == 1})
     changed = known.where("first OR NOT (before <=> phase_idx)")
-    return changed.select("session", "arrival_seq", "t_ms", "phase_idx", F.col("phase").alias("name"), "label", "previous", "previous_label")
+    return changed.select("session", "arrival_seq", "t_ms", "host_time_s", "phase_idx", F.col("phase").alias("name"), "label", "previous", "previous_label")

@@ -2,7 +2,8 @@
 
 Controls are what a person did while lines came in: ``(session, seq, after_seq, action)``, where ``after_seq`` is the
 arrival number of the last line before it. Label records are ``(session, line, type, label, t_ms, phase, duration_s,
-closed_by)``; times are those of the last sample that parsed before the record.
+closed_by, host_time_s)``; times are those of the last sample that parsed before the record, the host's among them where
+samples have it.
 """
 
 from __future__ import annotations
@@ -12,33 +13,43 @@ from pyspark.sql import functions as F
 
 from .protocol import markers
 
-RECORD = "type string, label string, t_ms bigint, phase string, duration_s double, closed_by string"
+RECORD = "type string, label string, t_ms bigint, phase string, duration_s double, closed_by string, host_time_s double"
 
 
 def _record(kind: str, label: Column | None = None, t: Column | None = None, **more: Column) -> Column:
-    given = {"type": F.lit(kind), "label": label, "t_ms": t, "phase": more.get("phase"), "duration_s": more.get("duration_s"), "closed_by": more.get("closed_by")}
+    given = {"type": F.lit(kind), "label": label, "t_ms": t, "phase": more.get("phase"), "duration_s": more.get("duration_s"), "closed_by": more.get("closed_by"), "host_time_s": more.get("host")}
     kinds = dict(x.split(" ") for x in RECORD.split(", "))
     return F.struct(*[(F.lit(None) if v is None else v).cast(kinds[k]).alias(k) for k, v in given.items()])
 
 
+def host_of(rows: DataFrame) -> Column:
+    return F.col("host_time_s") if "host_time_s" in rows.columns else F.lit(None).cast("double").alias("host_time_s")
+
+
 def timed_controls(samples: DataFrame, controls: DataFrame) -> DataFrame:
-    """``controls`` with ``t_ms`` of the last sample before each: samples and controls in one order, one shuffle."""
+    """``controls`` with ``t_ms`` and ``host_time_s`` of the last sample before each: samples and controls in one order,
+    one shuffle."""
     none = F.lit(None)
-    a = samples.select("session", F.col("arrival_seq").alias("at"), F.lit(0).alias("kind"), F.col("t_ms"), none.cast("bigint").alias("seq"), none.cast("string").alias("action"))
-    b = controls.select("session", F.col("after_seq").alias("at"), F.lit(1).alias("kind"), none.cast("bigint").alias("t_ms"), "seq", "action")
+    a = samples.select("session", F.col("arrival_seq").alias("at"), F.lit(0).alias("kind"), F.col("t_ms"), host_of(samples), none.cast("bigint").alias("seq"), none.cast("string").alias("action"))
+    b = controls.select("session", F.col("after_seq").alias("at"), F.lit(1).alias("kind"), none.cast("bigint").alias("t_ms"), none.cast("double").alias("host_time_s"), "seq", "action")
     w = Window.partitionBy("session").orderBy("at", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("t_ms", F.last("t_ms", ignorenulls=True).over(w)).where("kind = 1").select("session", "seq", "action", "t_ms")
+    known = a.unionByName(b).withColumns({c: F.last(c, ignorenulls=True).over(w) for c in ("t_ms", "host_time_s")})
+    return known.where("kind = 1").select("session", "seq", "action", "t_ms", "host_time_s")
 
 
 def _closed(marks: DataFrame, ends: DataFrame, label: str) -> DataFrame:
     """``marks(session, seq, type, t_ms)`` as records, and an end for a session whose last mark is a start."""
     w = Window.partitionBy("session").orderBy("seq")
-    rows = marks.select("session", "seq", _record("x", F.lit(label), F.col("t_ms")).withField("type", F.col("type")).alias("r"))
-    left = marks.withColumn("later", F.lead("type").over(w)).where("later IS NULL AND type = 'label_start'").join(ends, "session")
-    tail = left.select("session", (F.col("seq") + 1).alias("seq"), _record("label_end", F.lit(label), F.col("final_t_ms"), closed_by=F.lit("session_end")).alias("r"))
+    rows = marks.select("session", "seq", _record("x", F.lit(label), F.col("t_ms"), host=F.col("host_time_s")).withField("type", F.col("type")).alias("r"))
+    left = marks.withColumn("later", F.lead("type").over(w)).where("later IS NULL AND type = 'label_start'").join(_hosted(ends), "session")
+    tail = left.select("session", (F.col("seq") + 1).alias("seq"), _record("label_end", F.lit(label), F.col("final_t_ms"), closed_by=F.lit("session_end"), host=F.col("final_host_s")).alias("r"))
     return rows.union(tail).select("session", F.row_number().over(w).cast("bigint").alias("line"), "r.*")
 
 
+def _hosted(ends: DataFrame) -> DataFrame:
+    return ends if "final_host_s" in ends.columns else ends.withColumn("final_host_s", F.lit(None).cast("double"))
+
+
 def toggle_labels(samples: DataFrame, controls: DataFrame, ends: DataFrame, label: str = "CLICK") -> DataFrame:
     """Each control starts an interval or ends the one that is open (O-REC-2)."""
     turn = F.row_number().over(Window.partitionBy("session").orderBy("seq"))
@@ -58,16 +69,16 @@ def prompt_labels(samples: DataFrame, protocol: DataFrame, ends: DataFrame, done
     """What a prompted recorder writes (O-REC-1): where a phase begins the open interval ends, the phase is noted, and a
     phase with a label starts an interval; with ``done`` a ``prompt_done`` record at the first sample past the
     protocol (O-REC-4), where the open interval ends too."""
-    found = markers(samples, protocol, done).join(F.broadcast(protocol.select("name", "duration_s", F.col("label").alias("own"), "idx").withColumnRenamed("idx", "phase_idx").drop("name", "own")), "phase_idx", "left")
-    t, label, over = F.col("t_ms"), F.col("label"), F.col("name").isNull()
-    ended = F.when(F.col("previous_label").isNotNull(), _record("label_end", F.col("previous_label"), t, closed_by=F.lit("phase_transition")))
-    noted = F.when(over, _record("prompt_done", None, t)).otherwise(_record("prompt_phase", label, t, phase=F.col("name"), duration_s=F.col("duration_s")))
-    started = F.when(label.isNotNull(), _record("label_start", label, t))
+    found = markers(samples, protocol, done).join(protocol.select(F.col("idx").alias("phase_idx"), "duration_s"), "phase_idx", "left")
+    t, label, over, host = F.col("t_ms"), F.col("label"), F.col("name").isNull(), F.col("host_time_s")
+    ended = F.when(F.col("previous_label").isNotNull(), _record("label_end", F.col("previous_label"), t, closed_by=F.lit("phase_transition"), host=host))
+    noted = F.when(over, _record("prompt_done", None, t, host=host)).otherwise(_record("prompt_phase", label, t, phase=F.col("name"), duration_s=F.col("duration_s"), host=host))
+    started = F.when(label.isNotNull(), _record("label_start", label, t, host=host))
     w = Window.partitionBy("session").orderBy("arrival_seq", "i")
     rows = found.select("session", "arrival_seq", F.posexplode(F.array(ended, noted, started)).alias("i", "r")).where("r IS NOT NULL")
     every = Window.partitionBy("session").orderBy("arrival_seq")
-    last = found.withColumn("later", F.lead("t_ms").over(every)).where("later IS NULL AND label IS NOT NULL").join(ends, "session")
-    tail = last.select("session", (F.col("arrival_seq") + 1).alias("arrival_seq"), F.lit(9).alias("i"), _record("label_end", label, F.col("final_t_ms"), closed_by=F.lit("session_end")).alias("r"))
+    last = found.withColumn("later", F.lead("t_ms").over(every)).where("later IS NULL AND label IS NOT NULL").join(_hosted(ends), "session")
+    tail = last.select("session", (F.col("arrival_seq") + 1).alias("arrival_seq"), F.lit(9).alias("i"), _record("label_end", label, F.col("final_t_ms"), closed_by=F.lit("session_end"), host=F.col("final_host_s")).alias("r"))
     return rows.union(tail).select("session", F.row_number().over(w).cast("bigint").alias("line"), "r.*")
 
 
@@ -116,6 +127,13 @@ def monitor_rows(snapshots: DataFrame, frames: DataFrame, window_ms: int, hop_ms
     )
 
 
+def hosted_frames(frames: DataFrame, samples: DataFrame, snapshots: DataFrame, window_ms: int, hop_ms: int) -> DataFrame:
+    """``frames`` with ``host_time_s`` of the sample that closed each (O-REC-6); ``snapshots`` are the samples with
+    ``segment``."""
+    closing = closing_samples(snapshots, window_ms, hop_ms).join(samples.select("session", "arrival_seq", "host_time_s"), ["session", "arrival_seq"])
+    return frames.join(closing.select("session", "segment", "frame", "host_time_s"), ["session", "segment", "frame"], "left")
+
+
 def feature_rows(frames: DataFrame, host_time: Column) -> DataFrame:
     """Recorded feature rows (O-REC-6): the host's time to six decimals, then the frame."""
     return frames.select(

@@ -658,7 +658,7 @@ SELECT session, row_number() OVER (PARTITION BY session ORDER BY seq) AS line, t
 def toggle_labels(spark, sf):
     """O-REC-2/5, O-ISL-4."""
     samples = B.samples(spark, sf)
-    return record.toggle_labels(samples, B.controls(spark, sf), _ends(spark, sf)).drop("phase", "duration_s")
+    return record.toggle_labels(samples, B.controls(spark, sf), _ends(spark, sf)).drop("phase", "duration_s", "host_time_s")
 
 
 @query(f"""WITH {B.SQL}, c AS (SELECT *, coalesce(lag(event_type) OVER (PARTITION BY session ORDER BY arrival_seq), 'view') AS b FROM s WHERE event_type IN ('click', 'view')),
@@ -666,7 +666,7 @@ mk AS (SELECT session, arrival_seq AS seq, t_ms, CASE event_type WHEN 'click' TH
 def hold_labels(spark, sf):
     """O-REC-3/7."""
     samples = B.samples(spark, sf)
-    return record.hold_labels(samples, B.controls(spark, sf), _ends(spark, sf)).drop("phase", "duration_s")
+    return record.hold_labels(samples, B.controls(spark, sf), _ends(spark, sf)).drop("phase", "duration_s", "host_time_s")
 
 
 @query(f"""WITH {B.SQL}, p(idx, name, d, label) AS (VALUES (0, 'SETTLE', 0.021, NULL), (1, 'REST', 0.041, NULL), (2, 'CLICK 1/2', 0.021, 'CLICK'), (3, 'REST', 0.021, NULL), (4, 'CLICK 2/2', 0.021, 'CLICK')),
@@ -680,7 +680,7 @@ SELECT session, row_number() OVER (PARTITION BY session ORDER BY arrival_seq, i)
 def prompt_labels(spark, sf):
     """O-REC-1/4, O-JOIN-9."""
     script = spark.createDataFrame(protocol.build(settle=0.021, rest=0.041, trials=2, press=0.021, gap=0.021, final_rest=0, artifact=0), protocol.SCHEMA)
-    return record.prompt_labels(B.samples(spark, sf), script, _ends(spark, sf), done=True)
+    return record.prompt_labels(B.samples(spark, sf), script, _ends(spark, sf), done=True).drop("host_time_s")
 
 
 @query(f"""WITH {B.SQL}, {B.frames_sql('(SELECT * FROM s WHERE arrival_seq % 13 <> 0)')}, g AS (SELECT session, count(*) AS frames FROM fr GROUP BY session), li AS (SELECT session, count(*) // 2 AS a, count(*) % 2 AS b FROM s WHERE event_type IN ('click', 'view') GROUP BY session)

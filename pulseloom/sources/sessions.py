@@ -19,8 +19,6 @@ RAW_COLUMNS = ("host_time_s", "t_ms", "raw", "env", "line")
 FEATURE_COLUMNS = ("host_time_s", "t_ms", "window_start_ms", "window_end_ms", "env_in", "filtered_raw_hp", "rms_state", "lf_energy_ratio", "slope_burst", "waveform_length")
 DEBUG_COLUMNS = ("active", "probability", "down", "up")
 RECORD = "type string, label string, host_time_s double, t_ms double, phase string, duration_s double, closed_by string, samples bigint, frames bigint, features bigint, labels bigint, parse_errors bigint"
-#: Cells of a CSV line that are looked at.
-CELLS = 64
 
 
 def usable(session: Column, exclude: tuple[str, ...] = ()) -> Column:
@@ -44,9 +42,9 @@ def _lines(spark: SparkSession, root: str, glob: str, name: str) -> DataFrame:
 
 def _cells(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """CSV lines by the names in each file's own header; a column that is not there is null. With ``arrival_seq``."""
-    schema = ", ".join(f"c{i} string" for i in range(CELLS))
-    cut = rows.where("trim(line) != ''").select("session", "__file", "__at", F.from_csv("line", schema).alias("c"))
-    cut = cut.select("session", "__file", "__at", F.array(*[F.col(f"c.c{i}") for i in range(CELLS)]).alias("cells"))
+    plain = lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(F.nullif(c, F.lit("")))
+    cells = F.transform(F.regexp_extract_all(F.concat(F.lit(","), F.col("line")), F.lit(',("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), plain)
+    cut = rows.where("trim(line) != ''").select("session", "__file", "__at", cells.alias("cells"))
     w = Window.partitionBy("session", "__file").orderBy("__at")
     headed = cut.withColumns({"head": F.first("cells").over(w), "n": F.row_number().over(w)}).where("n > 1")
     picked = headed.select("session", "__file", "__at", *[F.get("cells", F.array_position(F.transform("head", lambda x: F.coalesce(x, F.lit(""))), c).cast("int") - 1).alias(c) for c in columns])
@@ -115,15 +113,48 @@ def meta(port: str, baud: int, label_mode: str, label: str, source: str, label_k
 
 def write_session(path: str, raw: DataFrame, features: DataFrame, labels: DataFrame, described: str, order: tuple[str, ...] = ("t_ms",)) -> None:
     """One session's folder (O-SNK-1): ``raw.csv``, ``features.csv`` (headers and columns as fixed), ``labels.jsonl`` and
-    ``meta.json``, each as Spark writes it. An existing folder is an error. ``labels`` come with ``line``, their order."""
+    ``meta.json``, each one file. An existing folder is an error. ``labels`` come with ``line``, their order."""
     spark = raw.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    if exists(spark, path):
         raise FileExistsError(path)
-    spark.createDataFrame([(described,)], "value string").coalesce(1).write.text(f"{path}/meta.json")
-    raw.orderBy("arrival_seq").select(*RAW_COLUMNS).write.option("header", True).csv(f"{path}/raw.csv")
-    features.orderBy(*order).select(*FEATURE_COLUMNS, *[c for c in DEBUG_COLUMNS if c in features.columns]).write.option("header", True).csv(f"{path}/features.csv")
-    write_json_lines(labels.orderBy("line").drop("session", "line"), f"{path}/labels.jsonl")
+    line = lambda columns: F.to_csv(F.struct(*columns)).alias("value")
+    shown = [*FEATURE_COLUMNS, *[c for c in DEBUG_COLUMNS if c in features.columns]]
+    one_file(raw.orderBy("arrival_seq").select(line(RAW_COLUMNS)), f"{path}/raw.csv", ",".join(RAW_COLUMNS) + "\n")
+    one_file(features.orderBy(*order).select(line(shown)), f"{path}/features.csv", ",".join(shown) + "\n")
+    records = labels.orderBy("line").drop("session", "line")
+    one_file(records.select(F.to_json(F.struct(*records.columns)).alias("value")), f"{path}/labels.jsonl")
+    one_file(spark.createDataFrame([], "value string"), f"{path}/meta.json", described)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def one_file(lines: DataFrame, path: str, head: str = "") -> None:
+    """``lines(value)``, in their order, as one text file after ``head``: tasks write parts beside it, whose bytes are put
+    one after another on the file system that ``path`` is on. The file has its name once it is whole."""
+    spark = lines.sparkSession
+    fs_path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    parts, made, target = (fs_path(f"{path}{x}") for x in (".parts", ".new", ""))
+    fs = target.getFileSystem(conf)
+    lines.write.mode("overwrite").text(parts.toString())
+    out = fs.create(made)
+    try:
+        out.write(bytearray(head.encode()))
+        for status in sorted(fs.listStatus(parts), key=lambda x: x.getPath().getName()):
+            if status.getPath().getName().startswith("part-"):
+                given = fs.open(status.getPath())
+                try:
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(given, out, conf, False)
+                finally:
+                    given.close()
+    finally:
+        out.close()
+    fs.rename(made, target)
+    # Other tools may change the file, so it must not have a checksum of what it was.
+    fs.delete(fs_path(target.getParent(), f".{target.getName()}.crc"), False)
+    fs.delete(parts, True)
 
 
 def write_rows(rows: DataFrame, root: str, name: str, order: tuple[str, ...]) -> None:
@@ -132,11 +163,6 @@ def write_rows(rows: DataFrame, root: str, name: str, order: tuple[str, ...]) ->
     placed.write.mode("error").option("header", True).partitionBy("session", "file").csv(root)
 
 
-def write_samples(samples: DataFrame, path: str) -> None:
-    """Many sessions as columns, one folder for each; an existing path is an error."""
-    samples.write.mode("error").partitionBy("session").parquet(path)
-
-
 def write_json_lines(events: DataFrame, path: str) -> None:
     """One JSON object a line, nulls left out (O-SNK-2)."""
     events.select(F.to_json(F.struct(*events.columns)).alias("value")).write.mode("error").text(path)

@@ -37,42 +37,31 @@ def threshold(value: float, softness: float, feature: str = "waveform_length") -
 
 _GATE = {"active": "boolean", "pending": "boolean", "frames": "bigint", "start_ms": "bigint", "until_ms": "bigint", "ord": "bigint"}
 _FILTERS = {f.name: "bigint" if f.name in ("last_t", "count", "dt") else "double" for f in fields(FilterState) if f.name not in ("taps", "sums", "window", "rest")}
-_OWN = {"next_end": "bigint", "last_t": "bigint", "probability": "double", "clicks": "bigint", "last_duration_ms": "bigint"}
 _ARRAYS = {"taps": "array<double>", "sums": "array<double>"}
 
 
-def _ddl(**groups: dict[str, str]) -> str:
+def ddl(**groups: dict[str, str]) -> str:
     return ", ".join(f"{group}_{name} {kind}" for group, columns in groups.items() for name, kind in columns.items())
 
 
 @dataclass
-class Detector:
-    """What a session carries between micro-batches. The gate and the count of clicks outlive clock resets, filters and
-    frames do not."""
+class Extractor:
+    """Samples to frames, one at a time. A clock that goes back begins filters, buffer and schedule anew."""
 
-    model: Callable
-    config: Gate = Gate()
     window_ms: int = 120
     hop_ms: int = 30
     filtered: bool = True
-    gate: GateState = field(default_factory=GateState)
     filters: FilterState = field(default_factory=FilterState)
     points: deque = field(default_factory=deque)
-    memory: list = field(default_factory=list)
     next_end: int | None = None
     last_t: int | None = None
-    probability: float = 0.0
-    clicks: int = 0
-    last_duration_ms: int | None = None
 
-    #: Columns of the state: those of its one row, and those of its lists.
-    SCALARS = _ddl(gate=_GATE, filters={**_FILTERS, **_ARRAYS}, own=_OWN)
-    LISTS = {"points": "t bigint, value double, slope double, lf double", "window": "t bigint, a double, b double", "rest": "t bigint, v double", "memory": "x array<double>"}
-    #: Columns of an event after the session.
-    OUTPUT = f"{EVENTS}, clicks bigint, last_duration_ms bigint"
+    #: Columns of the state's row and of its lists.
+    ROW = ddl(filters={**_FILTERS, **_ARRAYS}, frames={"next_end": "bigint", "last_t": "bigint"})
+    LISTS = {"points": "t bigint, value double, slope double, lf double, env bigint", "window": "t bigint, a double, b double", "rest": "t bigint, v double"}
 
-    def update(self, t: int, raw: int) -> list[tuple]:
-        """Events of one sample."""
+    def update(self, t: int, raw: int, env: int = 0) -> list[tuple[int, dict]]:
+        """The frames that a sample closes, each with its end."""
         window_ms, hop_ms = max(self.window_ms, 20), max(self.hop_ms, 10)
         if self.last_t is not None and t + hop_ms < self.last_t:
             self.filters, self.points, self.next_end = FilterState(), deque(), None
@@ -80,8 +69,8 @@ class Detector:
             self.next_end = t + window_ms
         self.last_t = t
         made = step(self.filters, FilterConfig(), t, float(raw)) if self.filtered else (float(raw),) + (0.0,) * 9
-        # (time, value, slope burst, low-frequency energy)
-        self.points.append((t, made[0], made[6], made[4]))
+        # (time, value, slope burst, low-frequency energy, envelope)
+        self.points.append((t, made[0], made[6], made[4], env))
         out = []
         while t >= self.next_end:
             inside = [p for p in self.points if self.next_end - window_ms <= p[0] <= self.next_end]
@@ -93,16 +82,57 @@ class Detector:
                     "rms_state": level(1),
                     "slope_burst": float(median(p[2] for p in inside)),
                     "lf_energy_ratio": level(3) / max(level(1), 1e-6),
+                    "filtered_raw_hp": inside[-1][1],
+                    "env_in": inside[-1][4],
                 }
-                self.probability = self.model(frame, self.memory)
-                event = decide(self.gate, self.config, self.next_end, self.probability)
-                if event:
-                    out.append(self._counted(event))
+                out.append((self.next_end, frame))
             self.next_end += hop_ms
         while self.points and self.points[0][0] < t - 4 * window_ms:
             self.points.popleft()
         return out
 
+    def dump(self) -> tuple[list, dict[str, list[tuple]]]:
+        f = self.filters
+        row = [getattr(f, c) for c in _FILTERS] + [list(f.taps), list(f.sums), self.next_end, self.last_t]
+        return row, {"points": list(self.points), "window": list(f.window), "rest": list(f.rest.rows)}
+
+    def load(self, values: Iterator, lists: dict[str, list[tuple]]) -> None:
+        f = self.filters
+        for c in _FILTERS:
+            setattr(f, c, next(values))
+        f.taps, f.sums = tuple(next(values)), tuple(next(values))
+        self.next_end, self.last_t = next(values), next(values)
+        self.points, f.window = (deque(tuple(x) for x in lists[c]) for c in ("points", "window"))
+        for t, v in lists["rest"]:
+            f.rest.put(t, v)
+
+
+class Detector:
+    """What a session carries between micro-batches. The gate and the count of clicks outlive clock resets, filters and
+    frames do not."""
+
+    _OWN = {"probability": "double", "clicks": "bigint", "last_duration_ms": "bigint"}
+    #: Columns of the state: those of its one row, and those of its lists.
+    SCALARS = f"{ddl(gate=_GATE, own=_OWN)}, {Extractor.ROW}"
+    LISTS = {**Extractor.LISTS, "memory": "x array<double>"}
+    #: Columns of what comes out after the session.
+    OUTPUT = f"{EVENTS}, clicks bigint, last_duration_ms bigint"
+
+    def __init__(self, model: Callable, config: Gate = Gate(), window_ms: int = 120, hop_ms: int = 30, filtered: bool = True) -> None:
+        self.model, self.config, self.gate = model, config, GateState()
+        self.extractor, self.memory = Extractor(window_ms, hop_ms, filtered), []
+        self.probability, self.clicks, self.last_duration_ms = 0.0, 0, None
+
+    def update(self, t: int, raw: int, env: int = 0) -> list[tuple]:
+        """Events of one sample."""
+        out = []
+        for end, frame in self.extractor.update(t, raw, env):
+            self.probability = self.model(frame, self.memory)
+            event = decide(self.gate, self.config, end, self.probability)
+            if event:
+                out.append(self._counted(event))
+        return out
+
     def _counted(self, event: tuple) -> tuple:
         self.gate.ord += 1
         if event[0] == "up":
@@ -111,50 +141,64 @@ class Detector:
 
     def flush(self) -> list[tuple]:
         """Closes an open press at the last sample."""
-        return [self._counted(commit(self.gate, self.config, False, self.last_t))] if self.gate.active else []
+        return [self._counted(commit(self.gate, self.config, False, self.extractor.last_t))] if self.gate.active else []
 
     def control(self, name: str) -> None:
         """``reset`` counts clicks anew (O-DEC-10); others mean nothing."""
         if name == "reset":
             self.clicks, self.last_duration_ms = 0, None
 
-    def seed(self, baseline: float, center: float, scale: float, t_ms: int, values: list[float]) -> None:
-        """Starts as after a sample at rest at ``t_ms``, with known rest values (O-DSP-16)."""
-        step(self.filters, FilterConfig(), t_ms, float(baseline))
-        bootstrap(self.filters, FilterConfig(), baseline, center, scale, t_ms, values)
+    def seed(self, given) -> None:
+        """Starts as after a sample at rest, with known rest values (O-DSP-16): ``baseline, center, scale, t_ms, seed``."""
+        step(self.extractor.filters, FilterConfig(), int(given.t_ms), float(given.baseline))
+        bootstrap(self.extractor.filters, FilterConfig(), given.baseline, given.center, given.scale, int(given.t_ms), list(given.seed))
+
+    def rows(self, batches: list[pd.DataFrame]) -> list[tuple]:
+        """What comes out of the rows of a micro-batch, taken in the order of arrival."""
+        # A few numbers a row are all that is kept of a micro-batch until it can be put in order.
+        seq, t, raw, control = (np.concatenate([b[c].to_numpy() for b in batches]) for c in ("arrival_seq", "t_ms", "raw", "control"))
+        found = []
+        for i in np.argsort(seq, kind="stable").tolist():
+            if control[i] is not None:
+                self.control(control[i])
+            else:
+                found += self.update(int(t[i]), int(raw[i]))
+        return found
+
+    def due(self) -> float | None:
+        """When something is to be done without a row; never."""
+        return None
+
+    def expire(self, now: float) -> list[tuple]:
+        return []
 
     def dump(self) -> tuple[tuple, dict[str, list[tuple]]]:
         """The state's row and lists."""
-        g, f = self.gate, self.filters
-        row = [getattr(g, c) for c in _GATE] + [getattr(f, c) for c in _FILTERS] + [list(f.taps), list(f.sums)] + [getattr(self, c) for c in _OWN]
-        return tuple(row), {"points": list(self.points), "window": list(f.window), "rest": list(f.rest.rows), "memory": [(list(x),) for x in self.memory]}
+        row, lists = self.extractor.dump()
+        own = [getattr(self.gate, c) for c in _GATE] + [getattr(self, c) for c in self._OWN]
+        return (*own, *row), lists | {"memory": [(list(x),) for x in self.memory]}
 
     def load(self, row: tuple, lists: dict[str, list[tuple]]) -> None:
         values = iter(row)
         for c in _GATE:
             setattr(self.gate, c, next(values))
-        for c in _FILTERS:
-            setattr(self.filters, c, next(values))
-        self.filters.taps, self.filters.sums = tuple(next(values)), tuple(next(values))
-        for c in _OWN:
+        for c in self._OWN:
             setattr(self, c, next(values))
-        self.points, self.filters.window = (deque(tuple(x) for x in lists[c]) for c in ("points", "window"))
-        for t, v in lists["rest"]:
-            self.filters.rest.put(t, v)
+        self.extractor.load(values, lists)
         self.memory = [list(x) for (x,) in lists["memory"]]
 
 
 class SessionProcessor(StatefulProcessor):
-    """Runs a detector for each session: ``make()`` gives one that has seen nothing, with ``SCALARS``, ``LISTS``,
-    ``OUTPUT``, ``update``, ``control``, ``seed``, ``dump`` and ``load``. With ``ttl_ms`` a session that was quiet for so
-    long is forgotten."""
+    """Runs a detector, or what has its methods, for each session: ``make()`` gives one that has seen nothing, with
+    ``SCALARS``, ``LISTS``, ``OUTPUT``, ``rows``, ``seed``, ``due``, ``expire``, ``dump`` and ``load``. With ``ttl_ms`` a
+    session that was quiet for so long is forgotten. With ``timed`` it is woken when it is due, in seconds of the host."""
 
-    def __init__(self, make: Callable, ttl_ms: int | None = None) -> None:
-        self.make, self.ttl_ms = make, ttl_ms
+    def __init__(self, make: Callable, ttl_ms: int | None = None, timed: bool = False) -> None:
+        self.make, self.ttl_ms, self.timed = make, ttl_ms, timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         one = self.make()
-        self.columns = ["session", *(x.split()[0] for x in one.OUTPUT.split(", "))]
+        self.handle, self.columns = handle, ["session", *(x.split()[0] for x in one.OUTPUT.split(", "))]
         self.row = handle.getValueState("scalars", one.SCALARS, self.ttl_ms)
         self.lists = {name: handle.getListState(name, kind, self.ttl_ms) for name, kind in one.LISTS.items()}
 
@@ -172,26 +216,37 @@ class SessionProcessor(StatefulProcessor):
                 state.put(lists[name])
             elif state.exists():
                 state.clear()
+        if self.timed:
+            due = detector.due()
+            wanted = [int(due * 1000) + 1] if due is not None else []
+            there = list(self.handle.listTimers())
+            for t in there:
+                if t not in wanted:
+                    self.handle.deleteTimer(t)
+            for t in wanted:
+                if t not in there:
+                    self.handle.registerTimer(t)
+
+    def _out(self, key: tuple, found: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *e) for e in found], columns=self.columns)
 
     def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
         detector = self.make()
         for r in initialState.itertuples(index=False):
-            detector.seed(r.baseline, r.center, r.scale, int(r.t_ms), list(r.seed))
+            detector.seed(r)
         self._hold(detector)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         detector = self._held()
-        # Three numbers a row are all that is kept of a micro-batch until it can be put in order.
-        parts = [(b["arrival_seq"].to_numpy(), b["t_ms"].to_numpy(), b["raw"].to_numpy(), b["control"].to_numpy()) for b in rows]
-        seq, t, raw, control = (np.concatenate(x) for x in zip(*parts))
-        found = []
-        for i in np.argsort(seq, kind="stable").tolist():
-            if control[i] is not None:
-                detector.control(control[i])
-            else:
-                found += detector.update(int(t[i]), int(raw[i]))
+        found = detector.rows(list(rows))
+        self._hold(detector)
+        yield self._out(key, found)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        detector = self._held()
+        found = detector.expire(expiredTimerInfo.getExpiryTimeInMs() / 1000.0)
         self._hold(detector)
-        yield pd.DataFrame([(key[0], *e) for e in found], columns=self.columns)
+        yield self._out(key, found)
 
     def close(self) -> None:
         """Nothing is held open."""

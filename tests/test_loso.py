@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pulseloom.operators import loso, training
+from pulseloom.operators import folds, loso, training
 
 SCHEMA = "session string, x double, label int"
 
@@ -94,3 +94,32 @@ def test_no_pairs_of_sessions_and_values(spark, tmp_path):
     examples = spark.createDataFrame(rows, SCHEMA)
     plan = loso.threshold_folds(examples, examples.select("session"), "x")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_order_statistics_to_the_last_bit():
+    rng = np.random.default_rng(6)
+    values = np.r_[rng.normal(size=200), rng.normal(size=50) * 1e-300, rng.normal(size=50) * 1e300, 0.0, -0.0, 5.0, 5.0, 5.0]
+    values.sort()
+    target = np.arange(1, len(values) + 1)
+    found = folds.narrowed(lambda v: np.searchsorted(values, v, side="right"), target, np.full(len(values), values[0]), np.full(len(values), values[-1]))
+    assert (found == values).all()
+
+
+def test_logistic_folds_of_many_sessions(spark, monkeypatch):
+    """Folds, groups of folds and parts of matrices that are cut small, against a fit of each fold on its own."""
+    monkeypatch.setattr(folds, "GROUP", 2)
+    monkeypatch.setattr(folds, "CELLS", 20)
+    rng = random.Random(7)
+    rows = [("abcde"[min(rng.randrange(9), 4)], i, 1000 + rng.gauss(5 * (i % 4 == 0), 2), float(rng.randrange(4)), int(i % 4 == 0)) for i in range(160)]
+    rows += [(None, 1, 1.0, 1.0, 1), ("a", 1, None, 1.0, 1)]
+    examples = spark.createDataFrame(rows, "session string, t_ms long, wl double, rms double, label int").repartition(3)
+    names = [*"abcde", "nobody"]
+    got = folds.logistic_folds(examples, spark.createDataFrame([(x,) for x in names], "session string"), ["wl", "rms"], epochs=3)
+    assert sorted(got) == names
+    for s in names:
+        one = training.fit_logreg(examples.dropna().where(F.col("session") != s), ["wl", "rms"], epochs=3)
+        assert got[s]["center"] == [one["center"][f] for f in ("wl", "rms")] and got[s]["scale"] == pytest.approx([one["scale"][f] for f in ("wl", "rms")], rel=1e-14)
+        assert got[s]["weights"] == pytest.approx(one["weights"], rel=1e-9) and got[s]["bias"] == pytest.approx(one["bias"], rel=1e-9)
+    lone = examples.where("session = 'a'")
+    assert folds.logistic_folds(lone, lone.select("session"), ["wl"], epochs=1) == {}
+    assert folds.logistic_folds(examples.limit(0), lone.select("session"), ["wl"], epochs=1) == {}
