@@ -8,6 +8,9 @@ numbers a partition, all that reaches the driver) follows which ranks meet, and
 the longest waiting documents would fill offers as many equal slots. Documents without a slot wait for the next round;
 where no gap is met at all, new sequences are opened, no more than the waiting tokens need. Then gaps are updated.
 
+Documents over half the capacity need a sequence each and get it at once. The last ``SMALL`` documents of a band, or
+fewer, a number that does not grow with the corpus, are placed best fit by best fit in one task: rounds would cost more.
+
 Equal lengths are told apart by item number in the range sort, so that a length that a third of all rows have is spread
 like any other. Every round ends in written tables.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import islice
 
@@ -26,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored, written
+from .tables import discard, stored, written
 
 #: Bytes of words and ids that a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
 KNOWN_BYTES = 40 << 20
@@ -36,6 +40,8 @@ BLOCK = 4 << 20
 STOP = (r"([a-zA-Z])([.,])([ \t-\r])", r"\1 \2\3")
 #: Lower edges of the bands of length, as shares of the capacity; lengths over a half come first, one a sequence.
 BANDS = (2, 8, 64)
+#: Documents of a band that are left to one task.
+SMALL = 1000
 
 #: What the tokenizer takes for a special token wherever it stands; it separates the words of one call.
 SPECIAL = "<|endoftext|>"
@@ -230,32 +236,90 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
     docs = items.select(F.col("length").cast("int").alias("length"), F.col("__item").alias("item"))
     if not docs.where(F.col("length").isNull() | ~F.col("length").between(1, capacity)).isEmpty():
         raise ValueError(f"lengths must be from 1 to {capacity}")
-    gaps, bins, placed = spark.createDataFrame([], "seq bigint, gap int"), 0, []
-    high = capacity + 1
-    for low in [*dict.fromkeys(max(1, capacity // b + (b == 2)) for b in BANDS), 1]:
+    half = capacity // 2 + 1
+    # A sequence that such a document opens has its number; others have numbers below zero.
+    alone = docs.where(F.col("length") >= half).select(
+        F.lit(-1).alias("part"), F.lit(True).alias("is_gap"), F.col("item").alias("id"), F.lit(capacity).alias("gap"), "item", "length", F.lit(-1).cast("bigint").alias("rank")
+    )
+    placed, opened, high = [stored(alone, "sweep")], 0, half
+    held = stored(spark.read.schema(SWEPT).parquet(placed[0]).select(F.col("id").alias("seq"), (F.col("gap") - F.col("length")).alias("gap")).where("gap > 0"), "gaps")
+
+    def keep(now: DataFrame) -> None:
+        nonlocal held
+        before, held = held, stored(now, "gaps")
+        discard(spark, before)
+
+    for low in [*dict.fromkeys(max(1, capacity // b) for b in BANDS[1:]), 1]:
         waiting, high = docs.where((F.col("length") >= low) & (F.col("length") < high)), low
-        n, least, top, total = _sizes(waiting)
-        while n:
-            n_gaps = gaps.where(F.col("gap") >= least).count()
-            found = _round(waiting, gaps, least, top, 1 + 4 * n // n_gaps) if n_gaps else None
+        while True:
+            gaps = spark.read.schema("seq bigint, gap int").parquet(held)
+            n, least, top, total, n_gaps, most = _sizes(waiting, gaps, low)
+            if not n:
+                break
+            if n <= SMALL:
+                placed.append(stored(_last(waiting, gaps, n, capacity, -1 - opened), "sweep"))
+                opened += n
+                keep(_updated(gaps, spark.read.schema(SWEPT).parquet(placed[-1])))
+                break
+            found = _round(waiting, gaps, least, top, 1 + 4 * n // n_gaps) if n_gaps and most >= least else None
             if found is None:
-                need = n if 2 * low > capacity else -(-total // capacity)
-                more = spark.range(bins, bins + need).select(F.col("id").alias("seq"), F.lit(capacity).alias("gap"))
-                gaps, bins = written(gaps.union(more), "gaps"), bins + need
+                need = -(-total // capacity)
+                keep(gaps.union(spark.range(need).select((-1 - opened - F.col("id")).alias("seq"), F.lit(capacity).alias("gap"))))
+                opened += need
                 continue
-            waiting, gaps = found[:2]
+            waiting, now = found[:2]
             placed += found[2]
-            n, least, top, total = _sizes(waiting)
-    if not placed:
-        return items.drop("__item").withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")})
+            keep(now)
+    discard(spark, held)
     taken = spark.read.schema(SWEPT).parquet(*placed).where("item IS NOT NULL")
     before = Window.partitionBy("id").orderBy("item").rowsBetween(Window.unboundedPreceding, -1)
     places = taken.select(F.col("item").alias("__item"), F.col("id").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
     return items.join(places, "__item").drop("__item")
 
 
-def _sizes(waiting: DataFrame) -> tuple:
-    return tuple(waiting.agg(F.count("*"), F.min("length"), F.max("length"), F.sum("length")).first())
+def _sizes(waiting: DataFrame, gaps: DataFrame, low: int) -> tuple:
+    """Documents: how many, the shortest, the longest, tokens; gaps of ``low`` and more: how many, the largest."""
+    both = waiting.select("length", F.lit(None).cast("int").alias("gap")).union(gaps.where(F.col("gap") >= low).select(F.lit(None).cast("int"), "gap"))
+    return tuple(both.agg(F.count("length"), F.min("length"), F.max("length"), F.sum("length"), F.count("gap"), F.max("gap")).first())
+
+
+def _updated(gaps: DataFrame, taken: DataFrame) -> DataFrame:
+    """``gaps`` less the lengths of what they took; sequences that were opened are among ``taken``."""
+    rows = gaps.select(F.col("seq").alias("id"), "gap", F.lit(0).alias("length")).union(taken.select("id", "gap", "length"))
+    return rows.groupBy(F.col("id").alias("seq")).agg((F.max("gap") - F.sum("length")).cast("int").alias("gap")).where("gap > 0")
+
+
+def best_fits(lengths: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: int, number: int) -> list[tuple]:
+    """``SWEPT`` rows of documents ``(length, item)`` in ``gaps(gap, seq)``, from the longest on each in the smallest gap
+    that holds it; a document that none holds opens a sequence, numbered downwards from ``number``."""
+    open_gaps, size, out = sorted(gaps), {seq: gap for gap, seq in gaps}, []
+    for length, item in sorted(lengths, reverse=True):
+        at = bisect_left(open_gaps, (length,))
+        if at < len(open_gaps):
+            gap, seq = open_gaps.pop(at)
+        else:
+            gap, seq, number = capacity, number, number - 1
+            size[seq] = capacity
+        out.append((-1, True, seq, size[seq], item, length, -1))
+        if gap > length:
+            insort(open_gaps, (gap - length, seq))
+    return out
+
+
+def _last(waiting: DataFrame, gaps: DataFrame, n: int, capacity: int, number: int) -> DataFrame:
+    """``SWEPT`` rows of the last ``n`` documents of a band, placed in one task. Of gaps of one size ``n`` are enough."""
+    first = F.row_number().over(Window.partitionBy("gap").orderBy("seq"))
+    few = gaps.join(F.broadcast(waiting.agg(F.min("length").alias("least"))), F.col("gap") >= F.col("least")).withColumn("r", first).where(F.col("r") <= n)
+    both = waiting.select(F.lit(False).alias("is_gap"), "length", F.col("item").alias("id")).union(few.select(F.lit(True), "gap", "seq"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+        found = best_fits([r[1:] for r in rows if not r[0]], [r[1:] for r in rows if r[0]], capacity, number)
+        kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], [x.split()[0] for x in SWEPT.split(", ")])
+
+    return both.repartition(1).mapInArrow(run, SWEPT)
 
 
 def _round(waiting: DataFrame, gaps: DataFrame, low: int, top: int, most: int) -> tuple[DataFrame, DataFrame, list[str]] | None:
@@ -290,7 +354,7 @@ def _round(waiting: DataFrame, gaps: DataFrame, low: int, top: int, most: int) -
         still = still.join(known, reach("d"), "left_anti")
         rows = rows.union(spark.read.schema(SWEPT).parquet(places[1]).select("id", "gap", "length"))
     now = rows.groupBy(F.col("id").alias("seq")).agg((F.max("gap") - F.sum("length")).cast("int").alias("gap")).where("gap > 0")
-    return still.select("length", F.col("id").alias("item")), written(now.union(gaps.where(F.col("gap") < low)), "gaps"), places
+    return still.select("length", F.col("id").alias("item")), now.union(gaps.where(F.col("gap") < low)), places
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

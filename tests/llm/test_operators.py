@@ -450,7 +450,9 @@ def test_packing(spark):
 
 
 @pytest.mark.parametrize("counts, most", [({7: 1000}, 1000), ({10: 5, 6: 4, 4: 9, 1: 1}, 12), ({5: 3, 6: 2}, 4), ({10: 3}, 3)])
-def test_packing_of_equal_and_large_lengths(spark, counts, most):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_packing_of_equal_and_large_lengths(spark, monkeypatch, small, counts, most):
+    monkeypatch.setattr(packing, "SMALL", small)
     rows = [(k, "x") for k, n in counts.items() for _ in range(n)]
     got = local(packing.pack(spark.createDataFrame(rows, "length int, item string"), 10))
     assert sorted((g["length"], g["item"]) for g in got) == sorted(rows)
@@ -465,8 +467,11 @@ def test_packing_of_equal_and_large_lengths(spark, counts, most):
         packing.pack(spark.createDataFrame([(11, "x")], "length int, item string"), 10)
 
 
-def test_packing_of_many_lengths_over_partitions(spark):
-    """Partitions of a few rows, so that most matches cross them; nearly as few sequences as tokens need."""
+@pytest.mark.parametrize("small", [0, 1000])
+def test_packing_of_many_lengths_over_partitions(spark, monkeypatch, small):
+    """Partitions of a few rows, so that most matches cross them; nearly as few sequences as tokens need. By rounds to
+    the end, and with the last documents of a band in one task."""
+    monkeypatch.setattr(packing, "SMALL", small)
     rng = random.Random(18)
     lengths = [min(100, 1 + int(rng.expovariate(0.06))) for _ in range(3000)]
     before = spark.conf.get("spark.sql.adaptive.enabled")
@@ -482,6 +487,23 @@ def test_packing_of_many_lengths_over_partitions(spark):
     assert max(total.values()) <= 100 and len(total) <= 1.01 * sum(lengths) / 100 + 1
 
 
+def test_best_fits_against_a_plain_search():
+    rng = random.Random(20)
+    for _ in range(100):
+        docs = [(rng.randrange(1, 11), i) for i in range(rng.randrange(12))]
+        gaps = [(rng.randrange(1, 10), i) for i in range(rng.randrange(8))]
+        left, expected, number = {seq: gap for gap, seq in gaps}, {}, -1
+        for length, item in sorted(docs, reverse=True):
+            fits = [(gap, seq) for seq, gap in left.items() if gap >= length]
+            if not fits:
+                left[number] = 10
+                fits, number = [(10, number)], number - 1
+            seq = min(fits)[1]
+            left[seq] -= length
+            expected[item] = seq
+        assert {r[4]: r[2] for r in packing.best_fits(docs, gaps, 10, -1)} == expected
+
+
 def test_sweeps_match_as_a_stack():
     rng = random.Random(19)
     for _ in range(50):
