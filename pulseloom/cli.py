@@ -307,12 +307,34 @@ def record_live(spark: SparkSession, args: argparse.Namespace, port: str, where:
 
 
 def monitor(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    """The monitor's rows of a file of device lines (O-API-7, O-SNK-9): the last ``window_sec`` on the console, all of them
-    as CSV where a log is wanted."""
-    parsed = frames.parsed_lines(serial.file_lines(spark, serial.find_port(args.port), "live"))
-    snap = dsp.snapshots(parsed)
+    """The monitor's rows of a file of device lines, or of a session that ``--record-dir`` records first (O-API-7, O-SNK-9):
+    the last ``window_sec`` on the console, all of them as CSV where a log is wanted; with a profile the gate's state and
+    its events beside each frame."""
+    if args.prompt and not args.record_dir:
+        raise Refused("--prompt needs --record-dir")
+    port = serial.find_port(args.port)
+    if args.record_dir:
+        seconds = {c: getattr(args, f"prompt_{c}_sec") for c in ("settle", "rest", "press", "gap", "final_rest", "artifact")}
+        given = vars(args) | seconds | {
+            "command": "prompt-record" if args.prompt else "record", "trials": args.prompt_trials, "out": f"{args.record_dir}/{sessions.default_name()}", "sessions_root": None, "label": "CLICK",
+            "duration_sec": None, "notes": "", "status": False, "checkpoint": None, "lock_dir": None, "keys": None, "hold": True, "label_key": "c", "quit_key": "q",
+        }
+        root, _, name = recorded(spark, argparse.Namespace(**given)).rpartition("/")
+        parsed = sessions.read_raw(spark, root, name)
+    elif os.path.isfile(port):
+        parsed = frames.parsed_lines(serial.file_lines(spark, port, "live"))
+    else:
+        raise Refused(f"{port} is a device; record it with --record-dir")
+    snap, more = dsp.snapshots(parsed), ()
     made = frames.frames(snap.drop("raw", "segment").withColumnRenamed("filtered", "raw"), "raw", slope="slope_burst", lf="lf_energy")
-    rows = record.monitor_rows(snap, made, frames.WINDOW_MS, frames.HOP_MS)
+    if args.profile:
+        profile = load_profile(args.profile)
+        number = F.row_number().over(Window.partitionBy("session").orderBy("segment", "frame")).cast("bigint")
+        made = made.withColumns({"ord_frame": number, "t_ms": F.col("end_ms")})
+        over = decide.overlay(score.score_frames(made, profile).select("session", "ord_frame", "t_ms", "p"), profile.gate())
+        made = made.join(over.select("session", "ord_frame", "active", F.col("p").alias("probability"), F.col("down").cast("int").alias("down"), F.col("up").cast("int").alias("up")), ["session", "ord_frame"])
+        more = sessions.DEBUG_COLUMNS
+    rows = record.monitor_rows(snap, made, frames.WINDOW_MS, frames.HOP_MS, more)
     if args.log_file:
         rows.orderBy("arrival_seq", "frame").write.option("header", True).csv(args.log_file)
     last = rows.agg(F.max("t_ms")).first()[0] or 0
@@ -423,14 +445,48 @@ def replayed(samples: DataFrame, profile: profiles.Profile) -> DataFrame:
 
 
 def replay(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
+    """A recording's events and clicks: at its own pace times ``--replay-speed`` through the live detector, or at once
+    where that is 0. They are printed as they come."""
     root, _, name = args.replay.rstrip("/").rpartition("/")
-    found = [r.asDict() for r in replayed(sessions.read_raw(spark, root or ".", name), load_profile(args.profile)).orderBy("session", "ord").collect()]
-    began = None
-    for r in found:
-        if args.replay_speed > 0:
-            began = time.monotonic() - r["t_ms"] / 1000 / args.replay_speed if began is None else began
-            time.sleep(max(0.0, began + r["t_ms"] / 1000 / args.replay_speed - time.monotonic()))
-        print(json.dumps({k: v for k, v in r.items() if v is not None}), flush=True)
+    samples, profile, found = sessions.read_raw(spark, root or ".", name), load_profile(args.profile), []
+
+    def show(events: DataFrame) -> None:
+        for r in events.orderBy("session", "ord").toLocalIterator():
+            found.append(r.asDict())
+            print(json.dumps({k: v for k, v in found[-1].items() if v is not None}), flush=True)
+
+    if args.replay_speed <= 0:
+        show(replayed(samples, profile))
+        return found
+    config = profile.feature_config
+    rows, last = detector.paced(samples, args.replay_speed)
+    events = detector.detect(rows, score.FrameModel(profile), profile.gate(), int(config.get("window_ms", 120)), int(config.get("hop_ms", 30)), counts=True)
+    over = threading.Event()
+    writer = decide.switch_events(events).writeStream.foreachBatch(lambda batch, _: show(batch)).option("checkpointLocation", f"{live_folder(spark, None)}/state").outputMode("append")
+
+    class End(status.StreamingQueryListener):
+        """Ends the replay once the clock is past its last row."""
+
+        def onQueryStarted(self, event) -> None:
+            pass
+
+        def onQueryProgress(self, event) -> None:
+            at = event.progress.sources[0].endOffset
+            if at is not None and int(at) * detector.ticks_a_second(args.replay_speed) > last:
+                over.set()
+
+        def onQueryIdle(self, event) -> None:
+            pass
+
+        def onQueryTerminated(self, event) -> None:
+            over.set()
+
+    end = End()
+    spark.streams.addListener(end)
+    try:
+        run_live(spark, writer, status.LiveStatus(), False, over)
+    finally:
+        spark.streams.removeListener(end)
     return found
 
 
@@ -464,7 +520,10 @@ def parser() -> argparse.ArgumentParser:
     keep = (*port, ("--out", None), ("--sessions-root", "sessions"), ("--label", "CLICK"), ("--duration-sec", None, {"type": float}), ("--notes", ""), ("--status", False), ("--checkpoint", None), ("--lock-dir", None))
     command("record", *keep, ("--keys", None), ("--hold", False), ("--label-key", "c"), ("--quit-key", "q"))
     command("prompt-record", *keep, ("--settle", 5.0), ("--rest", 20.0), ("--trials", 20), ("--press", 1.0), ("--gap", 3.0), ("--final-rest", 10.0), ("--artifact", 0.0))
-    command("monitor", *port, ("--window-sec", 10.0), ("--log-file", None))
+    command(
+        "monitor", *port, ("--window-sec", 10.0), ("--profile", None), ("--log-file", None), ("--record-dir", None), ("--prompt", False), ("--prompt-settle-sec", 5.0), ("--prompt-rest-sec", 20.0),
+        ("--prompt-trials", 20), ("--prompt-press-sec", 1.0), ("--prompt-gap-sec", 3.0), ("--prompt-final-rest-sec", 10.0), ("--prompt-artifact-sec", 0.0),
+    )
     command("switch", *port, ("--profile", PROFILE), ("--checkpoint", None), ("--lock-dir", None), ("--status", False))
     command("replay", ("--replay", None, {"required": True}), ("--profile", PROFILE), ("--replay-speed", 1.0))
     return p

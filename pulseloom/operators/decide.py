@@ -128,14 +128,23 @@ def frame_states(scored: DataFrame, gate: Gate = Gate()) -> DataFrame:
     return ordered_fold(scored.select("session", "ord_frame", "t_ms", "p"), ["session"], ["ord_frame"], GateState, step, schema)
 
 
+def overlay(scored: DataFrame, gate: Gate = Gate(), ends: DataFrame | None = None) -> DataFrame:
+    """``(session, ord_frame, t_ms, p, active, down, up)``: the gate's state after each frame, and whether an event began or
+    ended a press at its time (O-DEC-11)."""
+    met = edge_events(scored, gate, ends).groupBy("session", F.col("end_ms").alias("t_ms")).agg(*[F.bool_or(F.col("phase") == x).alias(x) for x in ("down", "up")])
+    none = F.lit(False)
+    return frame_states(scored, gate).join(met, ["session", "t_ms"], "left").withColumns({"down": F.coalesce("down", none), "up": F.coalesce("up", none)})
+
+
 def switch_events(edges: DataFrame) -> DataFrame:
     """Downs at their start without a duration, ups and cancels at their end (O-PRJ-12); other rows fall away."""
     down = F.col("phase") == "down"
     kept = [c for c in ("session", "config", "ord") if c in edges.columns]
+    counted = [c for c in ("clicks", "last_duration_ms") if c in edges.columns]
     given = edges.where("phase IN ('down', 'up', 'cancel')" + (" AND state = 'active'" if "state" in edges.columns else ""))
     return given.select(
         *kept, "phase", F.when(down, F.col("start_ms")).otherwise(F.col("end_ms")).alias("t_ms"),
-        F.when(down, F.lit(0).cast("bigint")).otherwise(F.col("duration_ms")).alias("duration_ms"), F.lit("active").alias("source_state"),
+        F.when(down, F.lit(0).cast("bigint")).otherwise(F.col("duration_ms")).alias("duration_ms"), F.lit("active").alias("source_state"), *counted,
     )
 
 

@@ -239,29 +239,41 @@ def rest_statistics(snapshot: DataFrame, value: str = "rms_state", window_ms: in
     return ordered_fold(given, ["session", "segment"], ["arrival_seq"], lambda: RestWindow(window_ms, most), run, schema)
 
 
+#: Milliseconds that the device reads before its first sample, and between those readings.
+WARMUP_MS, WARMUP_STEP_MS = 800, 2
+
+
 def device_lines(spark: SparkSession, seconds: float, session: str = "device", sample_hz: int = 250, seed: int = 7) -> DataFrame:
     """Lines of a simulated device (O-SRC-13): a sample every ``1000 / sample_hz`` ms, noise about a mid level with a
-    burst of two seconds in every ten, and the envelope of the device's own follower: ``(session, arrival_seq, line)``."""
+    burst of two seconds in every ten, and the envelope of the device's own follower, whose base begins as the mean of
+    what is read in the warm-up before: ``(session, arrival_seq, line)``."""
     period = 1000 // sample_hz
+    quiet, loud = 20.0, 300.0
+
+    def reading(deviation: Column, shift: int) -> Column:
+        return F.greatest(F.least(F.round(2048 + F.randn(seed + shift) * deviation), F.lit(4095.0)), F.lit(0.0)).cast("bigint")
+
     t = F.col("id") * period
-    noise = F.randn(seed) * F.when(F.pmod(t, F.lit(10_000)) >= 8_000, 300.0).otherwise(20.0)
-    raw = F.greatest(F.least(F.round(2048 + noise), F.lit(4095.0)), F.lit(0.0)).cast("bigint")
+    raw = reading(F.when(F.pmod(t, F.lit(10_000)) >= 8_000, loud).otherwise(quiet), 0)
     samples = spark.range(int(seconds * 1000) // period).select(F.lit(session).alias("session"), (F.col("id") + 1).alias("arrival_seq"), raw.alias("raw"))
-    made = device_envelope(samples)
-    return made.select("session", "arrival_seq", F.concat_ws(" ", (F.col("arrival_seq") - 1) * period, "raw", F.round("env_out").cast("bigint")).alias("line"))
+    # One row.
+    base = spark.range(WARMUP_MS // WARMUP_STEP_MS).select(reading(F.lit(quiet), 1).alias("raw")).agg(F.avg("raw").alias("base"))
+    made = device_envelope(samples.crossJoin(F.broadcast(base)))
+    return made.select("session", "arrival_seq", F.concat_ws(" ", (F.col("arrival_seq") - 1) * period, "raw", F.floor("env_out")).alias("line"))
 
 
 def device_envelope(samples: DataFrame) -> DataFrame:
-    """The device's envelope follower (O-SRC-14): ``env, base, noise`` after each raw value; the base starts at the
-    first value, the noise at 10."""
+    """The device's envelope follower (O-SRC-14): ``env, base, noise`` after each raw value; the base starts as
+    ``samples`` say (``base``), or else at the first value, the noise at 10."""
+    known = "base" in samples.columns
 
     def run(state: dict, key: tuple, rows: dict[str, list]) -> list[tuple]:
         out = []
-        for seq, raw in zip(rows["arrival_seq"], rows["raw"]):
+        for seq, raw, base in zip(rows["arrival_seq"], rows["raw"], rows["base"]):
             if raw is None:
                 continue
             if not state:
-                state.update(env=0.0, base=float(raw), noise=10.0)
+                state.update(env=0.0, base=float(raw if base is None else base), noise=10.0)
             env = state["env"] = 0.9 * state["env"] + 0.1 * abs(raw - state["base"])
             if env < 4.0 * state["noise"]:
                 state["base"] = 0.998 * state["base"] + 0.002 * raw
@@ -270,4 +282,5 @@ def device_envelope(samples: DataFrame) -> DataFrame:
         return out
 
     schema = f"session {dict(samples.dtypes)['session']}, arrival_seq bigint, raw bigint, env_out double, base double, noise double"
-    return ordered_fold(samples.select("session", "arrival_seq", "raw"), ["session"], ["arrival_seq"], dict, run, schema)
+    base = F.col("base") if known else F.lit(None).cast("double").alias("base")
+    return ordered_fold(samples.select("session", "arrival_seq", "raw", base), ["session"], ["arrival_seq"], dict, run, schema)

@@ -111,19 +111,20 @@ def closing_samples(samples: DataFrame, window_ms: int, hop_ms: int) -> DataFram
     return placed.select("session", "segment", "arrival_seq", F.explode(F.sequence("low", "high")).alias("frame"))
 
 
-def monitor_rows(snapshots: DataFrame, frames: DataFrame, window_ms: int, hop_ms: int) -> DataFrame:
+def monitor_rows(snapshots: DataFrame, frames: DataFrame, window_ms: int, hop_ms: int, more: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the monitor (O-PRJ-20): one for each frame that a sample closes, else one for the sample itself, whose
-    window is its own time, whose ratio is the artifact ratio and whose waveform length is zero."""
+    window is its own time, whose ratio is the artifact ratio and whose waveform length is zero. Columns ``more`` of the
+    frames are kept, null in rows of samples."""
     names = ("filtered_raw_hp", "rms_state", "lf_energy_ratio", "slope_burst", "waveform_length")
     framed = closing_samples(snapshots, window_ms, hop_ms).join(
-        frames.select("session", "segment", "frame", F.col("end_ms").alias("f_end"), F.col("start_ms").alias("f_start"), *[F.col(c).alias(f"f_{c}") for c in names]),
+        frames.select("session", "segment", "frame", F.col("end_ms").alias("f_end"), F.col("start_ms").alias("f_start"), *[F.col(c).alias(f"f_{c}") for c in names], *more),
         ["session", "segment", "frame"],
     )
     own = {"filtered_raw_hp": F.col("filtered"), "rms_state": F.col("rms_state"), "lf_energy_ratio": F.col("artifact_ratio"), "slope_burst": F.col("slope_burst"), "waveform_length": F.lit(0.0)}
     met = snapshots.join(framed, ["session", "segment", "arrival_seq"], "left")
     return met.select(
         "session", "arrival_seq", "frame", F.coalesce("f_end", "t_ms").alias("t_ms"), F.coalesce("f_start", "t_ms").alias("window_start_ms"), F.coalesce("f_end", "t_ms").alias("window_end_ms"),
-        "raw", F.col("env").alias("env_in"), *[F.coalesce(f"f_{c}", own[c]).alias(c) for c in names],
+        "raw", F.col("env").alias("env_in"), *[F.coalesce(f"f_{c}", own[c]).alias(c) for c in names], *more,
     )
 
 

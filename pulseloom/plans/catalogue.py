@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import sql as functions_sql
 from ..operators import decide, dsp, evaluate, frames, islands, protocol, record, training
 from ..sources import sessions
 from ..sources.shared import shared_dir
@@ -544,10 +545,7 @@ def click_counts(spark, sf):
 @query(f"{_RPS}, {_GATE}, fl AS (SELECT session, end_ms AS t_ms, bool_or(phase = 'down') AS down, bool_or(phase = 'up') AS up FROM ev GROUP BY ALL) SELECT session, t_ms, coalesce(down, false) AS down, coalesce(up, false) AS up FROM ps LEFT JOIN fl USING (session, t_ms)")
 def overlay_flags(spark, sf):
     """O-DEC-11, O-PRJ-20."""
-    scored = _scored(spark, sf)
-    flags = decide.edge_events(scored, GATE, _ends(spark, sf)).groupBy("session", F.col("end_ms").alias("t_ms")).agg(F.bool_or(F.col("phase") == "down").alias("down"), F.bool_or(F.col("phase") == "up").alias("up"))
-    none = F.lit(False)
-    return scored.select("session", "t_ms").join(flags, ["session", "t_ms"], "left").withColumns({"down": F.coalesce("down", none), "up": F.coalesce("up", none)})
+    return decide.overlay(_scored(spark, sf), GATE, _ends(spark, sf)).select("session", "t_ms", "down", "up")
 
 
 # Evaluation
@@ -636,6 +634,28 @@ def phase_at(spark, sf):
     return rounded(protocol.phase_at(times, script), "elapsed_s", "phase_elapsed_s", "phase_left_s")
 
 
+@query(f"WITH {B.SQL} SELECT session, arrival_seq, t_ms, raw, env FROM s WHERE arrival_seq % 13 <> 0")
+def sql_parse_line(spark, sf):
+    """O-PRJ-1 as a function of SQL."""
+    functions_sql.register(spark)
+    return spark.sql("SELECT session, arrival_seq, p.* FROM (SELECT session, arrival_seq, parse_line(line) AS p FROM {lines}) WHERE p IS NOT NULL", lines=B.lines(spark, sf))
+
+
+@query("""WITH p(idx, name, d, label) AS (VALUES (0, 'SETTLE', 1.0, NULL), (1, 'REST', 2.0, NULL), (2, 'CLICK 1/3', 0.5, 'CLICK'), (3, 'REST', 1.0, NULL), (4, 'CLICK 2/3', 0.5, 'CLICK'), (5, 'REST', 1.0, NULL), (6, 'CLICK 3/3', 0.5, 'CLICK'), (7, 'ARTIFACT_NO_LABEL', 4.0, NULL), (8, 'REST', 2.0, NULL)),
+t AS (SELECT *, sum(d) OVER (ORDER BY idx) AS e FROM p) SELECT idx::BIGINT AS idx, name, label, d::DOUBLE AS duration_s, count(event_id) AS events FROM t LEFT JOIN events ON value / 40 >= e - d AND value / 40 < e GROUP BY ALL""")
+def sql_protocol(spark, sf):
+    """O-PRO-1..3 as a table function of SQL, with how many events fall into each phase. A row for each phase."""
+    functions_sql.register(spark)
+    return spark.sql(
+        """WITH t AS (SELECT *, sum(duration_s) OVER (ORDER BY idx) AS end_s FROM build_protocol(settle => 1, rest => 2, trials => 3, press => 0.5, gap => 1, final_rest => 2, artifact => 4)),
+        x AS (SELECT floor(value / 40 * 2) AS half, event_id, value / 40 AS at FROM {events}),
+        n AS (SELECT t.idx, count(*) AS events FROM x JOIN (SELECT *, explode(sequence(CAST(floor((end_s - duration_s) * 2) AS BIGINT), CAST(floor(end_s * 2) AS BIGINT))) AS half FROM t) t
+              ON x.half = t.half AND at >= end_s - duration_s AND at < end_s GROUP BY t.idx)
+        SELECT t.idx, t.name, t.label, t.duration_s, coalesce(events, 0) AS events FROM t LEFT JOIN n USING (idx)""",
+        events=spark.read.parquet(f"{sf}/events.parquet"),
+    )
+
+
 @query(f"""WITH {B.SQL}, p(idx, name, d, label) AS (VALUES (0, 'SETTLE', 0.021, NULL), (1, 'REST', 0.041, NULL), (2, 'CLICK 1/2', 0.021, 'CLICK'), (3, 'REST', 0.021, NULL), (4, 'CLICK 2/2', 0.021, 'CLICK'), (5, 'ARTIFACT_NO_LABEL', 0.041, NULL), (6, 'REST', 0.041, NULL)),
 q AS (SELECT *, sum(d) OVER (ORDER BY idx)::DOUBLE AS e FROM p), x AS (SELECT session, arrival_seq, t_ms, idx, name, label FROM s JOIN q ON t_ms / 1000::DOUBLE >= e - d AND t_ms / 1000::DOUBLE < e),
 y AS (SELECT *, lag(idx) OVER w AS b, lag(name) OVER w AS previous FROM x WINDOW w AS (PARTITION BY session ORDER BY arrival_seq))

@@ -15,7 +15,7 @@ from statistics import median
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -143,10 +143,11 @@ class Detector:
         """Closes an open press at the last sample."""
         return [self._counted(commit(self.gate, self.config, False, self.extractor.last_t))] if self.gate.active else []
 
-    def control(self, name: str) -> None:
-        """``reset`` counts clicks anew (O-DEC-10); others mean nothing."""
+    def control(self, name: str) -> list[tuple]:
+        """``reset`` counts clicks anew (O-DEC-10), ``flush`` is the end of a recording; others mean nothing."""
         if name == "reset":
             self.clicks, self.last_duration_ms = 0, None
+        return self.flush() if name == "flush" else []
 
     def seed(self, given) -> None:
         """Starts as after a sample at rest, with known rest values (O-DSP-16): ``baseline, center, scale, t_ms, seed``."""
@@ -160,7 +161,7 @@ class Detector:
         found = []
         for i in np.argsort(seq, kind="stable").tolist():
             if control[i] is not None:
-                self.control(control[i])
+                found += self.control(control[i])
             else:
                 found += self.update(int(t[i]), int(raw[i]))
         return found
@@ -314,3 +315,37 @@ def replay_stream(spark: SparkSession, samples: DataFrame, model, gate: Gate, wi
         sink = events.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append")
         sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(events.schema).parquet(f"{at}/out")
+
+
+#: Milliseconds of a replay's tick, and most samples that it admits.
+TICK_MS, TICK_SAMPLES = 10, 25
+
+
+def ticks(samples: DataFrame) -> DataFrame:
+    """``samples`` with ``tick``, when a replay at speed 1 admits them (O-STR-3): a tick admits, in order, samples whose
+    time has come, ``TICK_SAMPLES`` at most. Sample i of a session, whose time comes with tick d(i), is thus due at
+    ``max over j <= i of (TICK_SAMPLES * d(j) - j) + i``, over ``TICK_SAMPLES``. At the tick after a session's last sample
+    comes a row that flushes it."""
+    w = Window.partitionBy("session").orderBy("arrival_seq")
+    rows = samples.dropna(subset=["t_ms", "raw"]).select("session", "arrival_seq", "t_ms", "raw", F.lit(None).cast("string").alias("control"))
+    placed = rows.withColumns({"i": F.row_number().over(w) - 1, "d": F.ceil(F.greatest(F.col("t_ms") - F.first("t_ms").over(w), F.lit(0)) / TICK_MS)})
+    placed = placed.withColumn("tick", F.floor((F.max(F.col("d") * TICK_SAMPLES - F.col("i")).over(w) + F.col("i")) / TICK_SAMPLES))
+    ends = placed.groupBy("session").agg((F.max("arrival_seq") + 1).alias("arrival_seq"), (F.max("tick") + 1).alias("tick"))
+    flushes = ends.select("session", "arrival_seq", F.lit(None).cast("bigint").alias("t_ms"), F.lit(None).cast("bigint").alias("raw"), F.lit("flush").alias("control"), "tick")
+    return placed.drop("i", "d").unionByName(flushes)
+
+
+def ticks_a_second(speed: float) -> int:
+    return max(1, round(1000 / TICK_MS * max(speed, 0.01)))
+
+
+def paced(samples: DataFrame, speed: float = 1.0) -> tuple[DataFrame, int]:
+    """A stream of recorded ``samples`` at ``speed`` times their own pace, and the tick of its last row. The clock is
+    Spark's rate source, a row a tick, which comes second by second; what it meets is the recording, written once."""
+    spark = samples.sparkSession
+    path = f"{shared_dir(spark)}/paced-{uuid.uuid4().hex}"
+    ticks(samples).write.parquet(path)
+    held = spark.read.schema("session " + dict(samples.dtypes)["session"] + ", arrival_seq bigint, t_ms bigint, raw bigint, control string, tick bigint").parquet(path)
+    clock = spark.readStream.format("rate").option("rowsPerSecond", ticks_a_second(speed)).load()
+    last = held.agg(F.max("tick")).first()[0]
+    return clock.select(F.col("value").alias("tick")).join(held, "tick").drop("tick"), -1 if last is None else last

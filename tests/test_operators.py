@@ -513,6 +513,16 @@ def test_prompted_recording(spark, tmp_path):
     assert [(r.start_ms, r.end_ms) for r in clicks.orderBy("ord").collect()] == [(500, 752), (1000, 1252)]
     rows = cli.main(["monitor", "--port", str(tmp_path / "d.txt"), "--log-file", str(tmp_path / "log.csv")])
     assert rows.where("waveform_length = 0").count() > 0 and (tmp_path / "log.csv").exists()
+    profile = profiles.Profile("threshold", ["waveform_length"], model={"feature": "waveform_length", "threshold": 2000.0, "softness": 200.0})
+    profiles.save(profile, str(tmp_path / "p.json"))
+    prompts = ["--prompt", "--prompt-settle-sec", "0.1", "--prompt-rest-sec", "0", "--prompt-trials", "1", "--prompt-press-sec", "0.5", "--prompt-final-rest-sec", "0.1"]
+    with pytest.raises(SystemExit):
+        cli.main(["monitor", "--port", str(tmp_path / "d.txt"), *prompts])
+    shown = cli.main(["monitor", "--port", str(tmp_path / "d.txt"), "--profile", str(tmp_path / "p.json"), "--record-dir", str(tmp_path / "m"), *prompts])
+    framed = shown.where("waveform_length > 0").select("active", "down", "up", "probability").collect()
+    assert all(r.active in (0, 1) and 0 <= r.probability <= 1 for r in framed) and sum(r.down for r in framed) >= sum(r.up for r in framed)
+    (made,) = (tmp_path / "m").iterdir()
+    assert json.loads((made / "meta.json").read_text())["prompt_protocol"]["trials"] == 1
 
 
 def test_live_events_of_a_logistic_profile(spark, tmp_path):
