@@ -219,6 +219,7 @@ def test_language_edges(spark):
 
 
 def test_language_sample_is_bounded(spark):
-    rows = [("the cat %d" % i if i % 3 else "copied text", "en") for i in range(3000)]
+    rng = random.Random(10)
+    rows = [(" ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(5)) if i % 3 else "copied text", "en") for i in range(3000)]
     model, _ = language.fitted(spark.createDataFrame(rows, "text string, lang string"), "text", "lang", sample=20, clusters=3, dims=256)
     assert model.count() == 3
