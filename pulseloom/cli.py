@@ -151,6 +151,7 @@ def study(spark: SparkSession, args: argparse.Namespace) -> list[dict]:
                             row["skipped"] = str(e)
                         found.append(row)
                         print(row, flush=True)
+        rows.unpersist()
     Path(args.out).parent.mkdir(parents=True, exist_ok=True)
     Path(args.out).write_text(sessions.report(found))
     return found
@@ -286,11 +287,11 @@ def record_live(spark: SparkSession, args: argparse.Namespace, port: str, where:
     try:
         folder = live_folder(spark, args.checkpoint)
         lines, seen = device(spark, port, folder, name, args.baud)
-        pipe = args.keys if getattr(args, "keys", None) else f"{folder.removeprefix('file://')}/keys"
+        pipe = args.keys if getattr(args, "keys", None) else f"{beside(folder)}/keys"
         os.makedirs(os.path.dirname(pipe) or ".", exist_ok=True)
         if not os.path.exists(pipe):
             os.mkfifo(pipe)
-        controls = spark.readStream.format("device_lines").options(path=pipe, session=name, journal=f"{folder.removeprefix('file://')}/key-journal").load()
+        controls = spark.readStream.format("device_lines").options(path=pipe, session=name, journal=f"{beside(folder)}/key-journal").load()
         over, keep = threading.Event(), recorder.sink(f"{folder}/parts")
 
         def put(batch: DataFrame, number: int) -> None:
@@ -364,12 +365,19 @@ def live_folder(spark: SparkSession, given: str | None) -> str:
     return given or f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
 
 
+def beside(folder: str) -> str:
+    """The same folder as a path of this machine, which the device is plugged into: its lines are journalled there."""
+    path = folder.removeprefix("file://")
+    if "://" in path:
+        raise Refused(f"{folder} is no folder of this machine; name one with --checkpoint")
+    return path
+
+
 def device(spark: SparkSession, port: str, folder: str, session: str, baud: int) -> tuple[DataFrame, status.LiveStatus]:
     """The stream of a port's lines, journalled beside its query's state, and what watches it."""
     spark.dataSource.register(serial.LineSource)
-    beside = folder.removeprefix("file://")
-    seen = status.LiveStatus(f"{beside}/connection.json")
-    given = {"path": port, "session": session, "baud": baud, "journal": f"{beside}/journal", "status": seen.connection}
+    seen = status.LiveStatus(f"{beside(folder)}/connection.json")
+    given = {"path": port, "session": session, "baud": baud, "journal": f"{beside(folder)}/journal", "status": seen.connection}
     return spark.readStream.format("device_lines").options(**given).load(), seen
 
 

@@ -18,7 +18,7 @@ class Keys:
 
     def __init__(self, pipe: str, label_key: str, quit_key: str, hold: bool = False, fd: int | None = None) -> None:
         # Reading as well, so that opening does not wait for a reader.
-        self.out = os.open(pipe, os.O_RDWR | os.O_NONBLOCK)
+        self.out = os.open(pipe, os.O_RDWR | os.O_NONBLOCK | os.O_APPEND)
         self.label_key, self.quit_key, self.hold = label_key, quit_key, hold
         try:
             self.fd = sys.stdin.fileno() if fd is None else fd
