@@ -37,7 +37,7 @@ from .tables import shuffle_partitions, written
 MIN, GRAM, DEPTH = 50, 16, 64
 SIDE = (MIN - GRAM) // 2
 #: Bytes of text in a chunk. A longer document is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 3 << 20
 #: Bytes whose hashes are in memory together, some 60 bytes for each.
 BLOCK = 1 << 19
 #: An anchor with different runs and more occurrences than this has its strings compared by class.
