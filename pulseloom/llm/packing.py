@@ -125,12 +125,12 @@ class WordIds:
         return np.frombuffer(b"".join(parts), "<u4")[at], np.r_[0, upto][np.cumsum(np.r_[0, pc.list_value_length(cut).to_numpy()])]
 
 
-def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``BLOCK`` bytes of text, a longer text by itself."""
+def blocks(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``size`` bytes of text (``BLOCK`` unless given), a longer text by itself."""
     upto = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)])
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(upto, upto[at] + BLOCK, side="right")) - 1)
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + (size or BLOCK), side="right")) - 1)
         yield at, min(to, len(texts))
         at = min(to, len(texts))
 

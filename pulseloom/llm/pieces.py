@@ -13,9 +13,9 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,12 +25,12 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import blocks
+
 MARK = "▁"
 #: Piece types of the format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
-#: Texts encoded in one call.
-BATCH = 256
 
 
 @dataclass
@@ -132,8 +132,12 @@ def build(model: Model):
     return out
 
 
+#: Bytes of text encoded together.
+BLOCK = 2 << 20
+#: Texts that the library encodes in one call.
+LOT = 64
 #: Bytes of words and ids that a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
-KNOWN_BYTES = 48 << 20
+KNOWN_BYTES = 16 << 20
 #: path -> encoder. Python workers outlive their tasks, and what one task met the next one knows.
 _BUILT: dict[str, Encoder] = {}
 
@@ -141,7 +145,8 @@ _BUILT: dict[str, Encoder] = {}
 class Encoder:
     """The rebuilt tokenizer, the library's own, and ids by word: where texts are encoded word by word, each distinct
     word is encoded and decoded again once. A word is a run of blanks and what follows it, less its first blank, which
-    is the marker that the tokenizer puts before what it gets."""
+    is the marker that the tokenizer puts before what it gets. Words are cut, told apart and looked up by Arrow, their
+    ids laid out and spelled by numpy: nothing is done in Python for each word but to hand new ones to the tokenizer."""
 
     def __init__(self, data: bytes) -> None:
         import sentencepiece
@@ -149,66 +154,75 @@ class Encoder:
         model = parse(data)
         self.tokenizer, self.own = build(model), sentencepiece.SentencePieceProcessor(model_proto=data)
         self.parted = parted(model) and model.dummy_prefix
-        self.pieces = [None if t == BYTE else p.replace(MARK, " ") for p, _, t in model.pieces]
+        spelled = [bytes([int(p[1:-1], 16)]) if t == BYTE else p.replace(MARK, " ").encode() for p, _, t in model.pieces]
+        self.spelled, self.length = np.frombuffer(b"".join(spelled), np.uint8), np.array(list(map(len, spelled)))
         self.begins = np.array([p.startswith(MARK) for p, _, _ in model.pieces])
         blank = self.tokenizer.token_to_id(MARK)
-        # A lone blank can't be got by the prefix alone; its marker is a piece.
-        self.lone = {"": np.array([blank if blank is not None else 0], np.int32).tobytes()}
-        self.words, self.lost, self.held = dict(self.lone), set(), 0
-
-    def _encoded(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
-        """Words and their ids. Those without blanks go together: each begins with the only marker it has."""
-        alone = [w for w in words if not w or " " in w]
-        plain = [w for w in words if w and " " not in w] if alone else words
-        groups = [plain[i : i + 400] for i in range(0, len(plain), 400)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = e.ids
-            at = np.flatnonzero(self.begins[np.array(ids)]).tolist()
-            if len(at) != len(group):
-                alone += group
-                continue
-            yield from ((w, ids[x:y]) for w, x, y in zip(group, at, [*at[1:], len(ids)]))
-        yield from ((w, e.ids) for w, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)))
-
-    def _learn(self, words: list[str]) -> None:
-        pieces = self.pieces
-        for w, ids in self._encoded(words):
-            self.words[w] = np.array(ids, np.int32).tobytes()
-            parts = [pieces[i] for i in ids]
-            back = "".join(parts)[1:] if None not in parts else self.tokenizer.decode(ids, skip_special_tokens=False)
-            if back != w:
-                self.lost.add(w)
-            self.held += len(w) + 4 * len(ids) + 170
+        # The table: words, ids of all of them, where each one's begin and how many they are, words that don't come
+        # back. A lone blank can't be got by the prefix alone; its marker is a piece.
+        self.words, self.ids = pa.array([""], pa.large_string()), np.array([blank if blank is not None else 0], np.int32)
+        self.size, self.lost = np.ones(1, np.int64), np.zeros(1, bool)
+
+    def _encoded(self, words: list[str], together: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after another, and how many each has. Words without blanks can go ``together``: each
+        begins with the only marker it has."""
+        groups = [" ".join(words[i : i + together]) for i in range(0, len(words), together)]
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+        size, ids = np.array(list(map(len, found))), np.concatenate(found)
+        if together == 1:
+            return ids, size
+        at = np.flatnonzero(self.begins[ids])
+        begun = np.diff(np.searchsorted(at, np.cumsum(np.r_[0, size])))
+        if np.any(begun[:-1] != together) or len(at) != len(words):
+            return self._encoded(words, 1)
+        return ids, np.diff(np.r_[at, len(ids)])
+
+    def _learn(self, words: pa.Array, together: int) -> None:
+        told = words.to_pylist()
+        ids, size = self._encoded(told, together)
+        n = self.length[ids]
+        upto = np.cumsum(n)
+        at = np.repeat((np.cumsum(self.length) - self.length)[ids] - (upto - n), n)
+        at += np.arange(len(at))
+        back = self.spelled[at]
+        given = np.frombuffer(f" {' '.join(told)}".encode(), np.uint8)
+        # Bytes of each word with its marker as they were and as they come back.
+        was, now = 1 + pc.binary_length(words).to_numpy(), np.diff(np.r_[0, upto][np.cumsum(np.r_[0, size])])
+        lost = was != now
+        wrong = np.r_[0, np.cumsum(back[np.repeat(~lost, now)] != given[np.repeat(~lost, was)])]
+        lost[~lost] = np.diff(wrong[np.cumsum(np.r_[0, was[~lost]])]) > 0
+        self.words = pa.concat_arrays([self.words, words])
+        self.ids, self.size, self.lost = (np.concatenate(x) for x in ((self.ids, ids), (self.size, size), (self.lost, lost)))
 
     def _forget(self) -> None:
-        self.words = self.lone | dict(islice(self.words.items(), len(self.words) // 2))
-        self.held = sum(len(w) + len(x) + 170 for w, x in self.words.items())
-        self.lost &= self.words.keys()
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        found = list(map(self.words.get, words))
-        new = [i for i, x in enumerate(found) if x is None]
-        self._learn([words[i] for i in new])
-        for i in new:
-            found[i] = self.words[words[i]]
-        return found
-
-    def _plain(self, texts: pa.Array) -> tuple[list[np.ndarray], list[bool]]:
-        """Texts without neighbouring or outer blanks: cut, and words told apart, by Arrow."""
-        cut = pc.split_pattern(texts, " ")
-        coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        parts = self._ids(words)
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        which = coded.indices.to_numpy()
-        n = size[which]
-        upto = np.cumsum(n)
-        at = np.repeat((np.cumsum(size) - size)[which] - (upto - n), n)
+        each = 4 * self.size + pc.binary_length(self.words).to_numpy() + 17
+        if each.sum() > KNOWN_BYTES:
+            n = max(1, int(np.searchsorted(np.cumsum(each), KNOWN_BYTES // 2)))
+            self.words, self.size, self.lost = self.words[:n], self.size[:n], self.lost[:n]
+            self.ids = self.ids[: self.size.sum()]
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of distinct words in the table, to which those not met yet are added."""
+        at = pc.index_in(words, value_set=self.words)
+        new = np.flatnonzero(at.is_null())
+        at = np.array(at.fill_null(0))
+        blanks = np.array(pc.match_substring(words.take(pa.array(new)), " "), bool)
+        for which, together in ((new[~blanks], 400), (new[blanks], 1)):
+            if len(which):
+                at[which] = len(self.words) + np.arange(len(which))
+                self._learn(words.take(pa.array(which)), together)
+        return at
+
+    def _joined(self, words: pa.Array, counts: np.ndarray) -> tuple[list[np.ndarray], list[bool]]:
+        """Ids of texts that have so many of ``words`` each, and whether all of these come back."""
+        coded = words.dictionary_encode()
+        place = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        n = self.size[place]
+        upto, bounds = np.cumsum(n), np.cumsum(np.r_[0, counts])
+        at = np.repeat((np.cumsum(self.size) - self.size)[place] - (upto - n), n)
         at += np.arange(len(at))
-        ids = np.frombuffer(b"".join(parts), np.int32)[at]
-        bounds = np.cumsum(np.r_[0, pc.list_value_length(cut).to_numpy()])
-        bad = np.r_[0, np.cumsum(np.fromiter((w in self.lost for w in words), np.int64, len(words))[which])][bounds]
-        return np.split(ids, np.r_[0, upto][bounds[1:-1]]), (bad[1:] == bad[:-1]).tolist()
+        bad = np.r_[0, np.cumsum(self.lost[place])][bounds]
+        return np.split(self.ids[at], np.r_[0, upto][bounds[1:-1]]), (bad[1:] == bad[:-1]).tolist()
 
     def __call__(self, texts: list[str], verify: bool, threads: int) -> tuple[list[np.ndarray], list[bool | None], list[bool]]:
         """Ids of each text, whether the library has the same (None unless asked), and whether they decode to it."""
@@ -217,21 +231,25 @@ class Encoder:
             back = self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
             whole = [x == y for x, y in zip(back, texts)]
         else:
-            if self.held > KNOWN_BYTES:
-                self._forget()
+            self._forget()
             ids, whole = [np.zeros(0, np.int32)] * len(texts), [True] * len(texts)
             odd = [not t or t[0] == " " or t[-1] == " " or "  " in t or MARK in t for t in texts]
             plain = [i for i, x in enumerate(odd) if not x]
             if plain:
-                for i, x, y in zip(plain, *self._plain(pa.array([texts[i] for i in plain], pa.large_string()))):
+                cut = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+                for i, x, y in zip(plain, *self._joined(cut.flatten(), pc.list_value_length(cut).to_numpy())):
                     ids[i], whole[i] = x, y
-            for i in (i for i, x in enumerate(odd) if x and texts[i]):
-                words = [w[1:] for w in re.findall(" [ ]*[^ ]*", " " + texts[i].replace(MARK, " "))]
-                ids[i] = np.frombuffer(b"".join(self._ids(words)), np.int32)
-                whole[i] = MARK not in texts[i] and self.lost.isdisjoint(words)
+            rest = [i for i, x in enumerate(odd) if x and texts[i]]
+            if rest:
+                parts = [[w[1:] for w in re.findall(" [ ]*[^ ]*", " " + texts[i].replace(MARK, " "))] for i in rest]
+                words = pa.array([w for p in parts for w in p], pa.large_string())
+                for i, x, y in zip(rest, *self._joined(words, np.array(list(map(len, parts))))):
+                    ids[i], whole[i] = x, y and MARK not in texts[i]
         if not verify:
             return ids, [None] * len(texts), whole
-        return ids, [np.array_equal(np.array(x, np.int32), y) for x, y in zip(self.own.encode(texts, num_threads=threads), ids)], whole
+        # The library's lists take ten times the room of the ids, so they are made for a few texts at once.
+        own = (x for i in range(0, len(texts), LOT) for x in self.own.encode(texts[i : i + LOT], num_threads=threads))
+        return ids, [array("i", x).tobytes() == y.tobytes() for x, y in zip(own, ids)], whole
 
 
 def _load(path: str) -> Encoder:
@@ -247,34 +265,33 @@ def _threads(n: int) -> None:
     os.environ.setdefault("RAYON_NUM_THREADS", str(n))
 
 
-def encoded(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = True, threads: int = 2) -> DataFrame:
+def encoded(
+    docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = True, threads: int = 2,
+    then: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None,
+) -> DataFrame:
     """``(id, ids array<int>, parity boolean, n_bytes, round_trip boolean)`` of every row.
 
     ``parity``: the ids are those of the sentencepiece library; null unless ``verify``. ``round_trip``: the decoded
     ids are the text (where the normaliser is the identity and the text has no marker of its own). Null and empty
     texts have no ids. Repeated rows are encoded alike; other columns are ignored. ``model`` is a path that tasks can
-    read, or the name of a file added to the session.
+    read, or the name of a file added to the session. ``then``: a function of Arrow batches of these rows and the
+    columns besides the id that it makes of them (as ``DIGEST``), in the same task, so that ids need not leave it.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _threads(threads)
         encode = _load(model)
         for b in batches:
-            for lo in range(0, len(b), BATCH):
-                texts = [t or "" for t in b[text_col].iloc[lo : lo + BATCH]]
-                ids, same, whole = encode(texts, verify, threads)
-                yield pd.DataFrame(
-                    {
-                        id_col: b[id_col].iloc[lo : lo + BATCH].to_numpy(),
-                        "ids": ids,
-                        "parity": pd.array(same, "boolean"),
-                        "n_bytes": [len(t.encode()) for t in texts],
-                        "round_trip": whole,
-                    }
-                )
-
-    return docs.select(id_col, text_col).mapInPandas(run, f"`{id_col}` {kind}, ids array<int>, parity boolean, n_bytes bigint, round_trip boolean")
+            texts = pc.fill_null(b.column(1).cast(pa.large_string()), "")
+            for lo, hi in blocks(texts, BLOCK):
+                ids, same, whole = encode(texts[lo:hi].to_pylist(), verify, threads)
+                listed = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), np.concatenate(ids))
+                columns = [listed, pa.array(same, pa.bool_()), pc.binary_length(texts[lo:hi]), pa.array(whole, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], *columns], [id_col, "ids", "parity", "n_bytes", "round_trip"])
+
+    work, columns = then or (iter, "ids array<int>, parity boolean, n_bytes bigint, round_trip boolean")
+    return docs.select(id_col, text_col).mapInArrow(lambda batches: work(run(batches)), f"`{id_col}` {kind}, {columns}")
 
 
 def decoded(rows: DataFrame, model: str, ids_col: str = "ids", threads: int = 2) -> DataFrame:
@@ -292,11 +309,14 @@ def decoded(rows: DataFrame, model: str, ids_col: str = "ids", threads: int = 2)
     return rows.select(*[F.col(f.name) for f in keep]).mapInPandas(run, f"{kinds}text string")
 
 
-def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids of each row as a count and a CRC-32 of their little-endian unsigned 32-bit form."""
+    for b in batches:
+        ids, kept = b.column("ids"), ["n_bytes", "parity", "round_trip"]
+        raw = memoryview(np.asarray(ids.values).astype("<i4", copy=False).view(np.uint8))
+        at = [4 * i for i in ids.offsets.to_pylist()]
+        made = [pc.list_value_length(ids).cast(pa.int64()), pa.array([zlib.crc32(raw[i:j]) for i, j in zip(at, at[1:])], pa.int64())]
+        yield pa.RecordBatch.from_arrays([b.column(0), *made, *map(b.column, kept)], [b.schema.names[0], "n_ids", "ids_crc32", *kept])
 
-    @F.pandas_udf("bigint")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(np.asarray(x, "<u4").tobytes()))
 
-    return found.select(id_col, F.size("ids").cast("bigint").alias("n_ids"), crc("ids").alias("ids_crc32"), "n_bytes", "parity", "round_trip")
+DIGEST = (digested, "n_ids bigint, ids_crc32 bigint, n_bytes bigint, parity boolean, round_trip boolean")

@@ -574,6 +574,48 @@ def test_pieces_of_random_texts_when_words_are_forgotten(monkeypatch):
         assert whole == [own.decode(x.tolist()) == t for x, t in zip(ids, texts)] or any("▁" in t for t in texts)
 
 
+@pytest.mark.parametrize("fallback", [False, True])
+def test_pieces_that_do_not_come_back(fallback):
+    """Words with unknown characters, and their neighbours, of a byte-pair model; the library decodes whole texts."""
+    import sentencepiece
+
+    rng = random.Random(28)
+    vocab = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256) if fallback]
+    vocab += [(w, -float(i), 1) for i, w in enumerate(["▁a", "ab", "▁ab", "bc", "▁▁", "dé", "▁", *"abcdé"])]
+    data = b"".join(wire(1, wire(1, p.encode()) + wire(2, s) + wire(3, t)) for p, s, t in vocab)
+    data += wire(2, wire(3, 2) + wire(35, int(fallback))) + wire(3, wire(1, b"identity") + wire(3, 1) + wire(4, 0) + wire(5, 1))
+    own, encode = sentencepiece.SentencePieceProcessor(model_proto=data), pieces.Encoder(data)
+    for i in range(30):
+        texts = ["".join(rng.choice(["a", "b", "c", "dé", " ", " ", "  "[i % 2 :], *["x", "日", "\n"][: i % 4]]) for _ in range(rng.randrange(30))) for _ in range(50)]
+        ids, same, whole = encode(texts, True, 1)
+        assert [x.tolist() for x in ids] == own.encode(texts) and all(same)
+        assert whole == [own.decode(x.tolist()) == t for x, t in zip(ids, texts)]
+
+
+def test_pieces_take_no_python_calls_by_word():
+    """Nearly every word of these texts is a new one."""
+    import cProfile
+    import pstats
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        encode = pieces.Encoder(f.read())
+    rng = random.Random(29)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(200)) for _ in range(100)]
+    watch = cProfile.Profile()
+    found = watch.runcall(encode, texts, True, 1)
+    assert all(found[1]) and all(found[2]) and pstats.Stats(watch).total_calls < 5000
+
+
+def test_digest_of_pieces(spark):
+    """That of the operator's ids; also where all texts are empty."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    some = spark.createDataFrame([(i, t) for i, t in enumerate(["a b", "", None, "  x  y", "日本 🎉 ▁"])] + [(None, "null id")], "doc_id long, text string")
+    for df in (some, some.where("text IS NULL OR text = ''")):
+        rows = pieces.encoded(df, model).collect()
+        digests = {(r.doc_id, len(r.ids), zlib.crc32(struct.pack(f"<{len(r.ids)}I", *r.ids)), r.n_bytes, r.parity, r.round_trip) for r in rows}
+        assert {tuple(r) for r in pieces.encoded(df, model, then=pieces.DIGEST).collect()} == digests and len(digests) == len(rows) == df.count()
+
+
 def test_quality_counts():
     text = "a b c d e f g h x a b c d e f g h\n# $\n\n# $\n  \nÉ|"
     assert quality.measure(text)[:5] == (22, 23, 5, 1, 16)
