@@ -404,9 +404,11 @@ def switch(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 def run_live(spark: SparkSession, writer, seen: status.LiveStatus, told: bool, over: threading.Event | None = None, ask: Callable[[], None] | None = None) -> dict:
     """Starts a query and stops it once ``over`` is set or a signal asks for it; what it met. ``ask`` is called on a
-    signal, and ``over`` then waited for."""
+    signal, and ``over`` then waited for. Without either, what the source has is processed first; whoever gives ``over``
+    knows the end, and a source that goes on, as a clock does, is never through."""
     spark.streams.addListener(seen)
-    over = over or threading.Event()
+    through, over = over is None and ask is None, over or threading.Event()
+    cut = False
     try:
         with Stopping() as stopping:
             query = writer.start()
@@ -418,11 +420,13 @@ def run_live(spark: SparkSession, writer, seen: status.LiveStatus, told: bool, o
                 if ask and query.isActive and not over.is_set():
                     ask()
                     over.wait(30)
-                if query.isActive and not ask:
+                if query.isActive and through:
                     query.processAllAvailable()
+                # The batch that the stop cuts short has nothing that is still asked for.
+                cut = query.isActive and not through and not ask
             finally:
                 query.stop()
-            if query.exception():
+            if query.exception() and not cut:
                 raise query.exception()
             # The last progress is told before the end is.
             seen.ended.wait(10)

@@ -1,6 +1,7 @@
 """The detector on state that is stored: seeds, resets, time to live, other detectors; paced replays and functions of SQL."""
 
 import random
+import threading
 import time
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pulseloom import cli
 from pulseloom.functions import sql
 from pulseloom.operators import decide, dsp, frames, protocol
 from pulseloom.sources import profiles
-from pulseloom.streaming import detector
+from pulseloom.streaming import detector, status
 
 SAMPLES = "session string, arrival_seq long, t_ms long, raw long, control string"
 
@@ -198,3 +199,25 @@ def test_a_paced_replay_says_what_one_at_once_says(spark, tmp_path, capsys):
     shown = lambda found: [(r["ord"], r["phase"], r["t_ms"], r["duration_ms"], r["clicks"]) for r in found]
     assert shown(paced) == shown(at_once) and [r["phase"] for r in paced] == ["down", "up"] * 3
     assert capsys.readouterr().out.count('"phase"') == 6
+
+
+def test_a_replay_ends_though_its_clock_goes_on(spark, tmp_path):
+    """Each batch takes longer than the clock takes for the next rows, so there are always some to come."""
+    over, found = threading.Event(), []
+
+    def slow(batch, number):
+        batch.count()
+        time.sleep(2)
+        if number == 2:
+            over.set()
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 10).load()
+    writer = clock.writeStream.foreachBatch(slow).option("checkpointLocation", str(tmp_path / "state"))
+    run = threading.Thread(target=lambda: found.append(cli.run_live(spark, writer, status.LiveStatus(), False, over)), daemon=True)
+    run.start()
+    run.join(40)
+    ended = not run.is_alive()
+    for query in spark.streams.active:
+        query.stop()
+    run.join(20)
+    assert ended and found and over.is_set()
