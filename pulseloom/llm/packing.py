@@ -18,10 +18,11 @@ like any other. Every round ends in written tables.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import islice
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,11 @@ from pyspark.sql import functions as F
 
 from .tables import discard, stored, written
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 #: Bytes of words and ids that a Python worker remembers; beyond, it forgets all but the first met, the frequent ones.
-KNOWN_BYTES = 40 << 20
+KNOWN_BYTES = 12 << 20
 #: Bytes of text looked at together.
 BLOCK = 4 << 20
 #: A lone full stop or comma at the end of a word, and what it becomes.
@@ -43,6 +47,10 @@ BANDS = (2, 8, 64)
 #: Documents of a band that are left to one task.
 SMALL = 1000
 
+#: Words whose letters neither normalizing nor the cut at ``PARTS`` changes, and how many go in one call.
+PLAIN, JOINED = "^[a-zß-öø-ÿ]+$", 500
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 #: What the tokenizer takes for a special token wherever it stands; it separates the words of one call.
 SPECIAL = "<|endoftext|>"
 #: path -> WordIds. Python workers outlive their tasks, and what one task met the next one knows.
@@ -65,39 +73,77 @@ class WordIds:
     """Ids of whole texts. Where the tokenizer is ``word_wise`` each distinct word is encoded once, else each text.
 
     A full stop or comma that ends a word after an ASCII letter is a token of its own and is cut off. Texts that may hold
-    special tokens keep their case. Columns of texts are cut into words, and words told apart, by Arrow.
+    special tokens keep their case. Columns of texts are cut into words, and words told apart and remembered, by Arrow.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        # Spark has a worker for each core; threads of a worker's own only add memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
-            self.by_word = word_wise(json.load(f))
-        self.tokenizer, self.seen, self.held = Tokenizer.from_file(path), {}, 0
+            config = json.load(f)
+        self.by_word = word_wise(config)
+        self.tokenizer = Tokenizer.from_file(path)
         self.end = self.tokenizer.token_to_id(SPECIAL)
-
-    def _keep(self, words: list[str], ids: list[bytes]) -> None:
-        self.seen.update(zip(words, ids))
-        # Some 170 bytes are the two objects' own and their place in the table.
-        self.held += sum(map(len, words)) + sum(map(len, ids)) + 170 * len(words)
-
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if "<|" in w]
-        plain = [w for w in words if "<|" not in w] if odd else words
-        texts = [SPECIAL.join(plain[i : i + 500]) for i in range(0, len(plain), 500)]
-        found: list[bytes] = []
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            at = (4 * np.flatnonzero(ids == self.end)).tolist()
-            raw = ids.tobytes()
-            found += [raw[a:b] for a, b in zip([0] + [i + 4 for i in at], at + [len(raw)])]
-        self._keep(plain, found)
-        self._keep(odd, [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in odd])
+        self.words, self.ids = pa.array([], pa.large_string()), np.zeros(0, "<u4")
+        self.start = self.size = np.zeros(0, np.int64)
+        self.plain, mark = None, config["model"].get("end_of_word_suffix")
+        if self.by_word and mark and config["pre_tokenizer"]["pretokenizers"][1:] == [BYTES] and config["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == PARTS:
+            # The same model, without what leaves plain words as they are; ids that end a word tell words apart.
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.last[[i for token, i in config["model"]["vocab"].items() if token.endswith(mark)]] = True
+
+    @property
+    def held(self) -> int:
+        return self.words.nbytes + self.ids.nbytes + self.start.nbytes + self.size.nbytes
+
+    def _encode(self, tokenizer: Tokenizer, words: pa.Array, between: str, closing: list[int]) -> np.ndarray:
+        """Ids of the words, some hundred in a call; ``closing`` follows those of each call."""
+        lists = pa.LargeListArray.from_arrays(np.r_[np.arange(0, len(words), JOINED), len(words)], words)
+        found = [np.array(tokenizer.encode_batch_fast([t], add_special_tokens=False)[0].ids + closing, "<u4") for t in pc.binary_join(lists, pa.scalar(between, pa.large_string())).to_pylist()]
+        return np.concatenate([np.zeros(0, "<u4"), *found])
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and numbers of ids of words of ``PLAIN`` letters; None where they can't be told apart."""
+        ids = self._encode(self.plain, words, "\n", [])
+        at = np.flatnonzero(self.last[ids]) + 1
+        return (ids, np.diff(at, prepend=0)) if len(at) == len(words) and (not len(at) or at[-1] == len(ids)) else None
+
+    def _separated(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._encode(self.tokenizer, words, SPECIAL, [self.end])
+        at = np.flatnonzero(ids == self.end)
+        return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+
+    def _learn(self, words: pa.Array) -> np.ndarray:
+        """Remembers new words; gives each one's place among those remembered."""
+        odd = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False) & (self.plain is not None)
+        known = self._plain(words.filter(pa.array(plain))) if plain.any() else None
+        if known is None:
+            plain[:] = False
+        rest = ~odd & ~plain
+        parts = [known] if known is not None else []
+        parts.append(self._separated(words.filter(pa.array(rest))))
+        alone = [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4") for w in words.filter(pa.array(odd)).to_pylist()]
+        parts.append((np.concatenate([np.zeros(0, "<u4"), *alone]), np.array([len(x) for x in alone], np.int64)))
+        order = np.concatenate([np.flatnonzero(x) for x in (plain, rest, odd)])
+        place = np.empty(len(words), np.int64)
+        place[order] = len(self.words) + np.arange(len(words))
+        size = np.concatenate([n for _, n in parts])
+        self.start = np.r_[self.start, len(self.ids) + np.cumsum(size) - size]
+        self.size = np.r_[self.size, size]
+        self.ids = np.concatenate([self.ids, *[x for x, _ in parts]])
+        self.words = pa.concat_arrays([self.words, words.take(pa.array(order))])
+        return place
 
     def _forget(self) -> None:
-        kept = dict(islice(self.seen.items(), len(self.seen) // 2))
-        self.seen, self.held = {}, 0
-        self._keep(list(kept), list(kept.values()))
+        n = len(self.words) // 2
+        self.words = pa.concat_arrays([self.words[:n]])
+        self.start, self.size = self.start[:n].copy(), self.size[:n].copy()
+        self.ids = self.ids[: int(self.size.sum())].copy()
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and where each text's begin and end; nulls have none."""
@@ -108,21 +154,18 @@ class WordIds:
         texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
         cut = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, *STOP))
         coded = cut.flatten().dictionary_encode()
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.held > KNOWN_BYTES:
             self._forget()
-        parts = list(map(self.seen.get, words))
-        new = [i for i, x in enumerate(parts) if x is None]
-        self._learn([words[i] for i in new])
-        for i in new:
-            parts[i] = self.seen[words[i]]
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        which = coded.indices.to_numpy()
-        n = size[which]
+        place = pc.fill_null(pc.index_in(coded.dictionary, self.words), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            place[new] = self._learn(coded.dictionary.take(pa.array(new)))
+        which = place[coded.indices.to_numpy()]
+        n = self.size[which]
         upto = np.cumsum(n)
-        at = np.repeat((np.cumsum(size) - size)[which] - (upto - n), n)
+        at = np.repeat(self.start[which] - (upto - n), n)
         at += np.arange(len(at))
-        return np.frombuffer(b"".join(parts), "<u4")[at], np.r_[0, upto][np.cumsum(np.r_[0, pc.list_value_length(cut).to_numpy()])]
+        return self.ids[at], np.r_[0, upto][np.cumsum(np.r_[0, pc.list_value_length(cut).to_numpy()])]
 
 
 def blocks(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int]]:
@@ -164,6 +207,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(which)), *[pa.array(c, k) for c, k in zip(columns, kinds)]], [id_col, "piece", "start", "length", "ids_crc32"]
                 )
+        # The worker outlives the task, and stages after this one need the memory.
+        pa.default_memory_pool().release_unused()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -1,11 +1,13 @@
 """The corpus operators against brute force, and on nulls, empty and repeated rows, ties and clashing names."""
 
 import collections
+import gc
 import hashlib
 import json
 import math
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -409,6 +411,22 @@ def test_token_ids_when_words_are_forgotten(monkeypatch):
         assert encode(pa.array([t], pa.large_string()))[0].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_remembered_words_are_small():
+    """Workers keep what they remember through later stages: under 100 bytes a word with its ids, no objects."""
+    encode = packing.WordIds(WORD_BPE)
+    words = sorted({"".join(random.Random(i).choices("abcdefgh", k=9)) for i in range(20_000)})
+    tracemalloc.start()
+    try:
+        encode(pa.array([" ".join(words)], pa.large_string()))
+        gc.collect()
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 70 * len(words)
+    assert held + encode.words.nbytes < 100 * len(words)
+    assert len(encode.words) == len(words) and encode.held < packing.KNOWN_BYTES
+
+
 def test_word_wise_tokenizers():
     with open(WORD_BPE, encoding="utf-8") as f:
         config = json.load(f)
