@@ -411,6 +411,26 @@ def test_token_ids_when_words_are_forgotten(monkeypatch):
         assert encode(pa.array([t], pa.large_string()))[0].tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_token_ids_of_plain_words():
+    """Words of plain letters skip normalizing; others, marks that join letters among them, do not."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(23)
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for letters in ("abcß", "éèÿøaz", "aeßÉ", "ae\u0301o\u0308", "st'e", "a1÷×") for _ in range(300)]
+    rng.shuffle(words)
+    text = " ".join(words)
+    encode, plain = packing.WordIds(WORD_BPE), Tokenizer.from_file(WORD_BPE)
+    easy = pa.array(["straße", "naïve", "a"], pa.large_string())
+    ids, sizes = encode._plain(easy)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [plain.encode(w, add_special_tokens=False).ids for w in easy.to_pylist()]
+    assert encode._plain(pa.array(["two parts"], pa.large_string())) is None
+    assert encode(pa.array([text], pa.large_string()))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    # Without the short way the ids are the same.
+    other = packing.WordIds(WORD_BPE)
+    other.plain = None
+    assert other(pa.array([text], pa.large_string()))[0].tolist() == encode(pa.array([text], pa.large_string()))[0].tolist()
+
+
 def test_remembered_words_are_small():
     """Workers keep what they remember through later stages: under 100 bytes a word with its ids, no objects."""
     encode = packing.WordIds(WORD_BPE)
